@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sonoframe.llm.common import ragged_index, sums, text_buffer, text_slices
+from sonoframe.llm.common import ragged_index, sums, text_buffer, text_slices, with_fields
 from sonoframe.llm.tokens import PieceMemory, split_pieces, words_after_space
 
 #: The byte-level pattern that splits a text into words.
@@ -164,7 +164,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
     are independent: repeated rows, nulls and extra columns pass through.
     """
     docs = docs.drop(out)
-    fields = docs.schema.add(out, "array<int>")
+    fields = with_fields(docs, f"`{out}` array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
@@ -194,7 +194,7 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded
             texts = [None if x is None else bpe.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "string"))
+    return docs.mapInArrow(run, with_fields(docs, f"`{out}` string"))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

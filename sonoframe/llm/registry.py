@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import byte_bpe, packing, token_counts
+from sonoframe.llm import byte_bpe, chat, packing, pii, token_counts, vectors
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
+        "op3_chat_formatting": chat.query,
+        "op5_embedding_near_dedup": vectors.near_query,
         "op6_byte_bpe": byte_bpe.query,
+        "op8_exact_top_k": vectors.top_query,
         "op9_packing": packing.query,
+        "op10_pii": pii.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_chat_formatting": chat.ORACLE_SQL, "op5_embedding_near_dedup": vectors.NEAR_SQL, "op8_exact_top_k": vectors.TOP_SQL}

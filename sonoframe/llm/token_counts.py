@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.llm import tokens
-from sonoframe.llm.common import scratch, text_slices
+from sonoframe.llm.common import scratch, stash, text_slices
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -66,7 +66,7 @@ def token_counts(
     return (
         docs.drop("n_bytes", "n_tokens")
         .withColumns({own: digest, "n_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")})
-        .join(_stored(spark, cache, named).withColumnRenamed("digest", own), own)
+        .join(stash(_stored(spark, cache, named).withColumnRenamed("digest", own), "counts"), own)
         .drop(own)
     )
 
