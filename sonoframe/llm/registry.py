@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import byte_bpe, chat, packing, pii, token_counts, vectors
+from sonoframe.llm import byte_bpe, chat, jaccard, packing, pii, token_counts, vectors
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_chat_formatting": chat.query,
         "op5_embedding_near_dedup": vectors.near_query,
         "op6_byte_bpe": byte_bpe.query,
+        "op7_ngram_jaccard": jaccard.query,
         "op8_exact_top_k": vectors.top_query,
         "op9_packing": packing.query,
         "op10_pii": pii.query,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_chat_formatting": chat.ORACLE_SQL, "op5_embedding_near_dedup": vectors.NEAR_SQL, "op8_exact_top_k": vectors.TOP_SQL}
+    return {"op3_chat_formatting": chat.ORACLE_SQL, "op5_embedding_near_dedup": vectors.NEAR_SQL, "op7_ngram_jaccard": jaccard.ORACLE_SQL, "op8_exact_top_k": vectors.TOP_SQL}
