@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import byte_bpe, chat, jaccard, packing, pii, token_counts, vectors
+from sonoframe.llm import byte_bpe, chat, jaccard, packing, pii, quality, token_counts, vectors
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
+        "op2_quality_classifier": quality.query,
         "op3_chat_formatting": chat.query,
         "op5_embedding_near_dedup": vectors.near_query,
         "op6_byte_bpe": byte_bpe.query,
