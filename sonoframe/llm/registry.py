@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import byte_bpe, chat, jaccard, packing, pii, quality, token_counts, vectors
+from sonoframe.llm import byte_bpe, chat, html_text, jaccard, packing, pii, quality, token_counts, vectors
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_counts": token_counts.query,
         "op2_quality_classifier": quality.query,
         "op3_chat_formatting": chat.query,
+        "op4_html_extraction": html_text.query,
         "op5_embedding_near_dedup": vectors.near_query,
         "op6_byte_bpe": byte_bpe.query,
         "op7_ngram_jaccard": jaccard.query,
