@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm.common import BROADCAST_ROWS, ragged_index, sized, stash, text_slices
 from sonoframe.llm.graph import components
-from sonoframe.llm.shingles import set_ids, shingle_sets
+from sonoframe.llm.shingles import mix, set_ids, shingle_sets
 from sonoframe.llm.vectors import groups
 
 #: A pair links if at least PART / WHOLE of the union is shared.
@@ -26,7 +26,7 @@ TREE = 4096
 FANOUT, STEP = 8, 8192
 NARROW, WIDE = 64, 65_536
 #: Rounds that verify only one candidate for each set before all are enumerated.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def signatures(shingles: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -53,29 +53,40 @@ def prefixes(shingles: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> tupl
     return shingles[order[ragged_index(at[:-1], taken)]], taken
 
 
-class Tree:
-    """Nodes over sets of one signature width: OR of bitmaps, range of sizes, least number of bits."""
-
-    def __init__(self, bits: np.ndarray, size: np.ndarray, rows: np.ndarray):
-        order = np.lexsort((bits[:, 0], size))
-        self.rows = rows[order]
-        self.levels = [(bits[order], size[order], size[order], np.bitwise_count(bits[order]).sum(axis=1).astype(np.int64))]
-        while len(self.levels[-1][0]) > 1:
-            b, lo, hi, least = self.levels[-1]
-            cut = np.arange(0, len(b), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.minimum.reduceat(least, cut)))
-
-    def folded(self, words: int) -> Tree:
-        """The same sets with the bitmaps folded to a smaller width."""
-        other = object.__new__(Tree)
-        other.rows = self.rows
-        other.levels = []
-        for b, lo, hi, _ in self.levels:
-            b = np.bitwise_or.reduce(b.reshape(len(b), -1, words), axis=1)
-            count = np.bitwise_count(b).sum(axis=1).astype(np.int64)
+class Trees:
+    """Signature trees of many groups side by side, all of one height, over sets of one signature width.
+
+    A node holds the OR of the bitmaps below it, the range of their sizes and the
+    least number of bits of one; ``levels[0]`` are the sets themselves, the last
+    level has one root for each group.
+    """
+
+    def __init__(self, rows: np.ndarray, group: np.ndarray, bits: np.ndarray, size: np.ndarray, height: int):
+        order = np.lexsort((bits[:, 0], size, group))
+        self.rows, bits, size, group = rows[order], bits[order], size[order], group[order]
+        self.levels = [(bits, size, size, np.bitwise_count(bits).sum(axis=1).astype(np.int64))]
+        self.below: list[tuple[np.ndarray, np.ndarray]] = []
+        for _ in range(height):
+            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            nodes = -(-np.diff(np.append(begin, len(group))) // FANOUT)
+            cut = np.repeat(begin, nodes) + FANOUT * ragged_index(np.zeros(len(nodes), np.int64), nodes)
+            bits, lo, hi, least = self.levels[-1]
+            self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.minimum.reduceat(least, cut)))
+            self.below.append((cut, np.diff(np.append(cut, len(group)))))
+            group = group[cut]
+        self.groups = group
+
+    def folded(self, words: int) -> Trees:
+        """The same trees with the bitmaps folded to a smaller width."""
+        other = object.__new__(Trees)
+        other.rows, other.below, other.groups, other.levels = self.rows, self.below, self.groups, []
+        for bits, lo, hi, _ in self.levels:
+            bits = np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
             if other.levels:
-                count = np.minimum.reduceat(other.levels[-1][3], np.arange(0, len(other.levels[-1][3]), FANOUT))
-            other.levels.append((b, lo, hi, count))
+                least = np.minimum.reduceat(other.levels[-1][3], self.below[len(other.levels) - 1][0])
+            else:
+                least = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+            other.levels.append((bits, lo, hi, least))
         return other
 
 
@@ -97,83 +108,105 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
     return ok
 
 
-def traverse(a: Tree, b: Tree, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that may link, of different labels; ``label`` may change between steps."""
-    same = a is b
-    ta, tb = len(a.levels) - 1, len(b.levels) - 1
-    stack = [(ta, tb, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+def traverse(a: Trees, i: np.ndarray, b: Trees, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that may link, below the given pairs of roots; depth first, in steps of many node pairs."""
+    step = max(64, STEP * 16 // a.levels[0][0].shape[1])
+    stack = [(len(a.levels) - 1, i, j)]
     while stack:
-        x, y, i, j = stack.pop()
-        if len(i) > STEP:
-            stack.append((x, y, i[STEP:], j[STEP:]))
-            i, j = i[:STEP], j[:STEP]
-        if not x and not y:
-            apart = label[a.rows[i]] != label[b.rows[j]]
-            i, j = i[apart], j[apart]
-        ok = possible(a.levels[x], i, b.levels[y], j)
+        level, i, j = stack.pop()
+        if len(i) > step:
+            stack.append((level, i[step:], j[step:]))
+            i, j = i[:step], j[:step]
+        ok = possible(a.levels[level], i, b.levels[level], j)
         i, j = i[ok], j[ok]
         if not len(i):
             continue
-        if not x and not y:
+        if not level:
             yield a.rows[i], b.rows[j]
             continue
-        down_a, down_b = x >= y and x > 0, y >= x and y > 0
-        i, j = children(i, len(a.levels[x - 1][0]), j, down_a) if down_a else (i, j)
-        if down_b:
-            j, i = children(j, len(b.levels[y - 1][0]), i, True)
-        if same:
-            keep = i < j if x - down_a == 0 else i <= j
+        (start_a, count_a), (start_b, count_b) = a.below[level - 1], b.below[level - 1]
+        count = count_a[i] * count_b[j]
+        place = ragged_index(np.zeros(len(i), np.int64), count)
+        i, j, wide = np.repeat(i, count), np.repeat(j, count), np.repeat(count_b[j], count)
+        i, j = start_a[i] + place // wide, start_b[j] + place % wide
+        if a is b:
+            keep = i < j if level == 1 else i <= j
             i, j = i[keep], j[keep]
-        stack.append((x - down_a, y - down_b, i, j))
-
+        stack.append((level - 1, i, j))
 
-def children(i: np.ndarray, n: int, j: np.ndarray, _: bool) -> tuple[np.ndarray, np.ndarray]:
-    down = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-    keep = down < n
-    return down[keep], np.repeat(j, FANOUT)[keep]
 
+def candidates(group: np.ndarray, right: np.ndarray, size: np.ndarray, bitmap: list[bytes], label: np.ndarray, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that may link and have different labels.
 
-def candidates(size: np.ndarray, bitmap: list[bytes], label: np.ndarray, left: np.ndarray | None, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that may link and have different labels.
-
-    ``left`` marks the rows of one side, if the two sides' rows only meet each
-    other. If ``spanning``, pairs that others connect are left out.
+    Where a group has rows marked ``right``, only those with others meet. If
+    ``spanning``, pairs that other pairs connect are left out.
     """
     label = np.unique(label, return_inverse=True)[1]
-    trees: dict[int, list[Tree]] = {}
+    group = np.unique(group, return_inverse=True)[1]
+    halved = np.zeros(group.max(initial=0) + 1, bool)
+    halved[group[right]] = True
+    side = 2 * group + right
     width = np.fromiter(map(len, bitmap), np.int64, len(bitmap)) // 8
-    sides = [np.ones(len(size), bool)] if left is None else [left, ~left]
+    height, most = 1, np.bincount(side).max(initial=0)
+    while FANOUT**height < most:
+        height += 1
+    trees = {}
     for words in np.unique(width).tolist():
-        for side in sides:
-            rows = np.flatnonzero((width == words) & side)
-            bits = np.frombuffer(b"".join(bitmap[r] for r in rows), np.uint64).reshape(len(rows), words)
-            trees.setdefault(words, []).append(Tree(bits, size[rows], rows) if len(rows) else None)
+        rows = np.flatnonzero(width == words)
+        bits = np.frombuffer(b"".join(bitmap[r] for r in rows), np.uint64).reshape(len(rows), words)
+        trees[words] = Trees(rows, side[rows], bits, size[rows], height)
     found_i, found_j = [], []
 
-    def meet(a: Tree | None, b: Tree | None) -> None:
+    def meet(a: Trees, b: Trees) -> None:
         nonlocal label
-        if a is None or b is None:
-            return
-        for i, j in traverse(a, b, label):
+        i, j = [], []
+        for mine, other in ((0, 0), (0, 1), (1, 0)):
+            if (mine, other) == (1, 0) and a is b:
+                continue
+            ga, gb = a.groups[a.groups % 2 == mine] // 2, b.groups[b.groups % 2 == other] // 2
+            both = np.intersect1d(ga, gb)
+            both = both[halved[both] == (mine != other)]
+            i.append(np.searchsorted(a.groups, 2 * both + mine))
+            j.append(np.searchsorted(b.groups, 2 * both + other))
+        for x, y in traverse(a, np.concatenate(i), b, np.concatenate(j)):
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
             if spanning:
-                i, j, label = joined(i, j, label)
-            found_i.append(i)
-            found_j.append(j)
+                x, y, label = joined(x, y, label)
+            found_i.append(x)
+            found_j.append(y)
 
     for words, own in trees.items():
-        meet(own[0], own[-1])
-        for wider in trees.get(2 * words, []):
-            if wider is not None:
-                for k, mine in enumerate(own):
-                    if left is None or trees[2 * words].index(wider) != k:
-                        meet(mine, wider.folded(words))
+        meet(own, own)
+        if 2 * words in trees:
+            meet(own, trees[2 * words].folded(words))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Sorted batches cut anew, so that rows with equal keys are in one table."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(map(len, held)) < rows:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        last = np.zeros(len(table), bool)
+        for k in keys:
+            column = table.column(k).to_numpy()
+            last |= column != column[-1]
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = [table.slice(cut)]
+    if sum(map(len, held)):
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def joined(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs, a set that connects what all of them connect; and the labels after that."""
-    parent = label.max() + 1
+    parent = int(label.max(initial=-1)) + 1
     root = list(range(parent))
 
     def find(x: int) -> int:
@@ -252,7 +285,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     edges = None
     for step in range(ROUNDS + 1):
         spanning = step < ROUNDS
-        rows = shared if not spanning or step else _primary(shared)
+        rows = _primary(shared) if step == 0 else shared.select("grp", "cls", "n")
         pairs = stash(_candidates(rows, labels, classes, spanning), "pairs")
         linked = _verified(docs, pairs)
         edges = linked if edges is None else stash(edges.unionByName(linked), "edges")
@@ -266,7 +299,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def _shared(docs: DataFrame, often: np.ndarray, classes: DataFrame) -> DataFrame:
-    """(token, cls, n) for prefix shingles that two classes of fitting sizes have."""
+    """Groups of classes that share a prefix shingle, two of fitting sizes at least: (grp, cls, n, many)."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(often)
     total = classes.agg(F.sum(F.col("n") / WHOLE + 2)).first()[0] or 0
@@ -303,16 +336,27 @@ def _shared(docs: DataFrame, often: np.ndarray, classes: DataFrame) -> DataFrame
             keep = np.zeros(len(token), bool)
             keep[1:] |= fits
             keep[:-1] |= fits
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, cls, n)], ["token", "cls", "n"])
+            token, cls, n = token[keep], cls[keep], n[keep]
+            if not len(token):
+                continue
+            # shingles that the same classes share make one group, named by its classes
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            many = np.diff(np.append(begin, len(token)))
+            name = mix(np.add.reduceat(mix(cls.view(np.uint64)), begin)).view(np.int64)
+            once = np.zeros(len(begin), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            stay = np.repeat(once, many)
+            columns = (np.repeat(name, many), cls, n, np.repeat(many, many))
+            yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in columns], ["grp", "cls", "n", "many"])
 
     packed = docs.select("text").mapInArrow(listed, "bucket int, token binary, cls binary, n binary")
-    return stash(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "token bigint, cls bigint, n bigint"), "shared")
+    met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "grp bigint, cls bigint, n bigint, many bigint")
+    return stash(met.groupBy("grp", "cls").agg(F.max("n").alias("n"), F.max("many").alias("many")), "shared")
 
 
 def _primary(shared: DataFrame) -> DataFrame:
-    """Of each class its first and last shared shingle: near copies have at least one of these in common as a rule."""
-    ends = shared.groupBy("cls").agg(F.min("token").alias("t0"), F.max("token").alias("t1"), F.max("n").alias("n"))
-    return ends.select(F.explode(F.array_distinct(F.array("t0", "t1"))).alias("token"), "cls", "n")
+    """Of each class its largest group; near copies have it in common as a rule."""
+    return shared.groupBy("cls").agg(F.max(F.struct("many", "grp"))["grp"].alias("grp"), F.max("n").alias("n"))
 
 
 def _candidates(shared: DataFrame, labels: DataFrame | None, classes: DataFrame, spanning: bool) -> DataFrame:
@@ -323,29 +367,24 @@ def _candidates(shared: DataFrame, labels: DataFrame | None, classes: DataFrame,
         rows = shared.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left")
         rows = rows.withColumn("label", F.coalesce("label", "cls"))
         rows = stash(rows, "labelled")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n_sets"))
-    mixed = stash(mixed.where("low != high").select("token", F.ceil(F.col("n_sets") / TREE).alias("trees")), "groups")
-    rows = rows.join(sized(mixed), "token").join(classes.select("cls", "sig"), "cls")
+    mixed = rows.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n_sets"))
+    mixed = stash(mixed.where("low != high").select("grp", F.ceil(F.col("n_sets") / TREE).alias("trees")), "groups")
+    rows = rows.join(sized(mixed), "grp").join(classes.select("cls", "sig"), "cls")
     # a large group: every pair of its trees is a task
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("trees")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("trees") - 1)))
-    where = ["token", "lo", "hi"]
-    rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "label", "sig")
+    where = ["grp", "lo", "hi"]
+    rows = rows.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "label", "sig")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for table in groups(batches, where):
-            cls, n, label, own = (table.column(c).to_numpy() for c in ("cls", "n", "label", "own"))
-            lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-            i, j = candidates(n, table.column("sig").to_pylist(), label, None if lo == hi else own == lo, spanning)
-            if len(i):
-                a.append(np.minimum(cls[i], cls[j]))
-                b.append(np.maximum(cls[i], cls[j]))
-            if sum(map(len, a)) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        for table in whole_groups(batches, where):
+            grp, lo, hi, cls, n, label, own = (table.column(c).to_numpy() for c in [*where, "cls", "n", "label", "own"])
+            new = np.ones(len(grp), bool)
+            new[1:] = (grp[1:] != grp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            i, j = candidates(np.cumsum(new), (lo != hi) & (own == hi), n, table.column("sig").to_pylist(), label, spanning)
+            a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+            once = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
 
     return rows.repartition(*where).sortWithinPartitions(*where).mapInArrow(pairs, "a bigint, b bigint").distinct()
 
