@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import BROADCAST_ROWS, ragged_index, sized, stash, text_slices
+from sonoframe.llm.common import BROADCAST_ROWS, ragged_index, sized, stash, text_slices, with_fields
 from sonoframe.llm.graph import components
 from sonoframe.llm.shingles import mix, set_ids, shingle_sets
 from sonoframe.llm.vectors import groups
@@ -247,6 +247,47 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     a null key take the component of their class (null if alone). Repeated rows
     stay, extra columns go, an empty table gives an empty table.
     """
+    sets, facts = _classified(docs, key, text)
+    least = facts.groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = stash(facts.join(least, "component").select("cls", "component_id"), "least")
+    return sets.join(facts, "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+
+
+def first_of_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when of each component only one does.
+
+    That is the row of the smallest key (null counts as the greatest; of equal
+    keys, that of the smallest set id; of repeated rows, any). Rows without
+    shingles stay.
+    """
+    sets, facts = _classified(docs, key, text)
+    own, name = "set id of the row", "key of a dropped row"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch.column(text)):
+                part = batch.slice(i, j - i)
+                shingles, at = shingle_sets(part.column(text))
+                cls = pa.array(set_ids(shingles, at), mask=np.diff(at) == 0)
+                yield pa.RecordBatch.from_arrays([*part.columns, cls], [*part.schema.names, own])
+
+    rows = sets.where("n > 0").groupBy("key", "cls").agg(F.count("*").alias("times")).join(facts.select("cls", "component"), "cls")
+    rows = stash(rows, "keyed")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "cls")).alias("first"))
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("cls") == F.col("first.cls"))
+    rows = stash(rows.join(first, "component").select(F.col("key").alias(name), F.col("cls").alias("cls of it"), "times", stays.alias("stays")), "decided")
+    gone = rows.where("not stays").select(name, "cls of it")
+    marked = docs.mapInArrow(mark, with_fields(docs, f"`{own}` bigint"))
+    kept = marked.join(sized(stash(gone, "dropped")), marked[key].eqNullSafe(F.col(name)) & (F.col(own) == F.col("cls of it")), "left_anti")
+    often = stash(rows.where("stays and times > 1").select("cls of it"), "repeated")
+    if often.limit(1).count():
+        repeated = F.col(own) == F.col("cls of it")
+        kept = kept.join(sized(often), repeated, "left_anti").unionByName(kept.join(sized(often), repeated, "left_semi").dropDuplicates([own]))
+    return kept.drop(own)
+
+
+def _classified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, n, cls) of all documents, and (cls, least, component) of the classes with shingles."""
     kind = dict(docs.dtypes)[key]
     fields = f"key {kind}, n bigint, cls bigint, sig binary, token bigint, df bigint"
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -292,10 +333,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         labels = components(edges.select(F.col("a"), F.col("b")))
     facts = classes.select("cls", "least").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     facts = facts.withColumn("component", F.coalesce("component", "cls"))
-    facts = stash(facts, "facts")
-    least = facts.groupBy("component").agg(F.min("least").alias("component_id"))
-    facts = stash(facts.join(least, "component").select("cls", "component_id"), "components")
-    return sets.join(facts, "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    return sets, stash(facts, "components")
 
 
 def _shared(docs: DataFrame, often: np.ndarray, classes: DataFrame) -> DataFrame:
