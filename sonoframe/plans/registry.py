@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from sonoframe.plans import cases, scalars, series, vowels  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(cases.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(cases.SQL)
