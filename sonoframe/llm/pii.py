@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _ANY = re.compile(r"[0-9@]")
+#: Stands for all entities.
+ANY = "*"
 _TERM = re.compile(r"\w{3,}")
 
 
@@ -100,23 +103,28 @@ def revealing_terms(
                         mine = each.setdefault(name, {"": digest})
                         mine.update(dict.fromkeys(words, digest))
                     rows += [(e, t, d) for e, mine in each.items() for t, d in mine.items()]
+                    rows += [(ANY, t, "") for t in set().union(*each.values()) if t]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["entity", "term", "context"])
 
-    # one row for each document, entity and term; term "" stands for the entity itself
+    # a row for each document, entity and term; term "" stands for the entity itself, entity ANY for all of them
     pairs = docs.select(text).mapInArrow(near, "entity string, term string, context string")
-    told = (
+    counted = (
         pairs.groupBy("entity", "term", "context")
         .agg(F.count("*").alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_pair"), F.count("*").alias("n_contexts"))
-        .where(F.col("n_contexts") >= contexts_at_least)
+        .where((F.col("n_contexts") >= contexts_at_least) | (F.col("entity") == ANY))
     )
-    told = stash(told, "evidence")
-    entities = told.where("term = ''").select("entity", F.col("n_pair").alias("n_entity"))
-    terms = stash(told.where("term != ''").select("term").distinct(), "evidence-terms")
+    counted = stash(counted, "evidence")
+    entities = counted.where("term = ''").select("entity", F.col("n_pair").alias("n_entity"))
+    # no term is in fewer rows than it is near any entity in, which bounds the posterior from above
+    near_any = counted.where(F.col("entity") == ANY).select("term", F.col("n_pair").alias("n_near"))
+    told = counted.where((F.col("entity") != ANY) & (F.col("term") != "")).join(near_any, "term")
+    told = stash(told.where(F.col("n_pair") >= posterior * F.col("n_near")), "likely")
+    terms = stash(told.select("term").distinct(), "evidence-terms")
     n_rows = docs.count()
-    seen = holding(docs, terms, text).groupBy("term").agg(F.count("*").alias("n_term"))
+    seen = _document_counts(docs, terms, text)
     return stash(
         told.join(entities, "entity")
         .join(seen, "term")
@@ -128,6 +136,24 @@ def revealing_terms(
     )
 
 
+def _document_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """(term, n_term): in how many rows each of the terms stands."""
+    few = _few(terms)
+    if few is None:
+        return holding(docs, terms, text).groupBy("term").agg(F.count("*").alias("n_term"))
+    if not few.value:
+        return terms.select("term", F.lit(0).cast("bigint").alias("n_term"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for value in batch.column(text):
+                counts.update(few.value.intersection({x.lower() for x in _TERM.findall(value.as_py() or "")}))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n_term"])
+
+    return docs.select(text).mapInArrow(run, "term string, n_term bigint").groupBy("term").agg(F.sum("n_term").alias("n_term"))
+
+
 def holding(docs: DataFrame, terms: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row (keys, term) for each document and each of the terms that it holds.
 
