@@ -134,15 +134,15 @@ case(
 )
 case(
     "segment_split",
-    lambda spark, d: O.segments(frames(spark, d), -25.0, DAY, 2 * DAY, 5 * DAY),
+    lambda spark, d: O.segments(frames(spark, d), -25.0, DAY, 2 * DAY, 5 * DAY).select("session_id", *(F.round(c, 3).alias(c) for c in ("start", "end"))),
     f"""WITH {FRAMES}, {QUIET}, {RUNS.format(flag='rel < -25', rows='rel')},
     ends AS (SELECT session_id, min(t) AS b, max(t) AS e FROM frames GROUP BY session_id),
     marks AS (SELECT session_id, (start + "end") / 2 AS cut FROM runs WHERE NOT is_last AND "end" - start >= 86400 UNION SELECT session_id, b FROM ends UNION SELECT session_id, e FROM ends),
     parts AS (SELECT session_id, cut, lead(cut) OVER (PARTITION BY session_id ORDER BY cut) AS nxt FROM marks),
     kept AS (SELECT *, CAST(ceil((nxt - cut) / 432000) AS BIGINT) AS pieces FROM parts WHERE nxt - cut >= 172800),
     split AS (SELECT session_id, cut, (nxt - cut) / pieces AS width, unnest(range(pieces)) AS k FROM kept)
-    SELECT session_id, cut + k * width AS start, cut + (k + 1) * width AS "end" FROM split
-    UNION ALL SELECT session_id, b, e FROM ends WHERE e - b >= 86400 AND session_id NOT IN (SELECT session_id FROM kept)""",
+    SELECT session_id, round(cut + k * width, 3) AS start, round(cut + (k + 1) * width, 3) AS "end" FROM split
+    UNION ALL SELECT session_id, round(b, 3), round(e, 3) FROM ends WHERE e - b >= 86400 AND session_id NOT IN (SELECT session_id FROM kept)""",
     'start "end"',
 )
 case(
