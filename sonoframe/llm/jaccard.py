@@ -24,16 +24,18 @@ BUCKET = 400_000
 TREE = 4096
 #: Children of a node, and node pairs that one step looks at.
 FANOUT, STEP = 8, 8192
-NARROW, WIDE = 64, 65_536
+NARROW, WIDE, SPARSE = 64, 1 << 18, 4
+#: Where candidates only span a group, closer ones come first: similarities of which each step takes those that the bounds let pass.
+CLOSER = ((9, 10), (17, 20), (4, 5))
 #: Rounds that verify only one candidate for each set before all are enumerated.
-ROUNDS = 1
+ROUNDS = 2
 
 
 def signatures(shingles: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A bitmap of each set: as many bits as its size rounded up to a power of two, one for each shingle."""
+    """A bitmap of each set with a bit for each shingle, ``SPARSE`` to twice as many times as wide as the set is large."""
     out = []
     for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
-        width = min(max(NARROW, 1 << max(0, b - a - 1).bit_length()), WIDE)
+        width = min(max(NARROW, 1 << (SPARSE * (b - a) - 1).bit_length()), WIDE)
         bits = np.zeros(width, np.uint8)
         bits[(shingles[a:b] >> np.uint64(20)) & np.uint64(width - 1)] = 1
         out.append(np.packbits(bits, bitorder="little").tobytes())
@@ -61,8 +63,8 @@ class Trees:
     level has one root for each group.
     """
 
-    def __init__(self, rows: np.ndarray, group: np.ndarray, bits: np.ndarray, size: np.ndarray, height: int):
-        order = np.lexsort((bits[:, 0], size, group))
+    def __init__(self, rows: np.ndarray, group: np.ndarray, bits: np.ndarray, size: np.ndarray, near: np.ndarray, height: int):
+        order = np.lexsort((bits[:, 0], size, near, group))
         self.rows, bits, size, group = rows[order], bits[order], size[order], group[order]
         self.levels = [(bits, size, size, np.bitwise_count(bits).sum(axis=1).astype(np.int64))]
         self.below: list[tuple[np.ndarray, np.ndarray]] = []
@@ -76,10 +78,17 @@ class Trees:
             group = group[cut]
         self.groups = group
 
+    def relabel(self, label: np.ndarray) -> None:
+        """Note for each node the least and the greatest label below it."""
+        self.labels = [(label[self.rows], label[self.rows])]
+        for cut, _ in self.below:
+            lo, hi = self.labels[-1]
+            self.labels.append((np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)))
+
     def folded(self, words: int) -> Trees:
         """The same trees with the bitmaps folded to a smaller width."""
         other = object.__new__(Trees)
-        other.rows, other.below, other.groups, other.levels = self.rows, self.below, self.groups, []
+        other.rows, other.below, other.groups, other.labels, other.levels = self.rows, self.below, self.groups, self.labels, []
         for bits, lo, hi, _ in self.levels:
             bits = np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
             if other.levels:
@@ -90,26 +99,29 @@ class Trees:
         return other
 
 
-def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
-    """Node pairs below which a link is possible.
+def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, part: int = PART, whole: int = WHOLE) -> np.ndarray:
+    """Node pairs below which a similarity of ``part / whole`` (3/4) is possible.
 
-    Sizes must be within 3:4. Of linked A and B at most (4|A| - 3|B|) / 7 shingles
+    Sizes must be within 3:4. Of such A and B at most (4|A| - 3|B|) / 7 shingles
     of A aren't in B, so as many bits of A's bitmap at most are missing in B's;
     the bits that two nodes share bound from above those that A and B can share.
     """
     (ba, la, ha, na), (bb, lb, hb, nb) = a, b
-    ok = (WHOLE * ha[i] >= PART * lb[j]) & (WHOLE * hb[j] >= PART * la[i])
+    ok = (whole * ha[i] >= part * lb[j]) & (whole * hb[j] >= part * la[i])
     at = np.flatnonzero(ok)
     i, j = i[at], j[at]
     shared = np.bitwise_count(ba[i] & bb[j]).sum(axis=1).astype(np.int64)
-    both = PART + WHOLE
-    fine = (both * (na[i] - shared) <= WHOLE * ha[i] - PART * lb[j]) & (both * (nb[j] - shared) <= WHOLE * hb[j] - PART * la[i])
+    both = part + whole
+    fine = (both * (na[i] - shared) <= whole * ha[i] - part * lb[j]) & (both * (nb[j] - shared) <= whole * hb[j] - part * la[i])
     ok[at] = fine
     return ok
 
 
-def traverse(a: Trees, i: np.ndarray, b: Trees, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that may link, below the given pairs of roots; depth first, in steps of many node pairs."""
+def traverse(a: Trees, i: np.ndarray, b: Trees, j: np.ndarray, part: int, whole: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that may link, below the given pairs of roots; depth first, in steps of many node pairs.
+
+    Node pairs below which all have one label are pruned too.
+    """
     step = max(64, STEP * 16 // a.levels[0][0].shape[1])
     stack = [(len(a.levels) - 1, i, j)]
     while stack:
@@ -117,7 +129,10 @@ def traverse(a: Trees, i: np.ndarray, b: Trees, j: np.ndarray) -> Iterator[tuple
         if len(i) > step:
             stack.append((level, i[step:], j[step:]))
             i, j = i[:step], j[:step]
-        ok = possible(a.levels[level], i, b.levels[level], j)
+        (lo, hi), (other_lo, other_hi) = a.labels[level], b.labels[level]
+        mixed = (lo[i] != hi[i]) | (lo[i] != other_lo[j]) | (other_lo[j] != other_hi[j])
+        i, j = i[mixed], j[mixed]
+        ok = possible(a.levels[level], i, b.levels[level], j, part, whole)
         i, j = i[ok], j[ok]
         if not len(i):
             continue
@@ -139,7 +154,7 @@ def candidates(group: np.ndarray, right: np.ndarray, size: np.ndarray, bitmap: l
     """Pairs of rows of one group that may link and have different labels.
 
     Where a group has rows marked ``right``, only those with others meet. If
-    ``spanning``, pairs that other pairs connect are left out.
+    ``spanning``, pairs that closer ones connect are left out.
     """
     label = np.unique(label, return_inverse=True)[1]
     group = np.unique(group, return_inverse=True)[1]
@@ -147,6 +162,8 @@ def candidates(group: np.ndarray, right: np.ndarray, size: np.ndarray, bitmap: l
     halved[group[right]] = True
     side = 2 * group + right
     width = np.fromiter(map(len, bitmap), np.int64, len(bitmap)) // 8
+    times = np.bincount(label)
+    near = np.where(times[label] > 1, label + 1, 0)  # those of one component side by side, so that whole nodes are
     height, most = 1, np.bincount(side).max(initial=0)
     while FANOUT**height < most:
         height += 1
@@ -154,10 +171,10 @@ def candidates(group: np.ndarray, right: np.ndarray, size: np.ndarray, bitmap: l
     for words in np.unique(width).tolist():
         rows = np.flatnonzero(width == words)
         bits = np.frombuffer(b"".join(bitmap[r] for r in rows), np.uint64).reshape(len(rows), words)
-        trees[words] = Trees(rows, side[rows], bits, size[rows], height)
+        trees[words] = Trees(rows, side[rows], bits, size[rows], near[rows], height)
     found_i, found_j = [], []
 
-    def meet(a: Trees, b: Trees) -> None:
+    def meet(a: Trees, b: Trees, part: int, whole: int) -> None:
         nonlocal label
         i, j = [], []
         for mine, other in ((0, 0), (0, 1), (1, 0)):
@@ -168,7 +185,7 @@ def candidates(group: np.ndarray, right: np.ndarray, size: np.ndarray, bitmap: l
             both = both[halved[both] == (mine != other)]
             i.append(np.searchsorted(a.groups, 2 * both + mine))
             j.append(np.searchsorted(b.groups, 2 * both + other))
-        for x, y in traverse(a, np.concatenate(i), b, np.concatenate(j)):
+        for x, y in traverse(a, np.concatenate(i), b, np.concatenate(j), part, whole):
             apart = label[x] != label[y]
             x, y = x[apart], y[apart]
             if spanning:
@@ -176,10 +193,13 @@ def candidates(group: np.ndarray, right: np.ndarray, size: np.ndarray, bitmap: l
             found_i.append(x)
             found_j.append(y)
 
-    for words, own in trees.items():
-        meet(own, own)
-        if 2 * words in trees:
-            meet(own, trees[2 * words].folded(words))
+    for part, whole in (*CLOSER, (PART, WHOLE)) if spanning else ((PART, WHOLE),):
+        for tree in trees.values():
+            tree.relabel(label)
+        for words, own in trees.items():
+            meet(own, own, part, whole)
+            if 2 * words in trees:
+                meet(own, trees[2 * words].folded(words), part, whole)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
