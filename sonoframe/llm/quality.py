@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sonoframe.llm.common import sized, stash, text_slices
 from sonoframe.llm.shingles import powers
 
-#: Trigrams of one shard of the model, and salts over which a shard's documents are dealt.
-SHARD, SALTS = 500_000, 4
+#: Trigrams of one shard of the model.
+SHARD = 500_000
 #: Symbols before those of characters; AGAIN stands for the first letter of a word that repeats the word before it.
 BEGIN, END, AGAIN, FIRST = 0, 1, 2, 3
 
@@ -134,6 +134,37 @@ def kneser_ney(counts: DataFrame, n: int) -> DataFrame:
     return out.select("key", F.log(p3).alias("logp"))
 
 
+def tally(cell: np.ndarray, key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (cell, key) in order, and how often each occurs; keys are below ``most``."""
+    if (int(cell.max(initial=0)) + 1) * most < 2**63:
+        both, times = np.unique(cell * most + key, return_counts=True)
+        return both // most, both % most, times
+    order = np.lexsort((key, cell))
+    cell, key = cell[order], key[order]
+    new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])]))
+    return cell[new], key[new], np.diff(np.append(new, len(cell)))
+
+
+def packed(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Numbers of each range as bytes of seven bits, the last without the high bit."""
+    size = np.ones(len(x), np.int64)
+    for bits in range(7, 63, 7):
+        size += x >= 1 << bits
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    out = np.zeros(at[-1], np.uint8)
+    for place in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > place)
+        out[at[some] + place] = ((x[some] >> (7 * place)) & 127) | np.where(size[some] > place + 1, 128, 0)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(at[bounds]), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    start = np.flatnonzero(np.concatenate([[True], raw[:-1] < 128]))
+    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), start)
+
+
 def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: str = "digest") -> DataFrame:
     """(doc_id, digest, n, logp): characters with the end mark, and the log probability of each document.
 
@@ -159,7 +190,7 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
 
     counts = stash(docs.mapInArrow(count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")), "counts")
     shards = max(1, -(-counts.count() // SHARD))
-    small = np.int64 if n**3 > 2**31 else np.int32
+    salts = max(4, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))  # over which a shard's documents are dealt
     kind = dict(docs.dtypes)["doc_id"]
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,21 +199,20 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
                 part = batch.slice(i, j - i)
                 key, at = trigrams(part.column(text), sent.value, n)
                 row = np.repeat(np.arange(len(part)), np.diff(at))
-                key, times = np.unique((row * shards + key % shards) * n**3 + key if (len(part) * shards) * n**3 < 2**63 else _spread(row, shards, key), return_counts=True, axis=-1)
-                cell, key = (key // n**3, key % n**3) if key.ndim == 1 else (key[0], key[1])
+                cell, key, times = tally(row * shards + key % shards, key, n**3)
                 begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-                cuts = np.append(begin, len(cell)).tolist()
-                key, times = key.astype(small), times.astype(np.int32)
+                step = key.copy()
+                step[1:] -= key[:-1]
+                step[begin] = key[begin]
                 own, shard = np.divmod(cell[begin], shards)
-                pieces = list(zip(cuts, cuts[1:], strict=False))
+                bounds = np.append(begin, len(cell))
                 take = pa.array(own)
-                packed = lambda x: pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), part.column("doc_id").take(take), part.column(digest).take(take), packed(key), packed(times)],
+                    [pa.array(shard.astype(np.int32)), part.column("doc_id").take(take), part.column(digest).take(take), packed(step, bounds), packed(times, bounds)],
                     ["shard", "doc_id", "digest", "keys", "times"],
                 )
 
-    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int").alias("salt")
     asked = docs.mapInArrow(request, f"shard int, doc_id {kind}, digest bigint, keys binary, times binary").select("*", salt)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +223,7 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([key[at].tobytes()], pa.binary()), pa.array([logp[at].tobytes()], pa.binary())], ["shard", "keys", "times"])
 
     known = kneser_ney(counts, n).mapInArrow(model, "shard int, keys binary, times binary")
-    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     both = known.select("shard", "salt", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("digest"), "keys", "times", F.lit(0).alias("asks"))
     both = both.unionByName(asked.withColumn("asks", F.lit(1)))
 
@@ -211,22 +241,18 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
                     keys, logp = (np.concatenate([np.frombuffer(x[i], t) for x in model]) for i, t in ((0, np.int64), (1, np.float64)))
                     order = np.argsort(keys)
                     keys, logp = keys[order], logp[order]
-                times = np.frombuffer(row["times"], np.int32)
-                found = logp[np.searchsorted(keys, np.frombuffer(row["keys"], small))]
+                times = unpacked(row["times"])
+                found = logp[np.searchsorted(keys, np.cumsum(unpacked(row["keys"])))]
                 out.append((row["doc_id"], row["digest"], int(times.sum()), float((found * times).sum())))
             if out:
                 a, b, c, d = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("doc_id").type), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["doc_id", "digest", "n", "logp"])
 
     where = ["shard", "salt"]
-    sums = both.repartition(shards * SALTS, *where).sortWithinPartitions(*where, "asks").mapInArrow(look_up, f"doc_id {kind}, digest bigint, n bigint, logp double")
+    sums = both.repartition(shards * salts, *where).sortWithinPartitions(*where, "asks").mapInArrow(look_up, f"doc_id {kind}, digest bigint, n bigint, logp double")
     return sums.groupBy("doc_id", "digest").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"))
 
 
-def _spread(row: np.ndarray, shards: int, key: np.ndarray) -> np.ndarray:
-    return np.stack([row * shards + key % shards, key])
-
-
 def assess(
     docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.08, prior: int = 100, held_out: int = 5, text: str = "text"
 ) -> DataFrame:
