@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.plans import arrays, cases, joining, scalars, series, spanish, vowels, waves  # noqa: F401
+from sonoframe.plans import arrays, cases, joining, monitors, scalars, series, spanish, vowels, waves  # noqa: F401
 
 
 def queries() -> dict:
