@@ -16,26 +16,26 @@ from sonoframe.llm.vectors import groups
 
 #: A pair links if at least PART / WHOLE of the union is shared.
 PART, WHOLE = 3, 4
-#: Frequent shingles that are ordered last; the order alone depends on them, no result.
-FREQUENT = 65_536
+#: Frequent shingles that are ordered last, and in how many documents of a batch one counts as such at least; the order alone depends on them, no result.
+FREQUENT, OFTEN = 65_536, 8
 #: Prefix shingles that one bucket holds on average.
 BUCKET = 400_000
 #: Sets in one tree; those that share a shingle beyond that are joined tree by tree.
 TREE = 4096
 #: Children of a node, and node pairs that one step looks at.
 FANOUT, STEP = 8, 8192
-NARROW, WIDE, SPARSE = 64, 1 << 18, 4
+NARROW, WIDE, SPARSE, SMALL = 64, 1 << 18, 4, 512
 #: Where candidates only span a group, closer ones come first: similarities of which each step takes those that the bounds let pass.
-CLOSER = ((9, 10), (17, 20), (4, 5))
+CLOSER = ((9, 10), (17, 20), (33, 40), (4, 5), (31, 40))
 #: Rounds that verify only one candidate for each set before all are enumerated.
 ROUNDS = 2
 
 
 def signatures(shingles: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A bitmap of each set with a bit for each shingle, ``SPARSE`` to twice as many times as wide as the set is large."""
+    """A bitmap of each set with a bit for each shingle: one to two times as wide as the set is large, ``SPARSE`` times that for small sets."""
     out = []
     for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
-        width = min(max(NARROW, 1 << (SPARSE * (b - a) - 1).bit_length()), WIDE)
+        width = min(max(NARROW, 1 << ((SPARSE if b - a <= SMALL else 1) * (b - a) - 1).bit_length()), WIDE)
         bits = np.zeros(width, np.uint8)
         bits[(shingles[a:b] >> np.uint64(20)) & np.uint64(width - 1)] = 1
         out.append(np.packbits(bits, bitorder="little").tobytes())
@@ -204,7 +204,7 @@ def candidates(group: np.ndarray, right: np.ndarray, size: np.ndarray, bitmap: l
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 60_000) -> Iterator[pa.Table]:
     """Sorted batches cut anew, so that rows with equal keys are in one table."""
     held: list[pa.Table] = []
     for batch in batches:
@@ -314,27 +314,23 @@ def _classified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen, count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # shingles that recur in the batch, and how often
             for i, j in text_slices(batch.column("text")):
                 part = batch.slice(i, j - i)
                 shingles, at = shingle_sets(part.column("text"))
-                n, rows = np.diff(at), len(part)
                 token, df = np.unique(shingles.view(np.int64), return_counts=True)
-                often = df >= max(8, rows // 256)
-                token, df = token[often], df[often]
-                null = lambda k, t: pa.nulls(k, t)
-                k = len(token)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([part.column("key"), null(k, part.column("key").type)]),
-                        pa.concat_arrays([pa.array(n), null(k, pa.int64())]),
-                        pa.concat_arrays([pa.array(set_ids(shingles, at)), null(k, pa.int64())]),
-                        pa.concat_arrays([pa.array(signatures(shingles, at), pa.binary()), null(k, pa.binary())]),
-                        pa.concat_arrays([null(rows, pa.int64()), pa.array(token)]),
-                        pa.concat_arrays([null(rows, pa.int64()), pa.array(df)]),
-                    ],
-                    ["key", "n", "cls", "sig", "token", "df"],
-                )
-
+                seen, count = np.concatenate([seen, token]), np.concatenate([count, df])
+                nothing = pa.nulls(len(part), pa.int64())
+                sig = pa.array(signatures(shingles, at), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at)), pa.array(set_ids(shingles, at)), sig, nothing, nothing], names)
+            token, where = np.unique(seen, return_inverse=True)
+            df = np.bincount(where, count, len(token)).astype(np.int64)
+            often = df >= max(OFTEN, len(batch) // 1024)
+            none = pa.nulls(int(often.sum()), pa.int64())
+            columns = [none.cast(batch.column("key").type), none, none, pa.nulls(len(none), pa.binary()), pa.array(token[often]), pa.array(df[often])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["key", "n", "cls", "sig", "token", "df"]
     listed = stash(docs.mapInArrow(first, fields), "sets")
     sets = listed.where("n is not null")
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("key").alias("least"), F.max("n").alias("n"), F.first("sig").alias("sig"))
