@@ -212,7 +212,7 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
                     ["shard", "doc_id", "digest", "keys", "times"],
                 )
 
-    salt = F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int").alias("salt")
     asked = docs.mapInArrow(request, f"shard int, doc_id {kind}, digest bigint, keys binary, times binary").select("*", salt)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
