@@ -319,6 +319,7 @@ def _classified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
                 part = batch.slice(i, j - i)
                 shingles, at = shingle_sets(part.column("text"))
                 token, df = np.unique(shingles.view(np.int64), return_counts=True)
+                token, df = token[df > 1], df[df > 1]  # most occur once
                 seen, count = np.concatenate([seen, token]), np.concatenate([count, df])
                 nothing = pa.nulls(len(part), pa.int64())
                 sig = pa.array(signatures(shingles, at), pa.binary())
