@@ -23,13 +23,22 @@ _TOKEN = re.compile(
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
-#: HTML elements without content, with raw content, inside a line, and that end an open paragraph or item.
+#: HTML elements without content, with raw content, that may stand in a head, within a paragraph but apart
+#: from its text, inside a line (formulas too), and that end an open paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas".split())
-HIDDEN = frozenset("head title".split())
+RAW = frozenset("script style".split())
+HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript script style template".split())
+EMBEDDED = frozenset("noscript template iframe svg object canvas".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split()
+    (
+        "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img "
+        "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+        "mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml"
+    ).split()
 )
+SPACED = frozenset("br mtd annotation annotation-xml".split())
+#: Where a title ends, or what shows that it isn't closed.
+_TITLE_END = re.compile(r"</title\b|<(?:title|/?head|body)\b", re.I)
 SIBLING = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 
 
@@ -46,12 +55,15 @@ def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order, white space squeezed, references decoded, empty ones left out.
 
     ``path`` holds (tag, words of class, id and role) of every ancestor. Tags
-    that aren't closed close with their parents.
+    that aren't closed close with their parents; a head or title ends where text
+    or a tag begins that can't stand in it. Only scripts, styles and the page's
+    title are left out.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, hidden, links, at = 0, 0, 0, 0
+    linked, links, foreign, at = 0, 0, 0, 0
+    head = title = -1  # their places on the stack
 
     def flush() -> None:
         nonlocal linked
@@ -63,17 +75,24 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal hidden, links
+        nonlocal head, title, links, foreign
         for tag, _ in stack[to:]:
-            hidden -= tag in HIDDEN
             links -= tag == "a"
+            foreign -= tag in ("svg", "math")
+        head, title = head if head < to else -1, title if title < to else -1
         del stack[to:]
 
+    def leave_head() -> None:
+        if head >= 0 or title >= 0:
+            pop(min(x for x in (head, title) if x >= 0))
+
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
         stop = m.start() if m else end
-        if stop > at and not hidden:
+        if stop > at and title < 0:
+            if head >= 0 and not html[at:stop].isspace():
+                leave_head()
             parts.append(html[at:stop])
             linked += (stop - at) if links else 0
         if not m:
@@ -87,18 +106,25 @@ def blocks(html: str) -> list[Block]:
             close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else end
             continue
+        if tag == "head" if closing else tag not in HEAD:
+            leave_head()
         if tag in INLINE:
-            if tag == "br":
+            if tag in SPACED:
                 parts.append(" ")
         else:
             flush()
+        if not closing and tag == "title" and not foreign:
+            close = _TITLE_END.search(html, at)
+            if close and close[0][:3].lower() == "</t":
+                at = close.start()
+                continue
         if closing:
             for place in range(len(stack) - 1, -1, -1):
                 if stack[place][0] == tag:
                     pop(place)
                     break
-        elif tag not in VOID:
-            if tag not in INLINE:  # ends an open paragraph, an item of its own kind, and lines in them
+        elif tag not in VOID and not (attributes.endswith("/") and (foreign or tag in ("svg", "math"))):
+            if tag not in INLINE and tag not in EMBEDDED:  # ends an open paragraph, an item of its own kind, and lines in them
                 for place in range(len(stack) - 1, -1, -1):
                     name = stack[place][0]
                     if name == "p" or name == SIBLING.get(tag):
@@ -107,9 +133,13 @@ def blocks(html: str) -> list[Block]:
                     if name not in INLINE:
                         break
             hints = tuple(w.lower() for x in _HINTS.findall(attributes) for w in _WORD.findall(x)) if attributes else ()
+            if tag == "head" and head < 0:
+                head = len(stack)
+            elif tag == "title" and title < 0 and not foreign:
+                title = len(stack)
             stack.append((tag, hints))
-            hidden += tag in HIDDEN
             links += tag == "a"
+            foreign += tag in ("svg", "math")
     flush()
     return out
 

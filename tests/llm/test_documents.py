@@ -123,6 +123,22 @@ def test_pages(spark):
     assert html_text.main_text(odd.limit(0)).count() == 0
 
 
+def test_blocks_keep_text():
+    texts = lambda html: [b.text for b in html_text.blocks(html)]
+    for opened in ("<body><article><p>", "<p>", "<div>", "<b>", "", "</head><body>"):
+        assert texts(f"<html><head><meta charset=u><title>x <b> y</title>{opened}text<p>more") == ["text", "more"], opened
+    assert texts("<head><title>x<body><p>text<svg><title>icon</title></svg>") == ["text", "icon"]
+    assert texts("<title>x</head>text") == ["text"] and texts("<title>x</TITLE>text") == ["text"]
+    assert texts("<head><style>p</style> <noscript>turn on</noscript></head><p>text") == ["turn on", "text"]
+    found = html_text.blocks("<article><p>a <object data=x>b<p>c</article><p>d")
+    assert [(b.text, [t for t, _ in b.path]) for b in found] == [("a", ["article", "p"]), ("b", ["article", "p", "object"]), ("c", ["article", "p", "object", "p"]), ("d", ["p"])]
+    found = html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> holds <svg/>here")
+    assert [(b.text, [t for t, _ in b.path]) for b in found] == [("so x=2 holds", ["p"]), ("here", ["p"])]
+    for tag in ("noscript", "template", "iframe", "svg", "object", "canvas"):
+        assert texts(f"<p>a <{tag}>b</{tag}> c<p>d<{tag}>e</p><p>f") == ["a", "b", "c", "d", "e", "f"]
+    assert texts("<p>a<script>b</script><style>c</style>d<script>e") == ["ad"]
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"),
