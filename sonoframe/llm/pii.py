@@ -28,6 +28,9 @@ _ANY = re.compile(r"[0-9@]")
 #: Stands for all entities.
 ANY = "*"
 _TERM = re.compile(r"\w{3,}")
+_SPACE = re.compile(r"\s")
+#: Rows that a task holds before it hands them on.
+HELD = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -67,14 +70,45 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _NO_DIGIT.sub('', value)}"
 
 
+def parted(text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with a space between spans that no white space parts, so that each is a word, and its base spans there."""
+    parts, spans, at, last = [], [], 0, -1
+    for kind, start, end in sorted(base_spans(text), key=lambda x: x[1:]):
+        if 0 <= last <= start and not _SPACE.search(text, last, start):
+            parts.append(text[at:start])
+            at = start
+        spans.append((kind, start + len(parts), end + len(parts)))
+        last = max(last, end)
+    return " ".join([*parts, text[at:]]), spans
+
+
+def words_before(text: str, start: int, window: int) -> list[str]:
+    """The last ``window`` words of the line before a place, however long they are."""
+    reach = 40 * window
+    while True:
+        line = text[max(0, start - reach) : start].rpartition("\n")[2]
+        words = line.split()
+        if len(words) > window or len(line) < reach:
+            return words[-window:]
+        reach *= 2
+
+
+def words_after(text: str, end: int, window: int) -> list[str]:
+    """The first ``window`` words of the line after a place."""
+    reach = 40 * window
+    while True:
+        line = text[end : end + reach].partition("\n")[0]
+        words = line.split()
+        if len(words) > window or len(line) < reach:
+            return words[:window]
+        reach *= 2
+
+
 def contexts(text: str, window: int) -> Iterator[tuple[str, set[str], str]]:
     """(entity, terms near it on its line, digest of those words) of each base span."""
-    spans = base_spans(text)
+    text, spans = parted(text)
     for kind, start, end in spans:
-        left = text.rfind("\n", 0, start) + 1
-        right = text.find("\n", end)
-        before = text[max(left, start - 40 * window) : start].split()[-window:]
-        after = text[end : min(len(text) if right < 0 else right, end + 40 * window)].split()[:window]
+        before, after = words_before(text, start, window), words_after(text, end, window)
         words = {x.lower() for x in _TERM.findall(" ".join([*before, *after]))}
         yield entity(kind, text[start:end]), words, hashlib.md5(" ".join([*before, "\0", *after]).encode()).hexdigest()
 
@@ -94,24 +128,35 @@ def revealing_terms(
     spark = docs.sparkSession
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        names, types = ["entity", "term", "context", "n"], [pa.string()] * 3 + [pa.int64()]
         for batch in batches:
             for i, j in text_slices(batch.column(text)):
                 rows = []
                 for value in batch.column(text).slice(i, j - i).to_pylist():
-                    each: dict[str, dict[str, str]] = {}
+                    each: dict[str, set[str]] = {}
+                    met = set()
                     for name, words, digest in contexts(value or "", window):
-                        mine = each.setdefault(name, {"": digest})
-                        mine.update(dict.fromkeys(words, digest))
-                    rows += [(e, t, d) for e, mine in each.items() for t, d in mine.items()]
-                    rows += [(ANY, t, "") for t in set().union(*each.values()) if t]
+                        if (name, digest) in met:
+                            continue
+                        met.add((name, digest))
+                        mine = each.setdefault(name, set())
+                        words = words | {""}
+                        rows += [(name, t, digest, int(t not in mine)) for t in words]
+                        mine |= words
+                        if len(rows) >= HELD:
+                            yield packed(rows)
+                            rows = []
+                    rows += [(ANY, t, "", 1) for t in set().union(*each.values()) if t]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["entity", "term", "context"])
+                    yield packed(rows)
 
-    # a row for each document, entity and term; term "" stands for the entity itself, entity ANY for all of them
-    pairs = docs.select(text).mapInArrow(near, "entity string, term string, context string")
+    # a row for each document, entity, term and context, n = 1 on the first of the document's contexts and else 0;
+    # term "" stands for the entity itself, entity ANY for all of them
+    pairs = docs.select(text).mapInArrow(near, "entity string, term string, context string, n bigint")
     counted = (
         pairs.groupBy("entity", "term", "context")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_pair"), F.count("*").alias("n_contexts"))
         .where((F.col("n_contexts") >= contexts_at_least) | (F.col("entity") == ANY))

@@ -67,3 +67,38 @@ def test_terms(spark, monkeypatch, few):
         listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in brute(text))
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
     assert pii.digests(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("footer", ["", "\nContact Zorbat at jo@x.com"])
+def test_all_contexts_count(spark, footer):
+    rows = [(f"Ask Zorbat {w} jo@x.com{footer}",) for w in ["tea", "milk", "wine", "beer", "rum"]] + [(f"clean text {i}",) for i in range(200)]
+    found = pii.revealing_terms(spark.createDataFrame(rows, "text string")).collect()
+    assert [(r.term, r.entity, r.p_entity) for r in found if r.term == "zorbat"] == [("zorbat", "email:jo@x.com", 1.0)]
+
+
+def test_contexts_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(pii, "HELD", 1)
+    one = "\n".join(f"Ask Zorbat {w} jo@x.com" for w in ["tea", "milk", "wine"])
+    rows = [(one,)] + [(f"clean text {i}",) for i in range(200)]
+    found = {r.term: r for r in pii.revealing_terms(spark.createDataFrame(rows, "text string")).collect()}
+    assert set(found) == {"ask", "zorbat"} and found["zorbat"].p_entity == 1.0
+    assert not pii.revealing_terms(spark.createDataFrame([("Ask Zorbat jo@x.com",)] * 9 + rows[1:], "text string")).count()
+
+
+@given(st.lists(st.sampled_from([" ", "\n", "w" * 150, "ab", "a@b.co", "\x0b", ";"]), max_size=60), st.integers(1, 8))
+@settings(max_examples=500, deadline=None)
+def test_words(parts, window):
+    text = "".join(parts)
+    for at in range(0, len(text) + 1, 7):
+        assert pii.words_before(text, at, window) == text[:at].rpartition("\n")[2].split()[-window:]
+        assert pii.words_after(text, at, window) == text[at:].partition("\n")[0].split()[:window]
+
+
+def test_long_words():
+    far = ["x" * 200 + str(i) for i in range(8)]
+    (_, words, _), = pii.contexts(f"no {' '.join(far)} jo@x.com {' '.join(far).upper()} no", 8)
+    assert words == set(far)
+    glued = list(pii.contexts(";".join(f"me{i}@x.com" for i in range(20_000)), 8))
+    assert len(glued) == 20_000 and glued[9][1] == {"com", *(f"me{i}" for i in range(1, 17) if i != 9)}
+    text, spans = pii.parted("a@b.co;c@d.com,1.2.3.4 e@f.org")
+    assert text == "a@b.co; c@d.com, 1.2.3.4 e@f.org" and [text[a:b] for _, a, b in spans] == ["a@b.co", "c@d.com", "1.2.3.4", "e@f.org"]
