@@ -372,10 +372,11 @@ def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = 12, batch: int
 
 
 def training_pages(pages: DataFrame, sample: int = 600, html: str = "html") -> list[tuple[list[Block], list[int]]]:
-    """Labelled pages: up to ``sample`` pages that mark their article, and twice as many layouts with their texts."""
+    """Labelled pages: up to ``sample`` different pages that mark their article, and twice as many layouts with their texts."""
     rows = pages.where(F.col(html).isNotNull() & (F.length(html) < 200_000)).select(html, F.xxhash64(html).alias("h"))
-    least = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes travel, pages don't
-    rows = rows.where(F.col("h") <= (0 if least is None else least)).limit(sample).collect()
+    least = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes travel, pages don't
+    rows = rows.where(F.col("h") <= (0 if least is None else least)).dropDuplicates(["h"]).collect()
+    rows.sort(key=lambda r: r.h)
     own = [(found, labels) for r in rows if (labels := labelled(found := blocks(r[0])))]
     texts = [b.text for found, _ in own for b in found][:20_000]
     return own + list(layouts(texts, 2 * sample, 11))

@@ -123,6 +123,16 @@ def test_pages(spark):
     assert html_text.main_text(odd.limit(0)).count() == 0
 
 
+def test_training_pages_differ(spark):
+    pages = [f"<article><p>Some words that are page {i}" for i in range(100)]
+    df = spark.createDataFrame([(x,) for x in pages], "html string")
+    first = df.selectExpr("html", "xxhash64(html) AS h").orderBy("h").first()[0]
+    copied = df.union(spark.createDataFrame([(first,)] * 200, "html string"))
+    own = html_text.training_pages(copied, 40)[:40]
+    assert len({b.text for found, _ in own for b in found}) == 40
+    assert [[b.text for b in found] for found, _ in own] == [[b.text for b in found] for found, _ in html_text.training_pages(df, 40)[:40]]
+
+
 def test_blocks_keep_text():
     texts = lambda html: [b.text for b in html_text.blocks(html)]
     for opened in ("<body><article><p>", "<p>", "<div>", "<b>", "", "</head><body>"):
