@@ -446,10 +446,7 @@ def _candidates(shared: DataFrame, labels: DataFrame | None, classes: DataFrame,
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link, found on the whole texts."""
-    spark = docs.sparkSession
     asked = stash(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sent = spark.sparkContext.broadcast(np.sort(np.array([r.cls for r in asked.collect()], np.int64))) if few else None
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,15 +454,11 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 column = batch.column("text").slice(i, j - i)
                 cls = set_ids(*shingle_sets(column))
                 at = np.unique(cls, return_index=True)[1]
-                if sent is not None:
-                    at = at[np.isin(cls[at], sent.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[at]), column.take(pa.array(at))], ["cls", "text"])
 
-    if few and not len(sent.value):
+    if asked.isEmpty():
         return pairs
-    found = docs.select("text").mapInArrow(texts, "cls bigint, text string")
-    if not few:
-        found = found.join(asked, "cls", "left_semi")
+    found = docs.select("text").mapInArrow(texts, "cls bigint, text string").join(sized(asked, BROADCAST_ROWS), "cls", "left_semi")
     found = stash(found.groupBy("cls").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(found.select(F.col("cls").alias("a"), F.col("text").alias("left")), "a")
     both = both.join(found.select(F.col("cls").alias("b"), F.col("text").alias("right")), "b")

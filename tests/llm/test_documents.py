@@ -4,6 +4,7 @@ import itertools
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -68,6 +69,23 @@ def test_jaccard(spark, monkeypatch, near_rows, small):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_verified_collects_nothing(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (50, 51, 90)]
+    a, b, c = jaccard.set_ids(*jaccard.shingle_sets(pa.array(texts))).tolist()
+    docs = spark.createDataFrame([(t,) for t in texts + texts], "text string")
+    pairs = spark.createDataFrame([(a, b), (b, c)], "a bigint, b bigint")
+
+    def forbidden(*_):
+        raise AssertionError("set ids came to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "collect", forbidden)
+        m.setattr(type(spark.sparkContext), "broadcast", forbidden)
+        linked = jaccard._verified(docs, pairs)
+        none = jaccard._verified(docs, pairs.limit(0))
+    assert [tuple(r) for r in linked.collect()] == [(a, b)] and none.count() == 0
+
+
 def test_first_of_components(spark, near_rows):
     df = spark.createDataFrame(near_rows, "doc_id bigint, text string").selectExpr("*", "'x' AS lang")
     kept = jaccard.first_of_components(df).collect()
