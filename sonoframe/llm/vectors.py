@@ -157,7 +157,9 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = components(found.select("a", "b")).withColumnRenamed("node", "rep")
     facts = stash(classes.join(linked, "rep", "left").join(parts, "rep", "left"), "facts")
-    whole = rows.join(facts, (rows["x"] == facts["x"]) & rows["vec_id"].isNotNull(), "left")
+    # joined by a hash, so that the shuffle compares numbers, and by the vectors themselves, which decide
+    facts, rows = facts.withColumn("h", F.xxhash64("x")), rows.withColumn("h", F.xxhash64("x"))
+    whole = rows.join(facts, (rows["h"] == facts["h"]) & (rows["x"] == facts["x"]) & rows["vec_id"].isNotNull(), "left")
     component = F.coalesce("component", "rep", "vec_id")
     return whole.select(
         F.col("vec_id").alias(key),
@@ -193,10 +195,10 @@ def near_query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-#: Queries whose vectors travel together, and vectors that are scanned together.
-QUERY_BLOCK, SCAN_BLOCK = 1024, 4096
-#: Blocks of queries that are broadcast; more are joined by sorting and merging.
-SENT_BLOCKS = 16
+#: Queries whose vectors travel together, and vectors that are scanned together, at most; and the bytes of one block of either.
+QUERY_BLOCK, SCAN_BLOCK, BLOCK_BYTES = 1024, 4096, 4 << 20
+#: Bytes of all queries up to which their blocks are sent to every worker once; more are joined by sorting and merging.
+SENT_BYTES = 64 << 20
 #: Tasks that share the scan for one block of queries where blocks are joined.
 SHARES = 32
 
@@ -230,8 +232,9 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key
             d = batch.column("d").to_numpy()
             for n in np.unique(d):
                 at = np.flatnonzero(d == n)
-                for i in range(0, len(at), SCAN_BLOCK):
-                    part = batch.take(pa.array(at[i : i + SCAN_BLOCK]))
+                rows = block_rows(SCAN_BLOCK, int(n))
+                for i in range(0, len(at), rows):
+                    part = batch.take(pa.array(at[i : i + rows]))
                     x = matrix(part.column("x"), np.int64)
                     shift = widths(x)
                     yield pa.RecordBatch.from_arrays(
@@ -245,8 +248,8 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key
                     )
 
     scan = stash(whole.select("vec_id", "x", dims).mapInArrow(cells, "d int, ids binary, cells binary, shifts binary"), "cells")
-    n_queries = queries.count()
-    blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    lengths = queries.groupBy(dims).count().select("d", F.ceil(F.col("count") / F.greatest(F.lit(1), F.least(F.lit(QUERY_BLOCK), F.floor(BLOCK_BYTES / (8 * F.col("d") + 1))))).alias("blocks"))
+    lengths = stash(lengths, "lengths")
 
     def blocked(table: pa.Table) -> pa.Table:
         x = matrix(table.column("x").combine_chunks(), np.int64)
@@ -255,28 +258,40 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key
             "query_ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([x.tobytes()], pa.binary()),
         })
 
-    asked = queries.select("vec_id", "x", dims, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.select("vec_id", "x", dims).join(sized(lengths), "d").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = stash(asked.groupBy("d", "block").applyInArrow(blocked, "d int, block int, query_ids binary, queries binary"), "queries")
-    few = asked.limit(SENT_BLOCKS + 1).count() <= SENT_BLOCKS
-    if few:
-        pairs = scan.join(F.broadcast(asked), "d")
+    few = (asked.agg(F.sum(F.octet_length("queries") + F.octet_length("query_ids"))).first()[0] or 0) <= SENT_BYTES
+    if few:  # every worker gets all blocks once; a block of cells meets those of its length
+        blocks: dict[int, list] = {}
+        for r in asked.collect():
+            blocks.setdefault(r.d, []).append((r.block, bytes(r.query_ids), bytes(r.queries)))
+        sent = rows.sparkSession.sparkContext.broadcast(blocks)
+        pairs = scan
     else:
+        sent = None
         share = F.pmod(F.xxhash64("ids"), F.lit(SHARES)).alias("share")
-        spread = scan.select("*", share, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        copies = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).cast("bigint").alias("share"))
-        pairs = spread.join(copies.hint("merge"), ["d", "block", "share"])
+        all_blocks = lengths.select("d", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+        spread = scan.select("*", share).join(sized(all_blocks), "d")
+        copies = asked.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))).alias("share"))
+        pairs = spread.join(copies.hint("merge"), ["d", "block", "share"]).select("d", "block", "query_ids", "queries", "ids", "cells", "shifts")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, Bounds] = {}
+        kept: dict[tuple[int, int], Bounds] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["query_ids"] not in kept:
-                    kept[row["query_ids"]] = Bounds(row["query_ids"], row["queries"], row["d"], k)
-                kept[row["query_ids"]].add(row["ids"], row["cells"], row["shifts"])
+                d = row["d"]
+                for block, query_ids, queries in sent.value.get(d, ()) if sent else ((row["block"], row["query_ids"], row["queries"]),):
+                    if (d, block) not in kept:
+                        if not sent:  # rows come sorted by their block, so the one before is done
+                            for some in kept.values():
+                                yield some.rows()
+                            kept.clear()
+                        kept[d, block] = Bounds(query_ids, queries, d, k)
+                    kept[d, block].add(row["ids"], row["cells"], row["shifts"])
         for some in kept.values():
             yield some.rows()
 
-    found = stash(pairs.select("d", "query_ids", "queries", "ids", "cells", "shifts").mapInArrow(bound, "query_id bigint, vec_id bigint, lower bigint, upper bigint"), "bounds")
+    found = stash(pairs.mapInArrow(bound, "query_id bigint, vec_id bigint, lower bigint, upper bigint"), "bounds")
     by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"))
     by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
     ranked = found.withColumns({"by_lower": F.row_number().over(by_lower), "place": F.row_number().over(by_upper)})
@@ -297,6 +312,11 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def block_rows(most: int, d: int) -> int:
+    """Vectors of d components in one block: no more than ``most``, and than ``BLOCK_BYTES`` hold."""
+    return max(1, min(most, BLOCK_BYTES // (8 * d + 1)))
+
+
 def widths(x: np.ndarray) -> np.ndarray:
     """For each vector the least s for which all components shifted by s fit 8 bits."""
     most = np.maximum(x.max(axis=1, initial=0), -1 - x.min(axis=1, initial=0))

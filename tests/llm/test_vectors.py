@@ -43,9 +43,9 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sent", [16, 0])
+@pytest.mark.parametrize("sent", [1 << 20, 0])
 def test_top_k(spark, monkeypatch, sent):
-    monkeypatch.setattr(vectors, "SENT_BLOCKS", sent)
+    monkeypatch.setattr(vectors, "SENT_BYTES", sent)
     monkeypatch.setattr(vectors, "SCAN_BLOCK", 64)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(2)
@@ -71,3 +71,33 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_top_k_of_many_lengths(spark, monkeypatch, sent):
+    monkeypatch.setattr(vectors, "SENT_BYTES", sent)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 64)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(1 + i // 10 % 17).tolist()) for i in range(340)]
+    got = sorted(tuple(r) for r in vectors.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=3, every=5).collect())
+    cells = {i: np.floor(1024 * np.array(x)).astype(np.int64) for i, x in rows}
+    want = []
+    for q in range(0, 340, 5):
+        order = sorted((-(cells[q] @ cells[v]), v) for v in cells if v != q and len(cells[v]) == len(cells[q]))[:3]
+        want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_many_queries(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((17_000, 2)).round(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in vectors.top_k(df, k=1, every=1).collect():
+        got[r.query_id] = (r.vec_id, r.score)
+    cells = np.floor(1024 * x).astype(np.int64)
+    assert len(got) == len(x)
+    for q in range(0, len(x), 97):
+        score = cells @ cells[q]
+        score[q] = np.iinfo(np.int64).min
+        assert got[q] == (int(score.argmax()), int(score.max()))
