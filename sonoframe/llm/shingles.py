@@ -65,21 +65,30 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words, at = word_hashes(*text_buffer(column))
     count = np.diff(at)
     whole = np.maximum(count - WORDS + 1, 0)
+    short = np.flatnonzero((count > 0) & (count < WORDS))
+    size = whole.copy()
+    size[short] = 1
+    to = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    total = np.full(to[-1], _COUNTS[WORDS])
+    place = ragged_index(to[:-1], whole)
     begin = ragged_index(at[:-1], whole)
-    total = np.full(len(begin), _COUNTS[WORDS])
+    sums_of = total[place]
     for i in range(WORDS):
-        total += words[begin + i] * _PLACES[i]
-    doc = np.repeat(np.arange(len(count)), whole)
-    short = np.flatnonzero((count > 0) & (count < WORDS))
+        sums_of += words[begin + i] * _PLACES[i]
+    total[place] = sums_of
     if len(short):
         few = _COUNTS[count[short]].copy()
         for i in range(WORDS - 1):
             more = count[short] > i
             few[more] += words[at[short[more]] + i] * _PLACES[i]
-        total, doc = np.concatenate([total, few]), np.concatenate([doc, short])
+        total[to[short]] = few
     total = mix(total)
-    order = np.lexsort((total, doc))
-    total, doc = total[order], doc[order]
+    doc = np.repeat(np.arange(len(count)), size)
+    if len(total) >= 64 * len(count):  # few long texts: each is sorted by itself
+        for a, b in zip(to.tolist(), to[1:].tolist(), strict=False):
+            total[a:b].sort()
+    else:
+        total = total[np.lexsort((total, doc))]
     new = np.ones(len(total), bool)
     new[1:] = (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])
     return total[new], np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(doc[new], minlength=len(count)))])

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -58,22 +59,43 @@ def near_rows():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard(spark, monkeypatch, near_rows, small):
-    if small:  # many trees, joins instead of broadcasts, the last phase alone
-        monkeypatch.setattr(jaccard, "TREE", 3)
-        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(jaccard, "ROUNDS", 0)
-        monkeypatch.setattr(jaccard, "BUCKET", 50)
+    if small:  # many trees, hot shingles, joins instead of broadcasts, few rows at a time
+        for name, value in {"TREE": 3, "BUCKET": 50, "OFTEN": 2, "HOT": 2, "HELD": 1000}.items():
+            monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(jaccard, "sized", lambda df: df.hint("merge"))
     df = spark.createDataFrame(near_rows, "doc_id bigint, text string").selectExpr("*", "1 AS cls", "2 AS n")
     got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=str)
     assert got == brute(near_rows)
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
-def test_verified_collects_nothing(spark, monkeypatch):
-    texts = [" ".join(f"w{i}" for i in range(n)) for n in (50, 51, 90)]
-    a, b, c = jaccard.set_ids(*jaccard.shingle_sets(pa.array(texts))).tolist()
-    docs = spark.createDataFrame([(t,) for t in texts + texts], "text string")
-    pairs = spark.createDataFrame([(a, b), (b, c)], "a bigint, b bigint")
+def test_hot_near_copies(spark, monkeypatch):
+    """A group of copies that are 0.7 to 0.8 alike, in many trees, and a chain through it."""
+    for name, value in {"TREE": 16, "OFTEN": 2, "HOT": 20}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        other = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            other[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other)))
+    assert sorted((tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str) == brute(rows)
+
+
+def test_links_are_exact(spark):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (50, 51, 90, 61, 62, 63, 64, 65, 66)] + ["a b"]
+    shingles, at = jaccard.shingle_sets(pa.array(texts))
+    exact = jaccard.Exact(shingles, at)
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(texts)), 2), strict=True))
+    want = [100 * len(a & b) >= 75 * len(a | b) for a, b in itertools.combinations(map(sets, texts), 2)]
+    assert exact.links(i, j).tolist() == want and (exact.close(i, j) >= np.array(want)).all() and any(want) and not all(want)
+
+
+def test_joins_collect_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)), n) for n in (50, 51, 90)], "text string, h bigint")
+    ids = jaccard.set_ids(*jaccard.shingle_sets(pa.array([r.text for r in docs.collect()]))).tolist()
+    members = spark.createDataFrame([(i, n, h, 1) for i, n, h in zip(ids, (46, 47, 86), (50, 51, 90), strict=True)], "cls bigint, n bigint, h bigint, grp bigint")
 
     def forbidden(*_):
         raise AssertionError("set ids came to the driver")
@@ -81,9 +103,9 @@ def test_verified_collects_nothing(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(type(docs), "collect", forbidden)
         m.setattr(type(spark.sparkContext), "broadcast", forbidden)
-        linked = jaccard._verified(docs, pairs)
-        none = jaccard._verified(docs, pairs.limit(0))
-    assert [tuple(r) for r in linked.collect()] == [(a, b)] and none.count() == 0
+        held = jaccard._shingled(docs, members)
+        linked = jaccard._met(members.select("grp", "cls", "n"), None, held, visits=False, exact=True)
+    assert [tuple(r) for r in linked.collect()] == [(min(ids[:2]), max(ids[:2]))]
 
 
 def test_first_of_components(spark, near_rows):
