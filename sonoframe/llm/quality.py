@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sonoframe.llm.common import sized, stash, text_slices
 from sonoframe.llm.shingles import powers
 
-#: Trigrams of one shard of the model.
-SHARD = 500_000
+#: Trigrams of one shard of the model, and bytes of text that one numpy step takes (which needs some 48 times as much; a longer text is a step of its own).
+SHARD, SLICE = 500_000, 1 << 20
 #: Symbols before those of characters; AGAIN stands for the first letter of a word that repeats the word before it.
 BEGIN, END, AGAIN, FIRST = 0, 1, 2, 3
 
@@ -59,10 +59,14 @@ def trigrams(column: pa.Array, table: np.ndarray, n: int) -> tuple[np.ndarray, n
     rows = np.arange(len(at) - 1)
     symbols = table[flat]
     symbols[repeats(flat, at)] = AGAIN
-    ids = np.full(len(flat) + 3 * len(rows), BEGIN, np.int64)
+    ids = np.full(len(flat) + 3 * len(rows), BEGIN, np.int32)
     ids[np.arange(len(flat)) + 3 * np.repeat(rows, np.diff(at)) + 2] = symbols
     ids[at[1:] + 3 * rows + 2] = END
-    key = (ids[:-2] * n + ids[1:-1]) * n + ids[2:] if len(ids) else ids
+    key = ids[:-2].astype(np.int64)
+    key *= n
+    key += ids[1:-1]
+    key *= n
+    key += ids[2:]
     keep = np.ones(len(key), bool)
     last = at[1:-1] + 3 * rows[1:]  # trigrams that would reach into the next text
     keep[last - 2], keep[last - 1] = False, False
@@ -75,7 +79,7 @@ def _alphabet(docs: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0x110000, bool)
         for batch in batches:
-            for i, j in text_slices(batch.column(text)):
+            for i, j in text_slices(batch.column(text), SLICE):
                 seen[code_points(batch.column(text).slice(i, j - i))[0]] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["c"])
 
@@ -165,37 +169,47 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), start)
 
 
-def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: str = "digest") -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", digest: str = "digest", folds: int = 2) -> DataFrame:
     """(doc_id, digest, n, logp): characters with the end mark, and the log probability of each document.
 
-    ``trusted`` says which rows train the model. The counts of all documents'
-    trigrams are looked up in the model by shards: every document sends its
-    distinct trigrams with their counts to the shards that hold them, and the
-    shards' sums are added up.
+    ``trusted`` has the ``doc_id`` of the rows that train the models. Rows are
+    dealt over ``folds`` by their text (``digest``), and those of a fold are
+    scored by the model that the other folds' trusted rows train, so no text is
+    scored by a model that has seen it. The counts of all documents' trigrams
+    are looked up in the models by shards: every document sends its distinct
+    trigrams with their counts to the shards that hold them, and the shards'
+    sums are added up.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", digest, text, F.coalesce(trusted, F.lit(False)).alias("trusted"))
+    docs = docs.select("doc_id", digest, text, F.pmod(F.col(digest), F.lit(folds)).cast("int").alias("fold"))
     alphabet = _alphabet(docs, text)
     n = int(alphabet.max(initial=FIRST)) + 1
     sent = spark.sparkContext.broadcast(alphabet)
+    names = [f"c{i}" for i in range(folds)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in text_slices(batch.column(text)):
+            for i, j in text_slices(batch.column(text), SLICE):
                 part = batch.slice(i, j - i)
                 key, at = trigrams(part.column(text), sent.value, n)
-                mine = np.repeat(part.column("trusted").to_numpy(zero_copy_only=False), np.diff(at))
-                key, where = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(where[mine], minlength=len(key)))], ["key", "c"])
-
-    counts = stash(docs.mapInArrow(count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")), "counts")
+                fold = np.where(part.column("trusted").to_numpy(zero_copy_only=False), part.column("fold").to_numpy(), folds).astype(np.int8)
+                fold = np.repeat(fold, np.diff(at))
+                order = np.argsort(key)
+                key, fold = key[order], fold[order]
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[begin]), *(pa.array(np.add.reduceat(fold == f, begin, dtype=np.int64)) for f in range(folds))], ["key", *names])
+
+    known = sized(trusted.select("doc_id", F.lit(True).alias("trusted")))
+    marked = docs.join(known, "doc_id", "left").select("fold", F.coalesce("trusted", F.lit(False)).alias("trusted"), text)
+    counts = marked.mapInArrow(count, "key bigint, " + ", ".join(f"{c} bigint" for c in names)).groupBy("key").agg(*(F.sum(c).alias(c) for c in names))
+    counts = stash(counts, "counts")
     shards = max(1, -(-counts.count() // SHARD))
-    salts = max(4, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))  # over which a shard's documents are dealt
+    salts = max(2, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // (shards * folds)))  # over which a shard's documents are dealt
     kind = dict(docs.dtypes)["doc_id"]
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in text_slices(batch.column(text)):
+            for i, j in text_slices(batch.column(text), SLICE):
                 part = batch.slice(i, j - i)
                 key, at = trigrams(part.column(text), sent.value, n)
                 row = np.repeat(np.arange(len(part)), np.diff(at))
@@ -206,14 +220,13 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
                 step[begin] = key[begin]
                 own, shard = np.divmod(cell[begin], shards)
                 bounds = np.append(begin, len(cell))
-                take = pa.array(own)
+                columns = [part.column(c).take(pa.array(own)) for c in ("fold", "doc_id", digest)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), part.column("doc_id").take(take), part.column(digest).take(take), packed(step, bounds), packed(times, bounds)],
-                    ["shard", "doc_id", "digest", "keys", "times"],
+                    [pa.array(shard.astype(np.int32)), *columns, packed(step, bounds), packed(times, bounds)], ["shard", "fold", "doc_id", "digest", "keys", "times"]
                 )
 
     salt = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int").alias("salt")
-    asked = docs.mapInArrow(request, f"shard int, doc_id {kind}, digest bigint, keys binary, times binary").select("*", salt)
+    asked = docs.mapInArrow(request, f"shard int, fold int, doc_id {kind}, digest bigint, keys binary, times binary").select("*", salt)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +235,13 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
                 at = key % shards == shard
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([key[at].tobytes()], pa.binary()), pa.array([logp[at].tobytes()], pa.binary())], ["shard", "keys", "times"])
 
-    known = kneser_ney(counts, n).mapInArrow(model, "shard int, keys binary, times binary")
-    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    both = known.select("shard", "salt", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("digest"), "keys", "times", F.lit(0).alias("asks"))
+    models = None
+    for fold, own in enumerate(names):
+        others = counts.select("key", sum((F.col(c) for c in names if c != own), F.lit(0).cast("bigint")).alias("c"))
+        one = kneser_ney(others, n).mapInArrow(model, "shard int, keys binary, times binary").withColumn("fold", F.lit(fold))
+        models = one if models is None else models.unionByName(one)
+    models = models.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    both = models.select("shard", "salt", "fold", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("digest"), "keys", "times", F.lit(0).alias("asks"))
     both = both.unionByName(asked.withColumn("asks", F.lit(1)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +249,8 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if held != (row["shard"], row["salt"]):
-                    held, model, keys = (row["shard"], row["salt"]), [], None
+                if held != (row["shard"], row["salt"], row["fold"]):
+                    held, model, keys = (row["shard"], row["salt"], row["fold"]), [], None
                 if not row["asks"]:
                     model.append((row["keys"], row["times"]))
                     continue
@@ -248,24 +265,24 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", digest: s
                 a, b, c, d = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("doc_id").type), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["doc_id", "digest", "n", "logp"])
 
-    where = ["shard", "salt"]
-    sums = both.repartition(shards * salts, *where).sortWithinPartitions(*where, "asks").mapInArrow(look_up, f"doc_id {kind}, digest bigint, n bigint, logp double")
+    where = ["shard", "salt", "fold"]
+    sums = both.repartition(shards * salts * folds, *where).sortWithinPartitions(*where, "asks").mapInArrow(look_up, f"doc_id {kind}, digest bigint, n bigint, logp double")
     return sums.groupBy("doc_id", "digest").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"))
 
 
 def assess(
-    docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.08, prior: int = 100, held_out: int = 5, text: str = "text"
+    docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.08, prior: int = 100, folds: int = 2, least: int = 20, text: str = "text"
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, digest, lang, ``perplexity``, ``threshold``, ``kept``.
 
-    Trusted text is that of all rows labelled with quality 1; one in
-    ``held_out`` of them (by a hash of the id) isn't trained on but calibrates.
-    The perplexity of a document is per character, drawn towards the calibrating
-    rows' mean of its language as by ``prior`` more characters, so that a few
-    words decide nothing. A row is kept if its log perplexity is at most
-    ``slack`` times the ``quantile`` of the calibrating rows' of its language
-    (of all of them, where a language has none; all rows are kept if none
-    calibrate at all).
+    Trusted text is that of all rows labelled with quality 1. It trains the
+    models and calibrates: every row is scored by a model of other ``folds`` (see
+    :func:`perplexities`). The perplexity of a document is per character, drawn
+    towards the calibrating rows' mean of its language as by ``prior`` more
+    characters, so that a few words decide nothing. A row is kept if its log
+    perplexity is at most ``slack`` times the ``quantile`` of the calibrating
+    rows' of its language (of all of them, where a language has fewer than
+    ``least``; all rows are kept if none calibrate at all).
 
     Null and empty texts consist of the end mark alone, and are kept; a null
     language is one of its own; rows are known by id and text, so repeated or
@@ -276,22 +293,21 @@ def assess(
     digest = F.xxhash64(F.coalesce(text, F.lit("")))
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text, digest.alias("digest"))
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    good = stash(good.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(held_out)) == 0), "trusted")
-    marked = docs.join(sized(good), "doc_id", "left")
-    scores = perplexities(marked, ~F.col("calibrates"), text)
-    rows = docs.drop(text).join(sized(good), "doc_id", "left")
+    good = stash(good, "trusted")
+    scores = perplexities(docs, good, text, folds=folds)
+    rows = docs.drop(text).join(sized(good.withColumn("calibrates", F.lit(True))), "doc_id", "left")
     scored = stash(
         rows.withColumn("id", F.struct("doc_id", "digest")).join(scores.withColumn("id", F.struct("doc_id", "digest")).select("id", "n", "logp"), "id").drop("id"),
         "scores",
     )
     calibrating = scored.where("calibrates")
-    means = calibrating.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"))
+    means = calibrating.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"), F.count("*").alias("rows")).where(F.col("rows") >= least).drop("rows")
     overall = calibrating.agg(-F.sum("logp") / F.sum("n")).first()[0] or 0.0
     drawn = (-F.col("logp") + prior * F.coalesce("mean", F.lit(overall))) / (F.col("n") + prior)
     scored = scored.join(means, "lang", "left").withColumn("entropy", drawn).drop("mean")
     scored = stash(scored, "entropies")
     at = F.percentile_approx("entropy", F.lit(quantile), F.lit(100_000))
-    limits = scored.where("calibrates").groupBy("lang").agg(at.alias("limit"))
+    limits = scored.where("calibrates").groupBy("lang").agg(at.alias("limit"), F.count("*").alias("rows")).where(F.col("rows") >= least).drop("rows")
     every = scored.where("calibrates").agg(at).first()[0]
     limit = slack * F.coalesce("limit", F.lit(every if every is not None else float("inf")))
     return scored.join(limits, "lang", "left").select(

@@ -1,7 +1,10 @@
 """Jaccard join, quality, pages, chats and the pipeline."""
 
+import collections
 import itertools
+import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -139,6 +142,79 @@ def test_quality_edges(spark):
     assert quality.assess(df.limit(0), labels).count() == 0 and quality.assess(df, labels.limit(0)).where("kept").count() == len(good + odd)
 
 
+def trigrams_of(text):
+    """Trigrams of characters between marks; a word that repeats the one before it begins with a mark of its own."""
+    out, last = list(text), None
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        if m[0] == last:
+            out[m.start()] = "AGAIN"
+        last = m[0]
+    out = ["BEGIN", "BEGIN", *out, "END"]
+    return [tuple(out[i : i + 3]) for i in range(len(out) - 2)]
+
+
+def plain_model(texts, n):
+    """Probability of a trigram by interpolated modified Kneser-Ney over dictionaries."""
+    c3 = collections.Counter(t for x in texts for t in trigrams_of(x))
+    c2 = collections.Counter(t[1:] for t in c3)
+    c1 = collections.Counter(t[1:] for t in c2)
+
+    def discounts(counts):
+        n1, n2, n3, n4 = (sum(c == i for c in counts.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        return [min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw)]
+
+    def level(counts, below):
+        d = discounts(counts)
+        total, left = collections.Counter(), collections.Counter()
+        for t, c in counts.items():
+            total[t[:-1]] += c
+            left[t[:-1]] += d[min(c, 3) - 1]
+
+        def p(t):
+            if not total[t[:-1]]:
+                return below(t[1:])
+            c = counts[t]
+            return (c - d[min(c, 3) - 1] if c else 0) / total[t[:-1]] + left[t[:-1]] / total[t[:-1]] * below(t[1:])
+
+        return p
+
+    return level(c3, level(c2, level(c1, lambda _: 1 / n)))
+
+
+def plain_assess(docs, digests, labels, quantile=0.995, slack=1.08, prior=100, least=20):
+    """(kept, perplexity, threshold) of each row (doc_id, text, lang); two folds by digest."""
+    good = {k for k, q in labels if q == 1} - {k for k, q in labels if q != 1}
+    n = 3 + len({c for _, t, _ in docs for c in t or ""})
+    models = [plain_model([t or "" for (k, t, _), d in zip(docs, digests, strict=True) if k in good and d % 2 != f], n) for f in (0, 1)]
+    logp = [sum(math.log(models[d % 2](t)) for t in trigrams_of(text or "")) for (_, text, _), d in zip(docs, digests, strict=True)]
+    size = [len(t or "") + 1 for _, t, _ in docs]
+    sure = [i for i, (k, _, _) in enumerate(docs) if k in good]
+    mine = {lang: [i for i in sure if docs[i][2] == lang] for _, _, lang in docs}
+    mine = {lang: rows if len(rows) >= least else sure for lang, rows in mine.items()}
+    mean = {lang: -sum(logp[i] for i in rows) / sum(size[i] for i in rows) for lang, rows in mine.items()}
+    entropy = [(-x + prior * mean[lang]) / (m + prior) for x, m, (_, _, lang) in zip(logp, size, docs, strict=True)]
+    limit = {lang: slack * sorted(entropy[i] for i in rows)[math.ceil(quantile * len(rows)) - 1] for lang, rows in mine.items()}
+    return [(e <= limit[lang], math.exp(e), math.exp(limit[lang])) for e, (_, _, lang) in zip(entropy, docs, strict=True)]
+
+
+def test_quality_equals_plain_model(spark):
+    rng = random.Random(8)
+    words = ["cat", "dog", "sat", "mat", "the", "a", "rat", "éa", "on"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 30))), rng.choice(["en", "en", "fr"])) for i in range(90)]
+    docs += [(100, None, "en"), (101, "the the the cat", "fr"), (102, "zq xx kk vv wq " * 30, "en"), (103, "", "de"), (104, "日 本", "de"), (0, "other text", "en")]
+    labels = [(i, int(i % 3 > 0)) for i in range(90)] + [(5, 0), (200, 1)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    digests = [r[0] for r in df.selectExpr("xxhash64(coalesce(text, ''))").collect()]
+    want = {(k, d): x for (k, _, _), d, x in zip(docs, digests, plain_assess(docs, digests, labels), strict=True)}
+    got = {(r.doc_id, r.digest): (r.kept, r.perplexity, r.threshold) for r in quality.assess(df, marks).collect()}
+    assert got.keys() == want.keys() and 0 < sum(not x[0] for x in got.values()) < len(got)
+    for k, (kept, *numbers) in got.items():
+        assert kept == want[k][0] and numbers == pytest.approx(want[k][1:], rel=1e-9)
+
+
 def test_kneser_ney_sums_to_one(spark):
     n = 6
     counts = spark.createDataFrame([((x * n + y) * n + z, max(0, (x * 7 + y * 3 + z * 5) % 11 - 5)) for x in range(n) for y in range(n) for z in range(n)], "key bigint, c bigint")
