@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from sonoframe.llm.common import ragged_index, sums, text_buffer, text_slices, with_fields
 from sonoframe.llm.tokens import PieceMemory, split_pieces, words_after_space
 
+#: Bytes of a word above which its merges follow a list of ranks, since rounds over the whole word would be too many.
+LONG = 256
 #: The byte-level pattern that splits a text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -68,11 +71,18 @@ class ByteBPE:
         """Merge the symbols of many words, held in one flat array; every word has one at least.
 
         In each round every word merges its lowest-ranked pair, from left to
-        right wherever it occurs; words without a pair are set aside.
+        right wherever it occurs; words without a pair are set aside. Words of
+        more than ``LONG`` symbols go to :meth:`merge_long`.
         """
         none = len(self.keys)
         word = np.repeat(np.arange(len(lengths)), lengths)
         done_symbols, done_word = [], []
+        far = np.repeat(lengths > LONG, lengths)
+        if far.any():
+            found, place = self.merge_long(symbols[far], word[far])
+            done_symbols.append(found)
+            done_word.append(place)
+            symbols, word = symbols[~far], word[~far]
         while len(symbols):
             rank = np.full(len(symbols), none)
             same = word[1:] == word[:-1]
@@ -99,6 +109,56 @@ class ByteBPE:
         order = np.argsort(word, kind="stable")
         return symbols[order], np.bincount(word, minlength=len(lengths))
 
+    def merge_long(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the symbols of long words, lowest rank first over all of them; symbols that remain, and their words.
+
+        A round merges all pairs of one rank. Merged symbols stand in a linked
+        list, and only pairs beside a merge are looked up anew, so that the work
+        grows with the number of merges.
+        """
+        n, none = len(symbols), len(self.keys)
+        symbols = symbols.copy()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.flatnonzero(np.append(word[1:] != word[:-1], True))
+        after[last] = n
+        before[last[:-1] + 1] = -1
+        alive, rank = np.ones(n, bool), np.full(n, none)
+        waiting: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def look_up(at: np.ndarray) -> None:
+            rank[at] = none
+            at = at[after[at] < n]
+            rank[at] = self.ranks(symbols[at], symbols[after[at]])
+            at = at[rank[at] < none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            some, begin = np.unique(rank[at], return_index=True)
+            for r, part in zip(some.tolist(), np.split(at, begin[1:]), strict=False):
+                if r not in places:
+                    heapq.heappush(waiting, r)
+                places.setdefault(r, []).append(part)
+
+        look_up(np.arange(n))
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # in a run of hits every other one merges
+            begins = np.append(True, after[at[:-1]] != at[1:])
+            index = np.arange(len(at))
+            at = at[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0]
+            right = after[at]
+            symbols[at] = self.merged[r]
+            alive[right] = False
+            after[at] = after[right]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            left = before[at]
+            look_up(np.unique(np.concatenate([at, left[left >= 0]])))
+        return symbols[alive], word[alive]
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each piece of text.
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from sonoframe.llm.common import ragged_index, sums, text_buffer
 
 #: Distinct pieces that a Python worker remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -90,3 +90,22 @@ def test_packing_is_whole(docs, windows):
         assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]]
         assert total <= 256 and total & (total - 1) == 0  # full or a power of two: no padding
     assert packing.pack(docs.limit(0), WORD).count() == 0
+
+
+def test_long_words():
+    rng = np.random.default_rng(3)
+    letters = "".join(rng.choice(list("abcdefghijklmnoprstuvwxyzéñ"), 300_000))
+    texts = [letters, "ab" * 400 + "a" * 301, " " + "x" * 70_000, "the" * 500 + " and " + letters[:1000], "=-" * 5000, "日本" * 2000]
+    found = byte_bpe.byte_bpe(BYTE).encode(texts)
+    whole = Tokenizer.from_file(BYTE)
+    assert [x.tolist() for x in found] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_only_asked_counts_are_read(spark, docs, tmp_path):
+    cache = str(tmp_path / "cache")
+    token_counts.token_counts(docs, WORD, cache)
+    other = spark.createDataFrame([(1, "some new text", 0, ""), (2, None, 0, ""), (3, "some  new text", 0, "")], docs.schema)
+    before = spark.read.parquet(cache).count()
+    got = token_counts.token_counts(other, WORD, cache)
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == [(1, 3), (2, 0), (3, 3)]
+    assert spark.read.parquet(cache).count() == before + 1
