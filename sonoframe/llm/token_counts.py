@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.llm import tokens
-from sonoframe.llm.common import scratch, stash, text_slices
+from sonoframe.llm.common import scratch, sized, stash, text_slices
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -29,9 +29,9 @@ def token_counts(
     """All columns of ``docs`` with ``n_bytes`` and ``n_tokens`` of the whole text.
 
     ``cache`` is a Parquet folder of (tokenizer version digest, content digest,
-    count). Digests of the normalised content are joined with it; of the texts
-    that it lacks, each distinct one is encoded once and appended; then all
-    rows take their counts from the cache. ``normalise`` must not change the
+    count). Digests of the normalised content are joined with it, and only
+    counts of these digests are taken from it; of the texts that it lacks, each
+    distinct one is encoded once and appended. ``normalise`` must not change the
     count; without it the text itself is the content. It defaults to
     :func:`squeezed` for tokenizers that drop white space.
 
@@ -46,10 +46,16 @@ def token_counts(
     content = normalise(F.coalesce(F.col(text), F.lit("")))
     digest = F.unhex(F.sha2(content, 256))
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    stored = _stored(spark, cache, named)
-
-    distinct = docs.select(digest.alias("digest"), content.alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
-    misses = distinct.join(stored, "digest", "left_anti")
+    # a file holds one tokenizer's rows as a rule, so the statistics of Parquet skip the others
+    cached = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == named)
+    misses = docs.select(digest.alias("digest"), content.alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
+    known = None
+    if not cached.isEmpty():
+        asked = stash(docs.select(digest.alias("digest")).distinct(), "asked")
+        # writers that ran at the same time may have left a digest twice
+        known = cached.join(sized(asked), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        known = stash(known, "known")
+        misses = misses.join(known, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
@@ -61,22 +67,19 @@ def token_counts(
                     ["tokenizer", "digest", "n_tokens"],
                 )
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    new = stash(misses.mapInArrow(encode, CACHE_SCHEMA), "counted")
+    new.write.mode("append").parquet(cache)
+    new = new.select("digest", "n_tokens")
+    counts = new if known is None else new.unionByName(known)
     own = "digest_of_content"
     return (
         docs.drop("n_bytes", "n_tokens")
         .withColumns({own: digest, "n_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")})
-        .join(stash(_stored(spark, cache, named).withColumnRenamed("digest", own), "counts"), own)
+        .join(counts.withColumnRenamed("digest", own), own)
         .drop(own)
     )
 
 
-def _stored(spark, cache: str, named: str) -> DataFrame:
-    """Counts of one tokenizer; writers that ran at the same time may have left a digest twice."""
-    read = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == named)
-    return read.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """Counts for ``documents``; the run keeps a cache of its own."""
     import public_tokenizers
