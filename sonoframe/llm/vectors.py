@@ -16,7 +16,7 @@ from sonoframe.llm.graph import components
 #: Rows of one block in a bucket; a larger bucket is compared block by block, in as many tasks as there are pairs of blocks.
 BLOCK = 2048
 #: Vectors in a bucket on average.
-BUCKET = 64
+BUCKET = 1024
 
 
 def finite(vector: Column) -> Column:
