@@ -371,9 +371,13 @@ def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = 12, batch: int
     return Field({x: tuple(w[i]) for x, i in index.items()}, theta[n : n + 4].reshape(2, 2).tolist(), theta[n + 4 :].tolist())
 
 
-def training_pages(pages: DataFrame, sample: int = 600, html: str = "html") -> list[tuple[list[Block], list[int]]]:
-    """Labelled pages: up to ``sample`` different pages that mark their article, and twice as many layouts with their texts."""
-    rows = pages.where(F.col(html).isNotNull() & (F.length(html) < 200_000)).select(html, F.xxhash64(html).alias("h"))
+def training_pages(pages: DataFrame, sample: int = 600, html: str = "html", longest: int = 200_000) -> list[tuple[list[Block], list[int]]]:
+    """Labelled pages: up to ``sample`` different pages that mark their article, and twice as many layouts with their texts.
+
+    Pages of more than ``longest`` characters don't train, which bounds what
+    goes to the driver; they are labelled like all others.
+    """
+    rows = pages.where(F.col(html).isNotNull() & (F.length(html) <= longest)).select(html, F.xxhash64(html).alias("h"))
     least = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes travel, pages don't
     rows = rows.where(F.col("h") <= (0 if least is None else least)).dropDuplicates(["h"]).collect()
     rows.sort(key=lambda r: r.h)
@@ -382,11 +386,11 @@ def training_pages(pages: DataFrame, sample: int = 600, html: str = "html") -> l
     return own + list(layouts(texts, 2 * sample, 11))
 
 
-def main_text(pages: DataFrame, field: Field | None = None, sample: int = 600, html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, field: Field | None = None, sample: int = 600, html: str = "html", longest: int = 200_000) -> DataFrame:
     """All columns of ``pages`` with ``text``, the main text, and ``n_chars``, its code points.
 
     The model (unless given) is fitted on a sample of at most ``sample`` pages
-    and labelled layouts, see :func:`training_pages`; it labels the blocks of
+    of at most ``longest`` characters and on labelled layouts, see :func:`training_pages`; it labels the blocks of
     every page, and those of the main text are joined by blank lines.
 
     Null and empty pages, and pages without main text, have an empty text.
@@ -394,7 +398,7 @@ def main_text(pages: DataFrame, field: Field | None = None, sample: int = 600, h
     rows too. An empty table gives an empty table.
     """
     if field is None:
-        field = fit(training_pages(pages, sample, html))
+        field = fit(training_pages(pages, sample, html, longest))
     sent = pages.sparkSession.sparkContext.broadcast((field.weights, field.move, field.begin))
     pages = pages.drop("text", "n_chars")
     fields = with_fields(pages, "text string, n_chars bigint")

@@ -304,13 +304,13 @@ def assess(
     means = calibrating.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"), F.count("*").alias("rows")).where(F.col("rows") >= least).drop("rows")
     overall = calibrating.agg(-F.sum("logp") / F.sum("n")).first()[0] or 0.0
     drawn = (-F.col("logp") + prior * F.coalesce("mean", F.lit(overall))) / (F.col("n") + prior)
-    scored = scored.join(means, "lang", "left").withColumn("entropy", drawn).drop("mean")
+    scored = scored.join(sized(stash(means, "means")), "lang", "left").withColumn("entropy", drawn).drop("mean")
     scored = stash(scored, "entropies")
     at = F.percentile_approx("entropy", F.lit(quantile), F.lit(100_000))
     limits = scored.where("calibrates").groupBy("lang").agg(at.alias("limit"), F.count("*").alias("rows")).where(F.col("rows") >= least).drop("rows")
     every = scored.where("calibrates").agg(at).first()[0]
     limit = slack * F.coalesce("limit", F.lit(every if every is not None else float("inf")))
-    return scored.join(limits, "lang", "left").select(
+    return scored.join(sized(stash(limits, "limits")), "lang", "left").select(
         "doc_id", "digest", "lang", F.exp("entropy").alias("perplexity"), F.exp(limit).alias("threshold"), (F.col("entropy") <= limit).alias("kept")
     )
 

@@ -5,14 +5,19 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sonoframe.llm import chat, html_text, jaccard, quality, registry
+from test_pii import brute as plain_spans
+from test_pii import plain_terms
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,6 +244,63 @@ def test_pages(spark):
     assert html_text.main_text(odd.limit(0)).count() == 0
 
 
+#: Pages labelled by hand: markup, and the blocks that a reader would call the article.
+READ = [
+    (
+        "<html><head><title>Soup</title></head><body><div class='top-menu'><a href=/>Home</a> <a href=/r>Recipes</a></div><div class='post-content'><h1>Leek soup</h1>"
+        "<p>Wash two leeks and cut them into rings. Fry them in butter until they are soft.</p><ul><li>two leeks</li><li>one litre of stock</li></ul>"
+        "<p>Add the stock and let it simmer for twenty minutes. Serve it with bread.</p></div><div id='sidebar'><h3>More recipes</h3><a href=/a>Onion tart</a></div>"
+        "<footer>© 2020 The Soup Kitchen. All rights reserved.</footer></body></html>",
+        ["Leek soup", "Wash two leeks and cut them into rings. Fry them in butter until they are soft.", "two leeks", "one litre of stock", "Add the stock and let it simmer for twenty minutes. Serve it with bread."],
+    ),
+    (
+        "<body><header><h2>The Daily Post</h2><nav><ul><li><a href=#>World</a><li><a href=#>Sport</a></ul></nav></header><main><h1>Bridge reopens after repairs</h1>"
+        "<p>The old bridge over the river was opened to traffic again on Monday, two years after it was closed.</p><aside><p>Read also: <a href=#>Ferry stops service</a></p></aside>"
+        "<p>Engineers replaced most of the steel beams and painted the railings in their original green.</p></main>"
+        "<section class='comments'><h3>3 comments</h3><p>Finally! I had to drive around for ages, what a waste of time it was.</p></section>"
+        "<div class='cookie-notice'>We use cookies to improve this site. <button>Accept</button></div></body>",
+        ["Bridge reopens after repairs", "The old bridge over the river was opened to traffic again on Monday, two years after it was closed.", "Engineers replaced most of the steel beams and painted the railings in their original green."],
+    ),
+    (
+        "<body><div class=nav><a href=1>Start</a> | <a href=2>Archiv</a> | <a href=3>Kontakt</a></div><article><header><h1>Ein Tag am See</h1></header>"
+        "<p>Am Morgen lag noch Nebel über dem Wasser, und niemand war zu sehen.</p><blockquote>Wer früh kommt, hat den See für sich.</blockquote>"
+        "<p>Gegen Mittag kamen die ersten Boote.</p></article><form class=newsletter><p>Melden Sie sich an!</p><input name=mail></form><div class=footer>Impressum</div></body>",
+        ["Ein Tag am See", "Am Morgen lag noch Nebel über dem Wasser, und niemand war zu sehen.", "Wer früh kommt, hat den See für sich.", "Gegen Mittag kamen die ersten Boote."],
+    ),
+    (
+        "<table><tr><td class=menu><a href=a>News</a><br><a href=b>Links</a></td><td class=body><h1>Notes on tides</h1><p>Tides follow the moon, but the shape of the coast decides how high they rise.</p>"
+        "<p>In narrow bays the water may climb more than ten metres twice a day.</p></td><td><div class=ad><p>Buy cheap boats today and save money!</p></div></td></tr></table>",
+        ["Notes on tides", "Tides follow the moon, but the shape of the coast decides how high they rise.", "In narrow bays the water may climb more than ten metres twice a day."],
+    ),
+]
+
+
+def shares(got, want):
+    """Block precision and recall over pages."""
+    right = sum(sum((collections.Counter(g) & collections.Counter(w)).values()) for g, w in zip(got, want, strict=True))
+    return right / max(1, sum(map(len, got))), right / max(1, sum(map(len, want)))
+
+
+def test_pages_read_by_hand(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    field = html_text.fit(html_text.training_pages(pages, 100))
+    chosen = lambda found, labels: [b.text for b, y in zip(found, labels, strict=True) if y]
+    main = lambda html: (lambda found: chosen(found, field.decode(found)))(html_text.blocks(html))
+    precision, recall = shares([main(html) for html, _ in READ], [want for _, want in READ])
+    print("by hand", precision, recall)
+    assert precision >= 0.9 and recall >= 0.9
+    rows = [r.html for r in pages.orderBy("page_id").collect()]
+    want = [chosen(found, html_text.labelled(found)) for found in map(html_text.blocks, rows)]
+    renamed = [re.sub(r"<(/?)article\b[^>]*>", r"<\1div>", x) for x in rows]  # the tag that the labels came from, with its attributes
+    precision, recall = shares(list(map(main, renamed)), want)
+    print("article tags renamed", precision, recall)
+    assert precision >= 0.9 and recall >= 0.9
+    bare = [re.sub(r"\s(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", x) for x in rows]
+    precision, recall = shares(list(map(main, bare)), want)
+    print("classes and ids removed", precision, recall)
+    assert precision >= 0.9 and recall >= 0.9
+
+
 def test_training_pages_differ(spark):
     pages = [f"<article><p>Some words that are page {i}" for i in range(100)]
     df = spark.createDataFrame([(x,) for x in pages], "html string")
@@ -289,6 +351,59 @@ def test_matches_sql(spark, name):
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+def test_pipeline_equals_plain_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.orderBy("doc_id").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    digests = [r[0] for r in docs.orderBy("doc_id").selectExpr("xxhash64(coalesce(text, ''))").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    rows = [x for x, (kept, *_) in zip(rows, plain_assess(rows, digests, labels), strict=True) if kept]
+    docs = stages["quality"](spark, docs, SF)
+    assert sorted(r.doc_id for r in docs.collect()) == [k for k, *_ in rows]
+
+    reached = {k: c for k, _, c in brute([x[:2] for x in rows])}
+    rows = [x for x in rows if reached[x[0]] == x[0]]
+    docs = stages["near_duplicates"](spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [x[:2] for x in rows]
+
+    told = plain_terms([t for _, t, _ in rows])
+    share = {}
+    for (term, _), (p, _) in told.items():
+        share[term] = max(p, share.get(term, 0))
+    clean = {}
+    for k, text, _ in rows:
+        spans = [(a, b, f"[{['EMAIL', 'IP', 'CARD', 'PHONE'][kind]}]") for kind, a, b in plain_spans(text or "")]
+        base = [x[:2] for x in spans]
+        for m in re.finditer(r"\w{3,}", text or ""):
+            if m[0].lower() in share and not any(m.start() < b and a < m.end() for a, b in base):
+                spans.append((*m.span(), "" if share[m[0].lower()] >= 0.95 else "[NUMBER]" if m[0].isdigit() else "[TERM]"))
+        out, at = "", 0
+        for a, b, mark in sorted(spans):
+            if a >= at:
+                out, at = out + text[at:a] + mark, b
+            elif b > at:
+                at = b
+        clean[k] = out + (text or "")[at:]
+    docs = stages["personal_data"](spark, docs, SF)
+    got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    assert {k: t for k, (t, _) in got.items()} == clean and all(n == len(t) for t, n in got.values())
+
+    pieces = sorted(stages["packing"](spark, docs, SF).collect(), key=lambda r: (r.doc_id, r.start))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {k: [*library.encode(t, add_special_tokens=False).ids, 1] for k, t in clean.items()}
+    at = dict.fromkeys(want, 0)
+    for r in pieces:
+        ids = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert r.start == at[r.doc_id] and len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
+        at[r.doc_id] += r.length
+    assert at == {k: len(ids) for k, ids in want.items()}
+    fill = collections.Counter()
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:

@@ -1,6 +1,8 @@
 """Personal data against plain regular expressions, and terms that reveal it."""
 
+import collections
 import hashlib
+import math
 import re
 
 import pytest
@@ -102,3 +104,46 @@ def test_long_words():
     assert len(glued) == 20_000 and glued[9][1] == {"com", *(f"me{i}" for i in range(1, 17) if i != 9)}
     text, spans = pii.parted("a@b.co;c@d.com,1.2.3.4 e@f.org")
     assert text == "a@b.co; c@d.com, 1.2.3.4 e@f.org" and [text[a:b] for _, a, b in spans] == ["a@b.co", "c@d.com", "1.2.3.4", "e@f.org"]
+
+
+def plain_terms(texts, window=8, least=3, posterior=0.8, bits=4.0):
+    """(term, entity): (share, bits) counted one by one."""
+    met, pair, rows, holds = collections.defaultdict(set), collections.Counter(), collections.Counter(), collections.Counter()
+    for text in texts:
+        text = text or ""
+        holds.update({w.lower() for w in re.findall(r"\w{3,}", text)})
+        spans, shift, last, spaced = [], 0, None, text
+        for kind, a, b in sorted(brute(text), key=lambda x: x[1:]):
+            if last is not None and last <= a and not re.search(r"\s", text[last:a]):
+                spaced = spaced[: a + shift] + " " + spaced[a + shift :]
+                shift += 1
+            spans.append((kind, a + shift, b + shift))
+            last = max(last or 0, b)
+        near = set()
+        for kind, a, b in spans:
+            value = spaced[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", spaced[a:b])
+            name = ["email", "ip", "card", "phone"][kind] + ":" + value
+            around = (tuple(spaced[:a].split("\n")[-1].split()[-window:]), tuple(spaced[b:].split("\n")[0].split()[:window]))
+            for t in {w.lower() for x in around for w in re.findall(r"\w{3,}", " ".join(x))}:
+                met[t, name].add(around)
+                near.add((t, name))
+            near.add((None, name))
+        pair.update(x for x in near if x[0])
+        rows.update(name for t, name in near if t is None)
+    out = {}
+    for (t, name), contexts in met.items():
+        share = pair[t, name] / holds[t]
+        told = math.log2(share * len(texts) / rows[name])
+        if len(contexts) >= least and share >= posterior and told >= bits:
+            out[t, name] = (share, told)
+    return out
+
+
+def test_terms_equal_plain_counts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += [t for _, t in ROWS] + [f"Call Quentin {w} +44 (20) 7946 0958;quentin@x.org {w}" for w in ("now", "then", "soon", "later")]
+    found = pii.revealing_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    want = plain_terms(texts)
+    assert {(r.term, r.entity) for r in found} == set(want) and ("quentin", "phone:442079460958") in want
+    for r in found:
+        assert (r.p_entity, r.bits) == pytest.approx(want[r.term, r.entity])
