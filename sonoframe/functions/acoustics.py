@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,19 +15,24 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
 
 
-def nearest_vowel(f1: Column, f2: Column, norms: tuple = ENGLISH, limit: float = MAX_DISTANCE) -> Column:
-    """The vowel whose mean formants are nearest, the first of equally near ones; null beyond ``limit``.
+def nearest_norm(f1: Column, f2: Column, norms: tuple = ENGLISH) -> Column:
+    """Squared distance ``d`` to the norm whose mean formants are nearest, and its place ``ord``, the first of equally near ones.
 
     The few norms are unrolled into one expression, so there is no join.
     """
     near = lambda n: F.pow((f1 - n[1]) / 500.0, 2) + F.pow((f2 - n[3]) / 1000.0, 2)
-    best = F.least(*(F.struct(near(n).alias("d"), F.lit(i).alias("ord"), F.lit(n[0]).alias("vowel")) for i, n in enumerate(norms)))
-    return F.when(best["d"] <= limit, best["vowel"])
+    return F.least(*(F.struct(near(n).alias("d"), F.lit(i).alias("ord")) for i, n in enumerate(norms)))
+
+
+def nearest_vowel(f1: Column, f2: Column, norms: tuple = ENGLISH, limit: float = MAX_DISTANCE) -> Column:
+    """The vowel of the nearest norm; null beyond ``limit``."""
+    best = nearest_norm(f1, f2, norms)
+    return F.when(best["d"] <= limit, of_norm(best["ord"], norms, 0))
 
 
-def of_vowel(vowel: Column, norms: tuple, place: int) -> Column:
-    """A value of the vowel's norm: 1 to 6 for mean and std of F1, F2, F3."""
-    return reduce(lambda out, n: out.when(vowel == n[0], F.lit(n[place])), norms, F.when(F.lit(False), F.lit(0.0)))
+def of_norm(place: Column, norms: tuple, field: int) -> Column:
+    """A field of the norm at a place: 0 for its vowel, 1 to 6 for mean and std of F1, F2, F3."""
+    return F.element_at(F.array(*(F.lit(n[field]) for n in norms)), place + 1)
 
 
 def vowel_gate(f0: Column, rms: Column, f1: Column, f2: Column, bw1: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,16 +39,108 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable, sta
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def cooled_down(rows: DataFrame, keys: list[str], interval: float, schema: str) -> DataFrame:
-    """Rows that come at least ``interval`` after the last one let through, by keys; greedy from the first."""
+def fold_parts(rows: DataFrame, keys: list[str], order: list[str], work: Callable, start: Callable, schema: str) -> DataFrame:
+    """As :func:`fold`, but ``work(state, part) -> state, out`` takes all rows of a key that one batch holds, as a frame."""
     names = T.StructType.fromDDL(schema).names
 
-    def step(last, row):
-        if last is not None and row.t - last < interval:
-            return last, None
-        return row.t, tuple(getattr(row, n) for n in names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            change = np.ones(len(batch), bool)
+            if len(batch):
+                change[1:] = (batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(axis=1)
+            cuts = [*np.flatnonzero(change).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.iloc[a:b]
+                mine = tuple(part.iloc[0][keys])
+                if mine != key:
+                    key, state = mine, start()
+                state, made = work(state, part)
+                out.append(made)
+            yield pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def let_through(t: np.ndarray, last: float | None, interval: float, once: np.ndarray | None = None) -> tuple[list[int], float | None]:
+    """Places of the sorted times that come at least ``interval`` after the last one let through, greedy; and the last one.
+
+    Those marked ``once`` pass only if none passed before. Each step searches
+    for the next time that may pass, so it takes as many as are let through.
+    """
+    kept: list[int] = []
+    at = 0
+    plain = np.arange(len(t)) if once is None else np.flatnonzero(~once)
+    while at < len(t):
+        if last is not None:
+            low, at = at, max(at, int(np.searchsorted(t, last + interval)))
+            while at > low and t[at - 1] - last >= interval:  # the sum and the difference may round apart
+                at -= 1
+            while at < len(t) and t[at] - last < interval:
+                at += 1
+            after = int(np.searchsorted(plain, at))
+            if after == len(plain):
+                break
+            at = int(plain[after])
+        kept.append(at)
+        last = float(t[at])
+        at += 1
+    return kept, last
+
+
+def cooled_down(rows: DataFrame, keys: list[str], interval: float, schema: str, once: str | None = None) -> DataFrame:
+    """Rows that come at least ``interval`` after the last one let through, by keys; greedy from the first.
+
+    Rows for which the boolean column ``once`` holds pass only as the first of their key.
+    """
+    names = T.StructType.fromDDL(schema).names
+
+    def work(last, part):
+        kept, last = let_through(part["t"].to_numpy(), last, interval, None if once is None else part[once].to_numpy(bool))
+        return last, part.iloc[kept]
+
+    return fold_parts(rows.select(*names, *([once] if once else [])), keys, ["t", "seq"], work, lambda: None, schema)
+
+
+def declines(rows: DataFrame, window: float, most: int, at_least: int, drop: float, rise: float) -> DataFrame:
+    """Frames at which the later half of the trailing samples is worse than the earlier one: session_id, seq, t, cause.
+
+    Samples are those of ``hnr`` and, apart, of ``jitter`` that are there and not
+    0, in the trailing ``window`` seconds, the last ``most`` of the session at
+    most; ``at_least`` are needed, and a session as old as the window. A fall of
+    the first by ``drop`` counts before a rise of the second by ``rise``. Halves
+    come from running sums, so a frame costs the same however long its window is.
+    """
 
-    return fold(rows.select(*names), keys, ["t", "seq"], step, lambda: None, schema)
+    def trend(t, at, values):
+        """Earlier less later mean at each time; nan where there are too few samples. ``at`` and ``values`` are the samples."""
+        total = np.concatenate([[0.0], np.cumsum(values)])
+        end = np.searchsorted(at, t, "right")
+        begin = np.maximum(np.searchsorted(at, t - window), end - most)
+        n = end - begin
+        half = n // 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            change = (total[begin + half] - total[begin]) / half - (total[end] - total[begin + half]) / (n - half)
+        return np.where(n >= at_least, np.round(change, 9), np.nan)
+
+    def work(state, part):
+        t = part["t"].to_numpy()
+        first, held = (t[0], {}) if state is None else state
+        found = {}
+        for name in ("hnr", "jitter"):
+            x = part[name].to_numpy(float)
+            some = ~np.isnan(x) & (x != 0)
+            at, values = held.get(name, (np.zeros(0), np.zeros(0)))
+            at, values = np.concatenate([at, t[some]]), np.concatenate([values, x[some]])
+            found[name] = trend(t, at, values)
+            held[name] = at[-most:], values[-most:]
+        old = t - first >= window
+        cause = np.where(found["hnr"] >= drop, "hnr", np.where(-found["jitter"] >= rise, "jitter", ""))
+        keep = old & (cause != "")
+        return (first, held), part.loc[keep, ["session_id", "seq", "t"]].assign(cause=cause[keep])
+
+    return fold_parts(rows.select("session_id", "seq", "t", "hnr", "jitter"), ["session_id"], ["t", "seq"], work, lambda: None, "session_id bigint, seq bigint, t double, cause string")
 
 
 def voice_by_timer(rows: DataFrame, threshold: float, onset: float, silence: float) -> DataFrame:

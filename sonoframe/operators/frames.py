@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions import acoustics as A
-from sonoframe.functions.norms import FEMALE_F1, MONOPHTHONGS
+from sonoframe.functions.norms import ENGLISH, FEMALE_F1, MONOPHTHONGS
 
 
-def voiced_vowels(frames: DataFrame) -> DataFrame:
-    """Frames whose vowel is clear, with ``vowel``."""
-    near = A.nearest_vowel(F.col("f1"), F.col("f2"))
-    return frames.where((F.col("f1") > 0) & (F.col("f2") > 0)).withColumn("vowel", near).where("vowel IS NOT NULL")
+def voiced_vowels(frames: DataFrame, norms: tuple = ENGLISH) -> DataFrame:
+    """Frames whose vowel is clear, with ``vowel`` and ``norm``, its place among the norms.
+
+    The nearest norm is exploded out of an array of one, which keeps the
+    optimiser from copying the long expression into filters and projections.
+    """
+    rows = frames.where((F.col("f1") > 0) & (F.col("f2") > 0))
+    rows = rows.select("*", F.explode(F.array(A.nearest_norm(F.col("f1"), F.col("f2"), norms))).alias("nearest")).where(F.col("nearest.d") <= A.MAX_DISTANCE)
+    return rows.select(*frames.columns, F.col("nearest.ord").alias("norm"), A.of_norm(F.col("nearest.ord"), norms, 0).alias("vowel"))
 
 
 def per_vowel_z(frames: DataFrame) -> DataFrame:
@@ -28,15 +33,15 @@ def per_vowel_z(frames: DataFrame) -> DataFrame:
 
 def frame_mean_z(frames: DataFrame, norms: tuple) -> DataFrame:
     """Per session and formant the mean over frames of z against the frame's own vowel."""
-    rows = voiced_vowels(frames)
-    z = lambda f, place: F.avg(A.z_score(F.col(f), A.of_vowel(F.col("vowel"), norms, place), A.of_vowel(F.col("vowel"), norms, place + 1)))
+    rows = voiced_vowels(frames, norms)
+    z = lambda f, place: F.avg(A.z_score(F.col(f), A.of_norm(F.col("norm"), norms, place), A.of_norm(F.col("norm"), norms, place + 1)))
     return rows.groupBy("session_id").agg(z("f1", 1).alias("z1"), z("f2", 3).alias("z2"), z("f3", 5).alias("z3"), F.count("*").alias("n"))
 
 
 def category_mean_z(frames: DataFrame, norms: tuple, at_least: int = 2, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """z of each vowel's mean formants (``at_least`` frames), averaged over vowels without weights."""
-    means = voiced_vowels(frames).groupBy(*by, "vowel").agg(*(F.avg(f).alias(f) for f in ("f1", "f2", "f3")), F.count("*").alias("n"))
-    z = lambda f, place: F.avg(A.z_score(F.col(f), A.of_vowel(F.col("vowel"), norms, place), A.of_vowel(F.col("vowel"), norms, place + 1)))
+    means = voiced_vowels(frames, norms).groupBy(*by, "norm").agg(*(F.avg(f).alias(f) for f in ("f1", "f2", "f3")), F.count("*").alias("n"))
+    z = lambda f, place: F.avg(A.z_score(F.col(f), A.of_norm(F.col("norm"), norms, place), A.of_norm(F.col("norm"), norms, place + 1)))
     return means.where(F.col("n") >= at_least).groupBy(*by).agg(
         z("f1", 1).alias("z1"), z("f2", 3).alias("z2"), z("f3", 5).alias("z3"), F.count("*").alias("n_vowels")
     )
@@ -160,11 +165,10 @@ def track_score(frames: DataFrame, ceiling: Column, keys: list[str]) -> DataFram
 
 def recording_quality(frames: DataFrame) -> DataFrame:
     """Share of clipped frames, level of the loudest over the softest quarter, share of voiced frames, by session."""
-    level = F.pow(10.0, F.col("rms") / 20.0)
-    rows = frames.select("session_id", "seq", level.alias("level"))
-    up, down = (Window.partitionBy("session_id").orderBy(o("level"), "seq") for o in (F.asc, F.desc))
-    whole = Window.partitionBy("session_id")
-    rows = rows.withColumns({"soft": F.row_number().over(up), "loud": F.row_number().over(down), "n": F.count("*").over(whole), "peak": F.max("level").over(whole)})
+    rows = frames.select("session_id", "seq", F.pow(10.0, F.col("rms") / 20.0).alias("level"))
+    up, whole = Window.partitionBy("session_id").orderBy("level", "seq"), Window.partitionBy("session_id")
+    rows = rows.withColumns({"soft": F.row_number().over(up), "n": F.count("*").over(whole), "peak": F.max("level").over(whole)})
+    rows = rows.withColumn("loud", F.col("n") + 1 - F.col("soft"))  # ties have one level, so their order changes no mean
     q = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
     stats = rows.groupBy("session_id").agg(
         F.max("n").alias("n"), F.avg(F.when(F.col("level") > 0.99, 1.0).otherwise(0.0)).alias("clipped"),

@@ -9,20 +9,40 @@ from pyspark.sql import functions as F
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float, columns: list[str]) -> DataFrame:
     """Each left row with the right row nearest in time within ``tolerance`` (earlier of equally near ones), and the signed gap.
 
-    Both sides have ``t`` and ``seq``. Time is cut into bins as wide as the
-    tolerance; a right row is offered to its bin and the two beside it, so the
-    join is on equal keys and bins, and no session meets itself as a whole.
+    Both sides have ``t`` and ``seq``; a left row without such a right row stays,
+    with nulls. Time is cut into bins as wide as the tolerance; a right row is
+    offered to its bin and the two beside it, so the join is on equal keys and
+    bins, and no session meets itself as a whole.
     """
     bin_of = lambda t: F.floor(t / tolerance)
     left = left.withColumn("bin", bin_of(F.col("t")))
     offered = right.select(*keys, F.col("t").alias("t_right"), F.col("seq").alias("seq_right"), *(F.col(c).alias(c + "_right") for c in columns))
     offered = offered.withColumn("bin", F.explode(F.array(*(bin_of(F.col("t_right")) + i for i in (-1, 0, 1)))))
-    near = left.join(offered, [*keys, "bin"]).where(F.abs(F.col("t") - F.col("t_right")) <= tolerance)
+    near = left.alias("l").join(offered.alias("r"), [F.col("l." + c) == F.col("r." + c) for c in (*keys, "bin")] + [F.abs(F.col("t") - F.col("t_right")) <= tolerance], "left")
+    near = near.select(*(F.col("l." + c) for c in left.columns), "t_right", "seq_right", *(c + "_right" for c in columns))
     order = Window.partitionBy(*keys, "seq").orderBy(F.abs(F.col("t") - F.col("t_right")), "t_right", "seq_right")
     best = near.withColumn("rank", F.row_number().over(order)).where("rank = 1")
     return best.withColumn("gap", F.col("t_right") - F.col("t")).drop("bin", "rank")
 
 
+def nearest_in_ring(left: DataFrame, right: DataFrame, keys: list[str], lag: float, size: int) -> DataFrame:
+    """Each left row with the nearest in time of the last ``size`` right rows that have come ``lag`` after it; of equally near ones the earliest.
+
+    Both sides have ``t`` and ``seq``; a left row before all right rows keeps
+    nulls. The right rows carry the ring of those before them, a left row takes
+    the last ring: one pass over the sorted rows of a key, no join.
+    """
+    order = Window.partitionBy(*keys).orderBy("t", "seq")
+    ring = F.collect_list(F.struct(F.col("t").alias("t_right"), F.col("seq").alias("seq_right"))).over(order.rowsBetween(1 - size, 0))
+    held = right.select(*keys, "t", "seq", ring.alias("ring"), F.lit(0).alias("left"), F.lit(None).cast("double").alias("own"))
+    asks = left.select(*keys, (F.col("t") + lag).alias("t"), "seq", F.lit(None).cast(held.schema["ring"].dataType).alias("ring"), F.lit(1).alias("left"), F.col("t").alias("own"))
+    before = Window.partitionBy(*keys).orderBy("t", "left", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    both = held.unionByName(asks).withColumn("ring", F.last("ring", True).over(before)).where("left = 1")
+    best = F.array_min(F.transform("ring", lambda r: F.struct(F.abs(r["t_right"] - F.col("own")).alias("far"), r["t_right"].alias("t_right"), r["seq_right"].alias("seq_right"))))
+    both = both.withColumn("best", best)
+    return both.select(*keys, "seq", F.col("own").alias("t"), "best.t_right", "best.seq_right", (F.col("best.t_right") - F.col("own")).alias("gap"))
+
+
 def inside(points: DataFrame, spans: DataFrame, at: Column, keys: list[str], width: float) -> DataFrame:
     """Each point with the first span (start, end, both included) that holds it.
 

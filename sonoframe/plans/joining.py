@@ -22,8 +22,23 @@ def _asof(spark, d):
 case(
     "nearest_asof_sync",
     _asof,
-    f"""WITH {FRAMES} SELECT a.session_id, a.seq, b.seq AS seq_right, b.t - a.t AS gap FROM frames a JOIN frames b ON a.session_id = b.session_id AND abs(a.t - b.t) <= 86400
-    WHERE a.kind = 'click' AND b.kind = 'view' QUALIFY row_number() OVER (PARTITION BY a.session_id, a.seq ORDER BY abs(a.t - b.t), b.t, b.seq) = 1""",
+    f"""WITH {FRAMES} SELECT a.session_id, a.seq, b.seq AS seq_right, b.t - a.t AS gap FROM frames a LEFT JOIN frames b ON a.session_id = b.session_id AND abs(a.t - b.t) <= 86400 AND b.kind = 'view'
+    WHERE a.kind = 'click' QUALIFY row_number() OVER (PARTITION BY a.session_id, a.seq ORDER BY abs(a.t - b.t), b.t, b.seq) = 1""",
+    "gap",
+)
+
+
+def _ring(spark, d):
+    rows = frames(spark, d)
+    return J.nearest_in_ring(rows.where("kind = 'click'").select("session_id", "seq", "t"), rows.where("kind = 'view'"), ["session_id"], DAY, 30).select("session_id", "seq", "seq_right", "gap")
+
+
+case(
+    "video_sync",
+    _ring,
+    f"""WITH {FRAMES}, seen AS (SELECT a.session_id, a.seq, a.t, b.seq AS seq_right, b.t AS t_right, row_number() OVER (PARTITION BY a.session_id, a.seq ORDER BY b.t DESC, b.seq DESC) AS back
+      FROM frames a LEFT JOIN frames b ON a.session_id = b.session_id AND b.kind = 'view' AND b.t <= a.t + 86400 WHERE a.kind = 'click')
+    SELECT session_id, seq, seq_right, t_right - t AS gap FROM seen WHERE back <= 30 QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY abs(t_right - t), t_right, seq_right) = 1""",
     "gap",
 )
 
@@ -136,25 +151,26 @@ case(
 
 
 def _diff(spark, d):
-    scores = _scores(spark, d)
-    at = lambda seg, name: scores.where(C("seg") == seg).select("session_id", "category", C("score").alias(name))
-    both = at(0, "a").join(at(2, "b"), ["session_id", "category"])
-    delta, percent = J.change(C("a"), C("b"))
-    return both.select("session_id", "category", delta.alias("delta"), percent.alias("percent"))
+    """Change of each score from one of a session's weeks to the next that it has."""
+    before = F.lag("score").over(Window.partitionBy("session_id", "cat").orderBy("seg"))
+    both = _scores(spark, d).withColumn("before", before).where("before IS NOT NULL")
+    delta, percent = J.change(C("before"), C("score"))
+    return both.select("session_id", "seg", "category", delta.alias("delta"), percent.alias("percent"))
 
 
-DIFF = "d AS (SELECT a.session_id, a.category, b.score - a.score AS delta, CASE WHEN a.score <> 0 THEN (b.score - a.score) / abs(a.score) * 100 WHEN b.score = a.score THEN 0 END AS percent FROM scores a JOIN scores b USING (session_id, category) WHERE a.seg = 0 AND b.seg = 2)"
+DIFF = """steps AS (SELECT *, lag(score) OVER (PARTITION BY session_id, cat ORDER BY seg) AS prior FROM scores),
+    d AS (SELECT session_id, seg, category, score - prior AS delta, CASE WHEN prior <> 0 THEN (score - prior) / abs(prior) * 100 WHEN score = prior THEN 0 END AS percent FROM steps WHERE prior IS NOT NULL)"""
 case("result_diff", _diff, f"WITH {FRAMES}, {SCORES}, {DIFF} SELECT * FROM d", "delta percent")
 case(
     "largest_change",
-    lambda spark, d: _diff(spark, d).withColumns({"p": F.round(F.abs(F.coalesce("percent", F.lit(0.0))), 6)}).withColumn("i", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("p"), "category"))).where("i <= 2").select("session_id", "i", "category", "percent"),
-    f"WITH {FRAMES}, {SCORES}, {DIFF} SELECT session_id, CAST(row_number() OVER w AS INTEGER) AS i, category, percent FROM d WINDOW w AS (PARTITION BY session_id ORDER BY round(abs(coalesce(percent, 0)), 6) DESC, category) QUALIFY row_number() OVER w <= 2",
+    lambda spark, d: _diff(spark, d).withColumns({"p": F.round(F.abs(F.coalesce("percent", F.lit(0.0))), 6)}).withColumn("i", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("p"), "seg", "category"))).where("i <= 2").select("session_id", "i", "seg", "category", "percent"),
+    f"WITH {FRAMES}, {SCORES}, {DIFF} SELECT session_id, CAST(row_number() OVER w AS INTEGER) AS i, seg, category, percent FROM d WINDOW w AS (PARTITION BY session_id ORDER BY round(abs(coalesce(percent, 0)), 6) DESC, seg, category) QUALIFY row_number() OVER w <= 2",
     "percent",
 )
 case(
     "top_deltas",
-    lambda spark, d: _diff(spark, d).withColumn("size", F.round(F.abs(F.coalesce("percent", F.lit(0.0))), 6)).orderBy(F.desc("size"), "session_id", "category").limit(20),
-    f"WITH {FRAMES}, {SCORES}, {DIFF} SELECT *, round(abs(coalesce(percent, 0)), 6) AS size FROM d ORDER BY size DESC, session_id, category LIMIT 20",
+    lambda spark, d: _diff(spark, d).withColumn("size", F.round(F.abs(F.coalesce("percent", F.lit(0.0))), 6)).orderBy(F.desc("size"), "session_id", "seg", "category").limit(20),
+    f"WITH {FRAMES}, {SCORES}, {DIFF} SELECT *, round(abs(coalesce(percent, 0)), 6) AS size FROM d ORDER BY size DESC, session_id, seg, category LIMIT 20",
     "delta percent size",
 )
 case(
@@ -176,12 +192,12 @@ case(
 )
 case(
     "delete_cascade",
-    lambda spark, d: frames(spark, d).join(frames(spark, d).where("value > 60").select("session_id").distinct(), "session_id", "left_anti").select("session_id", "seq"),
-    f"WITH {FRAMES} SELECT session_id, seq FROM frames WHERE session_id NOT IN (SELECT session_id FROM frames WHERE value > 60)",
+    lambda spark, d: frames(spark, d).join(frames(spark, d).where("value > 300 OR session_id % 3 = 0").select("session_id").distinct(), "session_id", "left_anti").select("session_id", "seq"),
+    f"WITH {FRAMES} SELECT session_id, seq FROM frames WHERE session_id NOT IN (SELECT session_id FROM frames WHERE value > 300 OR session_id % 3 = 0)",
 )
 
 
-def _history(spark, d, kept=3):
+def _history(spark, d, kept=40):
     rows = turns(spark, d)
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
     system = rows.where("role = 'system'").select("conv_id", "turn", "role", F.lit(0).alias("part"))
@@ -193,7 +209,7 @@ case(
     "history_window",
     _history,
     """SELECT conv_id, turn, role, CAST(0 AS INTEGER) AS part FROM conversations WHERE role = 'system' UNION ALL
-    SELECT conv_id, turn, role, CAST(1 AS INTEGER) FROM (SELECT * FROM conversations WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 3)""",
+    SELECT conv_id, turn, role, CAST(1 AS INTEGER) FROM (SELECT * FROM conversations WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 40)""",
 )
 case(
     "strip_reasoning",
@@ -207,6 +223,35 @@ case(
 )
 
 
+case(
+    "session_recording_analysis",
+    lambda spark, d: (lambda rows: rows.where("kind = 'view'").select("session_id", C("seq").alias("recording"), "k")
+        .join(rows.where("kind = 'click'").select("session_id", "k", C("seq").alias("analysis"), "value"), ["session_id", "k"], "left")
+        .groupBy("session_id", "recording").agg(F.count("analysis").alias("n"), F.max(F.struct("analysis", "value"))["value"].alias("latest")))(frames(spark, d)),
+    f"""WITH {FRAMES}, r AS (SELECT session_id, seq AS recording, k FROM frames WHERE kind = 'view'), a AS (SELECT session_id, k, seq AS analysis, value FROM frames WHERE kind = 'click')
+    SELECT session_id, recording, count(analysis) AS n, arg_max(value, analysis) AS latest FROM r LEFT JOIN a USING (session_id, k) GROUP BY session_id, recording""",
+    "latest",
+)
+case(
+    "confidence_means",
+    lambda spark, d: frames(spark, d).groupBy("session_id").agg(F.avg(F.when(C("kind") == "click", C("conf"))).alias("clicks"), F.avg(F.when((C("kind") == "error") & (C("conf") > 0.9), C("conf"))).alias("sure_errors"), F.avg(F.when(C("f0") > 0, F.when(C("f0") > 200, 1.0).otherwise(0.0))).alias("high")),
+    f"WITH {FRAMES} SELECT session_id, avg(conf) FILTER (kind = 'click') AS clicks, avg(conf) FILTER (kind = 'error' AND conf > 0.9) AS sure_errors, avg((f0 > 200)::INT) FILTER (f0 > 0) AS high FROM frames GROUP BY session_id",
+    "clicks sure_errors high",
+)
+case(
+    "voiced_display",
+    lambda spark, d: frames(spark, d).where("f0 > 0 AND conf >= 0.3").select("session_id", "seq", "f0"),
+    f"WITH {FRAMES} SELECT session_id, seq, f0 FROM frames WHERE f0 > 0 AND conf >= 0.3",
+    "f0",
+)
+case(
+    "long_intervals",
+    lambda spark, d: frames(spark, d).withColumn("until", F.lead("t").over(Window.partitionBy("session_id").orderBy("t", "seq"))).where(C("until") - C("t") >= 3 * 3600).select("session_id", "seq", (C("until") - C("t")).alias("length")),
+    f"WITH {FRAMES}, n AS (SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY t, seq) - t AS length FROM frames) SELECT session_id, seq, length FROM n WHERE length >= 10800",
+    "length",
+)
+
+
 def _matched(spark, d):
     rows = turns(spark, d)
     asked = rows.where("role = 'user'").select("conv_id", "turn", F.length("text").alias("asked"))

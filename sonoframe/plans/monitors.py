@@ -7,36 +7,14 @@ from pyspark.sql import functions as F
 
 from sonoframe.operators import folds
 from sonoframe.plans.cases import case
-from sonoframe.plans.series import ALERTS, DAY, GREEDY
+from sonoframe.plans.series import ALERTS, BY_TYPE, DAY, GREEDY, TIRED
 from sonoframe.sources.bindings import FRAMES, SPECTRA, frames, spectra
 
 C = F.col
-#: Samples that the rules look back on at most.
-KEPT = 1000
-
-
-def fatigue(spark, d, days: float = 15.0, at_least: int = 20, drop: float = 3.0, rise: float = 1.0):
-    """Frames at which the later half of the trailing samples is worse than the earlier by a margin; noise ratio before jitter."""
-    rows = frames(spark, d).where("f0 > 0 AND rms >= -60").withColumn("us", F.round(C("t") * 1e6).cast("bigint"))
-    back = Window.partitionBy("session_id").orderBy("us").rangeBetween(-round(days * DAY * 1e6), 0)
-    seen = rows.withColumns({x: F.slice(F.reverse(F.collect_list(x).over(back)), 1, KEPT) for x in ("hnr", "jitter")})  # newest first
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    late = lambda x: F.slice(x, 1, F.size(x) - F.floor(F.size(x) / 2).cast("int"))
-    early = lambda x: F.slice(x, F.size(x) - F.floor(F.size(x) / 2).cast("int") + 1, F.greatest(F.lit(1), F.floor(F.size(x) / 2).cast("int")))
-    ready = seen.where(F.size("hnr") >= at_least)
-    worse = F.round(mean(early("hnr")) - mean(late("hnr")), 9)
-    more = F.round(mean(late("jitter")) - mean(early("jitter")), 9)
-    return ready.select("session_id", "seq", F.when(worse >= drop, "hnr").when(more >= rise, "jitter").alias("cause")).where("cause IS NOT NULL")
-
-
-HALF = "list_avg({x}[1:len({x}) // 2]) AS {x}_early, list_avg({x}[len({x}) // 2 + 1:]) AS {x}_late"
 case(
     "fatigue_trend",
-    fatigue,
-    f"""WITH {FRAMES}, v AS (SELECT *, CAST(round(t * 1e6) AS BIGINT) AS us FROM frames WHERE f0 > 0 AND rms >= -60),
-    l AS (SELECT session_id, seq, list(hnr) OVER w AS h, list(jitter) OVER w AS j FROM v WINDOW w AS (PARTITION BY session_id ORDER BY us RANGE BETWEEN 1296000000000 PRECEDING AND CURRENT ROW)),
-    m AS (SELECT session_id, seq, {HALF.format(x='h')}, {HALF.format(x='j')} FROM (SELECT session_id, seq, h[-1000:] AS h, j[-1000:] AS j FROM l) WHERE len(h) >= 20)
-    SELECT * FROM (SELECT session_id, seq, CASE WHEN round(h_early - h_late, 9) >= 3 THEN 'hnr' WHEN round(j_late - j_early, 9) >= 1 THEN 'jitter' END AS cause FROM m) WHERE cause IS NOT NULL""",
+    lambda spark, d: folds.declines(frames(spark, d).where("f0 > 0 AND rms >= -60"), 15 * DAY, 1000, 20, 3.0, 1.0).select("session_id", "seq", "cause"),
+    f"WITH {FRAMES}, {TIRED.format(table='frames')} SELECT session_id, seq, cause FROM tired WHERE cause IS NOT NULL",
 )
 
 
@@ -58,7 +36,7 @@ POSTURE = "cand AS (" + " UNION ALL ".join(
 case(
     "posture_alerts",
     lambda spark, d: folds.cooled_down(posture(frames(spark, d)), ["session_id", "type"], 3 * DAY, ALERTS),
-    f"WITH RECURSIVE {FRAMES}, {POSTURE}, {GREEDY.format(keys='session_id, type', nkeys='n.session_id, n.type', on='n.session_id = w.session_id AND n.type = w.type', gap=259200)} SELECT session_id, seq, t, type, level FROM walk WHERE kept",
+    f"WITH RECURSIVE {FRAMES}, {POSTURE}, {GREEDY.format(**BY_TYPE, gap=259200, never='false')} SELECT session_id, seq, t, type, level FROM walk WHERE kept",
     "t",
 )
 

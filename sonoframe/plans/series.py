@@ -226,39 +226,111 @@ case(
 )
 
 
-def candidates(rows):
-    """A row for each frame and rule that it sets off: session_id, seq, t, type, level."""
-    ratio = F.col("f0") / F.col("f1")
+#: Limits of the rules for a voice's safety.
+LIMITS = {
+    "constriction_f1": 800.0, "constriction_hnr": 12.0, "jitter_concern": 1.5, "shimmer_concern": 5.0, "hnr_warning": 12.0, "breathy_h1_h2": 8.0, "hnr_concern": 16.0,
+    "hnr_alert": 7.0, "jitter_warning": 2.5, "shimmer_warning": 8.0, "interference": 0.8, "high_f0": 300.0, "some_interference": 0.5,
+}
+
+
+def speech(spark, d):
+    """Frames of the rules: with first formants up to where voices squeeze, and pitch up to 380 Hz."""
+    rows = frames(spark, d)
+    return rows.withColumns({"f1": F.when(F.col("f1") > 0, F.col("f1") + F.col("seq") % 7 * 100).otherwise(0.0), "f0": F.when(F.col("f0") > 0, F.col("f0") + F.col("k")).otherwise(0.0)})
+
+
+SPEECH = f"{FRAMES}, speech AS (SELECT * REPLACE (CASE WHEN f1 > 0 THEN f1 + seq % 7 * 100 ELSE 0 END AS f1, CASE WHEN f0 > 0 THEN f0 + k ELSE 0 END AS f0) FROM frames)"
+
+
+def candidates(rows, limits=LIMITS):
+    """A row for each voiced frame and rule that it sets off: session_id, seq, t, type, level, once.
+
+    Missing measures set off nothing; ``once`` marks the milder rule for pitch
+    near the first formant, which speaks only if that type hasn't spoken yet.
+    """
+    x, c = limits, F.col
+    ratio = c("f0") / c("f1")
+    unsteady = (F.coalesce("jitter", F.lit(0.0)) > x["jitter_concern"]) | (F.coalesce("shimmer", F.lit(0.0)) > x["shimmer_concern"])
+    worn = (F.coalesce("jitter", F.lit(0.0)) > x["jitter_warning"]) & (F.coalesce("shimmer", F.lit(0.0)) > x["shimmer_warning"])
     rules = [
-        ("constriction", "warning", (F.col("f1") > 280) & (F.col("hnr") < 12) & ((F.col("jitter") > 1.5) | (F.col("shimmer") > 5) | (F.col("hnr") < 12))),
-        ("breathiness_masking", "coaching", (F.col("h1_h2") > 8) & (F.col("hnr") < 16)),
-        ("vocal_strain", "alert", (F.col("hnr") < 7) | ((F.col("jitter") > 2.5) & (F.col("shimmer") > 8))),
-        ("f0_interference", "info", (F.col("f1") > 0) & (ratio > 0.8)),
+        ("constriction", "warning", False, (c("f1") > x["constriction_f1"]) & (c("hnr") < x["constriction_hnr"]) & (unsteady | (c("hnr") < x["hnr_warning"]))),
+        ("breathiness_masking", "coaching", False, (c("h1_h2") > x["breathy_h1_h2"]) & (c("hnr") < x["hnr_concern"])),
+        ("vocal_strain", "alert", False, c("hnr") < x["hnr_alert"]),
+        ("vocal_strain", "warning", False, (c("hnr") >= x["hnr_alert"]) & worn),
+        ("f0_interference", "info", False, (c("f1") > 0) & (ratio > x["interference"])),
+        ("f0_interference", "info", True, (c("f1") > 0) & (ratio <= x["interference"]) & (ratio > x["some_interference"]) & (c("f0") > x["high_f0"])),
     ]
-    hit = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(kind).alias("type"), F.lit(level).alias("level"))) for kind, level, when in rules)))
+    hit = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(kind).alias("type"), F.lit(level).alias("level"), F.lit(once).alias("once"))) for kind, level, once, when in rules)))
     voiced = rows.where("f0 > 0 AND rms >= -60")
-    return voiced.select("session_id", "seq", "t", F.explode(hit).alias("w")).select("session_id", "seq", "t", "w.type", "w.level")
+    return voiced.select("session_id", "seq", "t", F.explode(hit).alias("w")).select("session_id", "seq", "t", "w.*")
 
 
-RULES = """cand AS (
-  SELECT session_id, seq, t, 'constriction' AS type, 'warning' AS level FROM frames WHERE f0 > 0 AND rms >= -60 AND f1 > 280 AND hnr < 12
-  UNION ALL SELECT session_id, seq, t, 'breathiness_masking', 'coaching' FROM frames WHERE f0 > 0 AND rms >= -60 AND h1_h2 > 8 AND hnr < 16
-  UNION ALL SELECT session_id, seq, t, 'vocal_strain', 'alert' FROM frames WHERE f0 > 0 AND rms >= -60 AND (hnr < 7 OR (jitter > 2.5 AND shimmer > 8))
-  UNION ALL SELECT session_id, seq, t, 'f0_interference', 'info' FROM frames WHERE f0 > 0 AND rms >= -60 AND f1 > 0 AND f0 / f1 > 0.8)"""
+def safety(rows, days=15.0):
+    """All candidates: those of single frames, falsetto slips, and fatigue once a session is as old as its window."""
+    single = candidates(rows)
+    slip = O.slips(rows).select("session_id", "seq", "t", F.lit("falsetto_slip").alias("type"), F.lit("warning").alias("level"), F.lit(False).alias("once"))
+    tired = folds.declines(rows.where("f0 > 0 AND rms >= -60"), days * DAY, 1000, 20, 3.0, 1.0)
+    tired = tired.select("session_id", "seq", "t", F.lit("session_fatigue").alias("type"), F.lit("coaching").alias("level"), F.lit(False).alias("once"))
+    return single.unionByName(slip).unionByName(tired)
+
+
+#: Halves of trailing samples in SQL: list the samples of the window, keep the last 1000.
+TIRED = """voiced AS (SELECT *, CAST(round(t * 1e6) AS BIGINT) AS us, min(t) OVER (PARTITION BY session_id) AS begin FROM {table} WHERE f0 > 0 AND rms >= -60),
+  lists AS (SELECT session_id, seq, t, begin, list(hnr) FILTER (hnr <> 0) OVER w AS h, list(jitter) FILTER (jitter <> 0) OVER w AS j FROM voiced
+    WINDOW w AS (PARTITION BY session_id ORDER BY us RANGE BETWEEN 1296000000000 PRECEDING AND CURRENT ROW)),
+  halves AS (SELECT session_id, seq, t, begin, h[-1000:] AS h, j[-1000:] AS j FROM lists),
+  tired AS (SELECT session_id, seq, t,
+      CASE WHEN len(h) >= 20 AND round(list_avg(h[1:len(h) // 2]) - list_avg(h[len(h) // 2 + 1:]), 9) >= 3 THEN 'hnr'
+           WHEN len(j) >= 20 AND round(list_avg(j[len(j) // 2 + 1:]) - list_avg(j[1:len(j) // 2]), 9) >= 1 THEN 'jitter' END AS cause
+    FROM halves WHERE t - begin >= 1296000)"""
+VOICED = "FROM speech WHERE f0 > 0 AND rms >= -60 AND"
+RULES = f"""{TIRED.format(table='speech')},
+  steps AS (SELECT *, lag(f0) OVER w AS f0_before, lag(f4) OVER w AS f4_before FROM speech WHERE f0 > 0 AND rms >= -60 WINDOW w AS (PARTITION BY session_id ORDER BY t, seq)),
+  cand AS (
+  SELECT session_id, seq, t, 'constriction' AS type, 'warning' AS level, false AS once {VOICED} f1 > 800 AND hnr < 12
+  UNION ALL SELECT session_id, seq, t, 'breathiness_masking', 'coaching', false {VOICED} h1_h2 > 8 AND hnr < 16
+  UNION ALL SELECT session_id, seq, t, 'vocal_strain', CASE WHEN hnr < 7 THEN 'alert' ELSE 'warning' END, false {VOICED} (hnr < 7 OR (jitter > 2.5 AND shimmer > 8))
+  UNION ALL SELECT session_id, seq, t, 'f0_interference', 'info', f0 / f1 <= 0.8 {VOICED} f1 > 0 AND (f0 / f1 > 0.8 OR (f0 > 300 AND f0 / f1 > 0.5))
+  UNION ALL SELECT session_id, seq, t, 'falsetto_slip', 'warning', false FROM steps WHERE f0 - f0_before > 100 AND f4_before - f4 > 200
+  UNION ALL SELECT session_id, seq, t, 'session_fatigue', 'coaching', false FROM tired WHERE cause IS NOT NULL)"""
 GREEDY = """numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY t, seq) AS i FROM cand),
   walk AS (SELECT {keys}, seq, t, level, i, t AS last, true AS kept FROM numbered WHERE i = 1
-    UNION ALL SELECT {nkeys}, n.seq, n.t, n.level, n.i, CASE WHEN n.t - w.last < {gap} THEN w.last ELSE n.t END, NOT n.t - w.last < {gap} FROM walk w JOIN numbered n ON {on} AND n.i = w.i + 1)"""
+    UNION ALL SELECT {nkeys}, n.seq, n.t, n.level, n.i, CASE WHEN n.t - w.last < {gap} OR {never} THEN w.last ELSE n.t END, NOT (n.t - w.last < {gap} OR {never}) FROM walk w JOIN numbered n ON {on} AND n.i = w.i + 1)"""
+BY_TYPE = {"keys": "session_id, type", "nkeys": "n.session_id, n.type", "on": "n.session_id = w.session_id AND n.type = w.type"}
 ALERTS = "session_id bigint, seq bigint, t double, type string, level string"
 case(
     "cooldown_alerts",
-    lambda spark, d: folds.cooled_down(candidates(frames(spark, d)), ["session_id", "type"], 2 * DAY, ALERTS),
-    f"WITH RECURSIVE {FRAMES}, {RULES}, {GREEDY.format(keys='session_id, type', nkeys='n.session_id, n.type', on='n.session_id = w.session_id AND n.type = w.type', gap=172800)} SELECT session_id, seq, t, type, level FROM walk WHERE kept",
+    lambda spark, d: folds.cooled_down(safety(speech(spark, d)), ["session_id", "type"], 2 * DAY, ALERTS, once="once"),
+    f"WITH RECURSIVE {SPEECH}, {RULES}, {GREEDY.format(**BY_TYPE, gap=172800, never='n.once')} SELECT session_id, seq, t, type, level FROM walk WHERE kept",
     "t",
 )
+
+
+def _status(spark, d):
+    """Of each session: minutes since its first voiced frame, active warnings by type with their last level, and samples kept."""
+    rows = speech(spark, d).where("f0 > 0 AND rms >= -60")
+    alerts = folds.cooled_down(safety(rows), ["session_id", "type"], 2 * DAY, ALERTS, once="once")
+    last = alerts.groupBy("session_id", "type").agg(F.max(F.struct("t", "seq", "level"))["level"].alias("level"))
+    active = last.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "type", "level"))), ",").alias("active"))
+    kept = lambda c: F.least(F.count(F.when(F.col(c) != 0, 1)), F.lit(1000)).alias(c + "_samples")
+    base = rows.groupBy("session_id").agg(((F.max("t") - F.min("t")) / 60.0).alias("minutes"), kept("hnr"), kept("jitter"))
+    return base.join(active, "session_id", "left").withColumn("active", F.coalesce("active", F.lit("")))
+
+
+case(
+    "monitor_status",
+    _status,
+    f"""WITH RECURSIVE {SPEECH}, {RULES}, {GREEDY.format(**BY_TYPE, gap=172800, never='n.once')},
+    latest AS (SELECT session_id, type, level FROM walk WHERE kept QUALIFY row_number() OVER (PARTITION BY session_id, type ORDER BY t DESC, seq DESC) = 1),
+    active AS (SELECT session_id, string_agg(type || ':' || level, ',' ORDER BY type || ':' || level) AS active FROM latest GROUP BY session_id),
+    base_of AS (SELECT session_id, (max(t) - min(t)) / 60 AS minutes, least(count(*) FILTER (hnr <> 0), 1000) AS hnr_samples, least(count(*) FILTER (jitter <> 0), 1000) AS jitter_samples FROM speech WHERE f0 > 0 AND rms >= -60 GROUP BY session_id)
+    SELECT session_id, minutes, hnr_samples, jitter_samples, coalesce(active, '') AS active FROM base_of LEFT JOIN active USING (session_id)""",
+    "minutes",
+)
 case(
     "telemetry_sample",
     lambda spark, d: folds.cooled_down(frames(spark, d).select("session_id", "seq", "t", F.col("kind").alias("level")), ["session_id"], DAY, "session_id bigint, seq bigint, t double, level string"),
-    f"WITH RECURSIVE {FRAMES}, cand AS (SELECT session_id, seq, t, kind AS level FROM frames), {GREEDY.format(keys='session_id', nkeys='n.session_id', on='n.session_id = w.session_id', gap=86400)} SELECT session_id, seq, t, level FROM walk WHERE kept",
+    f"WITH RECURSIVE {FRAMES}, cand AS (SELECT session_id, seq, t, kind AS level FROM frames), {GREEDY.format(keys='session_id', nkeys='n.session_id', on='n.session_id = w.session_id', gap=86400, never='false')} SELECT session_id, seq, t, level FROM walk WHERE kept",
     "t",
 )
 case(
@@ -295,6 +367,6 @@ case(
 )
 case(
     "greedy_once",
-    lambda spark, d: candidates(frames(spark, d)).withColumn("i", F.row_number().over(Window.partitionBy("session_id", "type").orderBy("t", "seq"))).where("i = 1").select("session_id", "type", "seq"),
-    f"WITH {FRAMES}, {RULES} SELECT session_id, type, seq FROM cand QUALIFY row_number() OVER (PARTITION BY session_id, type ORDER BY t, seq) = 1",
+    lambda spark, d: candidates(speech(spark, d)).withColumn("i", F.row_number().over(Window.partitionBy("session_id", "type").orderBy("t", "seq"))).where("i = 1").select("session_id", "type", "seq"),
+    f"WITH {SPEECH}, {RULES} SELECT session_id, type, seq FROM cand WHERE type NOT IN ('falsetto_slip', 'session_fatigue') QUALIFY row_number() OVER (PARTITION BY session_id, type ORDER BY t, seq) = 1",
 )
