@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-
+from pyspark.sql import functions as F
 
 
 def frame(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -19,6 +19,12 @@ def frame(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
 
 
+def power_frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Power spectra, a row for each frame: Hann windows of ``size`` centred on every ``hop``-th sample, zeros beyond the ends."""
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    return np.abs(np.fft.rfft(frame(np.pad(x, size // 2), size, hop) * window)) ** 2
+
+
 def power_spectrum(x: np.ndarray) -> np.ndarray:
     """Power of the Hann-windowed signal at the frequencies of the real transform."""
     return np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2
@@ -120,9 +126,13 @@ def cepstral_prominence(x: np.ndarray, rate: float, low: float = 60.0, high: flo
 
 
 def warped(x: np.ndarray, factor: float) -> np.ndarray:
-    """Envelope stretched along frequency by a factor, ends held."""
-    at = np.arange(len(x))
-    return np.interp(at / factor, at, x)
+    """Envelope stretched along frequency by a factor: cubic interpolation between bins, the ends held."""
+    at = np.clip(np.arange(len(x)) / factor, 0, len(x) - 1)
+    i = np.clip(np.floor(at).astype(int), 0, max(len(x) - 2, 0))
+    u = at - i
+    y = lambda k: x[np.clip(i + k, 0, len(x) - 1)]
+    a, b, c, d = y(-1), y(0), y(1), y(2)
+    return b + 0.5 * u * (c - a + u * (2 * a - 5 * b + 4 * c - d + u * (3 * (b - c) + d - a)))
 
 
 def resampled(x: np.ndarray, rate: int, target: int, taps: int = 32) -> np.ndarray:
@@ -138,16 +148,31 @@ def resampled(x: np.ndarray, rate: int, target: int, taps: int = 32) -> np.ndarr
     return (np.where(inside, x[np.clip(near, 0, len(x) - 1).astype(int)], 0.0) * kernel).sum(axis=1)
 
 
-def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples from -1 to 1 and the rate of 16-bit PCM; quiet recordings (peak below 0.5) are raised to -3 dB."""
-    with wave.open(io.BytesIO(data)) as file:
-        if file.getsampwidth() != 2:
-            raise ValueError("16-bit PCM is read here")
-        raw = np.frombuffer(file.readframes(file.getnframes()), "<i2").reshape(-1, file.getnchannels())
-        x = raw.mean(axis=1) / 32768
-        rate = file.getframerate()
+def decode_wav(data: bytes, start: float = 0.0, end: float | None = None, normalise: bool = True) -> tuple[np.ndarray, int] | None:
+    """Mono samples from -1 to 1 between two times, and the rate, of PCM with 8, 16, 24 or 32 bits; None if it can't be read.
+
+    Only the frames asked for are decoded. Quiet recordings (peak below 0.5) are
+    raised to -3 dB if ``normalise``.
+    """
+    try:
+        with wave.open(io.BytesIO(data)) as file:
+            rate, width, channels, n = file.getframerate(), file.getsampwidth(), file.getnchannels(), file.getnframes()
+            first = min(max(int(start * rate), 0), n)
+            last = n if end is None else min(max(int(end * rate), first), n)
+            file.setpos(first)
+            raw = np.frombuffer(file.readframes(last - first), np.uint8)
+    except (wave.Error, EOFError):
+        return None
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 1:
+        x = raw.astype(np.float64) - 128
+    else:  # little-endian; the highest byte carries the sign
+        parts = raw.reshape(-1, width).astype(np.int64)
+        x = (parts << (8 * np.arange(width))).sum(axis=1).astype(np.float64)
+        x[parts[:, -1] > 127] -= 2.0 ** (8 * width)
+    x = x.reshape(-1, channels).mean(axis=1) / 2.0 ** (8 * width - 1)
     peak = np.abs(x).max(initial=0)
-    return (x * (10 ** (-3 / 20) / peak) if 0 < peak < 0.5 else x), rate
+    return (x * (10 ** (-3 / 20) / peak) if normalise and 0 < peak < 0.5 else x), rate
 
 
 def encode_wav(x: np.ndarray, rate: int) -> bytes:
@@ -161,6 +186,301 @@ def encode_wav(x: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def prepared(x: np.ndarray, rate: int, shortest: float = 0.5, quiet: float = 1e-4, fade: float = 0.005, peak_db: float = -3.0) -> np.ndarray | None:
+    """A recording as it is saved: leading silence cut, a short fade in, peak at a level; None if shorter than ``shortest`` seconds."""
+    if len(x) < rate * shortest:
+        return None
+    loud = np.flatnonzero(np.abs(x) > quiet)
+    x = x[loud[0] :].copy() if len(loud) else x.copy()
+    n = min(int(rate * fade), len(x))
+    x[:n] *= np.linspace(0, 1, n)
+    peak = np.abs(x).max(initial=0)
+    return x * (10 ** (peak_db / 20) / peak) if peak > 0 else x
+
+
+def gated(x: np.ndarray, rate: int, gate_db: float = -40.0, width: float = 0.02, shortest: float = 0.5, shortest_after: float = 0.3) -> np.ndarray | None:
+    """A clip without the quiet at its ends: one window of padding beside the first and last that are above the gate."""
+    if len(x) < rate * shortest:
+        return None
+    size = int(width * rate)
+    hop = size // 2
+    level = np.sqrt((frame(x[: len(x) - 1], size, hop) ** 2).mean(axis=1)) if len(x) > size else np.zeros(0)
+    above = np.flatnonzero(level > 10 ** (gate_db / 20))
+    if len(above):
+        x = x[max(0, above[0] * hop - size) : min(len(x), (above[-1] + 1) * hop + size)]
+    return x if len(x) >= rate * shortest_after else None
+
+
+def decibels_of(x: np.ndarray) -> np.ndarray:
+    """Level of the amplitude spectrum of Hamming-windowed rows."""
+    return 20 * np.log10(np.abs(np.fft.rfft(x * np.hamming(x.shape[1]))) + 1e-10)
+
+
+def highest(level: np.ndarray, f: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The highest level of each row between two frequencies of its own; nan where no bin lies there."""
+    inside = (f >= low[:, None]) & (f <= high[:, None])
+    return np.where(inside.any(axis=1), np.where(inside, level, -np.inf).max(axis=1), np.nan)
+
+
+def resonance_gain(f: np.ndarray, centers: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Level in dB that each row's resonances add at a frequency of its own."""
+    f, c, b = f[:, None], centers, widths
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = 10 * np.log10(np.maximum((c * c + b * b) ** 2 / ((f * f - c * c) ** 2 + (f * b) ** 2), 1e-10))
+        low = 10 * np.log10(np.maximum((c * c + b * b) ** 2 / (b * b * c * c), 1e-10))
+    return np.where((c > 0) & (b > 0), at - low, 0.0).sum(axis=1)
+
+
+def harmonic_levels(x: np.ndarray, rate: float, f0: np.ndarray, formants: np.ndarray, widths: np.ndarray) -> dict[str, np.ndarray]:
+    """Of rows of one length: first harmonic over the second and over the third formant's region, as they are and without the resonances.
+
+    Peaks are the highest bins within half the pitch; nan where there is no pitch.
+    """
+    level, f = decibels_of(x), np.fft.rfftfreq(x.shape[1], 1 / rate)
+    f0 = np.where(f0 > 0, f0, np.nan)
+    f3 = np.where(formants[:, 2] > 0, formants[:, 2], np.nan)
+    h1, h2, a3 = (highest(level, f, c - f0 / 2, c + f0 / 2) for c in (f0, 2 * f0, f3))
+    gain = lambda c: resonance_gain(c, formants[:, :3], widths)
+    return {"h1_h2": h1 - h2, "h1_h2_corrected": h1 - gain(f0) - (h2 - gain(2 * f0)), "h1_a3": h1 - a3, "h1_a3_corrected": h1 - gain(f0) - (a3 - gain(f3))}
+
+
+def live_levels(x: np.ndarray, rate: float, f0: np.ndarray, formants: np.ndarray, widths: np.ndarray) -> dict[str, np.ndarray]:
+    """The same as a live display has them: peaks within a tenth of each harmonic, the harmonic nearest the third formant, and the tilt of the first ten.
+
+    Pitch below 50 Hz, or a row without sound, gives nan; tilt needs three harmonics, else it is 0.
+    """
+    level, f = decibels_of(x), np.fft.rfftfreq(x.shape[1], 1 / rate)
+    f0 = np.where((f0 >= 50) & (np.abs(x).max(axis=1) >= 1e-5), f0, np.nan)
+    near = lambda c: highest(level, f, c * 0.9, c * 1.1)
+    known = (formants[:, :3] > 0).all(axis=1) & (widths[:, 0] > 0)
+    gain = lambda c: np.where(known, resonance_gain(c, formants[:, :3], widths), 0.0)
+    third = np.round(formants[:, 2] / f0) * f0
+    h1, h2 = near(f0), near(2 * f0)
+    h1_a3 = np.where(known & (third > 0), h1 - gain(f0) - (near(third) - gain(third)), 0.0)
+    octave = np.log2(np.outer(f0, np.arange(1, 11)))
+    peaks = np.stack([np.where(k * f0 <= rate / 2, near(k * f0), np.nan) for k in range(1, 11)], axis=1)
+    some = ~np.isnan(peaks)
+    n = some.sum(axis=1)
+    mean = lambda v: np.where(some, v, 0).sum(axis=1) / np.maximum(n, 1)
+    dx, dy = octave - mean(octave)[:, None], peaks - mean(peaks)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(some, dx * dy, 0).sum(axis=1) / np.where(some, dx * dx, 0).sum(axis=1)
+    there = ~np.isnan(h1 - h2)
+    return {
+        "live_h1_h2": h1 - h2, "live_h1_h2_corrected": h1 - gain(f0) - (h2 - gain(2 * f0)),
+        "live_h1_a3": np.where(there & ~np.isnan(h1_a3), h1_a3, np.where(there, 0.0, np.nan)), "live_tilt": np.where(there, np.where(n >= 3, slope, 0.0), np.nan),
+    }
+
+
+def formant_amplitudes(x: np.ndarray, rate: float, formants: np.ndarray) -> dict[str, np.ndarray]:
+    """Energy in dB around each formant (5 % or 50 Hz to either side), and how far the first stands above the way to the second.
+
+    Rows without the first two formants have nan; so has a later formant that isn't there.
+    """
+    power, f = 10 ** (decibels_of(x) / 10), np.fft.rfftfreq(x.shape[1], 1 / rate)
+    total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(power, axis=1)], axis=1) * (rate / x.shape[1]) / rate**2
+    ok = (formants[:, 0] > 0) & (formants[:, 1] > 0)
+
+    def around(c):
+        wide = np.maximum(50.0, c * 0.05)
+        a, b = np.searchsorted(f, c - wide), np.searchsorted(f, c + wide, "right")
+        row = np.arange(len(x))
+        return np.where(ok & (c > 0), 10 * np.log10(np.maximum(total[row, b] - total[row, a], 1e-20)), np.nan)
+
+    f1, f2 = formants[:, 0], formants[:, 1]
+    out = {f"a{i + 1}": around(formants[:, i]) for i in range(4)}
+    probes = np.stack([out["a1"], *(around(f1 + (f2 - f1) / 2 * k / 5) for k in range(1, 6))])
+    return out | {"prominence": out["a1"] - probes.min(axis=0)}
+
+
+def levels(rows: DataFrame, rate: float, quiet: float = 0.0) -> DataFrame:
+    """All columns of ``rows`` but ``x``, and the levels of each waveform: see :func:`harmonic_levels`, :func:`live_levels`, :func:`formant_amplitudes`.
+
+    ``x`` is an array of doubles; pitch ``f0``, formants ``f1`` to ``f4`` and
+    widths ``bw1`` to ``bw3`` are columns. Rows of one length are one matrix. A
+    missing, empty or non-finite waveform has nulls; rows whose samples all stay
+    below ``quiet`` are left out, if it is above 0.
+    """
+    names = ["h1_h2", "h1_h2_corrected", "h1_a3", "h1_a3_corrected", "live_h1_h2", "live_h1_h2_corrected", "live_h1_a3", "live_tilt", "a1", "a2", "a3", "a4", "prominence", "intensity"]
+    kept = [f for f in rows.schema.fields if f.name != "x" and f.name not in names]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if quiet > 0:
+                batch = batch[[x is None or np.abs(x).max(initial=0) >= quiet for x in batch["x"]]]
+            out = pd.DataFrame(np.nan, index=batch.index, columns=names)
+            lengths = batch["x"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+            for n in np.unique(lengths[lengths > 1]):
+                at = np.flatnonzero(lengths == n)
+                x = np.stack(batch["x"].to_numpy()[at])
+                fine = np.isfinite(x).all(axis=1)
+                at, x = at[fine], x[fine]
+                if not len(at):
+                    continue
+                part = batch.iloc[at]
+                f0, formants, widths = part["f0"].to_numpy(float), part[["f1", "f2", "f3", "f4"]].to_numpy(float), part[["bw1", "bw2", "bw3"]].to_numpy(float)
+                found = harmonic_levels(x, rate, f0, formants, widths) | live_levels(x, rate, f0, formants, widths) | formant_amplitudes(x, rate, formants)
+                found["intensity"] = 10 * np.log10(np.maximum((x * x).mean(axis=1), 1e-20) / 4e-10)
+                for name in names:
+                    out.iloc[at, out.columns.get_loc(name)] = found[name]
+            yield pd.concat([batch[[f.name for f in kept]], out], axis=1)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in names)])
+    made = rows.drop(*names).mapInPandas(run, schema)
+    return made.select(*(f.name for f in kept), *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))
+
+
+def sibilant_centroid(x: np.ndarray, rate: float, size: int, hop: int, split: float = 3000.0, ratio: float = 0.6, at_least: int = 3) -> float:
+    """Mean centroid above ``split`` of the frames that have most of their energy there; 0 if fewer than ``at_least``."""
+    power, f = power_frames(x, size, hop), np.fft.rfftfreq(size, 1 / rate)
+    high, low = f >= split, (f >= 100) & (f < split)
+    up, down = power[:, high].sum(axis=1), power[:, low].sum(axis=1)
+    some = np.sqrt(power[up / (up + down + 1e-10) > ratio][:, high])
+    total = some.sum(axis=1)
+    if len(some) < at_least or not (total > 0).any():
+        return 0.0
+    return float(((some * f[high]).sum(axis=1)[total > 0] / total[total > 0]).mean())
+
+
+def glide_or_fricative(x: np.ndarray, rate: float, shortest: float = 0.03) -> tuple[str, float, float, float]:
+    """Whether a consonant is a fricative ("sheismo") or a glide ("yeismo"): class, confidence, centroid in Hz, share of energy from 2.5 kHz."""
+    if len(x) / rate < shortest:
+        return "unknown", 0.0, 0.0, 0.0
+    size = min(2048, len(x))
+    amplitude, f = np.sqrt(power_frames(x, size, size // 4)), np.fft.rfftfreq(size, 1 / rate)
+    up, down = (amplitude[:, f >= 2500] ** 2).sum(), (amplitude[:, (f >= 100) & (f < 2500)] ** 2).sum()
+    share = float(up / (up + down + 1e-10))
+    total = amplitude.sum(axis=1)
+    middle = float(np.where(total > 0, (amplitude * f).sum(axis=1) / np.maximum(total, 1e-300), 0.0).mean())
+    if (middle > 4000 and share > 0.25) or (share > 0.4 and middle > 2500):
+        return "sheismo", round(min(1.0, share * 1.5), 3), round(middle, 1), round(share, 3)
+    if share < 0.2 or middle < 1500:
+        return "yeismo", round(min(1.0, (1 - share) * 1.2), 3), round(middle, 1), round(share, 3)
+    return "intermediate", 0.5, round(middle, 1), round(share, 3)
+
+
+def speech_rate(x: np.ndarray, rate: float, size: int, hop: int, shortest: float = 0.5) -> float:
+    """Onsets a second: peaks of the rise in log power; 0 for less than half a second or two onsets."""
+    if len(x) / rate < shortest:
+        return 0.0
+    level = 10 * np.log10(np.maximum(power_frames(x, size, hop), 1e-10))
+    level = np.maximum(level, level.max(initial=-100) - 80)
+    rise = np.concatenate([[0.0], np.maximum(np.diff(level, axis=0), 0).mean(axis=1)])
+    if rise.max() <= 0:
+        return 0.0
+    rise = rise / rise.max()
+    padded = np.pad(rise, 3, constant_values=-1.0)
+    top = rise >= np.lib.stride_tricks.sliding_window_view(padded, 7).max(axis=1)
+    around = np.convolve(np.pad(rise, 5, mode="edge"), np.ones(11) / 11, "valid")
+    onsets, last = 0, -10
+    for i in np.flatnonzero(top & (rise >= around + 0.07)).tolist():
+        if i - last > 3:
+            onsets, last = onsets + 1, i
+    return onsets / (len(x) / rate) if onsets >= 2 else 0.0
+
+
+def first_prominence(level: np.ndarray, f: np.ndarray) -> float:
+    """Highest peak of an envelope from 200 to 800 Hz over its least value from there to 1500 Hz; 0 without a peak above -30 dB."""
+    inside = np.flatnonzero((f >= 200) & (f <= 800))
+    part = level[inside]
+    peaks = 1 + np.flatnonzero((part[1:-1] > part[:-2]) & (part[1:-1] > part[2:]) & (part[1:-1] >= -30)) if len(part) > 2 else np.zeros(0, int)
+    if not len(peaks):
+        return 0.0
+    top = inside[peaks[np.argmax(part[peaks])]]
+    valley = level[(f > f[top]) & (f <= 1500)]
+    return round(float(level[top] - valley.min()), 2) if len(valley) else 0.0
+
+
+def pulses(x: np.ndarray, rate: float, f0: float) -> tuple[np.ndarray, np.ndarray]:
+    """Times and heights of one maximum in each period, from the highest on to both sides."""
+    if f0 <= 0 or len(x) < 3:
+        return np.zeros(0), np.zeros(0)
+    period = rate / f0
+    start = int(np.argmax(x))
+    found = [start]
+    for sign in (1, -1):
+        at = start
+        while True:
+            a, b = sorted((at + sign * 0.8 * period, at + sign * 1.25 * period))
+            a, b = int(np.ceil(a)), int(np.floor(b))
+            if a < 1 or b > len(x) - 2 or a > b:
+                break
+            at = a + int(np.argmax(x[a : b + 1]))
+            found.append(at)
+    at = np.array(sorted(i for i in found if 0 < i < len(x) - 1))
+    if not len(at):
+        return np.zeros(0), np.zeros(0)
+    a, b, c = x[at - 1], x[at], x[at + 1]
+    bend = a - 2 * b + c
+    shift = np.where(bend < 0, 0.5 * (a - c) / np.where(bend < 0, bend, 1), 0.0)
+    return (at + shift) / rate, b - 0.25 * (a - c) * shift
+
+
+def perturbation(x: np.ndarray, rate: float, f0: float) -> tuple[float, float]:
+    """Jitter and shimmer (local): mean step between successive periods, and heights, over their mean, in per cent.
+
+    Periods count from 0.1 to 20 ms; steps count between periods of a ratio up
+    to 1.3 and heights up to 1.6.
+    """
+    t, height = pulses(x, rate, f0)
+    period = np.diff(t)
+    fine = (period >= 1e-4) & (period <= 0.02)
+
+    def local(v, ok, most):
+        ok = ok & (np.maximum(v[1:], v[:-1]) <= most * np.minimum(v[1:], v[:-1]))
+        mean = v.mean() if len(v) else 0.0
+        return float(np.abs(np.diff(v))[ok].mean() / mean * 100) if ok.any() and mean > 0 else 0.0
+
+    return local(period, fine[1:] & fine[:-1], 1.3), local(height, (height[1:] > 0) & (height[:-1] > 0), 1.6)
+
+
+def middle_formants(x: np.ndarray, rate: float, order: int, shortest: float = 0.03) -> list[float | None]:
+    """First three resonances around the middle of a vowel, 25 ms or a quarter to either side; None if it is shorter or lacks one."""
+    half = int(min(0.025, len(x) / rate / 4) * rate)
+    part = x[len(x) // 2 - half : len(x) // 2 + half]
+    if len(x) / rate < shortest or len(part) <= 2 * order:
+        return [None] * 3
+    found = [f for f, _ in resonances(part * np.hamming(len(part)), rate, order)][:3]
+    return found if len(found) == 3 else [None] * 3
+
+
+def recording_measures(rows: DataFrame, rate: float, order: int = 10, size: int = 512) -> DataFrame:
+    """The keys of ``rows`` and measures of each recording ``x``: level, tilt, sibilants, consonant class, rate of speech, voice and resonances.
+
+    Recordings without sound (the highest sample below 1e-5), empty or not finite ones have nulls.
+    """
+    keys = [f for f in rows.schema.fields if f.name != "x"]
+    hop = size // 4
+
+    def one(x):
+        if x is None or len(x) < size or not np.isfinite(x).all() or np.abs(x).max() < 1e-5:
+            return [None] * len(RECORDED)
+        f = np.fft.rfftfreq(size, 1 / rate)
+        power = power_frames(x, size, hop)
+        some = (f >= 100) & (f <= 5000)
+        slope = np.polyfit(np.log2(f[some]), 10 * np.log10(power.mean(axis=0)[some] + 1e-10), 1)[0]
+        f0, height = pitch(x[: 4 * size], rate)
+        kind, sure, _, share = glide_or_fricative(x, rate)
+        jitter, shimmer = perturbation(x, rate, f0)
+        envelope_db = envelope(x[: int(1.5 * rate)], order, 256)
+        return [
+            20 * np.log10(max(np.sqrt((x * x).mean()), 1e-10)), slope, sibilant_centroid(x, rate, size, hop), kind, sure, share, speech_rate(x, rate, size, hop),
+            f0, harmonicity(height), jitter, shimmer, cepstral_prominence(x[: 4 * size], rate), first_prominence(envelope_db, np.arange(256) * rate / 512), *middle_formants(x, rate, order),
+        ]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame([one(x) for x in batch["x"]], columns=list(RECORDED), index=batch.index)
+            yield pd.concat([batch[[f.name for f in keys]], found], axis=1)
+
+    return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), *(f"{n} {t}" for n, t in RECORDED.items())]))
+
+
+RECORDED = dict.fromkeys("rms_db tilt_db s_centroid_hz".split(), "double") | {"consonant": "string"} | dict.fromkeys(
+    "consonant_confidence high_share syllables_per_s f0_hz hnr_db jitter shimmer cpp_db f1_prominence_db f1_mid f2_mid f3_mid".split(), "double"
+)
+
+
 def measures(rows: DataFrame, rate: float, order: int = 8) -> DataFrame:
     """id, centroid_hz, tilt_db, f0_hz, hnr_db, cpp_db, f1_hz, lpc_peak_db for each series ``x``; null or short series have nulls."""
 

@@ -16,8 +16,19 @@ ONSETS = {a + b for a in "pbcgf" for b in "lr"} | {"tr", "dr"}
 
 
 def without_accents(word: Column) -> Column:
-    """Vowels without accents; ñ stays."""
-    return F.translate(word, "áéíóúüÁÉÍÓÚÜ", "aeiouuAEIOUU")
+    """The word decomposed (NFD) and without marks; ñ stays. Words of the Spanish alphabet need no Python."""
+    plain = F.translate(word, "áéíóúüÁÉÍÓÚÜ", "aeiouuAEIOUU")
+    return F.when(plain.rlike(r"^[\x00-\x7FñÑ]*$"), plain).otherwise(unmarked(word))
+
+
+@F.pandas_udf(T.StringType())
+def unmarked(words: pd.Series) -> pd.Series:
+    def one(word):
+        held = unicodedata.normalize("NFC", word).replace("ñ", "\0").replace("Ñ", "\1")
+        bare = "".join(c for c in unicodedata.normalize("NFD", held) if unicodedata.category(c) != "Mn")
+        return bare.replace("\0", "ñ").replace("\1", "Ñ")
+
+    return words.map(lambda w: None if w is None else one(w))
 
 
 def vos_form(word: Column) -> Column:
@@ -32,30 +43,23 @@ def sounds(word: str) -> list[str]:
     word = unicodedata.normalize("NFC", word.lower())
     while i < len(word):
         pair, after = word[i : i + 2], word[i + 2 : i + 3]
-        joined = pair in ("ch", "ll", "rr") or (pair == "qu" and after and after in VOWELS) or (pair == "gu" and after and after in "eiéí")
+        joined = pair in ("ch", "ll", "rr") or (pair == "qu" and after and after in VOWELS) or (pair == "gu" and after and after in "ei")
         out.append(pair if joined else word[i])
         i += len(out[-1])
     return out
 
 
-def is_vowel(sound: str, place: int, last: int) -> bool:
-    return sound in VOWELS or (sound == "y" and place == last and last > 0) or (sound == "y" and last == 0)
-
-
 def hiatus(a: str, b: str) -> bool:
-    """Whether two vowels in a row belong to two syllables: both strong, or a weak one is accented, or alike."""
-    if a in ACCENTED_WEAK and b in STRONG or b in ACCENTED_WEAK and a in STRONG:
-        return True
-    return (a in STRONG and b in STRONG) or a == b
+    """Whether two vowels in a row belong to two syllables: both strong, or one strong and the other weak with an accent."""
+    return a in STRONG and (b in STRONG or b in ACCENTED_WEAK) or b in STRONG and a in ACCENTED_WEAK
 
 
 def syllables(word: str) -> list[str]:
     """The syllables of a word: nuclei of vowels, consonants before them as far as they begin a syllable."""
     parts = sounds(word)
-    last = len(parts) - 1
     nuclei: list[list[int]] = []
     for i, sound in enumerate(parts):
-        if not is_vowel(sound, i, last):
+        if sound not in VOWELS:  # y counts as a consonant throughout
             continue
         if nuclei and nuclei[-1][-1] == i - 1 and not hiatus(parts[i - 1], sound):
             nuclei[-1].append(i)

@@ -40,25 +40,34 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable, sta
 
 
 def fold_parts(rows: DataFrame, keys: list[str], order: list[str], work: Callable, start: Callable, schema: str) -> DataFrame:
-    """As :func:`fold`, but ``work(state, part) -> state, out`` takes all rows of a key that one batch holds, as a frame."""
+    """As :func:`fold`, but a step takes all rows of a key that one batch holds.
+
+    ``work(state, part) -> state, places, more``: ``part`` has an array for each
+    column, ``places`` are those of the rows that stay, ``more`` has their values
+    of further columns.
+    """
     names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for batch in batches:
-            out = []
+            columns = {n: batch[n].to_numpy() for n in batch.columns}
             change = np.ones(len(batch), bool)
-            if len(batch):
-                change[1:] = (batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(axis=1)
+            change[1:] = False
+            for k in keys:
+                change[1:] |= columns[k][1:] != columns[k][:-1]
             cuts = [*np.flatnonzero(change).tolist(), len(batch)]
+            stay, added = [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                part = batch.iloc[a:b]
-                mine = tuple(part.iloc[0][keys])
+                mine = tuple(columns[k][a] for k in keys)
                 if mine != key:
                     key, state = mine, start()
-                state, made = work(state, part)
-                out.append(made)
-            yield pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+                state, places, more = work(state, {n: x[a:b] for n, x in columns.items()})
+                stay.append(np.asarray(places, np.int64) + a)
+                added.append(more)
+            if stay:
+                out = batch.iloc[np.concatenate(stay)]
+                yield out.assign(**{n: np.concatenate([m[n] for m in added]) for n in added[0]})[names]
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -97,8 +106,8 @@ def cooled_down(rows: DataFrame, keys: list[str], interval: float, schema: str,
     names = T.StructType.fromDDL(schema).names
 
     def work(last, part):
-        kept, last = let_through(part["t"].to_numpy(), last, interval, None if once is None else part[once].to_numpy(bool))
-        return last, part.iloc[kept]
+        kept, last = let_through(part["t"], last, interval, None if once is None else part[once].astype(bool))
+        return last, kept, {}
 
     return fold_parts(rows.select(*names, *([once] if once else [])), keys, ["t", "seq"], work, lambda: None, schema)
 
@@ -125,11 +134,11 @@ def declines(rows: DataFrame, window: float, most: int, at_least: int, drop: flo
         return np.where(n >= at_least, np.round(change, 9), np.nan)
 
     def work(state, part):
-        t = part["t"].to_numpy()
+        t = part["t"]
         first, held = (t[0], {}) if state is None else state
         found = {}
         for name in ("hnr", "jitter"):
-            x = part[name].to_numpy(float)
+            x = part[name].astype(float)
             some = ~np.isnan(x) & (x != 0)
             at, values = held.get(name, (np.zeros(0), np.zeros(0)))
             at, values = np.concatenate([at, t[some]]), np.concatenate([values, x[some]])
@@ -137,8 +146,8 @@ def declines(rows: DataFrame, window: float, most: int, at_least: int, drop: flo
             held[name] = at[-most:], values[-most:]
         old = t - first >= window
         cause = np.where(found["hnr"] >= drop, "hnr", np.where(-found["jitter"] >= rise, "jitter", ""))
-        keep = old & (cause != "")
-        return (first, held), part.loc[keep, ["session_id", "seq", "t"]].assign(cause=cause[keep])
+        keep = np.flatnonzero(old & (cause != ""))
+        return (first, held), keep, {"cause": cause[keep]}
 
     return fold_parts(rows.select("session_id", "seq", "t", "hnr", "jitter"), ["session_id"], ["t", "seq"], work, lambda: None, "session_id bigint, seq bigint, t double, cause string")
 

@@ -20,23 +20,63 @@ case(
     lambda spark, d: words(spark, d).select("word", S.vos_form(C("word")).alias("vos")),
     f"WITH {WORDS} SELECT word, lower(word) = 'sos' OR (length(word) >= 4 AND regexp_matches(lower(word), '(ás|és|ís)$')) AS vos FROM words",
 )
-case("syllabify", lambda spark, d: words(spark, d).select("word", F.array_join(S.syllabify("word"), "·").alias("syllables")))
-case("expected_stress", lambda spark, d: words(spark, d).select("word", S.syllabify("word").alias("s")).select("word", F.size("s").alias("n"), S.expected_stress(C("s")).alias("stress")))
+#: The same rules in SQL: digraphs become single signs, breaks go between vowels of two syllables and before the consonants that begin one.
+V, K = "[aeiouáéíóúü]", "[^aeiouáéíóúü·]"
+SYLLABLES = f"""{WORDS}, signs AS (SELECT word, n, regexp_replace(regexp_replace(replace(replace(replace(lower(word), 'ch', '1'), 'll', '2'), 'rr', '3'), 'qu([aeiouáéíóúü])', '4\\1', 'g'), 'gu([ei])', '5\\1', 'g') AS w FROM words),
+  apart AS (SELECT word, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '([aeoáéóíú])([aeoáéó])', '\\1·\\2', 'g'), '([aeoáéó])([íú])', '\\1·\\2', 'g'), '([aeoáéó])([aeoáéó])', '\\1·\\2', 'g'), '([íú])([aeoáéó])', '\\1·\\2', 'g') AS w FROM signs),
+  cut AS (SELECT word, n, regexp_replace(regexp_replace(w, '({V})({K}*?)([pbcgf][lr]|[td]r|{K})({V})', '\\1\\2·\\3\\4', 'g'), '({V})({K}*?)([pbcgf][lr]|[td]r|{K})({V})', '\\1\\2·\\3\\4', 'g') AS w FROM apart),
+  syllables AS (SELECT word, n, CASE WHEN NOT regexp_matches(w, '{V}') THEN [word] ELSE string_split(replace(replace(replace(replace(replace(w, '1', 'ch'), '2', 'll'), '3', 'rr'), '4', 'qu'), '5', 'gu'), '·') END AS s FROM cut),
+  accents AS (SELECT *, list_position(list_transform(s, lambda p: regexp_matches(p, '[áéíóú]')), true) - 1 AS marked FROM syllables),
+  stress AS (SELECT word, n, s, CAST(CASE WHEN marked >= 0 THEN marked WHEN len(s) < 2 THEN 0 WHEN regexp_matches(s[-1], '[aeiouns]$') THEN len(s) - 2 ELSE len(s) - 1 END AS INTEGER) AS expected FROM accents)""".replace("\\\\", "\\")
+case("syllabify", lambda spark, d: words(spark, d).select("word", F.array_join(S.syllabify("word"), "·").alias("syllables")), f"WITH {SYLLABLES} SELECT word, array_to_string(s, '·') AS syllables FROM syllables")
+case(
+    "expected_stress",
+    lambda spark, d: words(spark, d).select("word", S.syllabify("word").alias("s")).select("word", F.size("s").alias("n"), S.expected_stress(C("s")).alias("stress")),
+    f"WITH {SYLLABLES} SELECT word, CAST(len(s) AS INTEGER) AS n, expected AS stress FROM stress",
+)
 
 
 def stress_scores(spark, d):
-    """Which syllable stands out: by length share, and whether the margin to the next is clear."""
+    """Which syllable of a spoken word stands out: pitch and intensity over its time, each from least to greatest, halved and added.
+
+    Words are cut in time by the length of their syllables, 20 samples of pitch
+    and intensity to a letter; pitch without voice doesn't count. If the margin
+    to the next syllable is below 0.15 of the greatest, the expected one is taken.
+    """
     parts = words(spark, d).select("word", S.syllabify("word").alias("s")).where(F.size("s") >= 2)
-    each = parts.select("word", F.size("s").alias("m"), S.expected_stress(C("s")).alias("expected"), F.posexplode("s").alias("i", "syllable"))
-    whole, order = Window.partitionBy("word"), Window.partitionBy("word").orderBy("i")
-    share = F.length("syllable") / F.sum(F.length("syllable")).over(whole)
-    timed = each.withColumns({"share": share, "until": F.sum(F.length("syllable")).over(order) / F.sum(F.length("syllable")).over(whole)})
-    low, high = F.min("share").over(whole), F.max("share").over(whole)
-    scored = timed.withColumn("score", F.when(high > low, (C("share") - low) / (high - low)).otherwise(0.0))
-    top = scored.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("score", (-C("i")).alias("at"))), False).alias("r"), F.max("expected").alias("expected"), F.max("until").alias("until"))
-    gap = F.when(C("r")[0]["score"] > 0, (C("r")[0]["score"] - C("r")[1]["score"]) / C("r")[0]["score"]).otherwise(0.0)
+    each = parts.select("word", S.expected_stress(C("s")).alias("expected"), F.posexplode("s").alias("i", "syllable"))
+    order = Window.partitionBy("word").orderBy("i")
+    timed = each.withColumn("until", F.sum(F.length("syllable")).over(order))
+    samples = timed.withColumn("at", F.explode(F.sequence(20 * (C("until") - F.length("syllable")), 20 * C("until") - 1)))
+    letter = F.ascii(F.substring("word", 1, 1)) + F.length("word") * 7
+    pitch = F.when(C("at") % 7 == 0, 0.0).otherwise(100.0 + (letter * 3 + C("at") * 13) % 97)
+    level = 40.0 + (letter * 5 + C("at") * 11) % 31
+    means = samples.select("*", pitch.alias("f0"), level.alias("level")).groupBy("word", "i").agg(
+        F.max("expected").alias("expected"), F.coalesce(F.round(F.avg(F.when(C("f0") > 0, C("f0"))), 1), F.lit(0.0)).alias("f0"), F.round(F.avg("level"), 1).alias("level")
+    )
+    whole = Window.partitionBy("word")
+    share = lambda x: F.when(F.max(x).over(whole) > F.min(x).over(whole), (C(x) - F.min(x).over(whole)) / (F.max(x).over(whole) - F.min(x).over(whole))).otherwise(0.0)
+    scored = means.select("word", "i", "expected", F.round(0.5 * share("f0") + 0.5 * share("level") + 3.3e-8, 3).alias("score"))
+    top = scored.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("score", (-C("i")).alias("at"))), False).alias("r"), F.max("expected").alias("expected"))
+    gap = F.round(F.when(C("r")[0]["score"] > 0, (C("r")[0]["score"] - C("r")[1]["score"]) / C("r")[0]["score"]).otherwise(0.0) + 3.3e-8, 3)
     found = F.when(gap < 0.15, C("expected")).otherwise(-C("r")[0]["at"])
-    return top.select("word", found.alias("stress"), (found == C("expected")).alias("as_expected"), gap.alias("gap"), "until")
+    return top.select("word", C("expected").alias("expected_syllable"), found.alias("detected_syllable"), (found == C("expected")).alias("correct"), gap.alias("confidence"), S.vos_form(C("word")).alias("is_vos"), F.size("r").alias("n_syllables"))
 
 
-case("stress_score", stress_scores)
+case(
+    "stress_score",
+    stress_scores,
+    f"""WITH {SYLLABLES}, each AS (SELECT word, expected, unnest(range(len(s))) AS i, s FROM stress WHERE len(s) >= 2),
+    timed AS (SELECT word, expected, i, length(s[i + 1]) AS m, list_sum(list_transform(s[1:i + 1], lambda p: length(p))) AS until, ascii(substr(word, 1, 1)) + length(word) * 7 AS letter FROM each),
+    samples AS (SELECT *, unnest(range(CAST(20 * (until - m) AS BIGINT), CAST(20 * until AS BIGINT))) AS place_of FROM timed),
+    sounds AS (SELECT *, CASE WHEN place_of % 7 = 0 THEN 0 ELSE 100 + (letter * 3 + place_of * 13) % 97 END AS f0, 40 + (letter * 5 + place_of * 11) % 31 AS level FROM samples),
+    means AS (SELECT word, i, any_value(expected) AS expected, coalesce(round(avg(CASE WHEN f0 > 0 THEN f0 END), 1), 0) AS f0, round(avg(level), 1) AS level FROM sounds GROUP BY word, i),
+    ends AS (SELECT word, min(f0) AS f_lo, max(f0) AS f_hi, min(level) AS l_lo, max(level) AS l_hi FROM means GROUP BY word),
+    scored AS (SELECT word, i, expected, round(0.5 * CASE WHEN f_hi > f_lo THEN (f0 - f_lo) / (f_hi - f_lo) ELSE 0 END + 0.5 * CASE WHEN l_hi > l_lo THEN (level - l_lo) / (l_hi - l_lo) ELSE 0 END + 3.3e-8, 3) AS score FROM means JOIN ends USING (word)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, i) AS place FROM scored),
+    best AS (SELECT word, any_value(expected) AS expected, max(i) FILTER (place = 1) AS i, max(score) FILTER (place = 1) AS a, max(score) FILTER (place = 2) AS b, count(*) AS m FROM ranked GROUP BY word),
+    found AS (SELECT *, round(CASE WHEN a > 0 THEN (a - b) / a ELSE 0 END + 3.3e-8, 3) AS confidence FROM best)
+    SELECT word, expected AS expected_syllable, CAST(CASE WHEN confidence < 0.15 THEN expected ELSE i END AS INTEGER) AS detected_syllable, (CASE WHEN confidence < 0.15 THEN expected ELSE i END) = expected AS correct, confidence,
+      lower(word) = 'sos' OR (length(word) >= 4 AND regexp_matches(lower(word), '(ás|és|ís)$')) AS is_vos, CAST(m AS INTEGER) AS n_syllables FROM found""",
+    "confidence",
+)
