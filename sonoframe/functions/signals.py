@@ -277,7 +277,7 @@ def formant_amplitudes(x: np.ndarray, rate: float, formants: np.ndarray) -> dict
 
     Rows without the first two formants have nan; so has a later formant that isn't there.
     """
-    power, f = 10 ** (decibels_of(x) / 10), np.fft.rfftfreq(x.shape[1], 1 / rate)
+    power, f = np.abs(np.fft.rfft(x * np.hamming(x.shape[1]))) ** 2, np.fft.rfftfreq(x.shape[1], 1 / rate)
     total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(power, axis=1)], axis=1) * (rate / x.shape[1]) / rate**2
     ok = (formants[:, 0] > 0) & (formants[:, 1] > 0)
 

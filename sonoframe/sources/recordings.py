@@ -117,10 +117,10 @@ def write_wav(recordings: DataFrame, folder: str, name: str, clip: bool = False)
     as_wav(recordings, clip).select(name, "content").foreachPartition(run)
 
 
-def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Result documents: one for each file, or one for each line."""
+def read_results(spark: SparkSession, path: str, schema=None, lines: bool = False) -> DataFrame:
+    """Result documents: one for each file, or one for each line if ``lines``."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("multiLine", "true").json(path)
+    return reader.option("multiLine", str(not lines).lower()).json(path)
 
 
 def write_segments(segments: DataFrame, keys: list[str], path: str) -> None:
