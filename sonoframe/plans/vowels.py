@@ -88,8 +88,8 @@ case(
 )
 case(
     "vowel_purity",
-    lambda spark, d: O.vowel_purity(frames(spark, d).where("f1 > 0"), "E", N.SPANISH),
-    f"""WITH {FRAMES}, allrows AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n_all FROM frames WHERE f1 > 0), enough AS (SELECT * FROM allrows WHERE n_all >= 4),
+    lambda spark, d: O.vowel_purity(O.voiced_vowels(frames(spark, d), N.SPANISH).where("vowel = 'E'"), "E", N.SPANISH),
+    f"""WITH {FRAMES}, {N.sql('norms', N.SPANISH)}, {near()}, allrows AS (SELECT frames.*, count(*) OVER (PARTITION BY session_id) AS n_all FROM frames JOIN near USING (seq) WHERE f1 > 0 AND f2 > 0 AND vowel = 'E'), enough AS (SELECT * FROM allrows WHERE n_all >= 4),
     med AS (SELECT session_id, median(f1) AS x1, median(f2) AS x2 FROM enough GROUP BY session_id),
     mad AS (SELECT session_id, greatest(median(abs(f1 - x1)), 30) AS y1, greatest(median(abs(f2 - x2)), 50) AS y2 FROM enough JOIN med USING (session_id) GROUP BY session_id),
     clean AS (SELECT enough.* FROM enough JOIN med USING (session_id) JOIN mad USING (session_id) WHERE abs(f1 - x1) < 3.5 * y1 AND abs(f2 - x2) < 3.5 * y2),
