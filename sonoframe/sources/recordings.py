@@ -44,8 +44,17 @@ def part_of(recordings: DataFrame, start: float, end: float) -> DataFrame:
 _VALUE = re.compile(r'"((?:[^"]|"")*)"|\[\d*\]|(?<![\w.])(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)')
 
 
+#: Tiers and intervals where a file names its values but neither classes nor counts.
+_ITEM = re.compile(r'name\s*=\s*"([^"]*)"(.*?)(?=name\s*=\s*"|\Z)', re.S)
+_SPAN = re.compile(r'xmin\s*=\s*([\d.]+)\s*xmax\s*=\s*([\d.]+)\s*text\s*=\s*"((?:[^"]|"")*)"')
+
+
 def intervals(text: str) -> Iterator[tuple[str, str, float, float]]:
     """(tier, label, start, end) of the interval tiers of a TextGrid; tiers of points are passed over."""
+    if '"IntervalTier"' not in text:
+        for name, body in _ITEM.findall(text):
+            yield from ((name, label.replace('""', '"'), float(a), float(b)) for a, b, label in _SPAN.findall(body))
+        return
     values = [m[1].replace('""', '"') if m[1] is not None else float(m[2]) for m in _VALUE.finditer(text) if m[1] is not None or m[2] is not None]
     at = 0
     while at < len(values):
