@@ -86,6 +86,51 @@ case(
     FROM z a JOIN z b ON a.session_id = b.session_id AND a.late = 0 AND b.late = 1""",
     "d1 d2 d3",
 )
+
+#: The word for a mean score, or for a change of it, above each limit; for changes, the middle word holds strictly within 0.3.
+WORDS_OF_SCORES = {
+    "opc": ([(0.3, "engaged"), (-0.3, "minimal")], "wide (wrong direction)"),
+    "tongue_fronting": ([(0.8, "strong fronting"), (0.3, "moderate fronting"), (-0.3, "minimal")], "retracted (wrong direction)"),
+    "lip_spread": ([(0.3, "spreading"), (-0.3, "neutral")], "rounding (darkening)"),
+}
+WORDS_OF_CHANGES = {
+    "opc": ([(0.3, "engaging"), (-0.3, "minimal change")], "disengaging"),
+    "tongue": ([(0.8, "strong fronting"), (0.3, "moderate fronting"), (-0.3, "minimal change")], "retracting"),
+    "lips": ([(0.3, "spreading"), (-0.3, "neutral")], "rounding"),
+}
+
+
+def _worded(x, steps, rest, within):
+    """The word of the first limit that ``x`` exceeds; with ``within`` the last one needs its size below the limit."""
+    out = F.when(x.isNull(), None)
+    for i, (limit, word) in enumerate(steps):
+        out = out.when(F.abs(x) < -limit if within and i == len(steps) - 1 else x > limit, word)
+    return out.otherwise(rest)
+
+
+def _worded_sql(x, steps, rest, within):
+    arms = [f"WHEN abs({x}) < {-limit} THEN '{word}'" if within and i == len(steps) - 1 else f"WHEN {x} > {limit} THEN '{word}'" for i, (limit, word) in enumerate(steps)]
+    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(arms)} ELSE '{rest}' END"
+
+
+def _interpreted(spark, d):
+    z = O.category_mean_z(frames(spark, d), N.ENGLISH)
+    return z.select("session_id", *(_worded(F.round(f"z{i}", 6), *words, False).alias(name) for i, (name, words) in enumerate(WORDS_OF_SCORES.items(), 1)))
+
+
+case(
+    "gesture_interpretation",
+    _interpreted,
+    f"WITH {VOWELS}, {CATEGORY.format(by='session_id', rows='vowels')} SELECT session_id, "
+    + ", ".join(f"{_worded_sql(f'round(z{i}, 6)', *words, False)} AS {name}" for i, (name, words) in enumerate(WORDS_OF_SCORES.items(), 1)) + " FROM z",
+)
+case(
+    "gesture_change_interpretation",
+    lambda spark, d: _compare(spark, d).select("session_id", *(_worded(F.round(f"d{i}", 6), *words, True).alias(name) for i, (name, words) in enumerate(WORDS_OF_CHANGES.items(), 1))),
+    f"WITH {VOWELS}, halves AS (SELECT *, CAST(t >= 1705363200 AS INTEGER) AS late FROM vowels), {CATEGORY.format(by='session_id, late', rows='halves')}, "
+    "change AS (SELECT a.session_id, b.z1 - a.z1 AS d1, b.z2 - a.z2 AS d2, b.z3 - a.z3 AS d3 FROM z a JOIN z b ON a.session_id = b.session_id AND a.late = 0 AND b.late = 1) SELECT session_id, "
+    + ", ".join(f"{_worded_sql(f'round(d{i}, 6)', *words, True)} AS {name}" for i, (name, words) in enumerate(WORDS_OF_CHANGES.items(), 1)) + " FROM change",
+)
 case(
     "vowel_purity",
     lambda spark, d: O.vowel_purity(O.voiced_vowels(frames(spark, d), N.SPANISH).where("vowel = 'E'"), "E", N.SPANISH),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from sonoframe.operators.folds import let_through
+
 
 def cooled_down(stream: DataFrame, interval: float, delay: str = "1 hour") -> DataFrame:
     """Alerts (session_id, type, ts, seq) let through at most once in ``interval`` seconds by session and type.
@@ -23,16 +25,11 @@ def cooled_down(stream: DataFrame, interval: float, delay: str = "1 hour") -> Da
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        kept = []
-        for row in rows.itertuples(index=False):
-            now = row.ts.timestamp()
-            if last is None or now - last >= interval:
-                last = now
-                kept.append((*key, row.ts, row.seq))
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
+        kept, last = let_through(rows["ts"].astype("datetime64[ns]").astype("int64").to_numpy() / 1e9, last, interval)
         state.update((last,))
         state.setTimeoutTimestamp(max(int((last + interval) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(kept, columns=["session_id", "type", "ts", "seq"])
+        yield rows.loc[kept, ["session_id", "type", "ts", "seq"]]
 
     return (
         stream.withWatermark("ts", delay)
@@ -42,12 +39,19 @@ def cooled_down(stream: DataFrame, interval: float, delay: str = "1 hour") -> Da
 
 
 def paired(audio: DataFrame, video: DataFrame, tolerance: str, delay: str = "1 hour") -> DataFrame:
-    """Audio and video rows of a session within a tolerance of each other, with the signed gap in seconds."""
+    """For each audio row the nearest video row of its session within a tolerance, with the signed gap in seconds.
+
+    Of two equally near the earlier counts, then the smaller ``seq``. An audio
+    row comes once the watermark has passed it, so no later video row is nearer;
+    rows without a video row in reach don't come.
+    """
     a = audio.withWatermark("ts", delay).alias("a")
     v = video.withWatermark("ts", delay).select("session_id", F.col("ts").alias("video_ts"), F.col("seq").alias("video_seq")).alias("v")
     near = F.expr(f"a.session_id = v.session_id AND v.video_ts BETWEEN a.ts - INTERVAL {tolerance} AND a.ts + INTERVAL {tolerance}")
     gap = F.col("video_ts").cast("double") - F.col("a.ts").cast("double")
-    return a.join(v, near).select("a.session_id", "a.seq", "a.ts", "video_seq", gap.alias("gap"))
+    met = a.join(v, near).select("a.session_id", "a.seq", "a.ts", "video_seq", gap.alias("gap"))
+    best = F.min(F.struct(F.abs("gap").alias("away"), "gap", "video_seq")).alias("best")
+    return met.groupBy("session_id", "seq", "ts").agg(best).select("session_id", "seq", "ts", "best.video_seq", "best.gap")
 
 
 def trailing_counts(stream: DataFrame, width: str, slide: str, delay: str = "1 hour") -> DataFrame:

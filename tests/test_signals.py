@@ -73,3 +73,23 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(r.seq for r in spark.table("kept").collect())
     want = folds.cooled_down(rows, ["session_id", "type"], 86_400.0, "session_id bigint, type string, seq bigint, t double")
     assert got == sorted(r.seq for r in want.collect())
+
+
+def test_stream_pairs_with_the_nearest(spark, tmp_path):
+    rows = frames(spark, "/root/testdata/sf0.001").where("session_id < 12").select("session_id", F.timestamp_seconds("t").alias("ts"), "seq").orderBy("ts").toPandas()
+    audio, video = rows[::2], rows[1::2]
+    end = rows["ts"].max() + np.timedelta64(90, "D")  # moves the watermark past all rows
+    for name, part in (("a", audio), ("v", video)):
+        spark.createDataFrame(part).coalesce(1).write.parquet(str(tmp_path / name))
+        spark.createDataFrame([(-1, end.to_pydatetime(), -1)], "session_id bigint, ts timestamp, seq bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name: spark.readStream.schema("session_id bigint, ts timestamp, seq bigint").parquet(str(tmp_path / name))
+    out = live.paired(read("a"), read("v"), "12 HOURS")
+    query = out.writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r.seq, r.video_seq, round(r.gap, 3)) for r in spark.table("pairs").where("session_id >= 0").collect())
+    want = []
+    for s, ts, seq in audio[["session_id", "ts", "seq"]].itertuples(index=False):
+        of = [(abs(g), g, q) for p, u, q in video[["session_id", "ts", "seq"]].itertuples(index=False) if p == s and abs(g := (u - ts).total_seconds()) <= 43_200]
+        if of:
+            want.append((seq, min(of)[2], round(min(of)[1], 3)))
+    assert got == sorted(want) and want
