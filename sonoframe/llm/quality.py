@@ -178,7 +178,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", digest
     scored by a model that has seen it. The counts of all documents' trigrams
     are looked up in the models by shards: every document sends its distinct
     trigrams with their counts to the shards that hold them, and the shards'
-    sums are added up.
+    sums are added up. Rows of one id and text give one row, scored as one text.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", digest, text, F.pmod(F.col(digest), F.lit(folds)).cast("int").alias("fold"))
@@ -259,15 +259,19 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", digest
                     order = np.argsort(keys)
                     keys, logp = keys[order], logp[order]
                 times = unpacked(row["times"])
-                found = logp[np.searchsorted(keys, np.cumsum(unpacked(row["keys"])))]
-                out.append((row["doc_id"], row["digest"], int(times.sum()), float((found * times).sum())))
+                wanted = np.cumsum(unpacked(row["keys"]))
+                found = logp[np.searchsorted(keys, wanted)]
+                out.append((row["doc_id"], row["digest"], int(times.sum()), float((found * times).sum()), int(wanted[0] < n)))
             if out:
-                a, b, c, d = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("doc_id").type), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["doc_id", "digest", "n", "logp"])
+                a, b, c, d, e = zip(*out, strict=True)
+                columns = [pa.array(a, batch.column("doc_id").type), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64()), pa.array(e, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "logp", "rows"])
 
     where = ["shard", "salt", "fold"]
-    sums = both.repartition(shards * salts * folds, *where).sortWithinPartitions(*where, "asks").mapInArrow(look_up, f"doc_id {kind}, digest bigint, n bigint, logp double")
-    return sums.groupBy("doc_id", "digest").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"))
+    sums = both.repartition(shards * salts * folds, *where).sortWithinPartitions(*where, "asks").mapInArrow(look_up, f"doc_id {kind}, digest bigint, n bigint, logp double, rows bigint")
+    # each text has one trigram below n, that of both marks before it, which tells how often rows are repeated
+    each = lambda c: (F.sum(c) / F.sum("rows")).alias(c)
+    return sums.groupBy("doc_id", "digest").agg(each("n").cast("bigint").alias("n"), each("logp"))
 
 
 def assess(

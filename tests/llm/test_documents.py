@@ -209,6 +209,7 @@ def test_quality_equals_plain_model(spark):
     words = ["cat", "dog", "sat", "mat", "the", "a", "rat", "éa", "on"]
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 30))), rng.choice(["en", "en", "fr"])) for i in range(90)]
     docs += [(100, None, "en"), (101, "the the the cat", "fr"), (102, "zq xx kk vv wq " * 30, "en"), (103, "", "de"), (104, "日 本", "de"), (0, "other text", "en")]
+    docs += [docs[7], docs[7], docs[92], docs[90]]  # repeated rows, trusted, other and null
     labels = [(i, int(i % 3 > 0)) for i in range(90)] + [(5, 0), (200, 1)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
     marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
