@@ -70,8 +70,8 @@ class SignHashes:
     def __call__(self, vectors: np.ndarray) -> np.ndarray:
         """Keys, a row for each vector and a column for each table."""
         d = vectors.shape[1]
-        if d not in self.planes:
-            self.planes[d] = np.random.default_rng([self.seed, d]).standard_normal((d, self.tables * self.bits))
+        if d not in self.planes:  # whole numbers, as the vectors' are, so that signs don't hang on the order of sums
+            self.planes[d] = np.rint(4096 * np.random.default_rng([self.seed, d]).standard_normal((d, self.tables * self.bits)))
         signs = (vectors @ self.planes[d] >= 0).reshape(len(vectors), self.tables, self.bits)
         return signs @ (1 << np.arange(self.bits))
 
@@ -83,12 +83,15 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     Classes are hashed by the signs of random hyperplanes in several tables; the
     number of signs follows the number of classes, and that of tables follows
     from ``miss``, the chance of missing a pair exactly at the threshold (for
-    closer pairs it is far smaller). All pairs in a bucket are compared in double
-    precision, so no link below the threshold is given. A pair counts in the
-    first table where it meets. Buckets of more than ``BLOCK`` classes are split
-    into blocks whose pairs are separate tasks, so a hot bucket is whole yet
-    never in one place; of each task's links only a spanning forest and sums by
-    vector go on. Components are found by contraction.
+    closer pairs it is far smaller). What travels to the buckets are vectors in
+    whole numbers of 16 bits. They decide a pair unless its cosine is so near
+    the threshold that their rounding matters; the vectors of such pairs meet
+    again as they are, and double precision decides. A pair counts in the first
+    table where it meets. Buckets of more than ``BLOCK`` classes are split into
+    blocks whose pairs are separate tasks, so a hot bucket is whole yet never in
+    one place; of each task's links only a spanning forest and sums by vector,
+    and of its undecided pairs only the vectors, go on. Components are found by
+    contraction.
 
     Vectors that are null, zero, or hold a null or non-finite component link
     with nothing; so do vectors of different dimensions with one another. Rows
@@ -107,53 +110,70 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         for batch in batches:
             x = batch.column("x")
             lengths = pa.compute.list_value_length(x).to_numpy()
-            keys = np.zeros((len(batch), hashes.tables), np.int64)
             for d in np.unique(lengths):
-                at = np.flatnonzero(lengths == d)
-                keys[at] = hashes(unit(matrix(x.take(pa.array(at))))) * 4096 + d % 4096
-            ends = np.arange(len(batch) + 1, dtype=np.int32) * hashes.tables
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], [*batch.schema.names, "keys"])
+                part = batch.filter(pa.array(lengths == d))
+                q, step = rounded(matrix(part.column("x")))
+                columns = [part.column("rep"), part.column("size"), lists(q.astype(np.int16)), pa.array(step), lists(hashes(q) * 4096 + d % 4096)]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "q", "step", "keys"])
 
-    keyed = classes.mapInArrow(hashed, f"x {dict(classes.dtypes)['x']}, rep bigint, size bigint, keys array<bigint>")
+    keyed = classes.mapInArrow(hashed, "rep bigint, size bigint, q array<smallint>, step double, keys array<bigint>")
     counts = keyed.select(F.posexplode("keys").alias("t", "bucket")).groupBy("t", "bucket").count()
     counts = stash(counts.where("count > 1").select("t", "bucket", F.ceil(F.col("count") / BLOCK).alias("blocks")), "buckets")
-    spread = keyed.select("rep", "size", "x", F.posexplode("keys").alias("t", "bucket")).join(sized(counts), ["t", "bucket"])
+    spread = keyed.select("rep", "size", "q", "step", F.posexplode("keys").alias("t", "bucket")).join(sized(counts), ["t", "bucket"])
     spread = spread.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    where = ["t", "bucket", "lo", "hi"]
-    spread = spread.select("t", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "size", "x")
+    where, what = ["t", "bucket", "lo", "hi"], ["own", "rep", "size", "step"]
+    spread = spread.select("t", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *what, "q")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, where):
             lo, hi, t = (table.column(c)[0].as_py() for c in ("lo", "hi", "t"))
-            lengths = pa.compute.list_value_length(table.column("x")).to_numpy()
+            lengths = pa.compute.list_value_length(table.column("q")).to_numpy()
             for d in np.unique(lengths):
                 part = table.filter(pa.array(lengths == d))
-                rep, size, own = (part.column(c).to_numpy() for c in ("rep", "size", "own"))
-                x = unit(matrix(part.column("x").combine_chunks()))
-                if lo == hi:
-                    i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+                own, rep, size, step = (part.column(c).to_numpy() for c in what)
+                q = matrix(part.column("q").combine_chunks())
+                a, b = (np.flatnonzero(own == side) for side in (lo, hi))
+                i, j, sure = close(q, step, a, b, cosine)
+                some, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+                codes = hashes(q[some])[:, :t]
+                left, right = np.split(back, 2)
+                first = np.ones(len(i), bool)
+                for before in range(t):
+                    first &= codes[left, before] != codes[right, before]
+                i, j, sure = i[first], j[first], sure[first]
+                if exact:
+                    i, j = i[~sure], j[~sure]
+                    x = unit(matrix(part.column("x").combine_chunks()))
+                    linked = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+                    i, j = i[linked], j[linked]
                 else:
-                    a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-                    i, j = np.nonzero(x[a] @ x[b].T >= cosine)
-                    i, j = a[i], b[j]
+                    open_ = np.unique(np.concatenate([i[~sure], j[~sure]]))
+                    if len(open_):
+                        again = part.take(pa.array(open_)).combine_chunks()
+                        nothing = pa.nulls(len(again), pa.int64())
+                        yield from pa.table([nothing, nothing, nothing, *again.columns], ["a", "b", "links", *again.column_names]).to_batches()
+                    i, j = i[sure], j[sure]
                 if not len(i):
                     continue
                 some, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                codes = hashes(x[some])[:, :t]
                 i, j = np.split(back, 2)
-                first = np.ones(len(i), bool)
-                for before in range(t):
-                    first &= codes[i, before] != codes[j, before]
-                i, j = i[first], j[first]
                 rep, size = rep[some], size[some]
                 links = np.bincount(i, size[j], len(some)) + np.bincount(j, size[i], len(some))
                 label = forest(len(some), i, j)
                 at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[label[at]]), pa.array(links[at].astype(np.int64))], ["a", "b", "links"])
-
-    found = spread.repartition(*where).sortWithinPartitions(*where).mapInArrow(compare, "a bigint, b bigint, links bigint")
-    found = stash(found, "links")
+                given = [pa.array(rep[at]), pa.array(rep[label[at]]), pa.array(links[at].astype(np.int64))]
+                rest = [] if exact else [pa.nulls(len(at), f.type) for f in part.schema]
+                yield pa.RecordBatch.from_arrays([*given, *rest], ["a", "b", "links", *([] if exact else part.column_names)])
+
+    def meet(rows: DataFrame, fields: str, exact: bool) -> DataFrame:
+        rows = rows.repartition(*where).sortWithinPartitions(*where)
+        return rows.mapInArrow(lambda batches: compare(batches, exact), fields)
+
+    told = "a bigint, b bigint, links bigint"
+    found = stash(meet(spread, f"{told}, t int, bucket bigint, lo bigint, hi bigint, own bigint, rep bigint, size bigint, step double, q array<smallint>", False), "met")
+    undecided = found.where("rep is not null").drop("a", "b", "links").join(classes.select("rep", "x"), "rep")
+    found = stash(found.where("a is not null").select("a", "b", "links").unionByName(meet(undecided, told, True)), "links")
     linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = components(found.select("a", "b")).withColumnRenamed("node", "rep")
     facts = stash(classes.join(linked, "rep", "left").join(parts, "rep", "left"), "facts")
@@ -175,6 +195,39 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in whole numbers of 16 bits, and the step of each that leads back to the row at length 1."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.rint(x * 32767), 1 / (32767 * np.sqrt((x * x).sum(axis=1)))
+
+
+def close(q: np.ndarray, step: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows in ``a`` and ``b`` that may reach the cosine, and which of them surely do, whatever was rounded.
+
+    A rounded row is at most half a step times the root of its length away. The
+    products are sums of whole numbers, exact in any order, so a pair gets the
+    same answer wherever it is asked. If ``a`` and ``b`` are the same rows, each
+    pair comes once.
+    """
+    half = np.sqrt(q.shape[1]) / 2
+    far = half * step.max()
+    dots = q[a] @ q[b].T
+    may = dots >= (cosine - far * (2 + far) - 1e-9) / step[a][:, None] / step[b]
+    i, j = np.nonzero(np.triu(may, 1) if np.array_equal(a, b) else may)
+    dots = dots[i, j]
+    i, j = a[i], b[j]
+    both = step[i] * step[j]
+    about, margin = dots * both, half * (step[i] + step[j]) + half * half * both + 1e-12
+    may = about + margin >= cosine
+    return i[may], j[may], (about - margin >= cosine)[may]
+
+
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """Rows as arrays."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest vertex that each of n vertices reaches over the edges i-j."""
     label = np.arange(n)

@@ -43,6 +43,26 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs just above, at and below the cosine, nearer than the rounding of what travels."""
+    rows, rng = [], np.random.default_rng(3)
+    for k, shift in enumerate([0.0, 1e-7, -1e-7, 1e-9, -1e-9, 1e-5, -1e-5, 1e-3, -1e-3]):
+        for n in range(6):
+            base, side = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+            c = 0.9 + (shift or 1e-11)
+            rows += [(1000 * k + 10 * n, (3.7 * base).tolist()), (1000 * k + 10 * n + 1, (c * base + np.sqrt(1 - c * c) * side).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df, miss=1e-9).collect())
+    assert got == sorted(brute_links(rows))
+    x = np.array([v for _, v in rows])
+    q, step = vectors.rounded(x)
+    every = np.arange(len(x))
+    i, j, sure = vectors.close(q, step, every, every, 0.9)
+    cosines = np.einsum("ij,ij->i", vectors.unit(x)[i], vectors.unit(x)[j])
+    assert (cosines[sure] >= 0.9).all() and 0 < sure.sum() < len(sure)
+    assert (np.triu(vectors.unit(x) @ vectors.unit(x).T >= 0.9, 1).sum()) == (cosines >= 0.9).sum()
+
+
 @pytest.mark.parametrize("sent", [1 << 20, 0])
 def test_top_k(spark, monkeypatch, sent):
     monkeypatch.setattr(vectors, "SENT_BYTES", sent)
