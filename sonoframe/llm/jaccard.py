@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import ragged_index, sized, stash, text_slices
+from sonoframe.llm.common import ragged_index, sized, stash, text_slices, trimmed
 from sonoframe.llm.graph import components
 from sonoframe.llm.shingles import mix, set_ids, shingle_sets
 from sonoframe.llm.vectors import groups
@@ -388,7 +388,7 @@ def _classified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["key", "n", "cls", "h", "sig", "token", "df"]
-    listed = stash(docs.mapInArrow(first, fields), "sets")
+    listed = stash(docs.mapInArrow(trimmed(first), fields), "sets")
     sets = listed.where("n is not null")
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("key").alias("least"), F.max("n").alias("n"), F.min("h").alias("h"), F.first("sig").alias("sig"))
     classes = stash(classes, "classes")
@@ -427,7 +427,7 @@ def _shingled(docs: DataFrame, members: DataFrame) -> DataFrame:
                 packed = [shingles[at[r] : at[r + 1]].tobytes() for r in own.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array(packed, pa.binary())], ["cls", "sig"])
 
-    found = docs.select("text", "h").join(sized(members.select("h", "cls")), "h").mapInArrow(run, "cls bigint, sig binary")
+    found = docs.select("text", "h").join(sized(members.select("h", "cls")), "h").mapInArrow(trimmed(run), "cls bigint, sig binary")
     return stash(found.dropDuplicates(["cls"]), "shingles")
 
 
@@ -495,8 +495,8 @@ def _shared(docs: DataFrame, often: np.ndarray, hot: np.ndarray, classes: DataFr
             columns = (np.repeat(name, many), cls, n, np.repeat(many, many))
             yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in columns], ["grp", "cls", "n", "many"])
 
-    packed = docs.select("text").mapInArrow(listed, "bucket int, token binary, cls binary, n binary")
-    met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "grp bigint, cls bigint, n bigint, many bigint")
+    packed = docs.select("text").mapInArrow(trimmed(listed), "bucket int, token binary, cls binary, n binary")
+    met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(meeting), "grp bigint, cls bigint, n bigint, many bigint")
     shared = stash(met.groupBy("grp", "cls").agg(F.max("n").alias("n"), F.max("many").alias("many")), "shared")
     if not len(hot):
         return shared
@@ -559,7 +559,7 @@ def _met(rows: DataFrame, labels: DataFrame | None, sigs: DataFrame, visits: boo
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
 
     rows = rows.select("grp", "tree", "visits", "cls", "n", "label", "sig")
-    return stash(rows.repartition(*where).sortWithinPartitions(*where).mapInArrow(pairs, "a bigint, b bigint"), "linked" if exact else "near")
+    return stash(rows.repartition(*where).sortWithinPartitions(*where).mapInArrow(trimmed(pairs), "a bigint, b bigint"), "linked" if exact else "near")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

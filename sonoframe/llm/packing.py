@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.llm import tokens
-from sonoframe.llm.common import stash, text_slices
+from sonoframe.llm.common import stash, text_slices, trimmed
 
+#: Text bytes whose ids are looked up at once, or one text.
+SLICE = 1 << 20
 #: Partitions whose leftover windows are merged together.
 MERGED = 32
 #: Above all sequence ids that partitions of the first pass give.
@@ -111,7 +113,7 @@ def pack(
 
         packer = Packer(size, windows, emit)
         for batch in batches:
-            for i, j in text_slices(batch.column(text)):
+            for i, j in text_slices(batch.column(text), SLICE):
                 part = batch.slice(i, j - i)
                 flat, at = encoder.ids(part.column(text))
                 flat = flat.astype("<u4")
@@ -127,7 +129,7 @@ def pack(
             yield _batch(rows, names, schema_arrow)
 
     schema_arrow = _arrow(docs.sparkSession, schema)
-    packed = stash(docs.select(key, text).mapInArrow(first, schema), "packed")
+    packed = stash(docs.select(key, text).mapInArrow(trimmed(first), schema), "packed")
 
     final_arrow = pa.schema([f for f in schema_arrow if f.name not in ("grp", "ids")])
 

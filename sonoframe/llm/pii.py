@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import BROADCAST_ROWS, stash, text_slices, with_fields
+from sonoframe.llm.common import BROADCAST_ROWS, stash, text_slices, trimmed, with_fields
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -153,7 +153,7 @@ def revealing_terms(
 
     # a row for each document, entity, term and context, n = 1 on the first of the document's contexts and else 0;
     # term "" stands for the entity itself, entity ANY for all of them
-    pairs = docs.select(text).mapInArrow(near, "entity string, term string, context string, n bigint")
+    pairs = docs.select(text).mapInArrow(trimmed(near), "entity string, term string, context string, n bigint")
     counted = (
         pairs.groupBy("entity", "term", "context")
         .agg(F.sum("n").alias("n"))
@@ -196,7 +196,7 @@ def _document_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
                 counts.update(few.value.intersection({x.lower() for x in _TERM.findall(value.as_py() or "")}))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n_term"])
 
-    return docs.select(text).mapInArrow(run, "term string, n_term bigint").groupBy("term").agg(F.sum("n_term").alias("n_term"))
+    return docs.select(text).mapInArrow(trimmed(run), "term string, n_term bigint").groupBy("term").agg(F.sum("n_term").alias("n_term"))
 
 
 def holding(docs: DataFrame, terms: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -222,7 +222,7 @@ def holding(docs: DataFrame, terms: DataFrame, text: str, keys: tuple[str, ...]
                     found += words
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(at, pa.int64())) for k in keys), pa.array(found, pa.string())], [*keys, "term"])
 
-    words = docs.select(*keys, text).mapInArrow(run, fields)
+    words = docs.select(*keys, text).mapInArrow(trimmed(run), fields)
     return words if few is not None else words.join(terms, "term", "left_semi")
 
 
@@ -301,7 +301,7 @@ def sanitise(docs: DataFrame, text: str = "text", remove_at: float = 0.95, revea
                 kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, kinds), pa.array(texts, pa.string())], fields.names)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(trimmed(run), fields)
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

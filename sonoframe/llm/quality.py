@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import sized, stash, text_slices
+from sonoframe.llm.common import sized, stash, text_slices, trimmed
 from sonoframe.llm.shingles import powers
 
 #: Trigrams of one shard of the model, and bytes of text that one numpy step takes (which needs some 48 times as much; a longer text is a step of its own).
@@ -83,7 +83,7 @@ def _alphabet(docs: DataFrame, text: str) -> np.ndarray:
                 seen[code_points(batch.column(text).slice(i, j - i))[0]] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["c"])
 
-    found = sorted(r.c for r in docs.select(text).mapInArrow(run, "c int").distinct().collect())
+    found = sorted(r.c for r in docs.select(text).mapInArrow(trimmed(run), "c int").distinct().collect())
     table = np.zeros(0x110000, np.int32)
     table[found] = FIRST + np.arange(len(found))
     return table
@@ -201,7 +201,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", digest
 
     known = sized(trusted.select("doc_id", F.lit(True).alias("trusted")))
     marked = docs.join(known, "doc_id", "left").select("fold", F.coalesce("trusted", F.lit(False)).alias("trusted"), text)
-    counts = marked.mapInArrow(count, "key bigint, " + ", ".join(f"{c} bigint" for c in names)).groupBy("key").agg(*(F.sum(c).alias(c) for c in names))
+    counts = marked.mapInArrow(trimmed(count), "key bigint, " + ", ".join(f"{c} bigint" for c in names)).groupBy("key").agg(*(F.sum(c).alias(c) for c in names))
     counts = stash(counts, "counts")
     shards = max(1, -(-counts.count() // SHARD))
     salts = max(2, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // (shards * folds)))  # over which a shard's documents are dealt
@@ -226,7 +226,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", digest
                 )
 
     salt = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int").alias("salt")
-    asked = docs.mapInArrow(request, f"shard int, fold int, doc_id {kind}, digest bigint, keys binary, times binary").select("*", salt)
+    asked = docs.mapInArrow(trimmed(request), f"shard int, fold int, doc_id {kind}, digest bigint, keys binary, times binary").select("*", salt)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +238,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", digest
     models = None
     for fold, own in enumerate(names):
         others = counts.select("key", sum((F.col(c) for c in names if c != own), F.lit(0).cast("bigint")).alias("c"))
-        one = kneser_ney(others, n).mapInArrow(model, "shard int, keys binary, times binary").withColumn("fold", F.lit(fold))
+        one = kneser_ney(others, n).mapInArrow(trimmed(model), "shard int, keys binary, times binary").withColumn("fold", F.lit(fold))
         models = one if models is None else models.unionByName(one)
     models = models.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     both = models.select("shard", "salt", "fold", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("digest"), "keys", "times", F.lit(0).alias("asks"))
@@ -268,7 +268,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", digest
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "logp", "rows"])
 
     where = ["shard", "salt", "fold"]
-    sums = both.repartition(shards * salts * folds, *where).sortWithinPartitions(*where, "asks").mapInArrow(look_up, f"doc_id {kind}, digest bigint, n bigint, logp double, rows bigint")
+    sums = both.repartition(shards * salts * folds, *where).sortWithinPartitions(*where, "asks").mapInArrow(trimmed(look_up), f"doc_id {kind}, digest bigint, n bigint, logp double, rows bigint")
     # each text has one trigram below n, that of both marks before it, which tells how often rows are repeated
     each = lambda c: (F.sum(c) / F.sum("rows")).alias(c)
     return sums.groupBy("doc_id", "digest").agg(each("n").cast("bigint").alias("n"), each("logp"))
