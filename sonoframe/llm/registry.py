@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import byte_bpe, chat, html_text, jaccard, packing, pii, quality, token_counts, vectors
+from sonoframe.llm import byte_bpe, chat, html_text, jaccard, mixing, packing, pii, quality, token_counts, vectors
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_top_k": vectors.top_query,
         "op9_packing": packing.query,
         "op10_pii": pii.query,
+        "op13_source_mixing": mixing.query,
     }
 
 
