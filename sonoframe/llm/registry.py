@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import byte_bpe, chat, html_text, jaccard, mixing, packing, pii, quality, token_counts, vectors
+from sonoframe.llm import byte_bpe, chat, html_text, jaccard, mixing, packing, phrases, pii, quality, spelling, token_counts, vectors
 
 
 def queries() -> dict:
@@ -17,9 +17,18 @@ def queries() -> dict:
         "op8_exact_top_k": vectors.top_query,
         "op9_packing": packing.query,
         "op10_pii": pii.query,
+        "op11_phrase_collocations": phrases.query,
+        "op12_spelling_variants": spelling.query,
         "op13_source_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_chat_formatting": chat.ORACLE_SQL, "op5_embedding_near_dedup": vectors.NEAR_SQL, "op7_ngram_jaccard": jaccard.ORACLE_SQL, "op8_exact_top_k": vectors.TOP_SQL}
+    return {
+        "op3_chat_formatting": chat.ORACLE_SQL,
+        "op5_embedding_near_dedup": vectors.NEAR_SQL,
+        "op7_ngram_jaccard": jaccard.ORACLE_SQL,
+        "op8_exact_top_k": vectors.TOP_SQL,
+        "op11_phrase_collocations": phrases.ORACLE_SQL,
+        "op12_spelling_variants": spelling.ORACLE_SQL,
+    }
