@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +15,11 @@ from sonoframe.llm.common import ragged_index, sized, stash, text_buffer, text_s
 from sonoframe.llm.shingles import mix, powers
 
 #: Text bytes whose edges are summed before they travel, or one text.
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Parts of the graph for each input partition.
 PARTS = 8
-#: Rows in which frequent words are looked for, and the share that makes one; pairs of them are dealt by edge, other pairs by node.
-SAMPLE, SHARE = 1000, 512
+#: Partitions in whose first rows frequent words are looked for, and the share that makes one; pairs of them are dealt by edge, other pairs by node.
+SAMPLE, SHARE = 16, 512
 #: Stands for "the piece has ended".
 END = 0
 
@@ -30,30 +31,37 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
-PARTIAL = "lang string, part int, a array<bigint>, b array<bigint>, c array<bigint>, f array<bigint>, h array<bigint>, w array<string>"
+PARTIAL = "lang string, part int, a array<bigint>, b array<bigint>, c array<bigint>, f array<bigint>, w array<string>"
 REDUCED = "kind string, lang string, part int, a array<bigint>, b array<bigint>, c array<bigint>, f array<bigint>, w array<string>"
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, hashes and pieces of all words; pieces of different texts differ."""
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and their pieces; pieces of different texts differ."""
     apart = _BLANK[data] | _BREAK[data]
     first = offsets[:-1][offsets[:-1] < len(data)]
-    start = ~apart
+    start, end = ~apart, ~apart
     start[1:] &= apart[:-1]
     start[first] = ~apart[first]
+    end[:-1] &= apart[1:]
+    before = first[first > 0] - 1
+    end[before] = ~apart[before]
     starts = np.flatnonzero(start)
+    piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts] + np.searchsorted(offsets, starts, side="right")
+    return starts, np.flatnonzero(end) + 1, piece
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, with A-Z as a-z."""
     if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    place = np.arange(len(data)) - starts[np.maximum(np.cumsum(start) - 1, 0)]
-    place[apart] = 0
-    value = (_LOWER[data] + np.uint64(1)) * powers(int(place.max()) + 1)[place]
-    value[apart] = 0
-    length = np.add.reduceat(~apart, starts, dtype=np.int64)
-    hashes = mix(np.add.reduceat(value, starts) + length.astype(np.uint64) * _ODD).view(np.int64)
+        return np.zeros(0, np.int64)
+    length = ends - starts
+    at = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(at, length)
+    value = powers(int(length.max()))[place]
+    value *= _LOWER[data[np.repeat(starts - at, length) + np.arange(len(place))]] + np.uint64(1)
+    hashes = mix(np.add.reduceat(value, at) + length.astype(np.uint64) * _ODD).view(np.int64)
     hashes[hashes == END] = 1
-    piece = np.cumsum(_BREAK[data])[starts] + np.searchsorted(offsets, starts, side="right")
-    return starts, starts + length, hashes, piece
+    return hashes
 
 
 def edges_of(hashes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +118,7 @@ class Graph:
     def __init__(self, docs: DataFrame, least: int = 10, lang: str = "lang", text: str = "text"):
         rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
         parts = PARTS * max(1, rows.rdd.getNumPartitions())
-        counts = rows.limit(SAMPLE).mapInArrow(_words, "a bigint, f bigint").groupBy("a").agg(F.sum("f").alias("f"))
+        counts = rows.mapInArrow(_words, "a bigint, f bigint").groupBy("a").agg(F.sum("f").alias("f"))
         total = counts.agg(F.sum("f")).first()[0] or 0
         frequent = np.array([r["a"] for r in counts.where(F.col("f") * SHARE >= total).collect()], np.int64)  # SHARE words at most
 
@@ -147,19 +155,22 @@ class Graph:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j in text_slices(batch.column("text")):
-            _, _, hashes, _ = split_words(*text_buffer(batch.column("text").slice(i, j - i)))
-            a, f = np.unique(hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(f)], ["a", "f"])
+    """Words of the first rows of the first partitions; nothing else is read."""
+    batch = next(batches, None) if TaskContext.get().partitionId() < SAMPLE else None
+    if batch is not None and len(batch):
+        i, j = next(text_slices(batch.column("text"), 1 << 20))
+        data, offsets = text_buffer(batch.column("text").slice(i, j - i))
+        a, f = np.unique(hashed(data, *split_words(data, offsets)[:2]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(f)], ["a", "f"])
 
 
 def _partial(batch: pa.RecordBatch, parts: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Summed edges and distinct words of one slice, a row for each language and part."""
     data, offsets = text_buffer(batch.column("text"))
-    starts, ends, hashes, piece = split_words(data, offsets)
+    starts, ends, piece = split_words(data, offsets)
     if not len(starts):
         return
+    hashes = hashed(data, starts, ends)
     langs = batch.column("lang").dictionary_encode()
     lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[np.searchsorted(offsets, starts, side="right") - 1]
     a, b, c = edges_of(hashes, piece)
@@ -180,8 +191,8 @@ def _partial(batch: pa.RecordBatch, parts: int, frequent: np.ndarray) -> Iterato
     word_cuts = np.append(np.searchsorted(word_to, groups), len(word_to))
     names = langs.dictionary.take(pa.array(groups // parts))
     yield pa.RecordBatch.from_arrays(
-        [names, pa.array((groups % parts).astype(np.int32)), *(_lists(x, cuts) for x in (a, b, c, f)), _lists(hashes[at], word_cuts), pa.ListArray.from_arrays(pa.array(word_cuts, pa.int32()), spelt)],
-        ["lang", "part", "a", "b", "c", "f", "h", "w"],
+        [names, pa.array((groups % parts).astype(np.int32)), *(_lists(x, cuts) for x in (a, b, c, f)), pa.ListArray.from_arrays(pa.array(word_cuts, pa.int32()), spelt)],
+        ["lang", "part", "a", "b", "c", "f", "w"],
     )
 
 
@@ -216,9 +227,9 @@ def _reduced(table: pa.Table, parts: int, frequent: np.ndarray, least: int) -> p
     u, flow, to = u[order := np.argsort(to, kind="stable")], flow[order], to[order]
     for i, j in zip(cuts := np.flatnonzero(np.append(True, np.diff(to) != 0)) if len(to) else [], [*cuts[1:], len(to)], strict=True):
         put("flows", int(to[i]), a=u[i:j], f=flow[i:j])
-    h = _flat(table, "h")
-    h, at = np.unique(h, return_index=True)
-    put("spelt", part, a=h, w=pc.list_flatten(table.column("w")).take(pa.array(at)).to_pylist())
+    spelt = pc.unique(pc.list_flatten(table.column("w")))
+    data, offsets = text_buffer(spelt)
+    put("spelt", part, a=hashed(data, offsets[:-1], offsets[1:]), w=spelt.to_pylist())
     kinds = {"kind": pa.string(), "lang": pa.string(), "part": pa.int32(), "w": pa.list_(pa.string())}
     return pa.table({k: pa.array(v, kinds.get(k, pa.list_(pa.int64()))) for k, v in rows.items()})
 
