@@ -32,18 +32,18 @@ class Packer:
     does, a new window opens while there are fewer than ``windows``; else the
     fullest window takes as much of the piece as it has room for and is emitted,
     and the rest of the piece goes on. So every emitted window is full.
-    ``emit(window)`` gets lists of ``(piece, begin, end)``.
+    ``emit(window)`` gets lists of what ``cut(piece, begin, end)`` made of each part.
     """
 
-    def __init__(self, size: int, windows: int, emit):
-        self.size, self.windows, self.emit = size, windows, emit
+    def __init__(self, size: int, windows: int, emit, cut=lambda *part: part):
+        self.size, self.windows, self.emit, self.cut = size, windows, emit, cut
         self.open: list[tuple[int, int]] = []  # (room, number), sorted
         self.held: dict[int, list] = {}
         self.next = 0
 
     def add(self, piece, begin: int, end: int) -> None:
         while end - begin >= self.size:
-            self.emit([(piece, begin, begin + self.size)])
+            self.emit([self.cut(piece, begin, begin + self.size)])
             begin += self.size
         while begin < end:
             at = bisect.bisect_left(self.open, (end - begin, -1))
@@ -54,7 +54,7 @@ class Packer:
             at = min(at, len(self.open) - 1) if self.open[-1][0] >= end - begin else 0
             room, number = self.open.pop(at)
             taken = min(room, end - begin)
-            self.held[number].append((piece, begin, begin + taken))
+            self.held[number].append(self.cut(piece, begin, begin + taken))
             begin += taken
             if room > taken:
                 bisect.insort(self.open, (room - taken, number))
@@ -105,13 +105,13 @@ def pack(
         def emit(window, grp=None):
             nonlocal sequence
             offset = 0
-            for (doc, ids), begin, end in window:
-                cut = ids[begin:end].tobytes()
-                rows.append((doc, begin, end - begin, zlib.crc32(cut), len(ids), sequence, offset, grp, None if grp is None else cut))
-                offset += end - begin
+            for doc, begin, ids, whole in window:
+                rows.append((doc, begin, len(ids) // 4, zlib.crc32(ids), whole, sequence, offset, grp, None if grp is None else ids))
+                offset += len(ids) // 4
             sequence += 1
 
-        packer = Packer(size, windows, emit)
+        # an open window holds its own ids only, not the documents or slices that they come from
+        packer = Packer(size, windows, emit, lambda piece, begin, end: (piece[0], begin, piece[1][begin:end].tobytes(), len(piece[1])))
         for batch in batches:
             for i, j in text_slices(batch.column(text), SLICE):
                 part = batch.slice(i, j - i)

@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 
 from sonoframe.llm.common import ragged_index, sums, text_buffer
 
-#: Distinct pieces that a Python worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+#: Distinct pieces that a Python worker remembers, and their characters; beyond either it starts afresh.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -119,16 +119,18 @@ class PieceMemory:
 
     def forget(self):
         self.slot: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.zeros(0, np.uint32)
         self.length = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
 
     def slots(self, pieces: list[str]) -> np.ndarray:
-        if len(self.slot) + len(pieces) > REMEMBERED:
+        if len(self.slot) + len(pieces) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         known = self.slot
         new = [x for x in pieces if x not in known]
         if new:
+            self.chars += sum(map(len, new))
             flat, lengths = self.encode(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])

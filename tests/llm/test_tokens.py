@@ -109,3 +109,27 @@ def test_only_asked_counts_are_read(spark, docs, tmp_path):
     got = token_counts.token_counts(other, WORD, cache)
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == [(1, 3), (2, 0), (3, 3)]
     assert spark.read.parquet(cache).count() == before + 1
+
+
+def test_counts_keep_columns_named_as_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "two words", "mine", "too")], "doc_id bigint, text string, digest_of_content string, digest_of_content_ string")
+    row = token_counts.token_counts(docs, WORD, str(tmp_path / "cache")).first()
+    assert (row.digest_of_content, row.digest_of_content_, row.n_tokens) == ("mine", "too", 2)
+
+
+def test_memory_of_long_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_CHARS", 50)
+    encoder = tokens.Encoder(WORD)
+    for x in [*TEXTS, *TEXTS]:
+        flat, _ = encoder.ids(pa.array([x], pa.string()))
+        assert flat.tolist() == library(WORD)[TEXTS.index(x)]
+    assert encoder.memory.chars <= 50 + max(len(x or "") for x in TEXTS)
+
+
+def test_open_windows_hold_their_own_ids_only():
+    held = []
+    packer = packing.Packer(8, 3, held.append, lambda piece, begin, end: piece[begin:end].tobytes())
+    for n in (5, 7, 3, 30, 2, 6):
+        packer.add(np.arange(n, dtype="<u4"), 0, n)
+    parts = [x for window in [*held, *packer.leftovers()] for x in window]
+    assert all(isinstance(x, bytes) for x in parts) and sum(map(len, parts)) == 4 * 53
