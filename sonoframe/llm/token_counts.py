@@ -72,6 +72,8 @@ def token_counts(
     new = new.select("digest", "n_tokens")
     counts = new if known is None else new.unionByName(known)
     own = "digest_of_content"
+    while own in docs.columns:
+        own += "_"
     return (
         docs.drop("n_bytes", "n_tokens")
         .withColumns({own: digest, "n_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")})
