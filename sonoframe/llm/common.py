@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: A side is broadcast only when it has been counted and has at most so many rows.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of strings that are sent to workers at most.
+BROADCAST_BYTES = 32 << 20
 #: Text bytes that one numpy step holds; a longer single text is a step of its own.
 SLICE_BYTES = 4 << 20
 

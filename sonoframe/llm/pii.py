@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import BROADCAST_ROWS, stash, text_slices, trimmed, with_fields
+from sonoframe.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, stash, text_slices, trimmed, with_fields
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -227,9 +227,14 @@ def holding(docs: DataFrame, terms: DataFrame, text: str, keys: tuple[str, ...]
 
 
 def _few(terms: DataFrame):
-    """The terms as a broadcast set if no more than ``BROADCAST_ROWS``."""
-    rows = terms.limit(BROADCAST_ROWS + 1).collect()
-    return None if len(rows) > BROADCAST_ROWS else terms.sparkSession.sparkContext.broadcast({x[0] for x in rows})
+    """The terms as a broadcast set if they are few and short."""
+    return terms.sparkSession.sparkContext.broadcast({x["term"] for x in terms.collect()}) if _small(terms) else None
+
+
+def _small(terms: DataFrame) -> bool:
+    """Whether the terms are few and short enough to be sent to all workers."""
+    row = terms.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    return row["n"] <= BROADCAST_ROWS and row["bytes"] <= BROADCAST_BYTES
 
 
 def all_spans(text: str, terms: set[str] | frozenset[str]) -> list[tuple[int, int, int]]:
@@ -237,9 +242,16 @@ def all_spans(text: str, terms: set[str] | frozenset[str]) -> list[tuple[int, in
     base = base_spans(text)
     if not terms:
         return base
-    covered = [(a, b) for _, a, b in base]
-    found = [m.span() for m in _TERM.finditer(text) if m[0].lower() in terms]
-    return base + [(4, a, b) for a, b in found if not any(a < d and c < b for c, d in covered)]
+    covered = sorted((a, b) for _, a, b in base)
+    found, at, reach = [], 0, 0  # both in order: ``reach`` is where the base spans that begin before the term's end stop
+    for m in _TERM.finditer(text):
+        if m[0].lower() in terms:
+            while at < len(covered) and covered[at][0] < m.end():
+                reach = max(reach, covered[at][1])
+                at += 1
+            if reach <= m.start():
+                found.append((4, *m.span()))
+    return base + found
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], remove: set[str] | frozenset[str]) -> str:
@@ -273,10 +285,11 @@ def sanitise(docs: DataFrame, text: str = "text", remove_at: float = 0.95, revea
     docs = docs.drop(prefix + "spans", prefix + "text")
     told = revealing_terms(docs, text, **limits) if revealing is None else revealing
     worst = told.groupBy("term").agg(F.max("p_entity").alias("p")).select("term", (F.col("p") >= remove_at).alias("gone"))
-    flagged = worst.limit(BROADCAST_ROWS + 1).collect()
+    worst = stash(worst, "flagged")
+    flagged = worst.collect() if _small(worst) else None
     fields = with_fields(docs, f"`{prefix}spans` array<struct<kind:string,start:bigint,end:bigint>>, `{prefix}text` string")
     own = "terms of this row"
-    if len(flagged) <= BROADCAST_ROWS:
+    if flagged is not None:
         sent = spark.sparkContext.broadcast(({x[0] for x in flagged}, {x[0] for x in flagged if x[1]}))
     else:  # too many to send: each row gets its own
         sent = None

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -147,3 +148,23 @@ def test_terms_equal_plain_counts(spark):
     assert {(r.term, r.entity) for r in found} == set(want) and ("quentin", "phone:442079460958") in want
     for r in found:
         assert (r.p_entity, r.bits) == pytest.approx(want[r.term, r.entity])
+
+
+def test_terms_outside_base_spans():
+    """Also with very many of both in one text: both lists are walked once."""
+    text = "quentin@x.org quentin +44 (20) 7946 0958quentin quentin" * 3
+    base = brute(text)
+    want = [m.span() for m in re.finditer(r"\w{3,}", text) if m[0] == "quentin" and not any(m.start() < d and c < m.end() for _, c, d in base)]
+    assert [(a, b) for k, a, b in pii.all_spans(text, {"quentin"}) if k == 4] == want and want
+    many = "jo@x.com quentin " * 100_000
+    began = time.time()
+    assert len(pii.all_spans(many, {"quentin"})) == 200_000 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("room", [1 << 20, 3])
+def test_terms_too_long_to_send(spark, monkeypatch, room):
+    docs = spark.createDataFrame([(i, f"Call Quentin {w} +44 (20) 7946 0958") for i, w in enumerate(("now", "then", "soon", "later"))] + [(9 + i, "x") for i in range(100)], "doc_id bigint, text string")
+    told = spark.createDataFrame([("quentin", "phone:442079460958", 1.0, 5.0)], "term string, entity string, p_entity double, bits double")
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", room)
+    got = {r.doc_id: r.pii_text for r in pii.sanitise(docs, revealing=told).collect()}
+    assert got[0] == "Call  now [PHONE]" and got[10] == "x" and len(got) == 104
