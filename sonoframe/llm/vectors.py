@@ -100,7 +100,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     empty table.
     """
     norm = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("x"))
+    kind = dict(rows.dtypes)[key]
+    rows = rows.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).alias("x"))
     good = rows.where(F.col("vec_id").isNotNull() & finite(F.col("x")) & F.exists("x", lambda x: x != 0))
     classes = stash(good.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "classes")
     n = classes.count()
@@ -182,9 +183,9 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     whole = rows.join(facts, (rows["h"] == facts["h"]) & (rows["x"] == facts["x"]) & rows["vec_id"].isNotNull(), "left")
     component = F.coalesce("component", "rep", "vec_id")
     return whole.select(
-        F.col("vec_id").alias(key),
+        F.col("vec_id").cast(kind).alias(key),
         F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"),
-        component.alias("component_id"),
+        component.cast(kind).alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )
 
@@ -268,12 +269,16 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key
     of each query, then those whose upper bound reaches the kth score so found,
     which makes the result certain. Queries go in blocks against blocks of cells.
 
-    Vectors that are null, or hold a null or non-finite component, take no part;
-    vectors of different lengths have no score with each other. Rows without a
+    Vectors that are null, or hold a null or non-finite component, take no part.
+    Nor do those with a component whose |scale * x| is the root of 2 ** 60 / d or
+    more (d components), since products of such vectors pass 64 bits. Keys are
+    whole numbers of any type; ids are given back as bigint. Vectors of different lengths have no score with each other. Rows without a
     key take no part; of rows that share one, the smallest vector counts. Ties go
     to the smaller key. Extra columns are dropped; empty tables give empty ones.
     """
-    whole = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("x")).where(F.col("vec_id").isNotNull() & finite(F.col("x")))
+    whole = rows.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).alias("x")).where(F.col("vec_id").isNotNull() & finite(F.col("x")))
+    most = F.sqrt(F.lit(2.0**60) / F.greatest(F.size("x"), F.lit(1)))
+    whole = whole.where(F.forall("x", lambda x: F.abs(x.cast("double")) * scale < most))
     whole = whole.groupBy("vec_id").agg(F.min("x").alias("x"))
     whole = whole.select("vec_id", F.transform("x", lambda x: F.floor(scale * x.cast("double"))).alias("x"))
     whole = stash(whole, "vectors")

@@ -121,3 +121,20 @@ def test_top_k_of_many_queries(spark):
         score = cells @ cells[q]
         score[q] = np.iinfo(np.int64).min
         assert got[q] == (int(score.argmax()), int(score.max()))
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "bigint"])
+def test_key_types_and_magnitudes(spark, kind):
+    """Keys of any whole type; vectors whose products pass 64 bits have no score, however large they are."""
+    x = [[1.0, 0.5, 0.25], [1.0, 0.5, 0.26], [-1.0, 2.0, 0.0], [1e5, -2e5, 3e5], [1e300, -1e300, 1.0], [1e18, 1e18, 1.0], [3e8, 0.0, 0.0], [1e-300, 1e-300, 0.0]]
+    df = spark.createDataFrame(list(enumerate(x)), f"vec_id {kind}, embedding array<double>")
+    near = vectors.near_duplicates(df)
+    assert dict(near.dtypes)["vec_id"] == dict(near.dtypes)["component_id"] == kind
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near.collect() if r.n_links) == [(i, 3, 0) for i in (0, 1, 5, 7)]
+    cells = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in enumerate(x) if max(map(abs, v)) * 1024 < (2.0**60 / 3) ** 0.5}
+    assert set(cells) == {0, 1, 2, 3, 7}
+    want = []
+    for q in cells:
+        order = sorted((-int(cells[q] @ cells[v]), v) for v in cells if v != q)
+        want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(order)]
+    assert sorted(tuple(r) for r in vectors.top_k(df, every=1).collect()) == sorted(want)
