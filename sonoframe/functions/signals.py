@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoframe.functions.tracks import Pitch, best_pitch, resampled  # noqa: F401
+
 
 def frame(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     """Overlapping frames as rows; a shorter signal has none."""
@@ -135,19 +137,6 @@ def warped(x: np.ndarray, factor: float) -> np.ndarray:
     return b + 0.5 * u * (c - a + u * (2 * a - 5 * b + 4 * c - d + u * (3 * (b - c) + d - a)))
 
 
-def resampled(x: np.ndarray, rate: int, target: int, taps: int = 32) -> np.ndarray:
-    """Band-limited resampling by windowed sinc interpolation."""
-    if rate == target or not len(x):
-        return x
-    cut = min(1.0, target / rate)
-    at = np.arange(int(len(x) * target / rate)) * rate / target
-    near = np.floor(at)[:, None] + np.arange(-taps, taps + 1)
-    offset = at[:, None] - near
-    kernel = cut * np.sinc(cut * offset) * (0.5 + 0.5 * np.cos(np.pi * np.clip(offset / (taps + 1), -1, 1)))
-    inside = (near >= 0) & (near < len(x))
-    return (np.where(inside, x[np.clip(near, 0, len(x) - 1).astype(int)], 0.0) * kernel).sum(axis=1)
-
-
 def decode_wav(data: bytes, start: float = 0.0, end: float | None = None, normalise: bool = True) -> tuple[np.ndarray, int] | None:
     """Mono samples from -1 to 1 between two times, and the rate, of PCM with 8, 16, 24 or 32 bits; None if it can't be read.
 
@@ -342,21 +331,33 @@ def sibilant_centroid(x: np.ndarray, rate: float, size: int, hop: int, split: fl
     return float(((some * f[high]).sum(axis=1)[total > 0] / total[total > 0]).mean())
 
 
-def glide_or_fricative(x: np.ndarray, rate: float, shortest: float = 0.03) -> tuple[str, float, float, float]:
-    """Whether a consonant is a fricative ("sheismo") or a glide ("yeismo"): class, confidence, centroid in Hz, share of energy from 2.5 kHz."""
-    if len(x) / rate < shortest:
-        return "unknown", 0.0, 0.0, 0.0
-    size = min(2048, len(x))
-    amplitude, f = np.sqrt(power_frames(x, size, size // 4)), np.fft.rfftfreq(size, 1 / rate)
-    up, down = (amplitude[:, f >= 2500] ** 2).sum(), (amplitude[:, (f >= 100) & (f < 2500)] ** 2).sum()
-    share = float(up / (up + down + 1e-10))
-    total = amplitude.sum(axis=1)
-    middle = float(np.where(total > 0, (amplitude * f).sum(axis=1) / np.maximum(total, 1e-300), 0.0).mean())
-    if (middle > 4000 and share > 0.25) or (share > 0.4 and middle > 2500):
-        return "sheismo", round(min(1.0, share * 1.5), 3), round(middle, 1), round(share, 3)
-    if share < 0.2 or middle < 1500:
-        return "yeismo", round(min(1.0, (1 - share) * 1.2), 3), round(middle, 1), round(share, 3)
-    return "intermediate", 0.5, round(middle, 1), round(share, 3)
+#: What makes a consonant "sheismo" or "yeismo" (centroid in Hz, share of energy from 2.5 kHz), how sure that
+#: is for a share, and the shortest consonant in seconds. The first line that holds counts.
+CONSONANTS = {
+    "sheismo": (lambda hz, share: ((hz > 4000) & (share > 0.25)) | ((share > 0.4) & (hz > 2500)), lambda share: 1.5 * share),
+    "yeismo": (lambda hz, share: (share < 0.2) | (hz < 1500), lambda share: 1.2 * (1 - share)),
+    "intermediate": (lambda hz, share: np.full(len(hz), True), lambda share: np.full(len(share), 0.5)),
+}
+SHORTEST_CONSONANT = 0.03
+
+
+def consonants(x: np.ndarray, rate: float) -> dict[str, np.ndarray]:
+    """Of rows of one length: consonant (a glide, a fricative, between them, or unknown if too short), how sure, centroid in Hz, share of energy from 2.5 kHz."""
+    if x.shape[1] / rate < SHORTEST_CONSONANT:
+        none = np.zeros(len(x))
+        return {"consonant": np.full(len(x), "unknown"), "consonant_confidence": none, "centroid_hz": none, "high_share": none}
+    size = min(2048, x.shape[1])
+    power = np.stack([power_frames(row, size, size // 4) for row in x])
+    f = np.fft.rfftfreq(size, 1 / rate)
+    energy = power.sum(axis=1)
+    high, low = energy[:, f >= 2500].sum(axis=1), energy[:, (f >= 100) & (f < 2500)].sum(axis=1)
+    share = high / (high + low + 1e-10)
+    amplitude = np.sqrt(power)
+    weight = amplitude.sum(axis=2)
+    hz = np.divide(amplitude @ f, weight, out=np.zeros_like(weight), where=weight > 0).mean(axis=1)
+    holds = [rule(hz, share) for rule, _ in CONSONANTS.values()]
+    sure = np.select(holds, [np.minimum(1.0, of(share)) for _, of in CONSONANTS.values()])
+    return {"consonant": np.select(holds, list(CONSONANTS), ""), "consonant_confidence": sure.round(3), "centroid_hz": hz.round(1), "high_share": share.round(3)}
 
 
 def speech_rate(x: np.ndarray, rate: float, size: int, hop: int, shortest: float = 0.5) -> float:
@@ -379,16 +380,31 @@ def speech_rate(x: np.ndarray, rate: float, size: int, hop: int, shortest: float
     return onsets / (len(x) / rate) if onsets >= 2 else 0.0
 
 
-def first_prominence(level: np.ndarray, f: np.ndarray) -> float:
-    """Highest peak of an envelope from 200 to 800 Hz over its least value from there to 1500 Hz; 0 without a peak above -30 dB."""
-    inside = np.flatnonzero((f >= 200) & (f <= 800))
-    part = level[inside]
-    peaks = 1 + np.flatnonzero((part[1:-1] > part[:-2]) & (part[1:-1] > part[2:]) & (part[1:-1] >= -30)) if len(part) > 2 else np.zeros(0, int)
-    if not len(peaks):
-        return 0.0
-    top = inside[peaks[np.argmax(part[peaks])]]
-    valley = level[(f > f[top]) & (f <= 1500)]
-    return round(float(level[top] - valley.min()), 2) if len(valley) else 0.0
+#: Where the first resonance is looked for, how far the valley behind it may lie (Hz), and the least peak (dB).
+FIRST, VALLEY, LEAST_PEAK = (200, 800), 1500, -30
+
+
+def first_prominence(level: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Of rows of envelopes in dB: the highest peak in ``FIRST`` over the least value from there to ``VALLEY``; 0 without one."""
+    peak = np.zeros(level.shape, bool)
+    peak[:, 1:-1] = (level[:, 1:-1] > level[:, :-2]) & (level[:, 1:-1] > level[:, 2:]) & (level[:, 1:-1] >= LEAST_PEAK)
+    inside = np.flatnonzero((f >= FIRST[0]) & (f <= FIRST[1]))
+    peak[:, np.setdiff1d(np.arange(len(f)), inside[1:-1])] = False
+    top = np.where(peak, level, -np.inf).argmax(axis=1)
+    behind = (f > f[top][:, None]) & (f <= VALLEY)
+    found = peak.any(axis=1) & behind.any(axis=1)
+    height = level[np.arange(len(level)), top] - np.where(behind, level, np.inf).min(axis=1)
+    return np.where(found, height, 0.0).round(2)
+
+
+def middle_envelopes(x: np.ndarray, rate: float, order: int = 14, bins: int = 1025, seconds: float = 1.5) -> np.ndarray:
+    """Of rows of one length: the predictor's spectrum of the middle ``seconds``, in dB below its peak, at ``bins`` frequencies below half the rate."""
+    n = min(x.shape[1], int(seconds * rate))
+    start = (x.shape[1] - n) // 2
+    y = x[:, start : start + n]
+    y = np.concatenate([y[:, :1], y[:, 1:] - 0.97 * y[:, :-1]], axis=1)
+    level = np.stack([-20 * np.log10(np.maximum(np.abs(np.fft.rfft(predictor(row, order), 2 * bins))[:bins], 1e-20)) for row in y])
+    return level - level.max(axis=1, keepdims=True)
 
 
 def pulses(x: np.ndarray, rate: float, f0: float) -> tuple[np.ndarray, np.ndarray]:
@@ -444,36 +460,83 @@ def middle_formants(x: np.ndarray, rate: float, order: int, shortest: float = 0.
     return found if len(found) == 3 else [None] * 3
 
 
+def voice_of(x: np.ndarray, rate: float) -> tuple[float, float]:
+    """Mean pitch of a recording's voiced frames, on the best path over all of it, and their mean harmonics-to-noise ratio; 0 without voice."""
+    how = Pitch()
+    f0, strength = best_pitch(x, rate, how)
+    voiced = f0 > 0
+    if not voiced.any():
+        return 0.0, 0.0
+    height = strength[voiced] + how.octave * np.log2(how.low / f0[voiced])
+    return float(f0[voiced].mean()), float(np.mean([harmonicity(h) for h in height]))
+
+
+def mean_prominence(x: np.ndarray, rate: float, size: int = 2048) -> float:
+    """Cepstral prominence, the mean over frames of the whole recording; one frame if it is shorter than two."""
+    frames = frame(x, size, size // 2) if len(x) > size else x[None]
+    return float(np.mean([cepstral_prominence(row, rate) for row in frames]))
+
+
 def recording_measures(rows: DataFrame, rate: float, order: int = 10, size: int = 512) -> DataFrame:
     """The keys of ``rows`` and measures of each recording ``x``: level, tilt, sibilants, consonant class, rate of speech, voice and resonances.
 
-    Recordings without sound (the highest sample below 1e-5), empty or not finite ones have nulls.
+    All of a recording counts, but for the envelope, which is that of its middle
+    1.5 seconds (:func:`middle_envelopes`), and the resonances around its middle.
+    Recordings without sound (the highest sample below 1e-5), empty or not finite
+    ones have nulls. Recordings of one length are one matrix.
     """
     keys = [f for f in rows.schema.fields if f.name != "x"]
-    hop = size // 4
-
-    def one(x):
-        if x is None or len(x) < size or not np.isfinite(x).all() or np.abs(x).max() < 1e-5:
-            return [None] * len(RECORDED)
-        f = np.fft.rfftfreq(size, 1 / rate)
-        power = power_frames(x, size, hop)
-        some = (f >= 100) & (f <= 5000)
-        slope = np.polyfit(np.log2(f[some]), 10 * np.log10(power.mean(axis=0)[some] + 1e-10), 1)[0]
-        f0, height = pitch(x[: 4 * size], rate)
-        kind, sure, _, share = glide_or_fricative(x, rate)
-        jitter, shimmer = perturbation(x, rate, f0)
-        envelope_db = envelope(x[: int(1.5 * rate)], order, 256)
-        return [
-            20 * np.log10(max(np.sqrt((x * x).mean()), 1e-10)), slope, sibilant_centroid(x, rate, size, hop), kind, sure, share, speech_rate(x, rate, size, hop),
-            f0, harmonicity(height), jitter, shimmer, cepstral_prominence(x[: 4 * size], rate), first_prominence(envelope_db, np.arange(256) * rate / 512), *middle_formants(x, rate, order),
-        ]
+    f = np.fft.rfftfreq(size, 1 / rate)
+    some = (f >= 100) & (f <= 5000)
+
+    def matrix(x: np.ndarray) -> dict:
+        power = np.stack([power_frames(row, size, size // 4).mean(axis=0) for row in x])
+        kind = consonants(x, rate)
+        voice = np.array([voice_of(row, rate) for row in x])
+        rough = np.array([perturbation(row, rate, f0) for row, f0 in zip(x, voice[:, 0], strict=True)])
+        middle = [middle_formants(row, rate, order) for row in x]
+        envelopes = middle_envelopes(x, rate)
+        return {
+            "rms_db": 20 * np.log10(np.maximum(np.sqrt((x * x).mean(axis=1)), 1e-10)),
+            "tilt_db": np.polyfit(np.log2(f[some]), 10 * np.log10(power[:, some] + 1e-10).T, 1)[0],
+            "s_centroid_hz": [sibilant_centroid(row, rate, size, size // 4) for row in x],
+            "consonant": kind["consonant"], "consonant_confidence": kind["consonant_confidence"], "high_share": kind["high_share"],
+            "syllables_per_s": [speech_rate(row, rate, size, size // 4) for row in x],
+            "f0_hz": voice[:, 0], "hnr_db": voice[:, 1], "jitter": rough[:, 0], "shimmer": rough[:, 1],
+            "cpp_db": [mean_prominence(row, rate) for row in x],
+            "f1_prominence_db": first_prominence(envelopes, np.arange(envelopes.shape[1]) * rate / 2 / envelopes.shape[1]),
+        } | {f"f{i + 1}_mid": [m[i] for m in middle] for i in range(3)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["x"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+            for n in np.unique(lengths).tolist():
+                alike = np.flatnonzero(lengths == n)
+                for i in range(0, len(alike), max(1, (1 << 20) // max(n, 1))):
+                    part = batch.iloc[alike[i : i + max(1, (1 << 20) // max(n, 1))]]
+                    found = pd.DataFrame(None, index=part.index, columns=list(RECORDED), dtype=object)
+                    if n >= size:
+                        x = np.stack(part["x"].to_numpy()).astype(float)
+                        good = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1) >= 1e-5)
+                        if good.any():
+                            found[good] = pd.DataFrame(matrix(x[good]), index=part.index[good])[list(RECORDED)].astype(object)
+                    found = found.astype({c: float for c, kind in RECORDED.items() if kind == "double"})
+                    yield pd.concat([part[[f.name for f in keys]], found], axis=1)
+
+    made = rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), *(f"{n} {t}" for n, t in RECORDED.items())]))
+    return made.select(*(f.name for f in keys), *(F.when(~F.isnan(n), F.col(n)).alias(n) if t == "double" else n for n, t in RECORDED.items()))
+
+
+def lpc_envelopes(rows: DataFrame, rate: float) -> DataFrame:
+    """The keys of ``rows`` and ``envelope_db`` of each recording ``x``, see :func:`middle_envelopes`; null for a missing, empty or non-finite one."""
+    keys = [f for f in rows.schema.fields if f.name != "x"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = pd.DataFrame([one(x) for x in batch["x"]], columns=list(RECORDED), index=batch.index)
-            yield pd.concat([batch[[f.name for f in keys]], found], axis=1)
+            found = [None if x is None or not len(x) or not np.isfinite(x).all() else middle_envelopes(np.asarray(x, float)[None], rate)[0] for x in batch["x"]]
+            yield batch[[f.name for f in keys]].assign(envelope_db=found)
 
-    return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), *(f"{n} {t}" for n, t in RECORDED.items())]))
+    return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "envelope_db array<double>"]))
 
 
 RECORDED = dict.fromkeys("rms_db tilt_db s_centroid_hz".split(), "double") | {"consonant": "string"} | dict.fromkeys(

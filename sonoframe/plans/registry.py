@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.plans import arrays, cases, display, joining, monitors, scalars, series, spanish, voices, vowels, waves  # noqa: F401
+from sonoframe.plans import arrays, cases, display, joining, monitors, scalars, series, spanish, tracking, voices, vowels, waves  # noqa: F401
 
 
 def queries() -> dict:

@@ -48,3 +48,4 @@ case(
     ),
 )
 case("recording_measures", lambda spark, d: signals.recording_measures(recordings(spark, d), RATE))
+case("lpc_envelope", lambda spark, d: signals.lpc_envelopes(recordings(spark, d), RATE))

@@ -87,8 +87,11 @@ def test_recordings(spark):
 def test_consonants_and_rate():
     rng, t = np.random.default_rng(1), np.arange(16_000) / 16_000
     hiss = np.diff(rng.standard_normal(16_001))  # energy rises with frequency
-    assert S.glide_or_fricative(hiss, 16_000)[0] == "sheismo" and S.glide_or_fricative(np.sin(2 * np.pi * 300 * t), 16_000)[0] == "yeismo"
-    assert S.glide_or_fricative(hiss[:100], 16_000) == ("unknown", 0.0, 0.0, 0.0)
+    both = S.consonants(np.stack([hiss, np.sin(2 * np.pi * 300 * t), 2 * np.sin(2 * np.pi * 300 * t) + 1.5 * np.sin(2 * np.pi * 3500 * t)]), 16_000)
+    assert both["consonant"].tolist() == ["sheismo", "yeismo", "intermediate"] and both["consonant_confidence"][2] == 0.5
+    share = (np.abs(np.fft.rfft(hiss)) ** 2)[2500:].sum() / (np.abs(np.fft.rfft(hiss)) ** 2)[100:].sum()
+    assert both["high_share"][0] == pytest.approx(share, abs=0.02) and both["consonant_confidence"][0] == 1.0 and both["centroid_hz"][1] < 600
+    assert {k: v.tolist() for k, v in S.consonants(hiss[None, :100], 16_000).items()} == {"consonant": ["unknown"], "consonant_confidence": [0.0], "centroid_hz": [0.0], "high_share": [0.0]}
     assert S.sibilant_centroid(hiss, 16_000, 512, 128) > 4500 and S.sibilant_centroid(np.sin(2 * np.pi * 300 * t), 16_000, 512, 128) == 0
     beats = np.sin(2 * np.pi * 220 * t) * np.exp(-5 * (2.5 * t % 1))  # sharp beginnings, slow ends
     assert S.speech_rate(np.tile(beats[:12_800], 4), 16_000, 512, 128) == pytest.approx(2.5, abs=0.5) and S.speech_rate(beats[:4000], 16_000, 512, 128) == 0
@@ -114,8 +117,8 @@ def test_prominence_and_power():
     f = np.arange(0, 4000, 20.0)
     envelope = -0.01 * np.abs(f - 500) + 10 * np.exp(-(((f - 1400) / 200) ** 2))
     top = envelope[(f >= 200) & (f <= 800)].max()
-    assert S.first_prominence(envelope, f) == pytest.approx(top - envelope[(f > 500) & (f <= 1500)].min(), abs=0.01)
-    assert S.first_prominence(-40 + 0 * f, f) == 0.0
+    both = S.first_prominence(np.stack([envelope, -40 + 0 * f, 0.01 * f]), f)
+    assert both.tolist() == [pytest.approx(top - envelope[(f > 500) & (f <= 1500)].min(), abs=0.01), 0.0, 0.0]
     x = np.random.default_rng(0).standard_normal(1000)
     power = S.power_frames(x, 64, 16)
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
