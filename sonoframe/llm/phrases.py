@@ -7,19 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import ragged_index, sized, stash, text_buffer, text_slices, trimmed
+from sonoframe.llm.common import hand_back, ragged_index, sized, stash, text_buffer, text_slices, trimmed
 from sonoframe.llm.shingles import mix, powers
 
 #: Text bytes whose edges are summed before they travel, or one text.
-SLICE = 3 << 20
+SLICE = 3 << 19
 #: Parts of the graph for each input partition.
 PARTS = 8
-#: Partitions in whose first rows frequent words are looked for, and the share that makes one; pairs of them are dealt by edge, other pairs by node.
-SAMPLE, SHARE = 16, 512
+#: Rows, and characters of each, in which frequent words are looked for, and the share that makes one. Pairs of them are dealt
+#: by edge, other pairs by node: this settles only where things meet; all texts are counted whole.
+SAMPLE, SAMPLE_CHARS, SHARE = 256, 4096, 512
 #: Stands for "the piece has ended".
 END = 0
 
@@ -118,9 +118,10 @@ class Graph:
     def __init__(self, docs: DataFrame, least: int = 10, lang: str = "lang", text: str = "text"):
         rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
         parts = PARTS * max(1, rows.rdd.getNumPartitions())
-        counts = rows.mapInArrow(_words, "a bigint, f bigint").groupBy("a").agg(F.sum("f").alias("f"))
-        total = counts.agg(F.sum("f")).first()[0] or 0
-        frequent = np.array([r["a"] for r in counts.where(F.col("f") * SHARE >= total).collect()], np.int64)  # SHARE words at most
+        sample = pa.array([r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE).collect()], pa.string())
+        data, offsets = text_buffer(sample)
+        seen, times = np.unique(hashed(data, *split_words(data, offsets)[:2]), return_counts=True)
+        frequent = seen[times * SHARE >= times.sum()]
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -128,7 +129,9 @@ class Graph:
                     yield from _partial(batch.slice(i, j - i), parts, frequent)
 
         def reduce(table: pa.Table) -> pa.Table:
-            return _reduced(table, parts, frequent, least)
+            out = _reduced(table, parts, frequent, least)
+            hand_back()
+            return out
 
         split_rows = rows.mapInArrow(trimmed(split), PARTIAL)
         found = stash(split_rows.groupBy("lang", "part").applyInArrow(reduce, REDUCED), "graph")
@@ -146,6 +149,7 @@ class Graph:
             (a,), f = summed([_flat(table, "a")], _flat(table, "f"))
             kept = f >= least
             out = {"lang": [table.column("lang")[0].as_py()] * (int(kept.sum()) + 1), "a": np.append(a[kept], END), "f": np.append(f[kept], f.sum())}
+            hand_back()
             return pa.table(out, pa.schema([("lang", pa.string()), ("a", pa.int64()), ("f", pa.int64())]))
 
         flows = found.where("kind = 'flows'").select("lang", "part", "a", "f")
@@ -154,16 +158,6 @@ class Graph:
         self.totals = words.where(F.col("a") == END).groupBy("lang").agg(F.sum("f").alias("n"))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the first rows of the first partitions; nothing else is read."""
-    batch = next(batches, None) if TaskContext.get().partitionId() < SAMPLE else None
-    if batch is not None and len(batch):
-        i, j = next(text_slices(batch.column("text"), 1 << 20))
-        data, offsets = text_buffer(batch.column("text").slice(i, j - i))
-        a, f = np.unique(hashed(data, *split_words(data, offsets)[:2]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(f)], ["a", "f"])
-
-
 def _partial(batch: pa.RecordBatch, parts: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Summed edges and distinct words of one slice, a row for each language and part."""
     data, offsets = text_buffer(batch.column("text"))
