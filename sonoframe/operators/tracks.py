@@ -29,12 +29,12 @@ def _fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
 
-def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo: int = 0, align: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
+def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo: int = 0, align: int = 1, more: tuple[str, ...] = (), start: int | None = None) -> DataFrame:
     """Recordings (keys, ``x``) in chunks of ``CHUNK`` frames: keys, chunk, first, count, origin, begin, peak, x, and the columns ``more``.
 
     ``first`` is the chunk's first frame and ``count`` its number of frames, of
-    ``window`` samples every ``hop``, centred in the recording; ``origin`` is
-    where the recording's first frame begins. A chunk's samples begin at
+    ``window`` samples every ``hop``, centred in the recording or from sample
+    ``start`` on; ``origin`` is where the recording's first frame begins. A chunk's samples begin at
     ``begin``, a multiple of ``align``, at least ``halo`` before its first frame,
     and go on for as long behind its last; beyond the recording they are 0.
     ``peak`` is the recording's highest distance from its mean, which is taken
@@ -49,7 +49,7 @@ def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo:
             for row in batch.to_dict("records"):
                 x = row.pop("x")
                 x = np.zeros(0) if x is None else np.asarray(x, float)
-                count, origin = tracks.grid(len(x), window, hop)
+                count, origin = tracks.grid(len(x), window, hop) if start is None else (max(0, (len(x) - start - window) // hop + 1), start)
                 if not count or not np.isfinite(x).all():
                     continue
                 x = x - x.mean()
@@ -196,3 +196,70 @@ def best_formants(recordings: DataFrame, keys: list[str], rate: int, pitch: Data
     for k in keys:
         chosen &= F.col(k).eqNullSafe(F.col("best_" + k))
     return tried.join(best, chosen).select(*tried.columns)
+
+
+#: Seconds between the frames of the contact quotient, and of one; the harmonics it weighs, and how wide they are.
+CONTACT_STEP, CONTACT_WINDOW, HARMONICS, HARMONIC_WIDTH = 0.02, 0.05, (1, 2, 4), 0.1
+
+
+def contact_frames(recordings: DataFrame, keys: list[str], rate: int, track: DataFrame, how: Pitch = Pitch()) -> DataFrame:
+    """Levels of the first, second and fourth harmonic of voiced frames of 50 ms every 20 ms: keys, frame, t, f0, h1, h2, h4 (dB).
+
+    Pitch is read from ``track`` (:func:`pitch_track` of the same recordings):
+    between two voiced frames on the line between them, else that of the nearer
+    frame, if it is voiced. Each chunk of sound meets the part of the track that
+    it spans, so neither side of a recording is gathered whole. A frame without
+    energy in one of the bands has no row.
+    """
+    window, hop = int(CONTACT_WINDOW * rate), max(1, int(CONTACT_STEP * rate))
+    step = how.hop(rate) / rate
+    start = (-(window - hop) // 2) % hop  # frame i is around sample (i + 0.5) * hop, for the first i that fits
+    late = (start + (window - hop) // 2) // hop
+    parts = chunked(recordings, keys, window, hop, start=start)
+    span = CHUNK * hop / rate  # seconds from one chunk's first frame to the next's
+    first = (start + window / 2) / rate
+    low, high = (F.floor((F.col("t") + side * (step + 1e-6) - first) / span).cast("int") for side in (-1, 1))
+    near = track.select(*keys, F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))).alias("at_chunk"), F.struct("t", "f0").alias("p"))
+    near = near.groupBy(*keys, "at_chunk").agg(F.sort_array(F.collect_list("p")).alias("p"))  # a chunk's share of the track, never all of it
+    same = [parts[k].eqNullSafe(near[k]) for k in keys]
+    both = parts.join(near, [*same, parts["chunk"] == near["at_chunk"]]).select(*(parts[k] for k in keys), "first", "count", parts["x"], F.col("p.t").alias("ts"), F.col("p.f0").alias("fs"))
+    shade = np.hamming(window)
+    size = 1 << (4 * window).bit_length()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                n = int(row["count"])
+                frame = row["first"] + late + np.arange(n)
+                t = (frame + 0.5) * hop / rate
+                f0 = pitch_at(t, np.asarray(row["ts"]), np.asarray(row["fs"]), step)
+                sounding = np.flatnonzero(f0 > 0)
+                if not len(sounding):
+                    continue
+                rows = tracks.framed(np.asarray(row["x"], float)[None], window, hop)[0, sounding]
+                power = np.cumsum(np.abs(np.fft.rfft(rows * shade, size)) ** 2, axis=1)
+                power = np.concatenate([np.zeros((len(rows), 1)), power], axis=1)
+                f0 = f0[sounding]
+                at = np.arange(len(rows))
+                edge = lambda hz, up: np.clip((np.floor if up else np.ceil)(hz * size / rate).astype(int) + up, 0, power.shape[1] - 1)
+                bands = [np.maximum(power[at, edge(h * f0 * (1 + HARMONIC_WIDTH), 1)] - power[at, edge(h * f0 * (1 - HARMONIC_WIDTH), 0)], 0) for h in HARMONICS]  # noqa: B023
+                good = np.min(bands, axis=0) > 0
+                out = pd.DataFrame({k: [row[k]] * int(good.sum()) for k in keys})
+                levels = {f"h{h}": 10 * np.log10(b[good]) for h, b in zip(HARMONICS, bands, strict=True)}
+                yield out.assign(frame=frame[sounding][good], t=t[sounding][good], f0=f0[good], **levels)
+
+    return both.mapInPandas(run, f"{_fields(parts, keys)}, frame bigint, t double, f0 double, h1 double, h2 double, h4 double")
+
+
+def pitch_at(t: np.ndarray, times: np.ndarray, f0: np.ndarray, step: float) -> np.ndarray:
+    """Pitch at times of a track's frames in order; 0 without voice, or more than half a step beyond its frames."""
+    right = np.clip(np.searchsorted(times, t), 0, len(times) - 1)
+    left = np.clip(right - 1, 0, len(times) - 1)
+    right = np.where(t <= times[0], 0, right)
+    left = np.where(t >= times[-1], len(times) - 1, left)
+    right = np.maximum(left, right)
+    a, b = f0[left], f0[right]
+    share = np.divide(t - times[left], times[right] - times[left], out=np.zeros(len(t)), where=right > left)
+    nearer = np.where(share <= 0.5, a, b)
+    inside = (t >= times[0] - step / 2) & (t <= times[-1] + step / 2)
+    return np.where(inside, np.where((a > 0) & (b > 0), a + share * (b - a), nearer), 0.0)

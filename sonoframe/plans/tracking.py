@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sonoframe.functions.acoustics import contact_quotient
 from sonoframe.operators import tracks
 from sonoframe.plans.cases import case
 from sonoframe.sources.bindings import RATE, recordings
@@ -30,6 +31,14 @@ def summary(spark, d):
     )
 
 
+def contact(spark, d):
+    """Mean contact quotient of the frames with voice, from the balance of their harmonics, by recording."""
+    rows = recordings(spark, d)
+    found = tracks.contact_frames(rows, KEYS, int(RATE), tracks.pitch_track(rows, KEYS, int(RATE)))
+    return found.groupBy(*KEYS).agg(F.avg(contact_quotient(F.col("h1"), F.col("h2"), F.col("h4"))).alias("contact_quotient"), F.count("*").alias("n"))
+
+
 case("pitch_track", pitch)
+case("sound_contact_quotient", contact)
 case("sound_pitch_summary", summary)
 case("formant_track", formants)

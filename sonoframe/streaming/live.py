@@ -57,3 +57,35 @@ def paired(audio: DataFrame, video: DataFrame, tolerance: str, delay: str = "1 h
 def trailing_counts(stream: DataFrame, width: str, slide: str, delay: str = "1 hour") -> DataFrame:
     """Frames and mean level by session and sliding window of event time."""
     return stream.withWatermark("ts", delay).groupBy("session_id", F.window("ts", width, slide)).agg(F.count("*").alias("n"), F.avg("rms").alias("rms"))
+
+
+def results_matched(turns: DataFrame, results: DataFrame, wait: str, delay: str = "1 hour") -> DataFrame:
+    """Turns (turn_id, ts) with the results (turn_id, ts, score) that come for them: turn_id, ts, score, result_ts, status.
+
+    A stream-stream left outer join with a watermark on either side. Results may
+    come before or after their turn in the stream, and up to ``wait`` after it in
+    time; a turn whose result hasn't come when the watermark passes that is
+    ``pending`` for good. Several results of a turn give a row each; results of
+    unknown turns, and later ones, give none.
+    """
+    t = turns.select("turn_id", "ts").withWatermark("ts", delay).alias("t")
+    r = results.select(F.col("turn_id").alias("of_turn"), F.col("ts").alias("result_ts"), "score").withWatermark("result_ts", delay).alias("r")
+    there = F.expr(f"turn_id = of_turn AND result_ts >= ts AND result_ts <= ts + INTERVAL {wait}")
+    status = F.when(F.col("result_ts").isNull(), "pending").otherwise("done")
+    return t.join(r, there, "leftOuter").select("turn_id", "ts", "score", "result_ts", status.alias("status"))
+
+
+def write_sampled(stream: DataFrame, path: str, checkpoint: str, interval: float, delay: str = "1 hour", drop: tuple[str, ...] = ("raw",)):
+    """Start writing a stream of frames (session_id, ts, seq) as JSON lines, at most one in ``interval`` seconds of a session.
+
+    Sampling is greedy, as :func:`cooled_down` lets rows through; its state holds
+    the last time of each session. Columns in ``drop`` aren't written. Each
+    micro-batch is a folder named by its id, which a retry replaces, so a crash
+    between writing and committing leaves nothing twice.
+    """
+    picked = cooled_down(stream.drop(*drop).withColumn("type", F.lit("frame")), interval, delay).drop("type")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return picked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -224,3 +224,35 @@ def test_recording_measures_are_of_whole_recordings(spark):
     assert got[3]["f0_hz"] == pytest.approx(210, rel=0.1)
     assert all(got[i]["rms_db"] is None and got[i]["consonant"] is None for i in range(6, 11))
     assert envelopes[6] is None and envelopes[7] is None and envelopes[9] is None and set(envelopes[8]) == {0.0}
+
+
+def test_contact_quotient(spark, table, monkeypatch):
+    """Against plain loops over whole recordings; chunks of any size give the same."""
+    keys = ["id", "name"]
+    track = O.pitch_track(table, keys, RATE)
+    contours = {}
+    for r in track.orderBy("frame").collect():
+        contours.setdefault((r["id"], r["name"]), []).append((r["t"], r["f0"]))
+    want = {}
+    for r in table.where("id = 1").collect():
+        x, contour = np.array(r["x"]) - np.mean(r["x"]), contours[r["id"], r["name"]]
+        for i in range(len(x) // 160):
+            t = (i + 0.5) * 0.02
+            a, b = max((p for p in contour if p[0] <= t), default=None), min((p for p in contour if p[0] >= t), default=None)
+            if a is None or b is None:
+                near = a or b
+                f0 = near[1] if abs(near[0] - t) <= 0.0075 else 0
+            elif a[1] > 0 and b[1] > 0:
+                f0 = a[1] if a == b else a[1] + (b[1] - a[1]) * (t - a[0]) / (b[0] - a[0])
+            else:
+                f0 = a[1] if t - a[0] <= b[0] - t else b[1]
+            begin = round(t * RATE) - 200
+            if f0 > 0 and begin >= 0 and begin + 400 <= len(x):
+                power = np.abs(np.fft.rfft(x[begin : begin + 400] * np.hamming(400), 2048)) ** 2
+                f = np.arange(1025) * RATE / 2048
+                want[r["name"], i] = [10 * math.log10(power[(f >= 0.9 * h * f0) & (f <= 1.1 * h * f0)].sum()) for h in (1, 2, 4)]
+    for chunk in (256, 9):
+        monkeypatch.setattr(O, "CHUNK", chunk)
+        got = {(r["name"], r["frame"]): [r["h1"], r["h2"], r["h4"]] for r in O.contact_frames(table, keys, RATE, track).where("id = 1").collect()}
+        assert set(got) == set(want) and len(got) > 100
+        assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
