@@ -32,7 +32,7 @@ _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 PARTIAL = "lang string, part int, a array<bigint>, b array<bigint>, c array<bigint>, f array<bigint>, w array<string>"
-REDUCED = "kind string, lang string, part int, a array<bigint>, b array<bigint>, c array<bigint>, f array<bigint>, w array<string>"
+REDUCED = "kind string, lang string, a array<bigint>, b array<bigint>, c array<bigint>, f array<bigint>, w array<string>"
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ class Graph:
                     yield from _partial(batch.slice(i, j - i), parts, frequent)
 
         def reduce(table: pa.Table) -> pa.Table:
-            out = _reduced(table, parts, frequent, least)
+            out = _reduced(table, frequent, least)
             hand_back()
             return out
 
@@ -145,17 +145,12 @@ class Graph:
         self.nodes = unrolled("nodes", "a", "b", "f").unionByName(split_nodes)
         self.spelt = unrolled("spelt", "a", "w").select("lang", F.col("a").alias("h"), F.col("w").alias("word"))
 
-        def sum_words(table: pa.Table) -> pa.Table:
-            (a,), f = summed([_flat(table, "a")], _flat(table, "f"))
-            kept = f >= least
-            out = {"lang": [table.column("lang")[0].as_py()] * (int(kept.sum()) + 1), "a": np.append(a[kept], END), "f": np.append(f[kept], f.sum())}
-            hand_back()
-            return pa.table(out, pa.schema([("lang", pa.string()), ("a", pa.int64()), ("f", pa.int64())]))
-
-        flows = found.where("kind = 'flows'").select("lang", "part", "a", "f")
-        words = stash(flows.groupBy("lang", "part").applyInArrow(sum_words, "lang string, a bigint, f bigint"), "words")
-        self.words = words.where(F.col("a") != END)
-        self.totals = words.where(F.col("a") == END).groupBy("lang").agg(F.sum("f").alias("n"))
+        # words that are too rare to matter are summed up as one, for the totals
+        flows = unrolled("flows", "a", "f").groupBy("lang", "a").agg(F.sum("f").alias("f"))
+        flows = flows.withColumn("a", F.when(F.col("f") >= least, F.col("a")))
+        words = stash(flows.groupBy("lang", "a").agg(F.sum("f").alias("f")), "words")
+        self.words = words.where("a is not null")
+        self.totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def _partial(batch: pa.RecordBatch, parts: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -198,33 +193,30 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return pc.list_flatten(table.column(name)).to_numpy().astype(np.int64)
 
 
-def _reduced(table: pa.Table, parts: int, frequent: np.ndarray, least: int) -> pa.Table:
+def _reduced(table: pa.Table, frequent: np.ndarray, least: int) -> pa.Table:
     """One part of the graph: its frequent edges and nodes, the flow out of its words, and how words are spelt."""
-    lang, part = table.column("lang")[0].as_py(), table.column("part")[0].as_py()
+    lang = table.column("lang")[0].as_py()
     (a, b, c), f = summed([_flat(table, x) for x in "abc"], _flat(table, "f"))
-    rows: dict[str, list] = {x: [] for x in ("kind", "lang", "part", "a", "b", "c", "f", "w")}
+    rows: dict[str, list] = {x: [] for x in ("kind", "lang", "a", "b", "c", "f", "w")}
 
-    def put(kind: str, to: int | None, **columns) -> None:
+    def put(kind: str, **columns) -> None:
         for name in rows:
-            rows[name].append({"kind": kind, "lang": lang, "part": to}.get(name, columns.get(name)))
+            rows[name].append({"kind": kind, "lang": lang}.get(name, columns.get(name)))
 
     often = (f >= least) & (c != END)
-    put("edges", part, a=a[often], b=b[often], c=c[often], f=f[often])
+    put("edges", a=a[often], b=b[often], c=c[often], f=f[often])
     (u, v), flow = summed([a, b], f)
     inner = v != END
     spread = _both(u, v, frequent) & inner
     often = inner & ~spread & (flow >= least)
-    put("nodes", part, a=u[often], b=v[often], f=flow[often])
-    put("spread", part, a=u[spread], b=v[spread], f=flow[spread])
+    put("nodes", a=u[often], b=v[often], f=flow[often])
+    put("spread", a=u[spread], b=v[spread], f=flow[spread])
     (u,), flow = summed([u], flow)
-    to = _dealt(parts, u)
-    u, flow, to = u[order := np.argsort(to, kind="stable")], flow[order], to[order]
-    for i, j in zip(cuts := np.flatnonzero(np.append(True, np.diff(to) != 0)) if len(to) else [], [*cuts[1:], len(to)], strict=True):
-        put("flows", int(to[i]), a=u[i:j], f=flow[i:j])
+    put("flows", a=u, f=flow)
     spelt = pc.unique(pc.list_flatten(table.column("w")))
     data, offsets = text_buffer(spelt)
-    put("spelt", part, a=hashed(data, offsets[:-1], offsets[1:]), w=spelt.to_pylist())
-    kinds = {"kind": pa.string(), "lang": pa.string(), "part": pa.int32(), "w": pa.list_(pa.string())}
+    put("spelt", a=hashed(data, offsets[:-1], offsets[1:]), w=spelt.to_pylist())
+    kinds = {"kind": pa.string(), "lang": pa.string(), "w": pa.list_(pa.string())}
     return pa.table({k: pa.array(v, kinds.get(k, pa.list_(pa.int64()))) for k, v in rows.items()})
 
 
