@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -302,6 +303,75 @@ def test_pages_read_by_hand(spark):
     assert precision >= 0.9 and recall >= 0.9
 
 
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        ("<div>a" * 170_000, 170_000),
+        ("<a " * 330_000, 1),
+        ('<a "' * 250_000, 1),
+        ("<a '>" * 200_000 + '"', 1),
+        ("<div>" * 100_000 + "</p>" * 100_000, 0),
+        ("<script>" + "</script " * 110_000, 0),
+        ("<b>" * 160_000 + "<div></div>" * 50_000 + "x", 1),
+        ("<" + "a" * 1_000_000, 1),
+        ("&#" + "1" * 1_000_000 + ";", 1),
+        ("<title>" * 140_000, 0),
+        ("<a " + "\"'" * 500_000 + ">", 0),
+    ],
+    ids=["deep", "open tags", "open quotes", "odd quotes", "stray ends", "open script", "open lines", "long name", "long number", "titles", "many quotes"],
+)
+def test_hostile_pages_are_linear(page, n):
+    field = html_text.Field({"tag:div": (1.0, 0.0)}, [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0])
+    begin = time.process_time()
+    found = html_text.blocks(page)
+    assert len(found) == len(field.decode(found)) == n
+    assert time.process_time() - begin < 20  # 5 on an idle machine; minutes or gigabytes where it grows with the square
+
+
+def test_references_are_decoded_by_text():
+    texts = lambda html: [b.text for b in html_text.blocks(html)]
+    assert texts("<p>a&am<b>p;</b> &#65;&#x42;&#000067; &amp;lt;") == ["a&amp; ABC &lt;"]
+    assert texts("<p>&#" + "9" * 5000 + ";!") == ["\ufffd!"]
+    assert texts('<p title="a > b">c<p title="d > e>f') == ["c", "e>f"]
+
+
+def test_labels_by_enumeration():
+    rng = np.random.default_rng(4)
+    for length in range(1, 7):
+        found = html_text.blocks("".join(f"<{rng.choice(['p', 'li', 'td'])} class={rng.choice(list('ab'))}>{'word ' * rng.integers(1, 9)}" for _ in range(length)))
+        names = sorted({x for b in found for x in html_text.path_features(b.place)})
+        field = html_text.Field({x: tuple(rng.normal(size=2)) for x in names}, rng.normal(size=(2, 2)).tolist(), rng.normal(size=2).tolist())
+
+        def score(labels):
+            total = field.begin[labels[0]] + sum(field.move[a][b] for a, b in itertools.pairwise(labels))  # noqa: B023
+            return total + sum(field.score(html_text.path_features(b.place))[y] for b, y in zip(found, labels, strict=True))  # noqa: B023
+
+        assert field.decode(found) == list(max(itertools.product((0, 1), repeat=length), key=score))
+
+
+def test_gradient_by_enumeration():
+    rng = np.random.default_rng(5)
+    n, length = 4, np.array([3, 1, 4])
+    page, row = np.repeat(np.arange(3), length), np.concatenate([np.arange(x) for x in length])
+    labels, theta = rng.integers(2, size=8), rng.normal(size=2 * n + 6)
+    used, owner = rng.integers(n, size=20), np.sort(rng.integers(8, size=20))
+
+    def loss(theta):
+        w, move, begin = theta[: 2 * n].reshape(-1, 2), theta[2 * n : 2 * n + 4].reshape(2, 2), theta[2 * n + 4 :]
+        scores = np.array([w[used[owner == i]].sum(axis=0) for i in range(8)])
+        total = 0.0
+        for p in range(3):
+            emit = scores[page == p]
+            of = lambda y: begin[y[0]] + sum(move[a, b] for a, b in itertools.pairwise(y)) + sum(e[k] for e, k in zip(emit, y, strict=True))  # noqa: B023, E731
+            total += np.log(sum(np.exp(of(y)) for y in itertools.product((0, 1), repeat=len(emit)))) - of(labels[page == p])
+        return total
+
+    value, grad = html_text.likelihood(theta, used, owner, page, row, labels, length)
+    steps = [(loss(theta + d) - loss(theta - d)) / 2e-6 for d in np.eye(len(theta)) * 1e-6]
+    assert np.isclose(value, loss(theta))
+    assert np.allclose(grad, steps, atol=1e-6)
+
+
 def test_training_pages_differ(spark):
     pages = [f"<article><p>Some words that are page {i}" for i in range(100)]
     df = spark.createDataFrame([(x,) for x in pages], "html string")
