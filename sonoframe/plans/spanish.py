@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions import spanish as S
+from sonoframe.operators import stress
 from sonoframe.plans.cases import case
-from sonoframe.sources.bindings import WORDS, words
+from sonoframe.sources.bindings import RATE, WORDS, recordings, words
 
 C = F.col
 case(
@@ -54,15 +55,24 @@ def stress_scores(spark, d):
     means = samples.select("*", pitch.alias("f0"), level.alias("level")).groupBy("word", "i").agg(
         F.max("expected").alias("expected"), F.coalesce(F.round(F.avg(F.when(C("f0") > 0, C("f0"))), 1), F.lit(0.0)).alias("f0"), F.round(F.avg("level"), 1).alias("level")
     )
-    whole = Window.partitionBy("word")
-    share = lambda x: F.when(F.max(x).over(whole) > F.min(x).over(whole), (C(x) - F.min(x).over(whole)) / (F.max(x).over(whole) - F.min(x).over(whole))).otherwise(0.0)
-    scored = means.select("word", "i", "expected", F.round(0.5 * share("f0") + 0.5 * share("level") + 3.3e-8, 3).alias("score"))
-    top = scored.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("score", (-C("i")).alias("at"))), False).alias("r"), F.max("expected").alias("expected"))
-    gap = F.round(F.when(C("r")[0]["score"] > 0, (C("r")[0]["score"] - C("r")[1]["score"]) / C("r")[0]["score"]).otherwise(0.0) + 3.3e-8, 3)
-    found = F.when(gap < 0.15, C("expected")).otherwise(-C("r")[0]["at"])
-    return top.select("word", C("expected").alias("expected_syllable"), found.alias("detected_syllable"), (found == C("expected")).alias("correct"), gap.alias("confidence"), S.vos_form(C("word")).alias("is_vos"), F.size("r").alias("n_syllables"))
+    return stress.standing_out(means, ["word"], C("word"))
 
 
+def spoken_words(spark, d):
+    """The Spanish words that recordings say, one after the other: session_id, part, word, start, end.
+
+    Words and recordings are dealt to 1,024 groups; a recording says the words of
+    its group in equal parts of its time.
+    """
+    group = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1024))
+    said = words(spark, d).where("length(word) >= 4").select("word", group("word").alias("g"))
+    said = said.groupBy("g").agg(F.sort_array(F.collect_list("word")).alias("said"))  # a language's words, not a corpus' rows
+    heard = recordings(spark, d).select("session_id", "part", (F.size("x") / RATE).alias("length"), group("session_id", "part").alias("g"))
+    each = heard.join(said, "g").select("session_id", "part", (C("length") / F.size("said")).alias("wide"), F.posexplode("said").alias("i", "word"))
+    return each.select("session_id", "part", "word", (C("wide") * C("i")).alias("start"), (C("wide") * (C("i") + 1)).alias("end"))
+
+
+case("sound_stress", lambda spark, d: stress.spoken_stress(recordings(spark, d), spoken_words(spark, d), ["session_id", "part"], int(RATE)))
 case(
     "stress_score",
     stress_scores,
