@@ -10,19 +10,26 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], toleranc
     """Each left row with the right row nearest in time within ``tolerance`` (earlier of equally near ones), and the signed gap.
 
     Both sides have ``t`` and ``seq``; a left row without such a right row stays,
-    with nulls. Time is cut into bins as wide as the tolerance; a right row is
-    offered to its bin and the two beside it, so the join is on equal keys and
-    bins, and no session meets itself as a whole.
+    with nulls, as does one whose keys or time are null; repeated left rows stay
+    too. Time is cut into bins as wide as the tolerance; a right row is offered
+    to its bin and the two beside it. Each bin is passed over twice, forwards and
+    backwards, for the last right row before and after each left row: no pairs
+    are made, and no session is one task.
     """
     bin_of = lambda t: F.floor(t / tolerance)
-    left = left.withColumn("bin", bin_of(F.col("t")))
-    offered = right.select(*keys, F.col("t").alias("t_right"), F.col("seq").alias("seq_right"), *(F.col(c).alias(c + "_right") for c in columns))
-    offered = offered.withColumn("bin", F.explode(F.array(*(bin_of(F.col("t_right")) + i for i in (-1, 0, 1)))))
-    near = left.alias("l").join(offered.alias("r"), [F.col("l." + c) == F.col("r." + c) for c in (*keys, "bin")] + [F.abs(F.col("t") - F.col("t_right")) <= tolerance], "left")
-    near = near.select(*(F.col("l." + c) for c in left.columns), "t_right", "seq_right", *(c + "_right" for c in columns))
-    order = Window.partitionBy(*keys, "seq").orderBy(F.abs(F.col("t") - F.col("t_right")), "t_right", "seq_right")
-    best = near.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return best.withColumn("gap", F.col("t_right") - F.col("t")).drop("bin", "rank")
+    offer = F.struct(F.col("t").alias("t"), F.col("seq").alias("seq"), *(F.col(c).alias(c) for c in columns))
+    offered = right.dropna(subset=[*keys, "t"]).select(*keys, "t", "seq", F.lit(0).alias("side"), offer.alias("offer"))
+    offered = offered.withColumn("bin", F.explode(F.array(*(bin_of(F.col("t")) + i for i in (-1, 0, 1)))))
+    asks = left.withColumns({"bin": bin_of(F.col("t")), "side": F.lit(1)})
+    both = asks.unionByName(offered, allowMissingColumns=True)
+    group = Window.partitionBy(*keys, "bin")
+    held = lambda t: F.last("offer", True).over(group.orderBy(t, "side", F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"before": held(F.col("t").asc()), "after": held(F.col("t").desc())}).where("side = 1")
+    gap = lambda c: F.when(F.abs(F.col("t") - F.col(c)["t"]) <= tolerance, F.abs(F.col("t") - F.col(c)["t"]))
+    best = F.when(gap("before") <= F.coalesce(gap("after"), F.lit(tolerance)), F.col("before")).when(gap("after").isNotNull(), F.col("after"))
+    both = both.withColumn("best", best)
+    near = both.select(*left.columns, F.col("best.t").alias("t_right"), F.col("best.seq").alias("seq_right"), *(F.col(f"best.{c}").alias(c + "_right") for c in columns))
+    return near.withColumn("gap", F.col("t_right") - F.col("t"))
 
 
 def nearest_in_ring(left: DataFrame, right: DataFrame, keys: list[str], lag: float, size: int) -> DataFrame:

@@ -223,11 +223,17 @@ case(
 )
 
 
+def _of_recordings(spark, d):
+    """How many analyses each recording has, and the value of the latest; analyses are summed up before they are joined."""
+    rows = frames(spark, d)
+    clicks = rows.where("kind = 'click'").groupBy("session_id", "k").agg(F.count("*").alias("n"), F.max(F.struct("seq", "value")).alias("r"))
+    views = rows.where("kind = 'view'").select("session_id", C("seq").alias("recording"), "k").join(clicks, ["session_id", "k"], "left")
+    return views.groupBy("session_id", "recording").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("r")["value"].alias("latest"))
+
+
 case(
     "session_recording_analysis",
-    lambda spark, d: (lambda rows: rows.where("kind = 'view'").select("session_id", C("seq").alias("recording"), "k")
-        .join(rows.where("kind = 'click'").select("session_id", "k", C("seq").alias("analysis"), "value"), ["session_id", "k"], "left")
-        .groupBy("session_id", "recording").agg(F.count("analysis").alias("n"), F.max(F.struct("analysis", "value"))["value"].alias("latest")))(frames(spark, d)),
+    _of_recordings,
     f"""WITH {FRAMES}, r AS (SELECT session_id, seq AS recording, k FROM frames WHERE kind = 'view'), a AS (SELECT session_id, k, seq AS analysis, value FROM frames WHERE kind = 'click')
     SELECT session_id, recording, count(analysis) AS n, arg_max(value, analysis) AS latest FROM r LEFT JOIN a USING (session_id, k) GROUP BY session_id, recording""",
     "latest",
