@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sonoframe.operators import assembly
 from sonoframe.operators import joins as J
 from sonoframe.plans.cases import case
 from sonoframe.sources.bindings import FRAMES, frames, turns
@@ -43,6 +44,29 @@ case(
 )
 
 
+def _assembled(spark, d):
+    """Clicks as sound with the views as pictures (those of a day later included), errors as warnings and sign-ups as coaching; every seventh purchase resets."""
+    source = F.when(C("kind") == "click", "audio").when(C("kind") == "view", "video").when(C("kind") == "error", "warning").when(C("kind") == "signup", "coaching").when(C("seq") % 7 == 0, "reset")
+    rows = frames(spark, d).select("session_id", F.timestamp_micros(F.round(C("t") * 1e6).cast("bigint")).alias("ts"), "seq", source.alias("source"), C("seq").cast("string").alias("payload"))
+    return assembly.assembled(rows, DAY, 30).select("session_id", "seq", "video_seq", "video", "gap", F.concat_ws(",", "warnings").alias("warnings"), "coaching")
+
+
+case(
+    "assembled_frames",
+    _assembled,
+    f"""WITH {FRAMES}, parts AS (SELECT session_id, seq, CAST(round(t * 1e6) AS BIGINT) AS us, CASE WHEN kind = 'click' THEN 'audio' WHEN kind = 'view' THEN 'video' WHEN kind = 'error' THEN 'warning' WHEN kind = 'signup' THEN 'coaching' WHEN seq % 7 = 0 THEN 'reset' END AS source FROM frames),
+    timed AS (SELECT *, CASE WHEN source = 'audio' THEN us + 86400000000 ELSE us END AS due, CASE source WHEN 'reset' THEN 0 WHEN 'video' THEN 1 WHEN 'audio' THEN 3 ELSE 2 END AS rank FROM parts WHERE source IS NOT NULL),
+    numbered AS (SELECT *, count(*) FILTER (source = 'reset') OVER (w ROWS UNBOUNDED PRECEDING) AS epoch, count(*) FILTER (source = 'audio') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn FROM timed WINDOW w AS (PARTITION BY session_id ORDER BY due, rank, seq)),
+    pairs AS (SELECT a.session_id, a.turn, a.us, a.seq, a.epoch, b.seq AS video_seq, b.us AS video_us, b.epoch AS video_epoch, row_number() OVER (PARTITION BY a.session_id, a.seq ORDER BY b.due DESC, b.seq DESC) AS back
+      FROM numbered a LEFT JOIN numbered b ON a.session_id = b.session_id AND b.source = 'video' AND b.due <= a.due WHERE a.source = 'audio'),
+    shown AS (SELECT session_id, turn, seq, video_seq, CASE WHEN epoch = video_epoch THEN (video_us - us) / 1e6 END AS gap FROM pairs WHERE back = 1 OR (back <= 30 AND epoch = video_epoch)
+      QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY epoch <> video_epoch, abs(video_us - us), video_us, video_seq) = 1),
+    told AS (SELECT session_id, turn, string_agg(seq::VARCHAR, ',' ORDER BY due, seq) FILTER (source = 'warning') AS warnings, max_by(seq::VARCHAR, (due, seq)) FILTER (source = 'coaching') AS coaching FROM numbered GROUP BY session_id, turn)
+    SELECT session_id, seq, video_seq, CAST(video_seq AS VARCHAR) AS video, gap, coalesce(warnings, '') AS warnings, coaching FROM shown JOIN told USING (session_id, turn)""",
+    "gap",
+)
+
+
 def _index(spark, d):
     rows = frames(spark, d)
     w = Window.partitionBy("session_id").orderBy("t", "seq")

@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from sonoframe.operators.assembly import FIELDS, placed
 from sonoframe.operators.folds import let_through
 
 
@@ -89,3 +92,113 @@ def write_sampled(stream: DataFrame, path: str, checkpoint: str, interval: float
         batch.write.mode("overwrite").json(f"{path}/batch={number}")
 
     return picked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def _fields(**types: str) -> T.StructType:
+    """A schema by names of types; workers can't read it from text."""
+    made = T.StructType()
+    for name, kind in types.items():
+        made.add(name, kind)
+    return made
+
+
+class _Assembler(StatefulProcessor):
+    """What a session waits for and has seen: see :func:`assembled`. Times are microseconds, those of timers milliseconds."""
+
+    def __init__(self, size: int, idle: int):
+        self.size, self.idle = size, idle
+        self.names = [f.split()[0] for f in FIELDS.split(", ")]
+
+    def init(self, handle) -> None:
+        picture = _fields(us="long", seq="long", payload="string")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", _fields(at="long", rank="integer", seq="long", n="long"), _fields(us="long", source="string", payload="string"))
+        self.ring = handle.getListState("ring", picture)
+        self.latest = handle.getValueState("latest", picture)
+        self.untold = handle.getListState("untold", _fields(source="string", payload="string"))
+        self.due = handle.getValueState("due", _fields(ms="long"))
+        self.seen = handle.getValueState("seen", _fields(n="long", at="long"))
+
+    def wake(self, ms: int) -> None:
+        """Keep one timer, the earliest that was asked for."""
+        due = self.due.get()
+        if due is None or ms < due[0]:
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, last = self.seen.get() or (0, 0)
+        first = None
+        for batch in rows:
+            for at, rank, seq, us, source, payload in zip(*(batch[c].tolist() for c in ("at", "rank", "seq", "us", "source", "payload")), strict=True):
+                self.waiting.updateValue((at, rank, seq, n), (us, source, payload))
+                n, last = n + 1, max(last, at)
+                first = at if first is None else min(first, at)
+        self.seen.update((n, last))
+        if first is not None:
+            self.wake(-(-first // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        waiting = [(tuple(k), tuple(v)) for k, v in self.waiting.iterator()]
+        now = sorted((w for w in waiting if w[0][0] <= mark), key=lambda w: (*w[0][:3], w[1][2] or "", w[0][3]))
+        later = [k[0] for k, _ in waiting if k[0] > mark]
+        if now:
+            out = self.passed(key, [(k[2], *v) for k, v in now])
+            for k, _ in now:
+                self.waiting.removeKey(k)
+            if out:
+                yield pd.DataFrame(out, columns=self.names)
+        idle_from = self.seen.get()[1] + self.idle
+        if later:
+            self.wake(-(-min(later) // 1000))
+        elif idle_from > mark:
+            self.wake(-(-idle_from // 1000))
+        else:
+            for state in (self.waiting, self.ring, self.latest, self.untold, self.seen):
+                state.clear()
+
+    def passed(self, key: tuple, parts: list[tuple]) -> list[tuple]:
+        """Rows for the sounds of the parts (seq, us, source, payload), which come in order."""
+        ring, untold, latest = [tuple(r) for r in self.ring.get()], [tuple(r) for r in self.untold.get()], self.latest.get()
+        out = []
+        for seq, us, source, payload in parts:
+            if source == "reset":
+                ring = []
+            elif source == "video":
+                latest = (us, seq, payload)
+                ring = [*ring, latest][-self.size :]
+            elif source != "audio":
+                untold.append((source, payload or ""))
+            else:
+                best = min(ring, key=lambda r: (abs(r[0] - us), r[0], r[1], r[2] or ""), default=None)
+                _, video_seq, video = best or latest or (None, None, None)
+                coaching = [p for s, p in untold if s == "coaching"]
+                out.append((key[0], us, seq, payload, video_seq, video, (best[0] - us) / 1e6 if best else None, [p for s, p in untold if s == "warning"], coaching[-1] if coaching else None))
+                untold = []
+        for state, values in ((self.ring, ring), (self.untold, untold)):
+            state.clear()
+            if values:
+                state.put(values)
+        if latest is not None:
+            self.latest.update(tuple(latest))
+        return out
+
+
+def assembled(stream: DataFrame, lag: float, size: int, delay: str = "1 hour", idle: float = 86_400.0) -> DataFrame:
+    """The rows of :func:`sonoframe.operators.assembly.assembled` from one stream of parts, the union of all sources.
+
+    Parts may come in any order within ``delay``; a sound comes once the watermark
+    has passed it by ``lag``. Later parts are dropped by Spark. The state of a
+    session is what waits for the watermark, a ring of ``size`` pictures and the
+    messages not delivered; it goes ``idle`` seconds after the last part, so that
+    pictures and messages from before such a gap are forgotten. The watermark is
+    that of the union: a silent source holds nothing up.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = placed(stream.withWatermark("ts", delay), lag)
+    return rows.groupBy("session_id").transformWithStateInPandas(_Assembler(size, round(idle * 1e6)), FIELDS, "append", "eventTime")
