@@ -127,6 +127,20 @@ def cepstral_prominence(x: np.ndarray, rate: float, low: float = 60.0, high: flo
     return float(cepstrum[best] - np.polyval(line, q[best]))
 
 
+def cepstral_prominences(x: np.ndarray, rate: float, low: float = 60.0, high: float = 333.0) -> np.ndarray:
+    """The same of rows of one length."""
+    n = x.shape[1]
+    level = 10 * np.log10(np.maximum(np.abs(np.fft.rfft(x * np.hanning(n))) ** 2, 1e-12))
+    cepstrum = 20 * np.log10(np.maximum(np.abs(np.fft.irfft(level)), 1e-12))
+    q = np.arange(cepstrum.shape[1]) / rate
+    some = np.flatnonzero((q >= 1 / high) & (q <= 1 / low) & (np.arange(len(q)) < len(q) // 2))
+    if len(some) < 3 or not len(x):
+        return np.zeros(len(x))
+    part, at = cepstrum[:, some], q[some] - q[some].mean()
+    over = part - part.mean(axis=1, keepdims=True) - (part @ at / (at @ at))[:, None] * at
+    return np.take_along_axis(over, part.argmax(axis=1)[:, None], axis=1)[:, 0]
+
+
 def warped(x: np.ndarray, factor: float) -> np.ndarray:
     """Envelope stretched along frequency by a factor: cubic interpolation between bins, the ends held."""
     at = np.clip(np.arange(len(x)) / factor, 0, len(x) - 1)

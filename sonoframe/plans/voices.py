@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import signals
 from sonoframe.functions.norms import FEMALE_F1
+from sonoframe.operators import exclusion
 from sonoframe.operators import frames as O
+from sonoframe.operators.tracks import kept
 from sonoframe.plans.cases import case
-from sonoframe.sources.bindings import RATE, recordings, voices
+from sonoframe.plans.series import DAY
+from sonoframe.sources.bindings import RATE, SAMPLES, recordings, voices
 
 C = F.col
 #: A waveform whose samples all stay below this is silence.
 SOUND = 1e-5
+#: Samples of a vowel's 20 ms, and the frames from which its cepstrum counts.
+SHORT, ENOUGH = 160, 10
 
 
 def labelled(rows):
@@ -35,12 +40,24 @@ def session_levels(spark, d):
 
 
 case("session_levels", session_levels)
-case(
-    "per_vowel_source",
-    lambda spark, d: heard(labelled(voices(spark, d))).where("h1_h2 IS NOT NULL").groupBy("session_id", "label").agg(
-        F.avg("h1_h2").alias("h1_h2"), F.avg("h1_h2_corrected").alias("h1_h2_corrected"), F.avg("live_tilt").alias("tilt"), F.count("*").alias("n")
-    ),
-)
+
+
+def per_vowel_source(spark, d):
+    """Source measures by session and vowel: mean differences of harmonics, tilt of the averaged spectrum, and from ``ENOUGH`` frames on the cepstral prominence.
+
+    Spectrum and cepstrum take the middle 20 ms of each frame; for the cepstrum
+    these are joined in order of time.
+    """
+    keys = ["session_id", "label"]
+    middle = F.slice("x", (SAMPLES - SHORT) // 2 + 1, SHORT)
+    found = kept(heard(labelled(voices(spark, d)).withColumn("wave", middle)).where("h1_h2 IS NOT NULL").select(*keys, "t", "seq", "h1_h2", "h1_h2_corrected", C("wave").alias("x")))
+    means = found.groupBy(*keys).agg(F.avg("h1_h2").alias("h1_h2"), F.avg("h1_h2_corrected").alias("h1_h2_corrected"), F.count("*").alias("n"))
+    tilt = exclusion.mean_spectrum_tilt(found, keys, int(RATE))
+    cpp = exclusion.prominence(found, keys, int(RATE), ("t", "seq"), F.floor(C("t") / DAY))
+    return means.join(tilt, keys, "left").join(cpp, keys, "left").select(*keys, "h1_h2", "h1_h2_corrected", C("tilt_db_oct").alias("tilt"), F.when(C("n") >= ENOUGH, C("cpp_db")).alias("cpp"), "n")
+
+
+case("per_vowel_source", per_vowel_source)
 case(
     "per_vowel_amplitudes",
     lambda spark, d: heard(labelled(voices(spark, d))).groupBy("session_id", "label").agg(
