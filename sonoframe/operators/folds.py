@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoframe.operators.running import met
+
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable, start: Callable, schema: str) -> DataFrame:
     """Run ``step(state, row) -> state, out or None`` over the rows of each key in order.
@@ -112,6 +115,97 @@ def cooled_down(rows: DataFrame, keys: list[str], interval: float, schema: str,
     return fold_parts(rows.select(*names, *([once] if once else [])), keys, ["t", "seq"], work, lambda: None, schema)
 
 
+def passage(t: np.ndarray, interval: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a part of sorted times does to the last time let through before it: entries and exits.
+
+    If the first time that may pass is at or before an entry and after the entry
+    before it, the last time let through in this part is that entry's exit.
+    Only times within ``interval`` of the first, and one more, can be first.
+    """
+    n = len(t)
+    after = np.searchsorted(t, t + interval)
+    while (low := (after > np.arange(n) + 1) & (t[after - 1] - t >= interval)).any():  # the sum and the difference may round apart
+        after[low] -= 1
+    while (high := (after < n) & (t[np.minimum(after, n - 1)] - t < interval)).any():
+        after[high] += 1
+    last = np.where(after < n, after, np.arange(n))
+    while (last[last] != last).any():  # steps double
+        last = last[last]
+    first = min(n, int(np.searchsorted(t, t[0] + interval, "right")) + 1)
+    exits = t[last[:first]]
+    ends = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+    return t[:first][ends], exits[ends]
+
+
+def entered(entries: np.ndarray, exits: np.ndarray, last: float | None, interval: float) -> float | None:
+    """The last time let through after a part, see :func:`passage`."""
+    if last is None:
+        return float(exits[0])
+    may = np.flatnonzero(entries - last >= interval)
+    return float(exits[may[0]]) if len(may) else last
+
+
+def cooled_in_parts(rows: DataFrame, keys: list[str], interval: float, width: float, schema: str, once: str | None = None) -> DataFrame:
+    """The rows of :func:`cooled_down`, with each key's time cut into parts of ``width`` seconds that are tasks of their own.
+
+    A part works out what it does to any time that may have been let through
+    before it; these short tables meet by key, one after the other, and each
+    part then starts with the time that is right for it. A key that holds a
+    third of all rows is as many tasks as it has parts. ``width`` should be many
+    times ``interval``: a key's tables hold the times within ``interval`` of its
+    parts' beginnings at most. Rows without a time are left out.
+    """
+    names = T.StructType.fromDDL(schema).names
+    own = [*keys, "_part"]
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _part bigint"
+    rows = rows.select(*names, *([once] if once else [])).where("t IS NOT NULL").withColumn("_part", F.floor(F.col("t") / width).cast("bigint"))
+    if once:  # the first row of a key passes whatever it is, and so does no later one that is marked
+        begin = rows.groupBy(*own).agg(F.min(F.struct("t", "seq")).alias("_first"))
+        begin = begin.withColumn("_first", F.min("_first").over(Window.partitionBy(*keys)))
+        rows = met(rows, begin, own, ["_first"]).where(~F.coalesce(F.col(once), F.lit(False)) | (F.struct("t", "seq") == F.col("_first"))).select(*names, "_part")
+
+    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last part may go on in the next batch
+        for batch in batches:
+            table = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            change = np.zeros(len(table), bool)
+            for k in own:
+                values = table[k].to_numpy()
+                change[1:] |= values[1:] != values[:-1]
+            cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
+            if cut:
+                yield tables(table.iloc[:cut], change[:cut])
+            held = table.iloc[cut:]
+        if held is not None and len(held):
+            yield tables(held, np.zeros(len(held), bool))
+
+    def tables(table: pd.DataFrame, change: np.ndarray) -> pd.DataFrame:
+        begins = np.flatnonzero(np.append(True, change[1:]))
+        found = [passage(t, interval) for t in np.split(table["t"].to_numpy(), begins[1:])]
+        return table[own].iloc[begins].assign(entries=[e for e, _ in found], exits=[e for _, e in found])
+
+    def chain(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("_part")
+        last, before = None, []
+        for entries, exits in zip(table["entries"], table["exits"], strict=True):
+            before.append(last)
+            last = entered(np.asarray(entries), np.asarray(exits), last, interval)
+        return table[own].assign(_last=pd.array(before, "Float64"))
+
+    found = rows.select(*own, "t").repartition(*own).sortWithinPartitions(*own, "t").mapInPandas(through, f"{fields}, entries array<double>, exits array<double>")
+    starts = found.groupBy(*keys).applyInPandas(chain, f"{fields}, _last double")
+    both = met(rows, starts, own, ["_last"])
+
+    def work(state, part):
+        if state is None:
+            state = (None if np.isnan(part["_last"][0]) else float(part["_last"][0]),)
+        kept, last = let_through(part["t"], state[0], interval)
+        return (last,), kept, {}
+
+    return fold_parts(both, own, ["t", "seq"], work, lambda: None, schema)
+
+
 def declines(rows: DataFrame, window: float, most: int, at_least: int, drop: float, rise: float) -> DataFrame:
     """Frames at which the later half of the trailing samples is worse than the earlier one: session_id, seq, t, cause.
 

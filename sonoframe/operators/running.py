@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _met(rows: DataFrame, carried: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows with what was carried to their part; keys and parts may be null."""
-    same = [rows[k].eqNullSafe(carried[k]) for k in [*keys, "_part"]]
-    return rows.join(carried, same).select(*(rows[c] for c in rows.columns), *(carried[c] for c in columns))
+def met(rows: DataFrame, carried: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with the columns of ``carried``, which has one row for each of the keys; keys may be null."""
+    named = carried.select(*(F.col(k).alias("_of_" + k) for k in keys), *columns)
+    same = [F.col(k).eqNullSafe(F.col("_of_" + k)) for k in keys]
+    return rows.join(named, same).drop(*("_of_" + k for k in keys))
 
 
 def running_total(rows: DataFrame, keys: list[str], order: list[str], part: Column, value: Column, name: str, own: bool = True) -> DataFrame:
@@ -26,7 +27,7 @@ def running_total(rows: DataFrame, keys: list[str], order: list[str], part: Colu
     carried = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried"))
     within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     rows = rows.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    return _met(rows, carried, keys, ["_carried"]).withColumn(name, F.col("_carried") + F.col("_within")).drop("_part", "_value", "_within", "_carried")
+    return met(rows, carried, [*keys, "_part"], ["_carried"]).withColumn(name, F.col("_carried") + F.col("_within")).drop("_part", "_value", "_within", "_carried")
 
 
 def last_before(rows: DataFrame, keys: list[str], order: list[str], part: Column, value: Column, name: str) -> DataFrame:
@@ -38,4 +39,4 @@ def last_before(rows: DataFrame, keys: list[str], order: list[str], part: Column
     carried = ends.select(*keys, "_part", F.last("_end", True).over(before).alias("_carried"))
     within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_within", F.last("_value", True).over(within))
-    return _met(rows, carried, keys, ["_carried"]).withColumn(name, F.coalesce("_within", "_carried")).drop("_part", "_value", "_within", "_carried")
+    return met(rows, carried, [*keys, "_part"], ["_carried"]).withColumn(name, F.coalesce("_within", "_carried")).drop("_part", "_value", "_within", "_carried")

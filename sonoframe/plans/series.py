@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sonoframe.functions import acoustics as A
 from sonoframe.operators import folds
 from sonoframe.operators import frames as O
+from sonoframe.operators.running import running_total
 from sonoframe.plans.cases import case
 from sonoframe.plans.vowels import DELTA
 from sonoframe.sources.bindings import FRAMES, frames
@@ -193,7 +194,7 @@ case(
 )
 case(
     "session_clock",
-    lambda spark, d: frames(spark, d).select("session_id", "seq", (F.sum("k").over(Window.partitionBy("session_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)) / 48.0).alias("session_t")),
+    lambda spark, d: running_total(frames(spark, d).select("session_id", "seq", "t", "k"), ["session_id"], ["t", "seq"], F.floor(F.col("t") / DAY), F.col("k"), "total").select("session_id", "seq", (F.col("total") / 48.0).alias("session_t")),
     f"WITH {FRAMES} SELECT session_id, seq, sum(k) OVER (PARTITION BY session_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) / CAST(48 AS DOUBLE) AS session_t FROM frames",
     "session_t",
 )
@@ -329,7 +330,7 @@ case(
 )
 case(
     "telemetry_sample",
-    lambda spark, d: folds.cooled_down(frames(spark, d).select("session_id", "seq", "t", F.col("kind").alias("level")), ["session_id"], DAY, "session_id bigint, seq bigint, t double, level string"),
+    lambda spark, d: folds.cooled_in_parts(frames(spark, d).select("session_id", "seq", "t", F.col("kind").alias("level")), ["session_id"], DAY, 10 * DAY, "session_id bigint, seq bigint, t double, level string"),
     f"WITH RECURSIVE {FRAMES}, cand AS (SELECT session_id, seq, t, kind AS level FROM frames), {GREEDY.format(keys='session_id', nkeys='n.session_id', on='n.session_id = w.session_id', gap=86400, never='false')} SELECT session_id, seq, t, level FROM walk WHERE kept",
     "t",
 )
