@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,14 +73,32 @@ SPECTRA = "spectra AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FRO
 RATE, SAMPLES, PART = 8000.0, 400, 64
 
 
+#: What a frame's sound is made of, and the frames and recordings whose sound one step makes.
+VOICE, ROWS, SOUNDS = ("f0", "f1", "f2", "f3", "rms"), 1024, 32
+
+
+def waves(f0: np.ndarray, f1: np.ndarray, f2: np.ndarray, f3: np.ndarray, rms: np.ndarray, first: int = 0, last: int = SAMPLES) -> np.ndarray:
+    """Harmonics of a pitch and tones at the formants, as loud as the level says: samples ``first`` to ``last`` of each frame.
+
+    ``ROWS`` frames at a time; a frequency that several of them have is worked out once.
+    """
+    turn = 2 * np.pi / RATE * np.arange(first, last)
+    out = np.empty((len(f0), last - first))
+
+    def of(hz: np.ndarray, harmonics: int) -> np.ndarray:
+        each, at = np.unique(hz, return_inverse=True)
+        return sum(np.sin(h * each[:, None] * turn) / h for h in range(1, harmonics + 1))[at]
+
+    for i in range(0, len(f0), ROWS):
+        a, b, c, d, level = (v[i : i + ROWS] for v in (f0, f1, f2, f3, rms))
+        x = of(a, 5) + 0.5 * of(b, 1) + 0.3 * of(c, 1) + 0.2 * of(d, 1)
+        out[i : i + ROWS] = x * 10 ** (level[:, None] / 20) / 3
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def tones(f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series, rms: pd.Series) -> pd.Series:
-    """Harmonics of a pitch and tones at the formants, as loud as the level says."""
-    turn = 2 * np.pi / RATE * np.arange(SAMPLES)
-    column = lambda x: x.to_numpy(float)[:, None]
-    x = sum(np.sin(h * column(f0) * turn) / h for h in range(1, 6))
-    x = x + 0.5 * np.sin(column(f1) * turn) + 0.3 * np.sin(column(f2) * turn) + 0.2 * np.sin(column(f3) * turn)
-    return pd.Series(list(x * 10 ** (column(rms) / 20) / 3))
+    return pd.Series(list(waves(*(v.to_numpy(float) for v in (f0, f1, f2, f3, rms)))))
 
 
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +108,25 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sound of up to ``PART`` frames in a row of a session: session_id, part, x."""
+    """The sound of up to ``PART`` frames in a row of a session: session_id, part, x.
+
+    Frames meet, and recordings are dealt out, by what their sound is made of, a
+    hundredth of it; the sound is made where it is used and never shuffled.
+    """
     order = Window.partitionBy("session_id").orderBy("t", "seq")
-    rows = voices(spark, sf_dir).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART))
-    held = rows.groupBy("session_id", "part").agg(F.sort_array(F.collect_list(F.struct("t", "seq", "x"))).alias("r"))
-    return held.select("session_id", "part", F.flatten(F.col("r.x")).alias("x"))
+    rows = frames(spark, sf_dir).select("session_id", "t", "seq", *VOICE).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART))
+    held = rows.groupBy("session_id", "part").agg(F.sort_array(F.collect_list(F.struct("t", "seq", *VOICE))).alias("r"))
+    held = held.select("session_id", "part", *(F.col("r")[v].alias(v) for v in VOICE)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id", "part")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), SOUNDS):
+                some = batch.iloc[i : i + SOUNDS]
+                ends = np.cumsum(some["f0"].map(len).to_numpy())
+                x = waves(*(np.concatenate(some[v].to_numpy()).astype(float) for v in VOICE))
+                yield some[["session_id", "part"]].assign(x=[p.ravel() for p in np.split(x, ends[:-1])])
+
+    return held.mapInPandas(run, "session_id bigint, part bigint, x array<double>")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
