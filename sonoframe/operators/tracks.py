@@ -14,8 +14,8 @@ from sonoframe.functions import tracks
 from sonoframe.functions.tracks import Pitch
 from sonoframe.operators import frames as O
 
-#: Frames of one chunk, and samples of all frames that one numpy step holds.
-CHUNK, HELD = 256, 2_000_000
+#: Frames of one chunk, samples of all frames that one numpy step holds, samples of the recordings that are measured together, and rows of one result.
+CHUNK, HELD, SOUND, ROWS = 256, 2_000_000, 1 << 20, 65_536
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -29,6 +29,15 @@ def _fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
 
+def cuts(x: np.ndarray, count: int, origin: int, window: int, hop: int, halo: int = 0, align: int = 1) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """A recording's chunks as :func:`chunked` has them: first, count, begin, x."""
+    for first in range(0, count, CHUNK):
+        n = min(CHUNK, count - first)
+        begin = (origin + first * hop - halo) // align * align
+        end = origin + (first + n - 1) * hop + window + halo
+        yield first, n, begin, np.pad(x[max(begin, 0) : end], (max(-begin, 0), max(end - max(len(x), begin), 0)))
+
+
 def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo: int = 0, align: int = 1, more: tuple[str, ...] = (), start: int | None = None) -> DataFrame:
     """Recordings (keys, ``x``) in chunks of ``CHUNK`` frames: keys, chunk, first, count, origin, begin, peak, x, and the columns ``more``.
 
@@ -55,11 +64,7 @@ def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo:
                 x = x - x.mean()
                 peak = float(np.abs(x).max())
                 out = []
-                for chunk, first in enumerate(range(0, count, CHUNK)):
-                    n = min(CHUNK, count - first)
-                    begin = (origin + first * hop - halo) // align * align
-                    end = origin + (first + n - 1) * hop + window + halo
-                    part = np.pad(x[max(begin, 0) : end], (max(-begin, 0), max(end - max(len(x), begin), 0)))
+                for chunk, (first, n, begin, part) in enumerate(cuts(x, count, origin, window, hop, halo, align)):
                     out.append({**row, "chunk": chunk, "first": first, "count": n, "origin": origin, "begin": begin, "peak": peak, "x": part})
                     if len(out) == 64:
                         yield pd.DataFrame(out)
@@ -71,6 +76,33 @@ def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo:
     return rows.mapInPandas(run, f"{_fields(rows, [*keys, *more])}, chunk int, first bigint, count int, origin bigint, begin bigint, peak double, x array<double>")
 
 
+def together(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows with finite sound and that sound, up to ``SOUND`` samples at a time, or one longer recording."""
+    for batch in batches:
+        some, held, n = [], [], 0
+        for i, x in enumerate(batch["x"]):
+            if x is None or not len(x):
+                continue
+            x = np.asarray(x, float)
+            if not np.isfinite(x).all():
+                continue
+            if some and n + len(x) > SOUND:
+                yield batch.iloc[some], held
+                some, held, n = [], [], 0
+            some.append(i)
+            held.append(x)
+            n += len(x)
+        if some:
+            yield batch.iloc[some], held
+
+
+def _beside(rows: pd.DataFrame, counts: list[int], **columns: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows, repeated so many times each beside columns, a bounded number at a time."""
+    at = np.repeat(np.arange(len(rows)), counts)
+    for i in range(0, len(at), ROWS):
+        yield rows.iloc[at[i : i + ROWS]].reset_index(drop=True).assign(**{name: v[i : i + ROWS] for name, v in columns.items()})
+
+
 def _alike(batch: pd.DataFrame, columns: list[str], room: int) -> Iterator[pd.DataFrame]:
     """Rows with the same values of the columns and lengths of ``x``, a bounded number at a time."""
     sizes = batch["x"].map(len) if "x" in batch else 0
@@ -82,56 +114,26 @@ def _alike(batch: pd.DataFrame, columns: list[str], room: int) -> Iterator[pd.Da
 def pitch_track(recordings: DataFrame, keys: list[str], rate: int, how: Pitch = Pitch()) -> DataFrame:
     """Pitch of every frame: keys, frame, t (seconds, its middle), f0 (0 without voice), strength.
 
-    Each chunk of a recording finds its frames' candidates and the best scores
-    from each candidate of its first frame to each of its last. These small
-    matrices, one a chunk, meet by recording, where the path that is best over
-    the whole recording is found at the chunks' ends; then each chunk finds its
-    own piece of it. The result is that of one pass over the whole recording.
+    The path is that which is best over the whole recording. A recording is a
+    row, so it is in one task anyway: its candidates, a quarter of its size at 8
+    kHz, stay there, and neither they nor its sound are shuffled or written.
 
-    Recordings without a frame, see :func:`chunked`, have no rows.
+    Missing, empty or non-finite recordings, and those shorter than a frame, have
+    no rows.
     """
-    window, hop, k = how.window(rate), how.hop(rate), how.candidates
-    parts = chunked(recordings, keys, window, hop)
-    own = _fields(parts, keys)
+    window, hop = how.window(rate), how.hop(rate)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _alike(batch, ["count"], max(1, HELD // (CHUNK * window))):
-                n = int(part["count"].iloc[0])
-                f, s = tracks.pitch_candidates(np.stack(part["x"].to_numpy()), rate, part["peak"].to_numpy(), how)
-                f, s = f[:, :n], s[:, :n]
-                whole = tracks.through(f, s, rate, how)
-                out = part[[*keys, "chunk", "first", "count", "origin"]].copy()
-                for name, value in (("f", f), ("s", s), ("ahead", f[:, 0]), ("behind", f[:, -1]), ("whole", whole)):
-                    out[name] = list(value.reshape(len(part), -1))
-                yield out
-
-    lists = ", ".join(f"{x} array<double>" for x in ("f", "s", "ahead", "behind", "whole"))
-    found = kept(parts.mapInPandas(find, f"{own}, chunk int, first bigint, count int, origin bigint, {lists}"))
-
-    def join(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("chunk")
-        rows = lambda c: [np.asarray(x) for x in table[c]]
-        ends = tracks.joined(rows("ahead"), rows("behind"), [x.reshape(k, k) for x in rows("whole")], rate, how)
-        return table[[*keys, "chunk"]].assign(entry=[a for a, _ in ends], leave=[b for _, b in ends])
-
-    ends = found.select(*keys, "chunk", "ahead", "behind", "whole").groupBy(*keys).applyInPandas(join, f"{own}, chunk int, entry int, leave int")
-    same = [found[c].eqNullSafe(ends[c]) for c in [*keys, "chunk"]]
-    both = found.drop("ahead", "behind", "whole").join(ends, same).select(*(found[c] for c in [*keys, "first", "count", "origin", "f", "s"]), "entry", "leave")
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _alike(batch, ["count"], max(1, HELD // (CHUNK * k * k))):
-                n = int(part["count"].iloc[0])
-                f, s = (np.stack(part[c].to_numpy()).reshape(len(part), n, k) for c in "fs")
-                path = tracks.between(f, s, part["entry"].to_numpy(), part["leave"].to_numpy(), rate, how)
-                frame = part["first"].to_numpy()[:, None] + np.arange(n)
-                t = (part["origin"].to_numpy()[:, None] + frame * hop + window / 2) / rate
-                out = part[keys].loc[part.index.repeat(n)].reset_index(drop=True)
-                pick = lambda v: np.take_along_axis(v, path[:, :, None], axis=2).ravel()  # noqa: B023, E731
-                yield out.assign(frame=frame.ravel(), t=t.ravel(), f0=pick(f), strength=pick(s))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, sounds in together(batches):
+            found = tracks.best_pitches(sounds, rate, how)
+            counts = [len(f0) for f0, _ in found]
+            frame = np.concatenate([np.arange(n) for n in counts])
+            origin = np.repeat([tracks.grid(len(x), window, hop)[1] for x in sounds], counts)
+            f0, strength = (np.concatenate(v) for v in zip(*found, strict=True))
+            yield from _beside(part[keys], counts, frame=frame, t=(origin + frame * hop + window / 2) / rate, f0=f0, strength=strength)
 
-    return both.mapInPandas(follow, f"{own}, frame bigint, t double, f0 double, strength double")
+    rows = recordings.select(*keys, "x")
+    return rows.mapInPandas(run, f"{_fields(rows, keys)}, frame bigint, t double, f0 double, strength double")
 
 
 def mean_pitch(track: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,6 +173,12 @@ def ceilings(mean: Column) -> Column:
     return F.when(mean > 200, tried(5500)).when(mean > 160, tried(5000, 5200, 5500)).otherwise(tried(4500, 4800, 5000, 5200, 5500))
 
 
+def tried_for(mean: float | None) -> tuple[int, ...]:
+    """The same of a number."""
+    mean = mean or 0
+    return (5500,) if mean > 200 else (5000, 5200, 5500) if mean > 160 else TRIED
+
+
 #: All of them, for the alignment of chunks.
 TRIED = (4500, 4800, 5000, 5200, 5500)
 
@@ -211,8 +219,9 @@ def best_formants(recordings: DataFrame, keys: list[str], rate: int, pitch: Data
     ``pitch`` (:func:`mean_pitch`) settles which ceilings are tried; without a
     mean all are.
     """
-    same = [recordings[c].eqNullSafe(pitch[c]) for c in keys]
-    rows = recordings.join(pitch, same, "left").select(*(recordings[c] for c in keys), ceilings(F.col("mean")).alias("ceilings"), recordings["x"])
+    sound = recordings.hint("merge")  # its size is guessed by its columns' widths, which says nothing of arrays: never broadcast
+    same = [sound[c].eqNullSafe(pitch[c]) for c in keys]
+    rows = sound.join(pitch, same, "left").select(*(sound[c] for c in keys), ceilings(F.col("mean")).alias("ceilings"), sound["x"])
     tried = kept(formant_tracks(rows, keys, rate))
     scores = O.track_score(tried.withColumn("seq", F.col("frame")), F.col("hz"), [*keys, "hz"])
     best = scores.groupBy(*keys).agg(F.max(F.struct(F.round("score", 6).alias("score"), "hz")).alias("best"))
@@ -223,6 +232,44 @@ def best_formants(recordings: DataFrame, keys: list[str], rate: int, pitch: Data
     return tried.join(best, chosen).select(*tried.columns)
 
 
+def sound_formants(recordings: DataFrame, keys: list[str], rate: int, how: Pitch = Pitch()) -> DataFrame:
+    """What :func:`best_formants` gives by the pitch of the same recordings, without a shuffle: keys, hz, frame, t, f1 to f4, bw1 to bw4.
+
+    A recording's pitch, the tracks under each ceiling and their scores stay in
+    its task; only the rows of the ceiling that is chosen leave it.
+    """
+    window, hop = int(tracks.FORMANT_WINDOW * rate), max(1, int(tracks.FORMANT_STEP * rate))
+    align = lcm(*(rate // gcd(rate, 2 * c) for c in TRIED))
+    names = ["f1", "f2", "f3", "f4", "bw1", "bw2", "bw3", "bw4"]
+
+    def under(x: np.ndarray, hz: int, count: int, origin: int) -> np.ndarray:
+        out = np.empty((count, 8))
+        for first, n, begin, part in cuts(x, count, origin, window, hop, 128, align):
+            middle = origin + first * hop - begin + np.arange(n) * hop + window / 2
+            f, width = tracks.formant_frames(part[None], rate, hz, np.floor(middle * 2 * hz / rate).astype(int))
+            out[first : first + n] = np.concatenate([f, width], axis=2)[0]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, sounds in together(batches):
+            for i, (x, (f0, _)) in enumerate(zip(sounds, tracks.best_pitches(sounds, rate, how), strict=True)):
+                count, origin = tracks.grid(len(x), window, hop)
+                if not count:
+                    continue
+                x = x - x.mean()
+                best = None
+                for hz in tried_for(f0[f0 > 0].mean() if (f0 > 0).any() else None):
+                    found = under(x, hz, count, origin)
+                    score = round(tracks.track_score(found[:, :4], found[:, 4:], hz), 6)
+                    if best is None or score >= best[0]:  # ceilings rise, so of equal ones the highest
+                        best = score, hz, found
+                frame = np.arange(count)
+                yield from _beside(part.iloc[[i]][keys], [count], hz=np.full(count, float(best[1])), frame=frame, t=(origin + frame * hop + window / 2) / rate, **dict(zip(names, best[2].T, strict=True)))
+
+    rows = recordings.select(*keys, "x")
+    return rows.mapInPandas(run, f"{_fields(rows, keys)}, hz double, frame bigint, t double, " + ", ".join(f"{x} double" for x in names))
+
+
 #: Seconds between the frames of the contact quotient, and of one; the harmonics it weighs, and how wide they are.
 CONTACT_STEP, CONTACT_WINDOW, HARMONICS, HARMONIC_WIDTH = 0.02, 0.05, (1, 2, 4), 0.1
 
@@ -240,7 +287,7 @@ def contact_frames(recordings: DataFrame, keys: list[str], rate: int, track: Dat
     step = how.hop(rate) / rate
     start = (-(window - hop) // 2) % hop  # frame i is around sample (i + 0.5) * hop, for the first i that fits
     late = (start + (window - hop) // 2) // hop
-    parts = chunked(recordings, keys, window, hop, start=start)
+    parts = chunked(recordings, keys, window, hop, start=start).hint("merge")  # sound is never broadcast, see best_formants
     span = CHUNK * hop / rate  # seconds from one chunk's first frame to the next's
     first = (start + window / 2) / rate
     low, high = (F.floor((F.col("t") + side * (step + 1e-6) - first) / span).cast("int") for side in (-1, 1))
@@ -248,34 +295,62 @@ def contact_frames(recordings: DataFrame, keys: list[str], rate: int, track: Dat
     near = near.groupBy(*keys, "at_chunk").agg(F.sort_array(F.collect_list("p")).alias("p"))  # a chunk's share of the track, never all of it
     same = [parts[k].eqNullSafe(near[k]) for k in keys]
     both = parts.join(near, [*same, parts["chunk"] == near["at_chunk"]]).select(*(parts[k] for k in keys), "first", "count", parts["x"], F.col("p.t").alias("ts"), F.col("p.f0").alias("fs"))
-    shade = np.hamming(window)
-    size = 1 << (4 * window).bit_length()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                n = int(row["count"])
-                frame = row["first"] + late + np.arange(n)
-                t = (frame + 0.5) * hop / rate
-                f0 = pitch_at(t, np.asarray(row["ts"]), np.asarray(row["fs"]), step)
-                sounding = np.flatnonzero(f0 > 0)
-                if not len(sounding):
-                    continue
-                rows = tracks.framed(np.asarray(row["x"], float)[None], window, hop)[0, sounding]
-                power = np.cumsum(np.abs(np.fft.rfft(rows * shade, size)) ** 2, axis=1)
-                power = np.concatenate([np.zeros((len(rows), 1)), power], axis=1)
-                f0 = f0[sounding]
-                at = np.arange(len(rows))
-                edge = lambda hz, up: np.clip((np.floor if up else np.ceil)(hz * size / rate).astype(int) + up, 0, power.shape[1] - 1)
-                bands = [np.maximum(power[at, edge(h * f0 * (1 + HARMONIC_WIDTH), 1)] - power[at, edge(h * f0 * (1 - HARMONIC_WIDTH), 0)], 0) for h in HARMONICS]  # noqa: B023
-                good = np.min(bands, axis=0) > 0
-                out = pd.DataFrame({k: [row[k]] * int(good.sum()) for k in keys})
-                levels = {f"h{h}": 10 * np.log10(b[good]) for h, b in zip(HARMONICS, bands, strict=True)}
-                yield out.assign(frame=frame[sounding][good], t=t[sounding][good], f0=f0[good], **levels)
+                found = harmonics(np.asarray(row["x"], float), row["first"] + late, int(row["count"]), np.asarray(row["ts"]), np.asarray(row["fs"]), rate, step)
+                if found:
+                    yield pd.DataFrame({k: [row[k]] * len(found["frame"]) for k in keys}).assign(**found)
 
     return both.mapInPandas(run, f"{_fields(parts, keys)}, frame bigint, t double, f0 double, h1 double, h2 double, h4 double")
 
 
+def harmonics(x: np.ndarray, first: int, count: int, times: np.ndarray, pitch: np.ndarray, rate: int, step: float) -> dict[str, np.ndarray]:
+    """Columns of :func:`contact_frames` for frames ``first`` and on, whose sound ``x`` begins with the first of them, from a track's times and pitch; {} if none has voice."""
+    window, hop = int(CONTACT_WINDOW * rate), max(1, int(CONTACT_STEP * rate))
+    size = 1 << (4 * window).bit_length()
+    frame = first + np.arange(count)
+    t = (frame + 0.5) * hop / rate
+    f0 = pitch_at(t, times, pitch, step)
+    sounding = np.flatnonzero(f0 > 0)
+    if not len(sounding):
+        return {}
+    rows = tracks.framed(x[None], window, hop)[0, sounding]
+    power = np.cumsum(np.abs(np.fft.rfft(rows * np.hamming(window), size)) ** 2, axis=1)
+    power = np.concatenate([np.zeros((len(rows), 1)), power], axis=1)
+    f0 = f0[sounding]
+    at = np.arange(len(rows))
+    edge = lambda hz, up: np.clip((np.floor if up else np.ceil)(hz * size / rate).astype(int) + up, 0, power.shape[1] - 1)
+    bands = [np.maximum(power[at, edge(h * f0 * (1 + HARMONIC_WIDTH), 1)] - power[at, edge(h * f0 * (1 - HARMONIC_WIDTH), 0)], 0) for h in HARMONICS]
+    good = np.min(bands, axis=0) > 0
+    return {"frame": frame[sounding][good], "t": t[sounding][good], "f0": f0[good]} | {f"h{h}": 10 * np.log10(b[good]) for h, b in zip(HARMONICS, bands, strict=True)}
+
+
+def sound_contact(recordings: DataFrame, keys: list[str], rate: int, how: Pitch = Pitch()) -> DataFrame:
+    """What :func:`contact_frames` gives by the pitch of the same recordings, without a shuffle: each recording meets its track in its own task."""
+    window, hop = int(CONTACT_WINDOW * rate), max(1, int(CONTACT_STEP * rate))
+    start = (-(window - hop) // 2) % hop
+    late = (start + (window - hop) // 2) // hop
+    wide, step = how.window(rate), how.hop(rate)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, sounds in together(batches):
+            for i, (x, (f0, _)) in enumerate(zip(sounds, tracks.best_pitches(sounds, rate, how), strict=True)):
+                count = max(0, (len(x) - start - window) // hop + 1)
+                if not count or not len(f0):
+                    continue
+                x = x - x.mean()
+                t = (tracks.grid(len(x), wide, step)[1] + np.arange(len(f0)) * step + wide / 2) / rate
+                for first, n, _, sound in cuts(x, count, start, window, hop):
+                    found = harmonics(sound, first + late, n, t, f0, rate, step / rate)
+                    if found:
+                        yield from _beside(part.iloc[[i]][keys], [len(found["frame"])], **found)
+
+    rows = recordings.select(*keys, "x")
+    return rows.mapInPandas(run, f"{_fields(rows, keys)}, frame bigint, t double, f0 double, h1 double, h2 double, h4 double")
+
+
 def pitch_at(t: np.ndarray, times: np.ndarray, f0: np.ndarray, step: float) -> np.ndarray:
     """Pitch at times of a track's frames in order; 0 without voice, or more than half a step beyond its frames."""
     right = np.clip(np.searchsorted(times, t), 0, len(times) - 1)

@@ -46,3 +46,17 @@ def test_sound_of_recordings_is_never_shuffled(spark):
         assert "Exchange" not in text[:made], name
     frame = next(iter(bindings.voices(spark, SF).where("seq = 7").toLocalIterator()))
     assert any(np.array_equal(np.array(r.x)[i : i + 400], frame.x) for r in bindings.recordings(spark, SF).where(F.col("session_id") == frame.session_id).collect() for i in range(0, len(r.x), 400))
+
+
+def test_pitch_of_many_equals_one_by_one():
+    some = sounds(1)
+    for (f0, strength), x in zip(T.best_pitches(some, RATE), some, strict=True):
+        want, sure = T.best_pitch(x, RATE)
+        assert np.array_equal(f0, want) and strength == pytest.approx(sure)
+
+
+def test_pitch_needs_no_shuffle(spark, heard):
+    text = plan(tracks.pitch_track(bindings.recordings(spark, SF), ["session_id", "part"], RATE))
+    assert "Exchange" not in text[: text.rindex("InPandas")] and "Join" not in text
+    got = tracks.pitch_track(heard, ["id", "name"], RATE).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in got} == {i: T.grid(len(x), 480, 120)[0] for i, x in enumerate(sounds()) if len(x) >= 480}
