@@ -33,8 +33,7 @@ def summary(spark, d):
 
 def contact(spark, d):
     """Mean contact quotient of the frames with voice, from the balance of their harmonics, by recording."""
-    rows = recordings(spark, d)
-    found = tracks.contact_frames(rows, KEYS, int(RATE), tracks.pitch_track(rows, KEYS, int(RATE)))
+    found = tracks.sound_contact(recordings(spark, d), KEYS, int(RATE))
     return found.groupBy(*KEYS).agg(F.avg(contact_quotient(F.col("h1"), F.col("h2"), F.col("h4"))).alias("contact_quotient"), F.count("*").alias("n"))
 
 

@@ -60,3 +60,13 @@ def test_pitch_needs_no_shuffle(spark, heard):
     assert "Exchange" not in text[: text.rindex("InPandas")] and "Join" not in text
     got = tracks.pitch_track(heard, ["id", "name"], RATE).groupBy("id").count().collect()
     assert {r.id: r["count"] for r in got} == {i: T.grid(len(x), 480, 120)[0] for i, x in enumerate(sounds()) if len(x) >= 480}
+
+
+def test_contact_in_one_pass(spark, heard):
+    """The same as sound joined with its track, and sound is on no side of a broadcast."""
+    keys = ["id", "name"]
+    joined = tracks.contact_frames(heard, keys, RATE, tracks.pitch_track(heard, keys, RATE))
+    assert "Broadcast" not in plan(joined) and "Join" not in plan(registry.queries()["sound_contact_quotient"](spark, SF))
+    of = lambda df: {(r.id, r.name, r.frame): tuple(r)[3:] for r in df.collect()}
+    got, want = of(tracks.sound_contact(heard, keys, RATE)), of(joined)
+    assert set(got) == set(want) and len(got) > 300 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
