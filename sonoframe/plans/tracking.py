@@ -17,8 +17,7 @@ def pitch(spark, d):
 
 
 def formants(spark, d):
-    rows = recordings(spark, d)
-    return tracks.best_formants(rows, KEYS, int(RATE), tracks.mean_pitch(tracks.pitch_track(rows, KEYS, int(RATE)), KEYS))
+    return tracks.sound_formants(recordings(spark, d), KEYS, int(RATE))
 
 
 def summary(spark, d):

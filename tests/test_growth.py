@@ -70,3 +70,15 @@ def test_contact_in_one_pass(spark, heard):
     of = lambda df: {(r.id, r.name, r.frame): tuple(r)[3:] for r in df.collect()}
     got, want = of(tracks.sound_contact(heard, keys, RATE)), of(joined)
     assert set(got) == set(want) and len(got) > 300 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+@pytest.mark.parametrize("chunk", [256, 50])
+def test_formants_in_one_pass(spark, heard, monkeypatch, chunk):
+    """The same as tracks under all ceilings, scored and joined; only the chosen rows leave a task."""
+    keys = ["id", "name"]
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in tracks.best_formants(heard, keys, RATE, tracks.mean_pitch(tracks.pitch_track(heard, keys, RATE), keys)).collect()}
+    monkeypatch.setattr(tracks, "CHUNK", chunk)
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in tracks.sound_formants(heard, keys, RATE).collect()}
+    assert set(got) == set(want) and len(got) > 1000 and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    text = plan(registry.queries()["formant_track"](spark, SF))
+    assert "Join" not in text and "Window" not in text[: text.rindex("InPandas")]
