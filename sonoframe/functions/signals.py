@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.functions.tracks import Pitch, best_pitch, resampled  # noqa: F401
+from sonoframe.functions.tracks import Pitch, best_pitch, best_pitches, resampled  # noqa: F401
 
 
 def frame(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -474,21 +474,28 @@ def middle_formants(x: np.ndarray, rate: float, order: int, shortest: float = 0.
     return found if len(found) == 3 else [None] * 3
 
 
+def voices_of(signals: list[np.ndarray], rate: float) -> list[tuple[float, float]]:
+    """Of each recording: mean pitch of its voiced frames, on the best path over all of it, and their mean harmonics-to-noise ratio; 0 without voice."""
+    how, out = Pitch(), []
+    for f0, strength in best_pitches(signals, rate, how):
+        voiced = f0 > 0
+        if not voiced.any():
+            out.append((0.0, 0.0))
+            continue
+        height = np.clip(strength[voiced] + how.octave * np.log2(how.low / f0[voiced]), 1e-6, 1 - 1e-6)
+        out.append((float(f0[voiced].mean()), float((10 * np.log10(height / (1 - height))).mean())))
+    return out
+
+
 def voice_of(x: np.ndarray, rate: float) -> tuple[float, float]:
-    """Mean pitch of a recording's voiced frames, on the best path over all of it, and their mean harmonics-to-noise ratio; 0 without voice."""
-    how = Pitch()
-    f0, strength = best_pitch(x, rate, how)
-    voiced = f0 > 0
-    if not voiced.any():
-        return 0.0, 0.0
-    height = strength[voiced] + how.octave * np.log2(how.low / f0[voiced])
-    return float(f0[voiced].mean()), float(np.mean([harmonicity(h) for h in height]))
+    """The same of one recording."""
+    return voices_of([x], rate)[0]
 
 
 def mean_prominence(x: np.ndarray, rate: float, size: int = 2048) -> float:
     """Cepstral prominence, the mean over frames of the whole recording; one frame if it is shorter than two."""
     frames = frame(x, size, size // 2) if len(x) > size else x[None]
-    return float(np.mean([cepstral_prominence(row, rate) for row in frames]))
+    return sum(float(cepstral_prominences(frames[i : i + 256], rate).sum()) for i in range(0, len(frames), 256)) / len(frames)
 
 
 def recording_measures(rows: DataFrame, rate: float, order: int = 10, size: int = 512) -> DataFrame:
@@ -503,10 +510,9 @@ def recording_measures(rows: DataFrame, rate: float, order: int = 10, size: int
     f = np.fft.rfftfreq(size, 1 / rate)
     some = (f >= 100) & (f <= 5000)
 
-    def matrix(x: np.ndarray) -> dict:
+    def matrix(x: np.ndarray, voice: np.ndarray) -> dict:
         power = np.stack([power_frames(row, size, size // 4).mean(axis=0) for row in x])
         kind = consonants(x, rate)
-        voice = np.array([voice_of(row, rate) for row in x])
         rough = np.array([perturbation(row, rate, f0) for row, f0 in zip(x, voice[:, 0], strict=True)])
         middle = [middle_formants(row, rate, order) for row in x]
         envelopes = middle_envelopes(x, rate)
@@ -524,16 +530,20 @@ def recording_measures(rows: DataFrame, rate: float, order: int = 10, size: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lengths = batch["x"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+            sounds = [np.asarray(x, float) if n >= size else None for x, n in zip(batch["x"], lengths, strict=True)]
+            loud = np.array([x is not None and bool(np.isfinite(x).all()) and bool(np.abs(x).max() >= 1e-5) for x in sounds])
+            voice = np.zeros((len(batch), 2))
+            if loud.any():
+                voice[loud] = voices_of([sounds[i] for i in np.flatnonzero(loud)], rate)
             for n in np.unique(lengths).tolist():
                 alike = np.flatnonzero(lengths == n)
                 for i in range(0, len(alike), max(1, (1 << 20) // max(n, 1))):
                     part = batch.iloc[alike[i : i + max(1, (1 << 20) // max(n, 1))]]
                     found = pd.DataFrame(None, index=part.index, columns=list(RECORDED), dtype=object)
-                    if n >= size:
-                        x = np.stack(part["x"].to_numpy()).astype(float)
-                        good = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1) >= 1e-5)
-                        if good.any():
-                            found[good] = pd.DataFrame(matrix(x[good]), index=part.index[good])[list(RECORDED)].astype(object)
+                    at = alike[i : i + len(part)]
+                    at = at[loud[at]]
+                    if len(at):
+                        found.loc[batch.index[at]] = pd.DataFrame(matrix(np.stack([sounds[j] for j in at]), voice[at]), index=batch.index[at])[list(RECORDED)].astype(object)
                     found = found.astype({c: float for c, kind in RECORDED.items() if kind == "double"})
                     yield pd.concat([part[[f.name for f in keys]], found], axis=1)
 

@@ -82,3 +82,11 @@ def test_formants_in_one_pass(spark, heard, monkeypatch, chunk):
     assert set(got) == set(want) and len(got) > 1000 and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
     text = plan(registry.queries()["formant_track"](spark, SF))
     assert "Join" not in text and "Window" not in text[: text.rindex("InPandas")]
+
+
+def test_voices_of_many_equal_one_by_one():
+    some = [x for x in sounds(2) if len(x) > 512]
+    assert S.voices_of(some, RATE) == [pytest.approx(S.voice_of(x, RATE)) for x in some]
+    for x in some[:3]:
+        frames = S.frame(x, 2048, 1024) if len(x) > 2048 else x[None]
+        assert S.mean_prominence(x, RATE) == pytest.approx(np.mean([S.cepstral_prominence(v, RATE) for v in frames]))
