@@ -90,3 +90,12 @@ def test_voices_of_many_equal_one_by_one():
     for x in some[:3]:
         frames = S.frame(x, 2048, 1024) if len(x) > 2048 else x[None]
         assert S.mean_prominence(x, RATE) == pytest.approx(np.mean([S.cepstral_prominence(v, RATE) for v in frames]))
+
+
+def test_a_tenth_of_the_peak(spark):
+    """Frames 20 dB below the peak: the power's last bit decides, and is that of the comparison SQL's engine."""
+    levels = [float(-i) for i in range(1, 100)]
+    rows = spark.createDataFrame([(i, i * 1000 + j, v) for i, top in enumerate(levels) for j, v in enumerate([top, top - 20, top - 20, None])], "session_id bigint, seq bigint, rms double")
+    got = {r.session_id: r.voiced for r in O.recording_quality(rows).collect()}
+    want = {i: duckdb.sql(f"SELECT pow(10, CAST({top - 20} AS DOUBLE) / 20) > 0.1 * pow(10, CAST({top} AS DOUBLE) / 20)").fetchall()[0][0] for i, top in enumerate(levels)}
+    assert {i: v == 0.75 for i, v in got.items()} == want and set(got.values()) <= {0.25, 0.75}
