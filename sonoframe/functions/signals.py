@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -296,19 +296,26 @@ def formant_amplitudes(x: np.ndarray, rate: float, formants: np.ndarray) -> dict
     return out | {"prominence": out["a1"] - probes.min(axis=0)}
 
 
-def levels(rows: DataFrame, rate: float, quiet: float = 0.0) -> DataFrame:
+#: Waveforms that one numpy step of :func:`levels` holds.
+ROWS = 1024
+
+
+def levels(rows: DataFrame, rate: float, quiet: float = 0.0, sound: Callable[[pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
     """All columns of ``rows`` but ``x``, and the levels of each waveform: see :func:`harmonic_levels`, :func:`live_levels`, :func:`formant_amplitudes`.
 
     ``x`` is an array of doubles; pitch ``f0``, formants ``f1`` to ``f4`` and
     widths ``bw1`` to ``bw3`` are columns. Rows of one length are one matrix. A
     missing, empty or non-finite waveform has nulls; rows whose samples all stay
-    below ``quiet`` are left out, if it is above 0.
+    below ``quiet`` are left out, if it is above 0. With ``sound``, rows have no
+    ``x``: it gives that of some of them, a row each, where it is measured.
     """
     names = ["h1_h2", "h1_h2_corrected", "h1_a3", "h1_a3_corrected", "live_h1_h2", "live_h1_h2_corrected", "live_h1_a3", "live_tilt", "a1", "a2", "a3", "a4", "prominence", "intensity"]
     kept = [f for f in rows.schema.fields if f.name != "x" and f.name not in names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[i : i + ROWS] for whole in batches for i in range(0, len(whole), ROWS)):
+            if sound:
+                batch = batch.assign(x=list(sound(batch)))
             if quiet > 0:
                 batch = batch[[x is None or np.abs(x).max(initial=0) >= quiet for x in batch["x"]]]
             out = pd.DataFrame(np.nan, index=batch.index, columns=names)

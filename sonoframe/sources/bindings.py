@@ -101,9 +101,19 @@ def tones(f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series, rms: pd.Se
     return pd.Series(list(waves(*(v.to_numpy(float) for v in (f0, f1, f2, f3, rms)))))
 
 
+def sound_of(frames: pd.DataFrame, first: int = 0, last: int = SAMPLES) -> np.ndarray:
+    """Sound of frames, a row each, from their own columns."""
+    return waves(*(frames[v].to_numpy(float) for v in VOICE), first, last)
+
+
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames dealt out, since the sound of a frame costs much more than its row."""
+    return frames(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
+
+
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with ``x``, 50 ms of sound; dealt out first, since a frame costs much more than its row."""
-    rows = frames(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
+    """Frames with ``x``, 50 ms of sound."""
+    rows = dealt(spark, sf_dir)
     return rows.withColumn("x", tones("f0", "f1", "f2", "f3", "rms"))
 
 

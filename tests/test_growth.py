@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import signals as S
 from sonoframe.functions import tracks as T
-from sonoframe.operators import frames as O
 from sonoframe.operators import tracks
-from sonoframe.plans import registry
+from sonoframe.operators import frames as O
+from sonoframe.plans import registry, voices
 from sonoframe.sources import bindings
 
 SF, RATE = "/root/testdata/sf0.001", 8000
@@ -99,3 +99,46 @@ def test_a_tenth_of_the_peak(spark):
     got = {r.session_id: r.voiced for r in O.recording_quality(rows).collect()}
     want = {i: duckdb.sql(f"SELECT pow(10, CAST({top - 20} AS DOUBLE) / 20) > 0.1 * pow(10, CAST({top} AS DOUBLE) / 20)").fetchall()[0][0] for i, top in enumerate(levels)}
     assert {i: v == 0.75 for i, v in got.items()} == want and set(got.values()) <= {0.25, 0.75}
+
+
+def test_levels_hold_few_waveforms(monkeypatch):
+    """A batch of 10,000 waveforms is measured, and made, a bounded number at a time."""
+
+    class Rows:
+        schema = type("", (), {"fields": []})()
+
+        def drop(self, *_):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            self.run = run
+            return self
+
+    rng, seen, rows, real = np.random.default_rng(0), [], Rows(), S.harmonic_levels
+    monkeypatch.setattr(S, "harmonic_levels", lambda x, *a: seen.append(len(x)) or real(x, *a))
+    monkeypatch.setattr(S.F, "when", lambda *_: S.F)
+    monkeypatch.setattr(S.F, "otherwise", lambda *_: S.F, raising=False)
+    monkeypatch.setattr(S.F, "alias", lambda *_: S.F, raising=False)
+    monkeypatch.setattr(S.F, "isnan", lambda *_: True)
+    monkeypatch.setattr(S.F, "col", lambda *_: True)
+    S.levels(rows, RATE)
+    names = ["f0", "f1", "f2", "f3", "f4", "bw1", "bw2", "bw3"]
+    batch = pd.DataFrame(rng.uniform(50, 300, (5000, 8)), columns=names).assign(x=list(rng.standard_normal((5000, 40))))
+    made = list(rows.run(iter([batch])))
+    assert sum(map(len, made)) == sum(seen) == 5000 and max(seen) <= 1024
+    columns = [rng.integers(90, 300, 8000).astype(float) for _ in bindings.VOICE]
+    tracemalloc.start()
+    x = bindings.waves(*columns)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * x.nbytes and np.array_equal(x[4000:4001], bindings.waves(*(c[4000:4001] for c in columns)))
+
+
+def test_voices_bring_no_sound(spark):
+    """Levels of sound made where it is measured are those of sound that rows bring."""
+    assert "ArrowEvalPython" not in plan(registry.queries()["voice_levels"](spark, SF))
+    of = lambda rows: sorted(tuple(r) for r in voices.heard(rows).select("seq", F.coalesce("h1_h2", F.lit(0.0)), F.coalesce("a1", F.lit(0.0)), "intensity").collect())
+    assert np.allclose(of(voices.silent(spark, SF)), of(bindings.voices(spark, SF)), atol=1e-9)
