@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,21 @@ from pyspark.sql import functions as F
 from sonoframe.functions import signals
 from sonoframe.operators.running import running_total
 
-#: Samples of one piece of a recording, and frames of one block of what is left.
-PIECE, BLOCK = 16_384, 256
+#: Samples of one piece of a recording, frames of one block of what is left, blocks and waveforms that one numpy step holds.
+PIECE, BLOCK, BLOCKS, ROWS = 16_384, 256, 32, 1024
 #: Seconds of a cepstral frame and between two of them; bins of a vowel's spectrum, and the range of its tilt in Hz.
 CEPSTRAL, CEPSTRAL_STEP, BINS, TILT = 0.04, 0.01, 2048, (100.0, 5000.0)
 
 
+@dataclass(frozen=True)
+class Sound:
+    """Sound that rows don't carry: it is made from ``columns`` of them, ``length`` samples each, where it is measured."""
+
+    columns: tuple[str, ...]
+    length: int
+    of: Callable[[pd.DataFrame], np.ndarray]
+
+
 def frame_spans(times: DataFrame, rate: int, step: float) -> DataFrame:
     """Rows with a time ``t`` as the samples of the frame around it: ``start``, ``end`` (exclusive)."""
     middle, half = F.floor(F.col("t") * rate), int(step * rate / 2)
@@ -83,7 +93,7 @@ def silenced(recordings: DataFrame, spans: DataFrame, keys: list[str]) -> DataFr
     return rows.mapInPandas(run, f"{own}, begin bigint, x array<double>")
 
 
-def prominence(kept: DataFrame, keys: list[str], rate: int, order: tuple[str, ...] = ("begin",), part: Column | None = None) -> DataFrame:
+def prominence(kept: DataFrame, keys: list[str], rate: int, order: tuple[str, ...] = ("begin",), part: Column | None = None, sound: Sound | None = None) -> DataFrame:
     """Mean cepstral prominence of pieces of sound joined in order: keys, cpp_db, cepstral_frames.
 
     ``kept`` has keys, ``order`` (unique by key) and ``x``; ``part`` cuts a key's
@@ -91,21 +101,28 @@ def prominence(kept: DataFrame, keys: list[str], rate: int, order: tuple[str, ..
     of a piece in what is left is a running total of lengths; pieces go to the
     blocks of ``BLOCK`` frames that they touch, so no key is gathered whole.
     Frames of 40 ms every 10 ms count unless they are silent or not finite; a key
-    without such a frame has a null and 0.
+    without such a frame has a null and 0. With ``sound``, rows carry no ``x``.
     """
+    carried = list(sound.columns) if sound else ["x"]
     window, hop = int(CEPSTRAL * rate), max(1, int(CEPSTRAL_STEP * rate))
     span = BLOCK * hop
-    held = kept.where(F.size("x") > 0).withColumn("n", F.size("x").cast("bigint"))
-    held = running_total(held, keys, list(order), F.floor(F.col("begin") / (64 * PIECE)) if part is None else part, F.col("n"), "place", own=False)
+    held = kept.withColumn("n", F.lit(sound.length).cast("bigint")) if sound else kept.where(F.size("x") > 0).withColumn("n", F.size("x").cast("bigint"))
+    held = held.select(*keys, *(c for c in (order if part is not None else {*order, "begin"}) if c in kept.columns), *carried, "n", *([] if part is None else [part.alias("in_part")]))
+    part = F.floor(F.col("begin") / (64 * PIECE)) if part is None else F.col("in_part")
+    held = running_total(held, keys, list(order), part, F.col("n"), "place", own=False)
     first = F.greatest(F.lit(0), F.floor((F.col("place") - window + hop) / span))
     last = F.floor((F.col("place") + F.col("n") - 1) / span)
-    dealt = held.select(*keys, F.explode(F.sequence(first, last)).alias("block"), "place", "x")
-    blocks = dealt.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("r"))
-    blocks = blocks.select(*keys, "block", F.col("r")[0]["place"].alias("place"), F.flatten("r.x").alias("x"))
+    dealt = held.select(*keys, F.explode(F.sequence(first, last)).alias("block"), "place", *carried)
+    blocks = dealt.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("place", *carried))).alias("r"))
+    blocks = blocks.select(*keys, "block", F.col("r")[0]["place"].alias("place"), *(F.col("r")[c].alias(c) if sound else F.flatten("r.x").alias("x") for c in carried))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields if f.name in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[i : i + BLOCKS] for whole in batches for i in range(0, len(whole), BLOCKS)):
+            if sound:
+                ends = np.cumsum(batch[carried[0]].map(len).to_numpy())
+                made = sound.of(pd.DataFrame({c: np.concatenate(batch[c].to_numpy()) for c in carried}))
+                batch = batch.assign(x=[x.ravel() for x in np.split(made, ends[:-1])])
             sums, counts = [], []
             for block, place, x in zip(batch["block"], batch["place"], batch["x"], strict=True):
                 x = np.asarray(x, float)
@@ -123,13 +140,14 @@ def prominence(kept: DataFrame, keys: list[str], rate: int, order: tuple[str, ..
     return made.groupBy(*keys).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("cpp_db"), F.sum("n").alias("cepstral_frames"))
 
 
-def mean_spectrum_tilt(rows: DataFrame, keys: list[str], rate: int) -> DataFrame:
+def mean_spectrum_tilt(rows: DataFrame, keys: list[str], rate: int, sound: Sound | None = None) -> DataFrame:
     """Slope in dB an octave of the averaged power spectrum of waveforms ``x`` by keys: keys, tilt_db_oct (null below five bins of power).
 
-    Spectra are summed by key within a batch; the sums meet bin by bin, so a key
-    costs as many values as there are bins, however many waveforms it has.
-    Longer waveforms count with their first ``BINS`` samples; missing, empty and
-    non-finite ones don't.
+    Rows meet by key first; a key that holds many is still many tasks. A task
+    sums a key's autocorrelations, as long as its waveforms, and the sums meet:
+    the spectrum of their total is the total of the spectra, and has many more
+    bins. Longer waveforms count with their first ``BINS`` samples; missing, empty
+    and non-finite ones don't. With ``sound``, rows carry no ``x``.
     """
     f = np.fft.rfftfreq(BINS, 1 / rate)
     low, high = int(np.searchsorted(f, TILT[0])), int(np.searchsorted(f, TILT[1], "right"))
@@ -137,24 +155,43 @@ def mean_spectrum_tilt(rows: DataFrame, keys: list[str], rate: int) -> DataFrame
     own = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.select(*keys).schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [x is not None and len(x) > 0 and bool(np.isfinite(x).all()) for x in batch["x"]]
-            batch = batch[good]
+        for batch in (whole.iloc[i : i + ROWS] for whole in batches for i in range(0, len(whole), ROWS)):
+            waves = list(sound.of(batch)) if sound else [None if x is None else np.asarray(x, float)[:] for x in batch["x"]]
+            good = [x is not None and len(x) > 0 and bool(np.isfinite(x).all()) for x in waves]
+            batch, waves = batch[good], [x[:BINS] for x, fine in zip(waves, good, strict=True) if fine]
             if not len(batch):
                 continue
-            x = np.zeros((len(batch), BINS))
-            for row, values in zip(x, batch["x"], strict=True):
-                row[: len(values)] = values[:BINS]
-            power = np.abs(np.fft.rfft(x * shade)) ** 2
+            longest = max(map(len, waves))
+            x = np.zeros((len(batch), longest))
+            for row, values in zip(x, waves, strict=True):
+                row[: len(values)] = values
+            size = 1 << (2 * longest - 1).bit_length()
+            power = np.abs(np.fft.rfft(x * shade[:longest], size)) ** 2
             which = batch.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             order = np.argsort(which, kind="stable")
             edges = np.flatnonzero(np.diff(which[order], prepend=-1))
-            sums = np.add.reduceat(power[order][:, low:high], edges, axis=0)
-            yield batch[keys].iloc[order[edges]].assign(n=np.diff(np.append(edges, len(order))), p=list(sums))
-
-    some = rows.select(*keys, "x").mapInPandas(run, f"{own}, n bigint, p array<double>")
-    each = some.select(*keys, "n", F.posexplode("p").alias("bin", "p")).groupBy(*keys, "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    hz = (F.col("bin") + low) * (rate / BINS)
-    power: Column = F.col("p") / F.col("n")
-    line = F.regr_slope(10 * F.log10(power + 1e-20), F.log2(hz))
-    return each.where("p > 0").groupBy(*keys).agg(F.when(F.count("*") >= 5, line).alias("tilt_db_oct"))
+            sums = np.fft.irfft(np.add.reduceat(power[order], edges, axis=0), size)[:, :longest]
+            yield batch[keys].iloc[order[edges]].assign(n=np.diff(np.append(edges, len(order))), r=list(sums))
+
+    def slope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        octave = np.log2(f[low:high])
+        for batch in batches:
+            found = []
+            for n, parts in zip(batch["n"], batch["r"], strict=True):
+                r = np.zeros(BINS)
+                for part in parts:
+                    r[: len(part)] += part
+                r[1:] *= 2
+                power = np.fft.rfft(r).real[low:high] / n  # of the even signal whose right half is r
+                some = power > 0
+                if some.sum() < 5:
+                    found.append(None if some.any() else np.nan)
+                    continue
+                at, level = octave[some] - octave[some].mean(), 10 * np.log10(power[some] + 1e-20)
+                found.append(float((at * level).sum() / (at * at).sum()))
+            there = [v is None or v == v for v in found]
+            yield batch[keys][there].assign(tilt_db_oct=pd.Series([v for v, t in zip(found, there, strict=True) if t], index=batch.index[there], dtype=object))
+
+    some = rows.select(*keys, *(sound.columns if sound else ["x"])).hint("rebalance", *keys).sortWithinPartitions(*keys)
+    sums = some.mapInPandas(run, f"{own}, n bigint, r array<double>").groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("r").alias("r"))
+    return sums.mapInPandas(slope, f"{own}, tilt_db_oct double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import signals as S
 from sonoframe.functions import tracks as T
-from sonoframe.operators import tracks
+from sonoframe.operators import exclusion, tracks
 from sonoframe.operators import frames as O
 from sonoframe.plans import registry, voices
 from sonoframe.sources import bindings
@@ -137,6 +137,18 @@ def test_levels_hold_few_waveforms(monkeypatch):
     assert most < 2 * x.nbytes and np.array_equal(x[4000:4001], bindings.waves(*(c[4000:4001] for c in columns)))
 
 
+def test_source_by_vowel_shuffles_no_sound(spark, monkeypatch):
+    """No exchange carries samples or bins, and sums in any number of parts give the same slope."""
+    text = plan(registry.queries()["per_vowel_source"](spark, SF))
+    assert "Generate posexplode" not in text and "ArrowEvalPython" not in text
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i % 3, rng.standard_normal(50 + i % 7).tolist()) for i in range(90)], "k int, x array<double>")
+    of = lambda n: {r.k: r.tilt_db_oct for r in exclusion.mean_spectrum_tilt(rows.repartition(n), ["k"], RATE).collect()}
+    want = of(1)
+    monkeypatch.setattr(exclusion, "ROWS", 4)
+    assert of(5) == pytest.approx(want, abs=1e-9) and len(want) == 3
+
+
 def test_voices_bring_no_sound(spark):
     """Levels of sound made where it is measured are those of sound that rows bring."""
     assert "ArrowEvalPython" not in plan(registry.queries()["voice_levels"](spark, SF))
