@@ -49,19 +49,30 @@ def syllable_pitch(syllables: DataFrame, track: DataFrame, keys: list[str], hop:
     Pitch is looked at every 5 ms from the syllable's begin, between the two
     frames beside: without voice where the nearer one has none, the nearer one's
     where only the farther has none, in proportion to the distances else.
+    ``track`` has frames every ``hop`` with the pitch that follows: keys, frame, t,
+    f0, f0_next. A frame answers the looks up to the next one, the first also
+    those before it, so a pair is one sum and no look is a row.
     """
     own = [*keys, "word", "start", "end", "i"]
-    pairs = near_frames(syllables, track.select(*keys, "t", "f0"), keys, hop)
+    pairs = near_frames(syllables, track.select(*keys, "frame", "t", "f0", "f0_next"), keys, hop)
     look = lambda t: (t - F.col("begin")) / LOOK
-    first = F.greatest(F.lit(0), F.ceil(look(F.col("t") - hop)))
-    last = F.least(F.floor((F.col("until") - F.col("begin")) / LOOK + 1e-9), F.floor(look(F.col("t") + hop)))
-    looks = pairs.where(first <= last).withColumn("j", F.explode(F.sequence(first, last)))
-    far = F.round(F.abs(F.col("begin") + F.col("j") * LOOK - F.col("t")), 9)
-    looks = looks.withColumn("far", far).where(F.col("far") < hop)
-    beside = looks.groupBy(*own, "j").agg(F.min(F.struct("far", "t", "f0")).alias("a"), F.max(F.struct("far", "t", "f0")).alias("b"))
-    between = F.col("a.f0") + (F.col("b.f0") - F.col("a.f0")) * F.col("a.far") / hop
-    value = F.when((F.col("a.f0") > 0) & (F.col("a.far") <= hop / 2 + 1e-9), F.when(F.col("b.f0") > 0, between).otherwise(F.col("a.f0")))
-    return beside.groupBy(*own).agg(F.avg(value).alias("f0")).where("f0 IS NOT NULL")
+    since = F.when(F.col("frame") == 0, F.col("t") - hop).otherwise(F.col("t"))
+    first = F.greatest(F.lit(0), F.ceil(look(since) - 1e-6))
+    last = F.least(F.floor((F.col("until") - F.col("begin")) / LOOK + 1e-9), F.floor(look(F.col("t") + hop) + 1e-6))
+
+    def value(j: Column) -> Column:
+        at = F.round(F.col("begin") + j * LOOK - F.col("t"), 9)  # seconds behind this frame
+        far, there = F.abs(at), (at < hop) & (at > F.when(F.col("frame") == 0, F.lit(-hop)).otherwise(F.lit(-1e-9)))
+        ahead = F.round(hop - at, 9)
+        alone = (at <= 0) | F.col("f0_next").isNull()
+        here = alone | (far <= ahead)
+        near, other = F.when(here, F.col("f0")).otherwise(F.col("f0_next")), F.when(alone, F.col("f0")).when(here, F.col("f0_next")).otherwise(F.col("f0"))
+        nearest = F.when(here, far).otherwise(ahead)
+        return F.when(there & (near > 0) & (nearest <= hop / 2 + 1e-9), F.when(other > 0, near + (other - near) * nearest / hop).otherwise(near))
+
+    heard = F.filter(F.transform(F.sequence(first, last), value), lambda v: v.isNotNull())
+    sums = pairs.where(first <= last).withColumn("heard", heard).select(*own, F.aggregate("heard", F.lit(0.0), lambda s, v: s + v).alias("s"), F.size("heard").alias("n"))
+    return sums.groupBy(*own).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("f0")).where("f0 IS NOT NULL")
 
 
 def syllable_level(syllables: DataFrame, track: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,7 +106,7 @@ def spoken_stress(recordings: DataFrame, words: DataFrame, keys: list[str], rate
     Words of one syllable have no row.
     """
     syllables = timed_syllables(words, keys)
-    pitch = syllable_pitch(syllables, tracks.pitch_track(recordings, keys, rate, how), keys, how.hop(rate) / rate)
+    pitch = syllable_pitch(syllables, tracks.pitch_track(recordings, keys, rate, how, following=True), keys, how.hop(rate) / rate)
     level = syllable_level(syllables, tracks.intensity_track(recordings, keys, rate), keys)
     own = [*keys, "word", "start", "end"]
     means = syllables.join(pitch, [*own, "i"], "left").join(level, [*own, "i"], "left")

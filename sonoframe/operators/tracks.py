@@ -111,7 +111,7 @@ def _alike(batch: pd.DataFrame, columns: list[str], room: int) -> Iterator[pd.Da
             yield part.iloc[i : i + room]
 
 
-def pitch_track(recordings: DataFrame, keys: list[str], rate: int, how: Pitch = Pitch()) -> DataFrame:
+def pitch_track(recordings: DataFrame, keys: list[str], rate: int, how: Pitch = Pitch(), following: bool = False) -> DataFrame:
     """Pitch of every frame: keys, frame, t (seconds, its middle), f0 (0 without voice), strength.
 
     The path is that which is best over the whole recording. A recording is a
@@ -119,7 +119,8 @@ def pitch_track(recordings: DataFrame, keys: list[str], rate: int, how: Pitch =
     kHz, stay there, and neither they nor its sound are shuffled or written.
 
     Missing, empty or non-finite recordings, and those shorter than a frame, have
-    no rows.
+    no rows. With ``following``, rows have the next frame's pitch too, ``f0_next``,
+    null for the last.
     """
     window, hop = how.window(rate), how.hop(rate)
 
@@ -130,10 +131,12 @@ def pitch_track(recordings: DataFrame, keys: list[str], rate: int, how: Pitch =
             frame = np.concatenate([np.arange(n) for n in counts])
             origin = np.repeat([tracks.grid(len(x), window, hop)[1] for x in sounds], counts)
             f0, strength = (np.concatenate(v) for v in zip(*found, strict=True))
-            yield from _beside(part[keys], counts, frame=frame, t=(origin + frame * hop + window / 2) / rate, f0=f0, strength=strength)
+            more = {"f0_next": np.concatenate([np.append(v[1:], np.nan)[: len(v)] for v, _ in found])} if following else {}
+            yield from _beside(part[keys], counts, frame=frame, t=(origin + frame * hop + window / 2) / rate, f0=f0, strength=strength, **more)
 
     rows = recordings.select(*keys, "x")
-    return rows.mapInPandas(run, f"{_fields(rows, keys)}, frame bigint, t double, f0 double, strength double")
+    made = rows.mapInPandas(run, f"{_fields(rows, keys)}, frame bigint, t double, f0 double, strength double" + ", f0_next double" * following)
+    return made.withColumn("f0_next", F.when(~F.isnan("f0_next"), F.col("f0_next"))) if following else made
 
 
 def mean_pitch(track: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,22 +152,27 @@ def intensity_track(recordings: DataFrame, keys: list[str], rate: int, lowest: f
     own mean taken off; silence is at -300 dB. Chunks are matrices, as for pitch.
     """
     window, hop = int(6.4 / lowest * rate), max(1, int(step * rate))
-    parts = chunked(recordings, keys, window, hop)
     weight = np.kaiser(window, 2 * np.pi**2 + 0.5)
     weight = weight / weight.sum()
 
+    def levels(x: np.ndarray, count: int, origin: int) -> Iterator[np.ndarray]:
+        for _, n, _, part in cuts(x - x.mean(), count, origin, window, hop):
+            y = tracks.framed(part[None], window, hop)[0, :n]
+            y = y - y.mean(axis=1, keepdims=True)
+            yield np.maximum(-300.0, 10 * np.log10(np.maximum((y * y) @ weight, 1e-300) / 4e-10))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _alike(batch, ["count"], max(1, HELD // (CHUNK * window))):
-                n = int(part["count"].iloc[0])
-                x = tracks.framed(np.stack(part["x"].to_numpy()), window, hop)[:, :n]
-                x = x - x.mean(axis=2, keepdims=True)
-                level = np.maximum(-300.0, 10 * np.log10(np.maximum((x * x) @ weight, 1e-300) / 4e-10))
-                frame = part["first"].to_numpy()[:, None] + np.arange(n)
-                t = (part["origin"].to_numpy()[:, None] + frame * hop + window / 2) / rate
-                yield part[keys].loc[part.index.repeat(n)].reset_index(drop=True).assign(frame=frame.ravel(), t=t.ravel(), level=level.ravel())
+        for part, sounds in together(batches):
+            grids = [tracks.grid(len(x), window, hop) for x in sounds]
+            counts = [n for n, _ in grids]
+            if any(counts):
+                frame = np.concatenate([np.arange(n) for n in counts])
+                level = np.concatenate([v for x, at in zip(sounds, grids, strict=True) for v in levels(x, *at)])
+                t = (np.repeat([start for _, start in grids], counts) + frame * hop + window / 2) / rate
+                yield from _beside(part[keys], counts, frame=frame, t=t, level=level)
 
-    return parts.mapInPandas(run, f"{_fields(parts, keys)}, frame bigint, t double, level double")
+    rows = recordings.select(*keys, "x")
+    return rows.mapInPandas(run, f"{_fields(rows, keys)}, frame bigint, t double, level double")
 
 
 def ceilings(mean: Column) -> Column:

@@ -117,16 +117,21 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("x", tones("f0", "f1", "f2", "f3", "rms"))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ``PART`` frames in a row of a session: session_id, part, and arrays of what their sound is made of."""
+    order = Window.partitionBy("session_id").orderBy("t", "seq")
+    rows = frames(spark, sf_dir).select("session_id", "t", "seq", *VOICE).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART))
+    held = rows.groupBy("session_id", "part").agg(F.sort_array(F.collect_list(F.struct("t", "seq", *VOICE))).alias("r"))
+    return held.select("session_id", "part", *(F.col("r")[v].alias(v) for v in VOICE))
+
+
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sound of up to ``PART`` frames in a row of a session: session_id, part, x.
 
     Frames meet, and recordings are dealt out, by what their sound is made of, a
     hundredth of it; the sound is made where it is used and never shuffled.
     """
-    order = Window.partitionBy("session_id").orderBy("t", "seq")
-    rows = frames(spark, sf_dir).select("session_id", "t", "seq", *VOICE).withColumn("part", F.floor((F.row_number().over(order) - 1) / PART))
-    held = rows.groupBy("session_id", "part").agg(F.sort_array(F.collect_list(F.struct("t", "seq", *VOICE))).alias("r"))
-    held = held.select("session_id", "part", *(F.col("r")[v].alias(v) for v in VOICE)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id", "part")
+    held = parts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import signals as S
 from sonoframe.functions import tracks as T
-from sonoframe.operators import exclusion, tracks
+from sonoframe.operators import exclusion, stress, tracks
 from sonoframe.operators import frames as O
 from sonoframe.plans import registry, voices
 from sonoframe.sources import bindings
@@ -154,3 +154,28 @@ def test_voices_bring_no_sound(spark):
     assert "ArrowEvalPython" not in plan(registry.queries()["voice_levels"](spark, SF))
     of = lambda rows: sorted(tuple(r) for r in voices.heard(rows).select("seq", F.coalesce("h1_h2", F.lit(0.0)), F.coalesce("a1", F.lit(0.0)), "intensity").collect())
     assert np.allclose(of(voices.silent(spark, SF)), of(bindings.voices(spark, SF)), atol=1e-9)
+
+
+def test_stress_has_no_row_for_a_look(spark, heard):
+    """Looks at the pitch are no rows; pitch by syllable is that of a walk over all frames."""
+    text = plan(registry.queries()["sound_stress"](spark, SF))
+    assert "ArrowEvalPython" not in text and "far#" not in text  # sound only where a track is, no looks
+    track = tracks.pitch_track(heard, ["id"], RATE, following=True)
+    frames = {}
+    for r in track.collect():
+        frames.setdefault(r.id, []).append((r.t, r.f0))
+    rng = np.random.default_rng(4)
+    spans = [(i, f"w{j}", float(a), float(a + 1), 0, float(a), float(a + w)) for i in frames for j, (a, w) in enumerate(zip(rng.uniform(-0.1, 2, 12).round(3), rng.uniform(0, 0.6, 12).round(3), strict=True))]
+    syllables = spark.createDataFrame(spans, "id bigint, word string, start double, end double, i int, begin double, until double")
+    got = {(r.id, r.word): r.f0 for r in stress.syllable_pitch(syllables, track, ["id"], 0.015).collect()}
+    want = {}
+    for i, word, *_, a, b in spans:
+        values = []
+        for j in range(int(np.floor((b - a) / 0.005 + 1e-9)) + 1):
+            near = sorted((d, t, f) for t, f in frames[i] if (d := round(abs(a + j * 0.005 - t), 9)) < 0.015)
+            if near and near[0][2] > 0 and near[0][0] <= 0.0075 + 1e-9:
+                f, g = near[0][2], near[-1][2]
+                values.append(f + (g - f) * near[0][0] / 0.015 if g > 0 else f)
+        if values:
+            want[i, word] = np.mean(values)
+    assert got == pytest.approx(want) and len(want) > 30
