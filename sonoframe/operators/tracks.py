@@ -29,10 +29,10 @@ def _fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
 
-def cuts(x: np.ndarray, count: int, origin: int, window: int, hop: int, halo: int = 0, align: int = 1) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def cuts(x: np.ndarray, count: int, origin: int, window: int, hop: int, chunk: int, halo: int = 0, align: int = 1) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """A recording's chunks as :func:`chunked` has them: first, count, begin, x."""
-    for first in range(0, count, CHUNK):
-        n = min(CHUNK, count - first)
+    for first in range(0, count, chunk):
+        n = min(chunk, count - first)
         begin = (origin + first * hop - halo) // align * align
         end = origin + (first + n - 1) * hop + window + halo
         yield first, n, begin, np.pad(x[max(begin, 0) : end], (max(-begin, 0), max(end - max(len(x), begin), 0)))
@@ -64,7 +64,7 @@ def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo:
                 x = x - x.mean()
                 peak = float(np.abs(x).max())
                 out = []
-                for chunk, (first, n, begin, part) in enumerate(cuts(x, count, origin, window, hop, halo, align)):
+                for chunk, (first, n, begin, part) in enumerate(cuts(x, count, origin, window, hop, CHUNK, halo, align)):
                     out.append({**row, "chunk": chunk, "first": first, "count": n, "origin": origin, "begin": begin, "peak": peak, "x": part})
                     if len(out) == 64:
                         yield pd.DataFrame(out)
@@ -156,7 +156,7 @@ def intensity_track(recordings: DataFrame, keys: list[str], rate: int, lowest: f
     weight = weight / weight.sum()
 
     def levels(x: np.ndarray, count: int, origin: int) -> Iterator[np.ndarray]:
-        for _, n, _, part in cuts(x - x.mean(), count, origin, window, hop):
+        for _, n, _, part in cuts(x - x.mean(), count, origin, window, hop, CHUNK):
             y = tracks.framed(part[None], window, hop)[0, :n]
             y = y - y.mean(axis=1, keepdims=True)
             yield np.maximum(-300.0, 10 * np.log10(np.maximum((y * y) @ weight, 1e-300) / 4e-10))
@@ -252,7 +252,7 @@ def sound_formants(recordings: DataFrame, keys: list[str], rate: int, how: Pitch
 
     def under(x: np.ndarray, hz: int, count: int, origin: int) -> np.ndarray:
         out = np.empty((count, 8))
-        for first, n, begin, part in cuts(x, count, origin, window, hop, 128, align):
+        for first, n, begin, part in cuts(x, count, origin, window, hop, CHUNK, 128, align):
             middle = origin + first * hop - begin + np.arange(n) * hop + window / 2
             f, width = tracks.formant_frames(part[None], rate, hz, np.floor(middle * 2 * hz / rate).astype(int))
             out[first : first + n] = np.concatenate([f, width], axis=2)[0]
@@ -350,7 +350,7 @@ def sound_contact(recordings: DataFrame, keys: list[str], rate: int, how: Pitch
                     continue
                 x = x - x.mean()
                 t = (tracks.grid(len(x), wide, step)[1] + np.arange(len(f0)) * step + wide / 2) / rate
-                for first, n, _, sound in cuts(x, count, start, window, hop):
+                for first, n, _, sound in cuts(x, count, start, window, hop, CHUNK):
                     found = harmonics(sound, first + late, n, t, f0, rate, step / rate)
                     if found:
                         yield from _beside(part.iloc[[i]][keys], [len(found["frame"])], **found)
