@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import gcd, lcm
 
 import numpy as np
@@ -17,6 +17,9 @@ from sonoframe.operators import frames as O
 #: Frames of one chunk, samples of all frames that one numpy step holds, samples of the recordings that are measured together, and rows of one result.
 CHUNK, HELD, SOUND, ROWS = 256, 2_000_000, 1 << 20, 65_536
 
+#: What makes the sound of some recordings from what it is made of, and of how many at once.
+Sound, MADE = Callable[[pd.DataFrame], list[np.ndarray]], 32
+
 
 def kept(df: DataFrame) -> DataFrame:
     """A result that is used twice: written to the checkpoint folder where one is set, else worked out twice."""
@@ -76,24 +79,29 @@ def chunked(recordings: DataFrame, keys: list[str], window: int, hop: int, halo:
     return rows.mapInPandas(run, f"{_fields(rows, [*keys, *more])}, chunk int, first bigint, count int, origin bigint, begin bigint, peak double, x array<double>")
 
 
-def together(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Rows with finite sound and that sound, up to ``SOUND`` samples at a time, or one longer recording."""
+def together(batches: Iterator[pd.DataFrame], sound: Sound | None = None) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows with finite sound and that sound, up to ``SOUND`` samples at a time, or one longer recording.
+
+    Rows bring their sound as ``x``, or ``sound`` makes it, of ``MADE`` of them at a time.
+    """
     for batch in batches:
-        some, held, n = [], [], 0
-        for i, x in enumerate(batch["x"]):
-            if x is None or not len(x):
-                continue
-            x = np.asarray(x, float)
-            if not np.isfinite(x).all():
-                continue
-            if some and n + len(x) > SOUND:
-                yield batch.iloc[some], held
-                some, held, n = [], [], 0
-            some.append(i)
-            held.append(x)
-            n += len(x)
-        if some:
-            yield batch.iloc[some], held
+        for first in range(0, len(batch), MADE if sound else max(1, len(batch))):
+            whole = batch.iloc[first : first + MADE] if sound else batch
+            some, held, n = [], [], 0
+            for i, x in enumerate(sound(whole) if sound else whole["x"]):
+                if x is None or not len(x):
+                    continue
+                x = np.asarray(x, float)
+                if not np.isfinite(x).all():
+                    continue
+                if some and n + len(x) > SOUND:
+                    yield whole.iloc[some], held
+                    some, held, n = [], [], 0
+                some.append(i)
+                held.append(x)
+                n += len(x)
+            if some:
+                yield whole.iloc[some], held
 
 
 def _beside(rows: pd.DataFrame, counts: list[int], **columns: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -240,41 +248,45 @@ def best_formants(recordings: DataFrame, keys: list[str], rate: int, pitch: Data
     return tried.join(best, chosen).select(*tried.columns)
 
 
-def sound_formants(recordings: DataFrame, keys: list[str], rate: int, how: Pitch = Pitch()) -> DataFrame:
+def sound_formants(recordings: DataFrame, keys: list[str], rate: int, how: Pitch = Pitch(), sound: Sound | None = None) -> DataFrame:
     """What :func:`best_formants` gives by the pitch of the same recordings, without a shuffle: keys, hz, frame, t, f1 to f4, bw1 to bw4.
 
     A recording's pitch, the tracks under each ceiling and their scores stay in
-    its task; only the rows of the ceiling that is chosen leave it.
+    its task; only the rows of the ceiling that is chosen leave it. Poles of the
+    recordings that are measured together are sought together. With ``sound``,
+    rows have no ``x``: it makes theirs, where it is measured.
     """
     window, hop = int(tracks.FORMANT_WINDOW * rate), max(1, int(tracks.FORMANT_STEP * rate))
     align = lcm(*(rate // gcd(rate, 2 * c) for c in TRIED))
     names = ["f1", "f2", "f3", "f4", "bw1", "bw2", "bw3", "bw4"]
 
-    def under(x: np.ndarray, hz: int, count: int, origin: int) -> np.ndarray:
-        out = np.empty((count, 8))
-        for first, n, begin, part in cuts(x, count, origin, window, hop, CHUNK, 128, align):
+    def predictors(x: np.ndarray, hz: int, count: int, origin: int) -> Iterator[np.ndarray]:
+        for first, n, begin, part in cuts(x - x.mean(), count, origin, window, hop, CHUNK, 128, align):
             middle = origin + first * hop - begin + np.arange(n) * hop + window / 2
-            f, width = tracks.formant_frames(part[None], rate, hz, np.floor(middle * 2 * hz / rate).astype(int))
-            out[first : first + n] = np.concatenate([f, width], axis=2)[0]
-        return out
+            yield tracks.formant_predictors(part[None], rate, hz, np.floor(middle * 2 * hz / rate).astype(int))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, sounds in together(batches):
-            for i, (x, (f0, _)) in enumerate(zip(sounds, tracks.best_pitches(sounds, rate, how), strict=True)):
-                count, origin = tracks.grid(len(x), window, hop)
-                if not count:
+        for part, sounds in together(batches, sound):
+            grids = [tracks.grid(len(x), window, hop) for x in sounds]
+            tried = [tried_for(f0[f0 > 0].mean() if (f0 > 0).any() else None) for f0, _ in tracks.best_pitches(sounds, rate, how)]
+            best: dict[int, tuple] = {}
+            for hz in TRIED:
+                some = [i for i, at in enumerate(grids) if at[0] and hz in tried[i]]
+                if not some:
                     continue
-                x = x - x.mean()
-                best = None
-                for hz in tried_for(f0[f0 > 0].mean() if (f0 > 0).any() else None):
-                    found = under(x, hz, count, origin)
-                    score = round(tracks.track_score(found[:, :4], found[:, 4:], hz), 6)
-                    if best is None or score >= best[0]:  # ceilings rise, so of equal ones the highest
-                        best = score, hz, found
-                frame = np.arange(count)
-                yield from _beside(part.iloc[[i]][keys], [count], hz=np.full(count, float(best[1])), frame=frame, t=(origin + frame * hop + window / 2) / rate, **dict(zip(names, best[2].T, strict=True)))
+                found = np.concatenate(tracks.poles(np.concatenate([a for i in some for a in predictors(sounds[i], hz, *grids[i])]), 2 * hz), axis=1)
+                for i, own in zip(some, np.split(found, np.cumsum([grids[i][0] for i in some])[:-1]), strict=True):
+                    score = round(tracks.track_score(own[:, :4], own[:, 4:], hz), 6)
+                    if i not in best or score >= best[i][0]:  # ceilings rise, so of equal ones the highest
+                        best[i] = score, float(hz), own
+            if best:
+                which, (_, hz, found) = sorted(best), zip(*(best[i] for i in sorted(best)), strict=True)
+                counts = [grids[i][0] for i in which]
+                frame = np.concatenate([np.arange(n) for n in counts])
+                t = (np.repeat([grids[i][1] for i in which], counts) + frame * hop + window / 2) / rate
+                yield from _beside(part.iloc[which][keys], counts, hz=np.repeat(hz, counts), frame=frame, t=t, **dict(zip(names, np.concatenate(found).T, strict=True)))
 
-    rows = recordings.select(*keys, "x")
+    rows = recordings if sound else recordings.select(*keys, "x")
     return rows.mapInPandas(run, f"{_fields(rows, keys)}, hz double, frame bigint, t double, " + ", ".join(f"{x} double" for x in names))
 
 

@@ -17,7 +17,7 @@ NUDGE = 3.3e-8
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, since engines add in different orders; minus zero as zero."""
-    return df.select(*(F.when(F.round(F.col(c) + NUDGE, digits) == 0, 0.0).otherwise(F.round(F.col(c) + NUDGE, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(F.col(c) + NUDGE, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def case(name: str, run: Callable, sql: str | None = None, doubles: str = "") -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sonoframe.functions.acoustics import contact_quotient
 from sonoframe.operators import tracks
 from sonoframe.plans.cases import case
-from sonoframe.sources.bindings import RATE, recordings
+from sonoframe.sources.bindings import RATE, dealt_parts, recordings, sounds_of
 
 KEYS = ["session_id", "part"]
 
@@ -17,7 +17,7 @@ def pitch(spark, d):
 
 
 def formants(spark, d):
-    return tracks.sound_formants(recordings(spark, d), KEYS, int(RATE))
+    return tracks.sound_formants(dealt_parts(spark, d), KEYS, int(RATE), sound=sounds_of)
 
 
 def summary(spark, d):

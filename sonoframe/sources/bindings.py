@@ -125,23 +125,32 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("session_id", "part", *(F.col("r")[v].alias(v) for v in VOICE))
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`parts` dealt out, since their sound costs much more than its row."""
+    return parts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id", "part")
+
+
+def sounds_of(rows: pd.DataFrame) -> list[np.ndarray]:
+    """Sound of recordings, from the arrays of what it is made of."""
+    ends = np.cumsum(rows["f0"].map(len).to_numpy())
+    x = waves(*(np.concatenate(rows[v].to_numpy()).astype(float) for v in VOICE))
+    return [p.ravel() for p in np.split(x, ends[:-1])]
+
+
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sound of up to ``PART`` frames in a row of a session: session_id, part, x.
 
     Frames meet, and recordings are dealt out, by what their sound is made of, a
     hundredth of it; the sound is made where it is used and never shuffled.
     """
-    held = parts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), SOUNDS):
                 some = batch.iloc[i : i + SOUNDS]
-                ends = np.cumsum(some["f0"].map(len).to_numpy())
-                x = waves(*(np.concatenate(some[v].to_numpy()).astype(float) for v in VOICE))
-                yield some[["session_id", "part"]].assign(x=[p.ravel() for p in np.split(x, ends[:-1])])
+                yield some[["session_id", "part"]].assign(x=sounds_of(some))
 
-    return held.mapInPandas(run, "session_id bigint, part bigint, x array<double>")
+    return dealt_parts(spark, sf_dir).mapInPandas(run, "session_id bigint, part bigint, x array<double>")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,33 @@ def test_stress_has_no_row_for_a_look(spark, heard):
         if values:
             want[i, word] = np.mean(values)
     assert got == pytest.approx(want) and len(want) > 30
+
+
+def test_roots_of_many_polynomials(monkeypatch):
+    """Roots of rows at once equal those of one after the other, odd rows included; only odd rows are solved as eigenvalues."""
+    rng, solved, real = np.random.default_rng(5), [], np.linalg.eigvals
+    monkeypatch.setattr(np.linalg, "eigvals", lambda m: solved.append(len(m)) or real(m))
+    monkeypatch.setattr(T, "PREDICTED", 7)
+    rows = rng.standard_normal((3000, 200)) * np.hanning(200)
+    a = T.burg_rows(rows, 10)
+    assert all(own == pytest.approx(S.burg(row, 10)) for row, own in zip(rows[:20], a[:20], strict=True))
+    odd = np.zeros((6, 11))
+    for row, z in zip(odd, ([0] * 10, [0.5] * 10, [0.9, 0.9, -0.9, -0.9, 0.3, 0.3, 0, 0, 0, 0.1], [0.5j, -0.5j] * 5, np.exp(2j * np.pi * np.arange(10) / 10), [0.99 * np.exp(1j), 0.99 * np.exp(-1j)] + [0.2] * 8), strict=True):
+        row[:] = np.poly(z).real
+    found = T.roots(np.concatenate([odd, a]))
+    assert sum(solved) < 100
+    for own, z in zip(np.concatenate([odd, a])[:200], found, strict=False):
+        assert np.poly(z) == pytest.approx(own, abs=1e-9)
+    for own, z in zip(a, found[6:], strict=True):
+        assert np.sort(np.abs(z)) == pytest.approx(np.sort(np.abs(np.roots(own))), abs=1e-7)
+    assert not found[0].any() and T.roots(np.zeros((0, 11))).shape == (0, 10) and T.roots(np.array([[1.0, -0.5]])) == pytest.approx(0.5)
+
+
+def test_formants_make_their_sound(spark):
+    """Sound is made in the task that measures it, not passed on to it."""
+    text = plan(registry.queries()["formant_track"](spark, SF))
+    assert text.count("InPandas") == 1 and "ArrowEvalPython" not in text
+    keys = ["session_id", "part"]
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in tracks.sound_formants(bindings.dealt_parts(spark, SF), keys, RATE, sound=bindings.sounds_of).collect()}
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in tracks.sound_formants(bindings.recordings(spark, SF), keys, RATE).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
