@@ -153,21 +153,33 @@ def mean_pitch(track: DataFrame, keys: list[str]) -> DataFrame:
     return track.groupBy(*keys).agg(F.avg(voice).alias("mean"), F.avg(F.when(F.col("f0") > 0, 1.0).otherwise(0.0)).alias("voiced"))
 
 
+def level_grid(rate: int, lowest: float = 100.0, step: float = 0.01) -> tuple[int, int]:
+    """Samples of a frame of level, 6.4 periods of the ``lowest`` pitch, and from one to the next."""
+    return int(6.4 / lowest * rate), max(1, int(step * rate))
+
+
+def levels(x: np.ndarray, rate: int, lowest: float = 100.0, step: float = 0.01) -> np.ndarray:
+    """Levels of one recording's frames, see :func:`intensity_track`; none if it is shorter than a frame."""
+    window, hop = level_grid(rate, lowest, step)
+    weight = np.kaiser(window, 2 * np.pi**2 + 0.5)
+    weight = weight / weight.sum()
+    count, origin = tracks.grid(len(x), window, hop)
+    out = np.empty(count)
+    if count:
+        for first, n, _, part in cuts(x - x.mean(), count, origin, window, hop, CHUNK):
+            y = tracks.framed(part[None], window, hop)[0, :n]
+            y = y - y.mean(axis=1, keepdims=True)
+            out[first : first + n] = np.maximum(-300.0, 10 * np.log10(np.maximum((y * y) @ weight, 1e-300) / 4e-10))
+    return out
+
+
 def intensity_track(recordings: DataFrame, keys: list[str], rate: int, lowest: float = 100.0, step: float = 0.01) -> DataFrame:
     """Level of every frame in dB above 20 micropascals: keys, frame, t (seconds, its middle), level.
 
     Frames of 6.4 periods of the ``lowest`` pitch under a Kaiser window, their
     own mean taken off; silence is at -300 dB. Chunks are matrices, as for pitch.
     """
-    window, hop = int(6.4 / lowest * rate), max(1, int(step * rate))
-    weight = np.kaiser(window, 2 * np.pi**2 + 0.5)
-    weight = weight / weight.sum()
-
-    def levels(x: np.ndarray, count: int, origin: int) -> Iterator[np.ndarray]:
-        for _, n, _, part in cuts(x - x.mean(), count, origin, window, hop, CHUNK):
-            y = tracks.framed(part[None], window, hop)[0, :n]
-            y = y - y.mean(axis=1, keepdims=True)
-            yield np.maximum(-300.0, 10 * np.log10(np.maximum((y * y) @ weight, 1e-300) / 4e-10))
+    window, hop = level_grid(rate, lowest, step)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, sounds in together(batches):
@@ -175,7 +187,7 @@ def intensity_track(recordings: DataFrame, keys: list[str], rate: int, lowest: f
             counts = [n for n, _ in grids]
             if any(counts):
                 frame = np.concatenate([np.arange(n) for n in counts])
-                level = np.concatenate([v for x, at in zip(sounds, grids, strict=True) for v in levels(x, *at)])
+                level = np.concatenate([levels(x, rate, lowest, step) for x in sounds])
                 t = (np.repeat([start for _, start in grids], counts) + frame * hop + window / 2) / rate
                 yield from _beside(part[keys], counts, frame=frame, t=t, level=level)
 

@@ -209,3 +209,34 @@ def test_formants_make_their_sound(spark):
     got = {tuple(r)[:4]: tuple(r)[4:] for r in tracks.sound_formants(bindings.dealt_parts(spark, SF), keys, RATE, sound=bindings.sounds_of).collect()}
     want = {tuple(r)[:4]: tuple(r)[4:] for r in tracks.sound_formants(bindings.recordings(spark, SF), keys, RATE).collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_stress_without_a_shuffle(spark, heard, monkeypatch):
+    """Words that recordings bring give what words joined with tracks give, and nothing is shuffled behind the sound."""
+    text = plan(registry.queries()["sound_stress"](spark, SF))
+    assert text.count("MapInArrow") == 1 and "InPandas" not in text
+    assert "Exchange" not in text[: text.index("MapInArrow")] and "Join" not in text[: text.index("MapInArrow")] and "Window" not in text[: text.index("MapInArrow")]
+    rng = np.random.default_rng(6)
+    names = ["paloma", "teléfono", "sol", "camino", "mesa", "árbol", "perro", "noche", "murciélago"]
+    spans = [(i, names[rng.integers(len(names))], float(a), float(a + w)) for i in [*range(10), 90, 91] for a, w in zip(rng.uniform(-0.2, 4, 15).round(3), rng.uniform(0, 2, 15).round(3), strict=True)]
+    spans += [(0, "casa", 0.5, 1e7), (5, "libro", 1.0, 1.0), (7, "vaca", -1e6, -1e5), (7, "tarde", None, 1.0), (7, "gato", 1.0, 0.5), (0, "", 0.0, 1.0)]
+    words = spark.createDataFrame(spans, "id bigint, word string, start double, end double").distinct()
+    each = words.withColumn("s", spanish.S.syllabify("word")).select("id", F.struct("word", "start", "end", spanish.S.expected_stress(F.col("s")).alias("expected"), F.transform("s", F.length).alias("letters")).alias("w"))
+    lists = [F.col("w")[c].alias(c) for c in ("word", "start", "end", "expected", "letters")]
+    brought = heard.drop("name").join(each.groupBy("id").agg(F.collect_list("w").alias("w")), "id", "left").select("id", "x", *lists)
+    of = lambda df: {tuple(r)[:4]: tuple(r)[4:] for r in df.collect()}
+    got, want = of(stress.heard_stress(brought, ["id"], RATE)), of(stress.spoken_stress(heard.drop("name"), words, ["id"], RATE))
+    assert len(got) > 120 and set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
+    t, f0 = 0.03 + 0.015 * np.arange(300), rng.choice([0.0, 120.0, 180.0], 300)
+    begin, until = (a := rng.uniform(-1, 5, 200)), a + rng.uniform(0, 5, 200)
+    whole = stress.pitch_within(begin, until, t, f0, 0.015)
+    monkeypatch.setattr(stress, "LOOKS", 100)
+    assert np.array_equal(stress.pitch_within(begin, until, t, f0, 0.015), whole) and whole.any()
+
+
+def test_recordings_bring_the_words_they_say(spark):
+    """In order and in time as rows have them."""
+    rows = spanish.recordings_with_words(spark, SF)
+    got = {(r.session_id, r.part, w): (a, b) for r in rows.select("session_id", "part", "word", "start", "end", "letters").collect() for w, a, b, n in zip(r.word, r.start, r.end, r.letters, strict=True) if sum(n) == len(w)}
+    want = {(r.session_id, r.part, r.word): (r.start, r.end) for r in spanish.spoken_words(spark, SF).collect()}
+    assert got == want and len(want) > 50
